@@ -45,3 +45,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.pieces import piece_digests
 
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.media import from_media, to_media
+
+    back = from_media(to_media(table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "duration", F.size("seek_offsets").cast("long").alias("n_offsets"),
+    )
