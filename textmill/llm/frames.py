@@ -19,10 +19,9 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def group_count(df: DataFrame, per_partition: int = 4, target_bytes: int = 8 << 20) -> int:
-    """Number of hash groups so that each holds a few MB: it grows with the input and with the cluster's partitions."""
-    sized = math.ceil(plan_bytes(df) / target_bytes)
-    return max(per_partition * shuffle_partitions(df.sparkSession), min(sized, 1 << 24))
+def group_count(df: DataFrame, target_bytes: int = 3 << 20, least: int = 16) -> int:
+    """Number of hash groups so that each holds about ``target_bytes`` of stored input; it follows the input's size alone."""
+    return max(least, min(math.ceil(plan_bytes(df) / target_bytes), 1 << 24))
 
 
 def hash_group(column: Column, n: int) -> Column:
