@@ -79,22 +79,24 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return out
 
 
-def merge_equal(data: np.ndarray, lo: np.ndarray, size: np.ndarray, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each span, representative of each class): equal bytes, the smallest id represents."""
-    order = np.lexsort((lo, ids, size, key))
-    k, s = key[order], size[order]
+def merge_equal(data: np.ndarray, lo: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each span, representative of each class): equal bytes; the first span of a class represents it."""
+    order = np.argsort(key)
+    k = key[order]
     new = np.ones(len(k), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-    group = np.cumsum(new) - 1
-    heads = order[np.flatnonzero(new)]
-    rep = heads[group]
-    same = _same_bytes(data, lo[order], lo[rep], s)
-    if not same.all():  # two strings with one 64-bit hash: each further one stands alone
-        extra = np.flatnonzero(~same)
-        group[extra] = len(heads) + np.arange(len(extra))
-        heads = np.concatenate((heads, order[extra]))
+    new[1:] = k[1:] != k[:-1]
+    heads = np.minimum.reduceat(order, np.flatnonzero(new)) if len(k) else order
     classes = np.empty(len(k), dtype=np.int64)
-    classes[order] = group
+    classes[order] = np.cumsum(new) - 1
+    rep = heads[classes]
+    again = np.flatnonzero(rep != np.arange(len(k)))
+    differ = size[again] != size[rep[again]]
+    same = ~differ
+    same[~differ] = _same_bytes(data, lo[again[~differ]], lo[rep[again[~differ]]], size[again[~differ]])
+    if not same.all():  # two strings with one 64-bit hash: each further one stands alone
+        extra = again[~same]
+        classes[extra] = len(heads) + np.arange(len(extra))
+        heads = np.concatenate((heads, extra))
     return classes, heads
 
 
@@ -207,7 +209,7 @@ def _dictionary(length: int, trigger: int, buckets: int):
         doc, lo, count, t, x = doc[use], lo[use], count[use], t[use], x[use]
         if not len(doc):
             return empty
-        _, heads = merge_equal(docs.data, lo, count + length - 1, x, docs.ids[doc])
+        _, heads = merge_equal(docs.data, lo, count + length - 1, x)
         doc, lo, count, t = doc[heads], lo[heads], count[heads], t[heads]
         bucket = ((t & B.U64(0xFFFF_FFFF)) % B.U64(buckets)).astype(np.int64)
         order = np.lexsort((lo, bucket))
@@ -241,7 +243,10 @@ def _order(length: int):
         lo = np.cumsum(size) - size
         h = B.prefix_hash(body) if len(body) <= 64 << 20 else None
         key = B.span_hash(h, lo, lo + size) if h is not None else np.concatenate([B.span_hash(B.prefix_hash(body[a:b]), np.zeros(1, np.int64), np.array([b - a])) for a, b in zip(lo, lo + size, strict=True)])
-        classes, heads = merge_equal(body, lo, size, key, ids)
+        by_id = np.argsort(ids, kind="stable")  # so that the smallest id represents a phrase
+        classes, heads = merge_equal(body, lo[by_id], size[by_id], key[by_id])
+        heads = by_id[heads]
+        classes[by_id] = classes.copy()
         # The suffix array of the distinct phrases, cut at `length` bytes.
         row, k = B.ragged(count[heads])
         start = lo[heads][row] + k
@@ -288,7 +293,7 @@ def _apply(length: int, trigger: int, schema: pa.Schema):
         size = count + length - 1
         change = np.zeros(len(docs.data) + 1, np.int64)
         if len(doc):
-            classes, heads = merge_equal(docs.data, lo, size, x, docs.ids[doc])
+            classes, heads = merge_equal(docs.data, lo, size, x)
             gone = docs.ids[doc] > docs.ids[doc[heads]][classes]
             np.add.at(change, lo[gone], 1)
             np.add.at(change, lo[gone] + size[gone], -1)
