@@ -24,7 +24,8 @@ from os.path import commonprefix
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from textmill.llm.frames import schema_of
 
 Turn = tuple[str, str]
 Render = Callable[[list[Turn]], str]
@@ -140,7 +141,7 @@ def format_chats(conversations: DataFrame, render: Render = default_render, loss
     from pyspark.sql.pandas.types import to_arrow_schema
 
     pair = "array<struct<start:long,end:long>>"
-    schema = T.StructType([conversations.schema["conv_id"]]).add("formatted", "string").add("spans", pair).add("loss", pair).add("rewrites_history", "boolean")
+    schema = schema_of([conversations.schema["conv_id"]], [("formatted", "string"), ("spans", pair), ("loss", pair), ("rewrites_history", "boolean")])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +170,7 @@ def format_chats(conversations: DataFrame, render: Render = default_render, loss
 
 def read_back(formatted: DataFrame, parse: Callable[[str], list[Turn]] = default_parse, plain: Callable[[str], str] = unescape) -> DataFrame:
     """Digests of what the formatted text and its loss mask say, from these alone."""
-    schema = T.StructType([formatted.schema["conv_id"]])
-    for name, kind in (("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long")):
-        schema.add(name, kind)
+    schema = schema_of([formatted.schema["conv_id"]], [("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,14 +34,19 @@ def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lowered])
 
 
-def with_fields(df: DataFrame, fields: list[tuple[str, str]]) -> T.StructType:
-    """The frame's schema followed by new fields given as (name, DDL type)."""
-    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+def schema_of(kept: list[T.StructField], fields: list[tuple[str, str]]) -> T.StructType:
+    """Kept fields (made nullable) followed by new ones given as (name, DDL type)."""
+    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in kept])
     for name, kind in fields:
         out.add(name, T._parse_datatype_string(kind), True)
     return out
 
 
+def with_fields(df: DataFrame, fields: list[tuple[str, str]]) -> T.StructType:
+    """The frame's schema followed by new fields."""
+    return schema_of(df.schema.fields, fields)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared folder (``spark.checkpoint.dir``).
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from textmill.llm.frames import schema_of
+
 # Fixed values of the format: kbit/s by index for MPEG-1 layers I to III and MPEG-2 layers I and II/III, and sample rates.
 BITRATES = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -245,7 +247,7 @@ def _map(df: DataFrame, columns: list[str], schema: T.StructType, row) -> DataFr
 
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (binary): each text stored as an MPEG audio stream."""
-    schema = T.StructType([docs.schema["doc_id"]]).add("n_bytes", "long").add("media", "binary")
+    schema = schema_of([docs.schema["doc_id"]], [("n_bytes", "long"), ("media", "binary")])
 
     def row(doc_id, text):
         n, payload = payload_of(text)
@@ -257,9 +259,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 def from_media(media: DataFrame) -> DataFrame:
     """The columns of ``media`` but the stream itself, with what reading it back gives."""
     keep = [f for f in media.schema.fields if f.name != "media"]
-    schema = T.StructType(keep)
-    for name, kind in (("payload", "binary"), ("media_bytes", "long"), ("media_sha256", "string"), ("duration", "string"), ("seek_offsets", "array<long>"), ("feature", "string")):
-        schema.add(name, kind)
+    schema = schema_of(keep, [("payload", "binary"), ("media_bytes", "long"), ("media_sha256", "string"), ("duration", "string"), ("seek_offsets", "array<long>"), ("feature", "string")])
 
     def row(*values):
         raw = bytes(values[-1] or b"")

@@ -21,7 +21,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from textmill.llm.frames import schema_of
 
 MARK = "▁"
 TABLE_SIZE = 200_000
@@ -76,9 +77,7 @@ class Pieces:
 def encode_pieces(docs: DataFrame, model: str, decode: bool = True, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` with ids (array<int>) and, if asked, decoded (string)."""
     keep = ["doc_id"] if keep is None else keep
-    schema = T.StructType([docs.schema[k] for k in keep]).add("ids", "array<int>")
-    if decode:
-        schema = schema.add("decoded", "string")
+    schema = schema_of([docs.schema[k] for k in keep], [("ids", "array<int>"), *[("decoded", "string")] * decode])
 
     def build(part: pa.RecordBatch, pieces: Pieces) -> list[pa.Array]:
         texts = [t or "" for t in part.column(len(keep)).to_pylist()]
@@ -91,7 +90,7 @@ def encode_pieces(docs: DataFrame, model: str, decode: bool = True, text: str =
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 from one pass of the operator."""
-    schema = T.StructType([docs.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema_of([docs.schema["doc_id"]], [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")])
 
     def build(part: pa.RecordBatch, pieces: Pieces) -> list[pa.Array]:
         ids = pieces.encode([t or "" for t in part.column(1).to_pylist()])
