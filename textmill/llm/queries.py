@@ -66,3 +66,20 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
     return read_back(format_chats(rows.unionByName(extra)))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.line_chunks import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _line_sql() -> str:
+    from textmill.llm.line_chunks import SQL
+
+    return SQL
+
+
+ORACLES["op6_line_dedup"] = _line_sql()
