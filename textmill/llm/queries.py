@@ -83,3 +83,13 @@ def _line_sql() -> str:
 
 
 ORACLES["op6_line_dedup"] = _line_sql()
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.hashed import held_out_column
+    from textmill.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out_column().alias("held_out"), "score", "predicted")
