@@ -15,11 +15,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (file sizes for scans); runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size of the plan's leaves (stored bytes for scans, whatever columns are read); runs no job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def group_count(df: DataFrame, target_bytes: int = 3 << 20, least: int = 16) -> int:
+def group_count(df: DataFrame, target_bytes: int = 2 << 20, least: int = 16) -> int:
     """Number of hash groups so that each holds about ``target_bytes`` of stored input; it follows the input's size alone."""
     return max(least, min(math.ceil(plan_bytes(df) / target_bytes), 1 << 24))
 

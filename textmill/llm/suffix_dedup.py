@@ -250,12 +250,13 @@ def _order(length: int):
         # The suffix array of the distinct phrases, cut at `length` bytes.
         row, k = B.ragged(count[heads])
         start = lo[heads][row] + k
-        window = np.lib.stride_tricks.sliding_window_view(body, length)[start]
-        order = np.argsort(np.ascontiguousarray(window).view(f"S{length}").ravel(), kind="stable")
-        w = window[order]
+        window = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, length)[start])
+        order = np.argsort(window.view(f"S{length}").ravel(), kind="stable")
         new = np.ones(len(order), bool)
-        new[1:] = (w[1:] != w[:-1]).any(axis=1)
-        del window, w
+        for i in range(0, len(order) - 1, 100_000):
+            here = order[i : i + 100_001]
+            new[i + 1 : i + len(here)] = (window[here[1:]] != window[here[:-1]]).any(axis=1)
+        del window
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         owner = ids[heads][row]
