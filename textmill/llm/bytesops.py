@@ -55,6 +55,18 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def prefix_hash_of(values: np.ndarray) -> np.ndarray:
+    """As ``prefix_hash``, over 64-bit values instead of bytes."""
+    h = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(values * _power(_BASE, len(values)), out=h[1:])
+    return h
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """Factors that make differences of a prefix hash independent of where they begin."""
+    return _power(_INVERSE, n)
+
+
 def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A position-independent 64-bit hash of each byte span [start, end)."""
     inverse = _power(_INVERSE, len(h))
