@@ -102,3 +102,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality_rules(docs, model).drop("text")
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is bad if the label of its number marks poor quality or toxic text."""
+    from textmill.llm.urls import filter_urls
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
