@@ -111,3 +111,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
+@query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -285,7 +285,7 @@ def _order(length: int):
     return run
 
 
-def _apply(length: int, trigger: int, schema: pa.Schema):
+def _apply(length: int, trigger: int, schema: pa.Schema, as_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
@@ -323,7 +323,7 @@ def _apply(length: int, trigger: int, schema: pa.Schema):
                 spans.append([])
                 removed.append(0)
         out = docs.table.drop_columns(["_g"])
-        new = {"kept": kept, "n_bytes": np.diff(docs.offsets).tolist(), "n_removed": removed, "spans": spans}
+        new = {"kept": [kept_text(x) for x in kept] if as_text else kept, "n_bytes": np.diff(docs.offsets).tolist(), "n_removed": removed, "spans": spans}
         for name in _NEW:
             out = out.append_column(schema.field(name), pa.array(new[name], schema.field(name).type))
         return out.cast(schema)
@@ -331,8 +331,11 @@ def _apply(length: int, trigger: int, schema: pa.Schema):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
-    """All rows and columns of ``docs`` with kept (binary), n_bytes, n_removed and spans (byte ranges removed)."""
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, as_text: bool = False) -> DataFrame:
+    """All rows and columns of ``docs`` with kept, n_bytes, n_removed and spans (byte ranges removed).
+
+    ``kept`` is what is left: binary, or with ``as_text`` a string without characters of which a part is gone.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if not 0 < trigger <= length:
@@ -340,14 +343,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER)
     groups = group_count(docs)
     base = drop_clashing(docs, [*_NEW, "_g"])
     base = base.withColumn("_g", hash_group(F.col("doc_id"), groups))
-    result = with_fields(base.drop("_g"), [("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", "array<struct<start:long,end:long>>")])
+    result = with_fields(base.drop("_g"), [("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", "array<struct<start:long,end:long>>")])
     grouped = lambda: base.groupBy("_g")
     routed = lambda df: df.groupBy("_g")
     triggers = grouped().applyInArrow(_triggers(length, trigger, groups), "_b int, _g int, _keys binary")
     shared = triggers.groupBy("_b").applyInArrow(_shared, _ROUTED)
     sent = grouped().cogroup(routed(shared)).applyInArrow(_dictionary(length, trigger, groups), "_b int, _g int, _ids binary, _rows binary, _lo binary, _count binary, _body binary")
     decided = sent.groupBy("_b").applyInArrow(_order(length), _ROUTED)
-    return grouped().cogroup(routed(decided)).applyInArrow(_apply(length, trigger, to_arrow_schema(result)), result)
+    return grouped().cogroup(routed(decided)).applyInArrow(_apply(length, trigger, to_arrow_schema(result), as_text), result)
 
 
 def kept_text(column: bytes | None) -> str:
