@@ -30,30 +30,32 @@ LEAST = 2
 ENDS = ("0", "4", "8", "c")
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def chunk_array(text: Column, window: int = WINDOW, ends: tuple[str, ...] = ENDS) -> Column:
     """The chunks of a text: array of struct(first, n_lines, chunk), in order."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.md5(x.cast("binary")))
-    packed = F.struct(lines.alias("lines"), hashes.alias("hashes"))
 
-    def build(both: Column) -> Column:
+    def boundaries(both: Column) -> Column:
         n = F.size(both["lines"])
 
         def ends_here(i: Column) -> Column:
             rolled = F.md5(F.concat(*[F.coalesce(F.get(both["hashes"], i - k), F.lit("")) for k in range(window - 1, -1, -1)]).cast("binary"))
             return (i == n - 1) | F.substring(rolled, 32, 1).isin(*ends)
 
-        last = F.filter(F.sequence(F.lit(0), n - 1), ends_here)
-        return F.transform(
-            last,
-            lambda end, at: F.struct(
-                (F.coalesce(F.get(last, at - 1), F.lit(-1)) + 1).alias("first"),
-                (end - F.coalesce(F.get(last, at - 1), F.lit(-1))).alias("n_lines"),
-                F.array_join(F.slice(both["lines"], F.coalesce(F.get(last, at - 1), F.lit(-1)) + 2, end - F.coalesce(F.get(last, at - 1), F.lit(-1))), "\n").alias("chunk"),
-            ),
-        )
+        return F.struct(both["lines"].alias("lines"), F.filter(F.sequence(F.lit(0), n - 1), ends_here).alias("last"))
+
+    def cut(both: Column) -> Column:
+        first = F.transform(both["last"], lambda end, at: F.coalesce(F.get(both["last"], at - 1), F.lit(-1)) + 1)
+        spans = F.zip_with(first, both["last"], lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n_lines")))
+        return F.transform(spans, lambda x: F.struct(x["first"].alias("first"), x["n_lines"].alias("n_lines"), F.array_join(F.slice(both["lines"], x["first"] + 1, x["n_lines"]), "\n").alias("chunk")))
+
+    def hashed(lines: Column) -> Column:
+        return F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.md5(x.cast("binary"))).alias("hashes"))
 
-    return F.transform(F.array(packed), build)[0]
+    return _let(_let(_let(F.split(text, "\n", -1), hashed), boundaries), cut)
 
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST, ends: tuple[str, ...] = ENDS) -> DataFrame:
@@ -70,13 +72,14 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST, ends:
     firsts = found.where(is_first).groupBy("_h").agg(F.first("_chunk").alias("_bytes"))
     gone = found.where(~is_first).join(firsts, "_h").where(F.col("_chunk") == F.col("_bytes"))
     per_doc = gone.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("_at", "_n")).alias("_gone"))
+    per_doc = per_doc.withColumn("_places", F.transform("_gone", lambda g: g["_at"]))
     keyed = docs.withColumn("_t", F.xxhash64("text"))
     marked = keyed.alias("a").join(per_doc.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._t") == F.col("b._t")), "left")
     left_over = F.array_join(
         F.transform(
             F.filter(
                 F.transform(chunk_array(F.col("a.text"), window, ends), lambda c, i: F.struct(i.alias("at"), c["chunk"].alias("chunk"))),
-                lambda c: ~F.array_contains(F.transform(F.col("b._gone"), lambda g: g["_at"]), c["at"]),
+                lambda c: ~F.array_contains(F.col("b._places"), c["at"]),
             ),
             lambda c: c["chunk"],
         ),
