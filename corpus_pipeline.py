@@ -17,7 +17,7 @@ from textmill.llm.near_dedup import near_duplicates
 from textmill.llm.packing import pack
 from textmill.llm.suffix_dedup import suffix_dedup
 from textmill.llm.toxicity import fit_toxicity, score_toxicity
-from textmill.session import ship
+from textmill.session import shared_folder, ship
 
 
 def _as_documents(frame: DataFrame, docs: DataFrame) -> DataFrame:
@@ -74,8 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole documents table."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{folder.rstrip('/')}/pipeline_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline_{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

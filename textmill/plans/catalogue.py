@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from textmill.plans import retrieval  # noqa: E402, F401
+from textmill.plans import answers, evaluation, events, retrieval, rules  # noqa: E402, F401

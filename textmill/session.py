@@ -32,6 +32,11 @@ def session(app: str = "textmill", master: str | None = None, **settings: str) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: the session's checkpoint folder, or the warehouse where none is named."""
+    return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 _shipped: set[str] = set()
 
 
