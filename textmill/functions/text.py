@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The retrieval token pattern, the profile token pattern and the identifier pattern.
 TOKEN = r"[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\d+(?:\.\d+)?"
@@ -14,7 +15,7 @@ IDENTIFIER = r"^SYN-[A-Z]+-\d+$"
 FOLD_FROM, FOLD_TO = "‐‑‒–—‘’“”", "-----''\"\""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC, for which Spark has no function; Arrow batches."""
     return text.str.normalize("NFC")

@@ -164,7 +164,7 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", ids.checksum_text(X.normalise(X.nfc(F.col("html")))).alias("checksum"))
 
 
-@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(translate(text, '‐‑‒–—‘’“”', '-----''''""')), '\s+', ' ', 'g'))) AS checksum FROM documents")
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(lower(translate(text, '‐‑‒–—‘’“”', '-----''''""')), '\s+', ' ', 'g'))) AS checksum FROM documents""")
 def analytical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ids.checksum_text(X.analytical(F.col("text"))).alias("checksum"))
 
