@@ -17,40 +17,55 @@ def top_k(scored: DataFrame, query: str, unit: str, score: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def matches(queries: DataFrame, units: DataFrame, query: str, unit: str) -> DataFrame:
-    """One row per query term found in a unit: query, unit, term, tf, length, q_tf, q_length, q_terms.
+def wanted_postings(queries: DataFrame, units: DataFrame, unit: str) -> DataFrame:
+    """unit, length, term, tf of the terms that some query has, dealt by unit.
 
-    Tokens are joined with the query terms before they are counted, so other terms are never shuffled.
+    Other terms are left out before anything is shuffled, and all that follows for a unit (term counts, scores for
+    each query) stays in its partition.
     """
+    wanted = queries.select(F.explode("tokens").alias("term")).distinct()
+    found = units.select(unit, "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    return found.repartition(unit).groupBy(unit, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def scores(weighted: DataFrame, queries: DataFrame, query: str, unit: str, value: Column) -> DataFrame:
+    """query, unit, score: the sum of ``value`` over the query's distinct terms that the unit has."""
     asked = I.postings(queries, query).withColumnsRenamed({"tf": "q_tf", "length": "q_length"})
-    sizes = queries.select(query, F.size(F.array_distinct("tokens")).alias("q_terms"))
-    wanted = asked.select("term").distinct()
-    found = units.select(unit, "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy(unit, "length", "term").agg(F.count("*").alias("tf"))
-    return found.join(asked.join(sizes, query), "term")
+    return weighted.join(asked, "term").groupBy(query, unit).agg(F.sum(value).alias("score"))
 
 
 def bm25(queries: DataFrame, units: DataFrame, query: str, unit: str) -> DataFrame:
     """query, unit, score (six places) for every pair with a common term."""
-    found = I.with_corpus(matches(queries, units, query, unit).join(I.term_statistics(units), "term"), units)
+    found = wanted_postings(queries, units, unit)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     part = I.bm25_part(F.col("tf"), F.col("length"), F.col("df"), F.col("n_units"), F.col("avg_length"))
-    return found.groupBy(query, unit).agg(F.round(F.sum(part), 6).alias("score"))
+    weighted = I.with_corpus(found.join(df, "term"), units).select(unit, "term", part.alias("w"))
+    return scores(weighted, queries, query, unit, F.col("w")).withColumn("score", F.round("score", 6))
 
 
 def tfidf(queries: DataFrame, units: DataFrame, query: str, unit: str) -> DataFrame:
     """Cosine of (tf / length) x idf vectors; query terms outside the vocabulary still count in its length."""
     stats = I.with_corpus(I.term_statistics(units), units).select("term", I.idf(F.col("n_units"), F.col("df")).alias("idf"))
-    norms = I.postings(units, unit).join(stats, "term").groupBy(unit).agg(F.sqrt(F.sum(F.pow(F.col("tf") / F.col("length") * F.col("idf"), F.lit(2.0)))).alias("unit_norm"))
-    asked = I.postings(queries, query).join(stats, "term").groupBy(query).agg(F.sqrt(F.sum(F.pow(F.col("tf") / F.col("length") * F.col("idf"), F.lit(2.0)))).alias("query_norm"))
-    found = matches(queries, units, query, unit).join(stats, "term")
-    product = F.sum(F.col("tf") / F.col("length") * F.col("idf") * F.col("q_tf") / F.col("q_length") * F.col("idf"))
-    return found.groupBy(query, unit).agg(product.alias("_p")).join(norms, unit).join(asked, query).select(query, unit, F.round(F.col("_p") / (F.col("unit_norm") * F.col("query_norm")), 6).alias("score"))
+    square = F.pow(F.col("tf") / F.col("length") * F.col("idf"), F.lit(2.0))
+    norms = I.postings(units, unit).join(stats, "term").groupBy(unit).agg(F.sqrt(F.sum(square)).alias("unit_norm"))
+    asked = I.postings(queries, query).join(stats, "term").groupBy(query).agg(F.sqrt(F.sum(square)).alias("query_norm"))
+    weighted = wanted_postings(queries, units, unit).join(stats, "term").select(unit, "term", (F.col("tf") / F.col("length") * F.col("idf")).alias("w"), "idf")
+    product = scores(weighted, queries, query, unit, F.col("w") * F.col("q_tf") / F.col("q_length") * F.col("idf"))
+    return product.join(norms, unit).join(asked, query).select(query, unit, F.round(F.col("score") / (F.col("unit_norm") * F.col("query_norm")), 6).alias("score"))
 
 
 def keyword(queries: DataFrame, units: DataFrame, texts: DataFrame, query_texts: DataFrame, query: str, unit: str) -> DataFrame:
-    """Share of distinct query terms found, plus 0.25 if the whole query is part of the text, 1 at most."""
-    cover = matches(queries, units, query, unit).groupBy(query, unit).agg((F.count("*") / F.max("q_terms")).alias("_cover"))
-    both = cover.join(texts.select(unit, F.lower("text").alias("_t")), unit).join(query_texts.select(query, F.lower("text").alias("_q")), query)
-    return both.select(query, unit, F.round(F.least(F.lit(1.0), F.col("_cover") + F.when(F.contains("_t", "_q"), 0.25).otherwise(0.0)), 6).alias("score"))
+    """Share of distinct query terms found, plus 0.25 if the whole query is part of the text, 1 at most.
+
+    A text that holds the whole query has all of its terms but perhaps the first and the last, which may be parts of
+    longer words there; only such pairs meet the texts.
+    """
+    sizes = queries.select(query, F.size(F.array_distinct("tokens")).alias("q_terms"))
+    cover = scores(wanted_postings(queries, units, unit), queries, query, unit, F.lit(1)).join(sizes, query)
+    near = cover.where(F.col("score") >= F.col("q_terms") - 2).select(query, unit)
+    whole = near.join(texts.select(unit, F.lower("text").alias("_t")), unit).join(query_texts.select(query, F.lower("text").alias("_q")), query).where(F.contains("_t", "_q")).select(query, unit, F.lit(0.25).alias("_more"))
+    share = F.col("score") / F.col("q_terms") + F.coalesce("_more", F.lit(0.0))
+    return cover.join(whole, [query, unit], "left").select(query, unit, F.round(F.least(F.lit(1.0), share), 6).alias("score"))
 
 
 def rrf(rankings: list[DataFrame], query: str, unit: str, constant: int = 60) -> DataFrame:
