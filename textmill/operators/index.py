@@ -13,14 +13,23 @@ def tokenised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, X.tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
 
 
+def terms(units: DataFrame, *keep: str, distinct: bool = False) -> DataFrame:
+    """``keep`` columns and one row per token (or distinct token) of each text.
+
+    The outer form is used because the inner one makes Catalyst test the token array in a filter, and so tokenise twice.
+    """
+    items = F.array_distinct("tokens") if distinct else F.col("tokens")
+    return units.select(*keep, F.explode_outer(items).alias("term")).where(F.col("term").isNotNull())
+
+
 def postings(units: DataFrame, key: str) -> DataFrame:
     """key, term, tf and length. A text's tokens meet in one task, so map-side counting leaves little to shuffle."""
-    return units.select(key, "length", F.explode("tokens").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    return terms(units, key, "length").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def term_statistics(units: DataFrame) -> DataFrame:
     """term, df: units that hold each term."""
-    return units.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return terms(units, distinct=True).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def with_corpus(df: DataFrame, units: DataFrame) -> DataFrame:
@@ -31,7 +40,7 @@ def with_corpus(df: DataFrame, units: DataFrame) -> DataFrame:
 
 def corpus_statistics(units: DataFrame) -> DataFrame:
     """One row: units, tokens, distinct tokens, length extremes and mean."""
-    distinct = units.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t").alias("d"))
+    distinct = terms(units).agg(F.count_distinct("term").alias("d"))
     return units.agg(
         F.count("*").alias("n_units"),
         F.sum("length").alias("n_tokens"),

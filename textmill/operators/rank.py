@@ -23,8 +23,8 @@ def wanted_postings(queries: DataFrame, units: DataFrame, unit: str) -> DataFram
     Other terms are left out before anything is shuffled, and all that follows for a unit (term counts, scores for
     each query) stays in its partition.
     """
-    wanted = queries.select(F.explode("tokens").alias("term")).distinct()
-    found = units.select(unit, "length", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    wanted = I.terms(queries).distinct()
+    found = I.terms(units, unit, "length").join(wanted, "term", "left_semi")
     return found.repartition(unit).groupBy(unit, "length", "term").agg(F.count("*").alias("tf"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.operators import answers as A
 from textmill.operators import rules as R
 from textmill.operators import spans as S
-from textmill.plans.catalogue import query, table
+from textmill.plans.registry import query, table
 from textmill.plans.retrieval import BM25, Q, TOKENS, U, bm25_ranked, ranked_sql
 
 #: Literal vocabulary of the matching queries: frequent words of the generated texts, with priorities.

@@ -1,30 +1,8 @@
-"""Registry of the engine's queries and their SQL."""
+"""Every query of the engine and its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from textmill.plans import answers, evaluation, events, retrieval, rules  # noqa: F401
+from textmill.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from textmill.plans import answers, evaluation, events, retrieval, rules  # noqa: E402, F401
+__all__ = ["ORACLES", "QUERIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import evaluate as E
-from textmill.plans.catalogue import query, table
+from textmill.plans.registry import query, table
 from textmill.plans.retrieval import BM25, Q, TFIDF, TOKENS, U, bm25_ranked, ranked_sql, tfidf_ranked
 
 #: The retrieval gates.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.operators import events as O
-from textmill.plans.catalogue import query, table
+from textmill.plans.registry import query, table
 from textmill.streaming import events as ST
 
 ROUND = 4

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as X
 from textmill.operators import index as I
 from textmill.operators import rank as R
-from textmill.plans.catalogue import query, table
+from textmill.plans.registry import query, table
 
 K = 5
 Q, U = "item_id", "doc_id"

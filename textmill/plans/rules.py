@@ -10,7 +10,7 @@ from textmill.functions import text as X
 from textmill.operators import features as Q
 from textmill.operators import index as I
 from textmill.operators import rules as R
-from textmill.plans.catalogue import query, table
+from textmill.plans.registry import query, table
 from textmill.plans.retrieval import TOKENS
 
 _QUOTE = str.maketrans({"'": "''"})
