@@ -66,10 +66,11 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST, ends:
     chunks = slim.select("doc_id", "_t", F.posexplode(chunk_array(F.col("text"), window, ends)).alias("_at", "_c")).where(F.col("_c.n_lines") >= least)
     chunks = chunks.select("doc_id", "_t", "_at", F.col("_c.n_lines").alias("_n"), F.col("_c.chunk").alias("_chunk"), F.xxhash64("_c.chunk").alias("_h"))
     counted = chunks.groupBy("_h").agg(F.count("*").alias("_times"), F.min(F.struct("doc_id", "_t", "_at")).alias("_first"))
-    repeated = counted.where(F.col("_times") > 1).select("_h", "_first")
+    # Checkpointed so that both sides of the join below are exchanged for it, and a hot chunk's partition can be split.
+    repeated = checkpoint(counted.where(F.col("_times") > 1).select("_h", "_first"))
     found = checkpoint(chunks.join(repeated, "_h"))  # repeated chunks only; read twice below
     is_first = F.struct("doc_id", "_t", "_at").eqNullSafe(F.col("_first"))
-    firsts = found.where(is_first).groupBy("_h").agg(F.first("_chunk").alias("_bytes"))
+    firsts = found.where(is_first).select("_h", F.col("_chunk").alias("_bytes"))  # repeats of a row only repeat matches
     gone = found.where(~is_first).join(firsts, "_h").where(F.col("_chunk") == F.col("_bytes"))
     per_doc = gone.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("_at", "_n")).alias("_gone"))
     per_doc = per_doc.withColumn("_places", F.transform("_gone", lambda g: g["_at"]))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.frames import checkpoint
+
 #: The rules of the production query, (verdict, host, path).
 RULES = (
     ("block", "com", "/en/"),
@@ -114,7 +116,8 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, **mining: float) -> DataFrame:
     """The columns of ``pages`` with host, path, rule, mined_confidence and verdict (columns of these names are replaced)."""
     names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "mined_confidence", "verdict")]
-    mined = match_rules(pages, mine_rules(pages, labels, **mining))
+    # Checkpointed so that the join below exchanges both sides, and a token set of very many pages can be split.
+    mined = checkpoint(match_rules(pages, mine_rules(pages, labels, **mining)))
     url = F.col("url")
     rows = pages.select(*[F.col(f"`{c}`") for c in names], host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("_tokens"))
     judged = rows.join(mined, "_tokens", "left").withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
