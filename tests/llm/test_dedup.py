@@ -70,9 +70,9 @@ def brute_classes(rows):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("block", [1000, 3])
-def test_near_duplicates_against_brute_force(docs, corpus, block):
-    rows = near_duplicates(docs, block=block).collect()
+@pytest.mark.parametrize(("block", "leaders"), [(1000, 64), (3, 1), (2, 0)])
+def test_near_duplicates_against_brute_force(docs, corpus, block, leaders):
+    rows = near_duplicates(docs, block=block, leaders=leaders).collect()
     assert len(rows) == len(corpus)
     assert {r["doc_id"]: r["class_id"] for r in rows} == brute_classes(corpus)
 
@@ -110,6 +110,23 @@ def test_links_against_all_pairs():
         assert linked(sets, 0.8).tolist() == label
 
 
+def test_large_component_in_blocks(spark):
+    """Near copies around the threshold, so that classes chain through documents of different blocks."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("aeionrst") for _ in range(6)) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            words[rng.randrange(60)] = f"w{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_classes(rows)
+    assert 1 < len(set(expected.values())) < 120
+    for block, leaders in ((25, 4), (10, 0)):
+        assert {r["doc_id"]: r["class_id"] for r in near_duplicates(frame, block=block, leaders=leaders).collect()} == expected
+
+
 def test_components_of_chains_and_cycles(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

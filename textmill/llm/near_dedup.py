@@ -13,8 +13,16 @@ Signatures are cut into bands. Exact copies are one vertex. Vertices that share
 band value are candidates; they are tied to the value's smallest vertex only, and
 the components of these ties hold every pair that any band proposes. Inside a
 component shingle sets are compared exactly (by an inverted index, neighbours of
-a found class first), and links of the threshold or more make the classes. Large
-components are cut into blocks whose pairs are separate groups, so none grows.
+a found class first), and links of the threshold or more make the classes.
+
+A component of more than ``block`` vertices is cut into blocks. In a first pass
+each block is compared within itself and with a fixed number of leaders of the
+whole component, which is linear in its size and joins most of it to one class.
+A link that is still missing has an end outside the largest class, so in a second
+pass only those vertices, in blocks, are compared with every block. No group
+grows with the component, and a group of near copies that hang together costs
+one pass; what stays outside its largest class is compared with all of it, which
+no exact method avoids.
 
 The threshold is on the Jaccard similarity of shingle sets, for which weights of
 one are right (``weights="binary"``); ``weights="count"`` signs multisets.
@@ -43,6 +51,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 22, 4
 BLOCK = 1000
+LEADERS = 64
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -196,10 +205,31 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return label
 
 
+def linked_from(sets: list[np.ndarray], seeds: np.ndarray, threshold: float) -> np.ndarray:
+    """Class of each set when only links with a seed at one end count."""
+    n = len(sets)
+    root = np.arange(n)
+    size = np.array([len(s) for s in sets], np.int64)
+    start = np.concatenate(([0], np.cumsum(size)))
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    posting = np.repeat(np.arange(n), size)[order]
+    head = np.searchsorted(item[order], np.arange(item.max() + 2 if len(item) else 1))
+    for x in np.flatnonzero(seeds):
+        mine = item[start[x] : start[x + 1]]
+        row, k = B.ragged(head[mine + 1] - head[mine])
+        shared = np.bincount(posting[head[mine][row] + k], minlength=n)
+        hit = (shared > 0) & (shared >= threshold * (size + size[x] - shared) - 1e-9)
+        found = np.unique(root[hit])
+        if len(found) > 1:
+            root[np.isin(root, found)] = found[0]
+    return root
+
+
 def _links(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([(k, "ascending") for k in ("_label", "_i", "_j", "_node")])
-        node = rows["_node"].to_numpy()
+        node, seed = rows["_node"].to_numpy(), np.asarray(rows["_seed"])
         key = np.stack([rows[k].to_numpy().astype(np.int64) for k in ("_label", "_i", "_j")])
         sets = [np.frombuffer(x, np.uint64) for x in rows["_set"].to_pylist()]
         new = np.ones(len(node), bool)
@@ -208,7 +238,7 @@ def _links(threshold: float):
         a, b = [], []
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             if hi - lo > 1:
-                label = linked(sets[lo:hi], threshold)
+                label = linked(sets[lo:hi], threshold) if seed[lo:hi].all() else linked_from(sets[lo:hi], seed[lo:hi], threshold)
                 other = np.flatnonzero(label != np.arange(hi - lo))
                 a.append(node[lo:hi][other])
                 b.append(node[lo:hi][label[other]])
@@ -218,7 +248,46 @@ def _links(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "binary", block: int = BLOCK) -> DataFrame:
+def _grouped_links(rows: DataFrame, groups: int, threshold: float) -> DataFrame:
+    """Links (a, b) of rows (_label, _i, _j, _node, _seed, _set), whose groups (_label, _i, _j) are dealt into tasks."""
+    dealt = rows.select("_label", "_i", "_j", "_node", "_seed", "_set", F.pmod(F.xxhash64("_label", "_i", "_j"), F.lit(groups)).alias("_g"))
+    return dealt.groupBy("_g").applyInArrow(_links(threshold), "a long, b long")
+
+
+def _block(count: str, size: int):
+    """A vertex's block among ceil(count / size)."""
+    return F.pmod(F.xxhash64("_node"), F.ceil(F.col(count) / size)).cast("int")
+
+
+def verified_links(sets: DataFrame, candidates: DataFrame, threshold: float, block: int, leaders: int) -> DataFrame:
+    """Links that give the exact classes inside each candidate component; sets has _node, _label, _set."""
+    groups = max(16, -(-candidates.count() // 500))
+    sizes = checkpoint(candidates.groupBy("_label").agg(F.count("*").alias("_n")))
+    own = sets.join(sizes, "_label").withColumn("_i", _block("_n", block))
+    small = own.where(F.col("_n") <= block)
+    big = own.where(F.col("_n") > block)
+    last = F.ceil(F.col("_n") / block).cast("int") - 1
+    everywhere = big.where(F.pmod(F.xxhash64("_node", F.lit(1)), F.col("_n")) < leaders).withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
+    elsewhere = big.where(F.pmod(F.xxhash64("_node", F.lit(1)), F.col("_n")) >= leaders)
+    first = _grouped_links(small.unionByName(everywhere).unionByName(elsewhere).withColumns({"_j": F.lit(-1), "_seed": F.lit(True)}), groups, threshold)
+    if sizes.where(F.col("_n") > block).isEmpty():
+        return first
+    first = checkpoint(first)
+    classes = components(first).withColumnRenamed("node", "_node").withColumnRenamed("label", "_class")
+    members = candidates.join(sizes.where(F.col("_n") > block), "_label").join(classes, "_node", "left").select("_label", "_node", "_n", F.coalesce("_class", "_node").alias("_class"))
+    members = checkpoint(members)
+    counted = members.groupBy("_label", "_class").agg(F.count("*").alias("_c"))
+    largest = counted.groupBy("_label").agg(F.max(F.struct("_c", "_class")).alias("_m")).select("_label", F.col("_m._class").alias("_largest"), F.col("_m._c").alias("_c"))
+    placed = members.join(checkpoint(largest), "_label").select("_node", "_label", "_n", (F.col("_n") - F.col("_c")).alias("_outside"), (F.col("_class") != F.col("_largest")).alias("_out")).where("_outside > 0")
+    rows = sets.join(placed.drop("_label"), "_node").withColumn("_own", _block("_n", block)).withColumn("_u", _block("_outside", max(1, block // 2)))
+    outer = F.sequence(F.lit(0), F.ceil(F.col("_outside") / max(1, block // 2)).cast("int") - 1)
+    inner = F.sequence(F.lit(0), last)
+    seeds = rows.where("_out").withColumn("_j", F.explode(inner)).select("_label", F.col("_u").alias("_i"), "_j", "_node", F.lit(True).alias("_seed"), "_set")
+    others = rows.withColumn("_i", F.explode(outer)).where(~(F.col("_out") & (F.col("_u") == F.col("_i")))).select("_label", "_i", F.col("_own").alias("_j"), "_node", F.lit(False).alias("_seed"), "_set")
+    return first.unionByName(_grouped_links(seeds.unionByName(others), groups, threshold))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "binary", block: int = BLOCK, leaders: int = LEADERS) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id with the same text) and n_shingles of every row."""
     if weights not in ("binary", "count"):
         raise ValueError("weights are binary or count")
@@ -231,15 +300,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     tied = banded.groupBy("_band").agg(F.min("_node").alias("_least"), F.max("_node").alias("_most")).where("_least < _most").select("_band", "_least")
     ties = banded.join(tied, "_band").where("_node > _least").select(F.col("_node").alias("a"), F.col("_least").alias("b"))
     candidates = components(ties).withColumnRenamed("node", "_node").withColumnRenamed("label", "_label")
-    # The candidates' shingle sets; each component in blocks, each pair of blocks a group of its own.
-    sizes = candidates.groupBy("_label").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     texts = keyed.join(vertices.join(candidates, "_node").select("_text", "_node", "_label"), "_text").where(F.col("doc_id") == F.col("_node"))
-    sets = texts.select("_node", "_label", "text").mapInArrow(_sets(words), "_node long, _label long, _set binary")
-    placed = sets.join(sizes, "_label").withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
-    paired = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("_label", "_node", "_set", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    groups = max(16, -(-candidates.count() // 500))
-    dealt = paired.withColumn("_g", F.pmod(F.xxhash64("_label", "_i", "_j"), F.lit(groups)))
-    links = dealt.groupBy("_g").applyInArrow(_links(threshold), "a long, b long")
+    sets = checkpoint(texts.select("_node", "_label", "text").mapInArrow(_sets(words), "_node long, _label long, _set binary"))
+    links = verified_links(sets, candidates, threshold, block, leaders)
     classes = components(links)
     member = vertices.select("_text", "_node").join(classes.withColumnRenamed("node", "_node"), "_node", "left").select("_text", "_node", F.coalesce("label", "_node").alias("_class"))
     known = F.col("doc_id").isNotNull()
