@@ -125,6 +125,9 @@ def test_large_component_in_blocks(spark):
     assert 1 < len(set(expected.values())) < 120
     for block, leaders in ((25, 4), (10, 0)):
         assert {r["doc_id"]: r["class_id"] for r in near_duplicates(frame, block=block, leaders=leaders).collect()} == expected
+    often = frame.unionByName(frame).unionByName(frame.where("doc_id = 3")).collect()
+    again = near_duplicates(spark.createDataFrame(often, frame.schema), block=25, leaders=4).collect()
+    assert len(again) == 241 and {r["doc_id"]: r["class_id"] for r in again} == expected
 
 
 def test_components_of_chains_and_cycles(spark):

@@ -72,7 +72,7 @@ def test_packing_edge_rows(spark, none):
     assert [r["length"] for r in out] == [1, 1, 1] and {r["sequence_id"] for r in out} == {out[0]["sequence_id"]} and sorted(r["offset"] for r in out) == [0, 1, 2]
 
 
-@pytest.mark.parametrize("table_size", [200_000, 50])
+@pytest.mark.parametrize("table_size", [100_000, 50])
 def test_pieces_equal_the_library(table_size, corpus):
     pieces = Pieces(MODEL, table_size)
     assert pieces.split

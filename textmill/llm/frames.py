@@ -20,7 +20,7 @@ def plan_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def group_count(df: DataFrame, target_bytes: int = 2 << 20, least: int = 16) -> int:
+def group_count(df: DataFrame, target_bytes: int = 3 << 19, least: int = 16) -> int:
     """Number of hash groups so that each holds about ``target_bytes`` of stored input; it follows the input's size alone."""
     return max(least, min(math.ceil(plan_bytes(df) / target_bytes), 1 << 24))
 

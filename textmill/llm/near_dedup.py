@@ -15,7 +15,8 @@ the components of these ties hold every pair that any band proposes. Inside a
 component shingle sets are compared exactly (by an inverted index, neighbours of
 a found class first), and links of the threshold or more make the classes.
 
-A component of more than ``block`` vertices is cut into blocks. In a first pass
+A component of more than ``block`` vertices, or of more than a few MB of shingles,
+is cut into blocks. In a first pass
 each block is compared within itself and with a fixed number of leaders of the
 whole component, which is linear in its size and joins most of it to one class.
 A link that is still missing has an end outside the largest class, so in a second
@@ -51,6 +52,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 22, 4
 BLOCK = 1000
+BLOCK_BYTES = 8 << 20
 LEADERS = 64
 
 
@@ -161,7 +163,7 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, sets in bucketed(batch.column(2), distinct):
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, last - first) for i in (0, 1)], pa.array(sets, pa.binary())], ["_node", "_label", "_set"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, last - first) for i in (0, 1, 3)], pa.array(sets, pa.binary())], ["_node", "_label", "_text", "_set"])
 
     return run
 
@@ -254,36 +256,36 @@ def _grouped_links(rows: DataFrame, groups: int, threshold: float) -> DataFrame:
     return dealt.groupBy("_g").applyInArrow(_links(threshold), "a long, b long")
 
 
-def _block(count: str, size: int):
-    """A vertex's block among ceil(count / size)."""
-    return F.pmod(F.xxhash64("_node"), F.ceil(F.col(count) / size)).cast("int")
+def _blocks(count: str, size: str, block: int, block_bytes: int):
+    """Blocks for so many vertices and bytes of shingles."""
+    return F.greatest(F.ceil(F.col(count) / block), F.ceil(F.col(size) / block_bytes), F.lit(1)).cast("int")
 
 
-def verified_links(sets: DataFrame, candidates: DataFrame, threshold: float, block: int, leaders: int) -> DataFrame:
+def verified_links(sets: DataFrame, threshold: float, block: int, leaders: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links that give the exact classes inside each candidate component; sets has _node, _label, _set."""
-    groups = max(16, -(-candidates.count() // 500))
-    sizes = checkpoint(candidates.groupBy("_label").agg(F.count("*").alias("_n")))
-    own = sets.join(sizes, "_label").withColumn("_i", _block("_n", block))
-    small = own.where(F.col("_n") <= block)
-    big = own.where(F.col("_n") > block)
-    last = F.ceil(F.col("_n") / block).cast("int") - 1
-    everywhere = big.where(F.pmod(F.xxhash64("_node", F.lit(1)), F.col("_n")) < leaders).withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
-    elsewhere = big.where(F.pmod(F.xxhash64("_node", F.lit(1)), F.col("_n")) >= leaders)
-    first = _grouped_links(small.unionByName(everywhere).unionByName(elsewhere).withColumns({"_j": F.lit(-1), "_seed": F.lit(True)}), groups, threshold)
-    if sizes.where(F.col("_n") > block).isEmpty():
+    sizes = sets.groupBy("_label").agg(F.count("*").alias("_n"), F.sum(F.octet_length("_set")).alias("_size"))
+    sizes = checkpoint(sizes.withColumn("_blocks", _blocks("_n", "_size", block, block_bytes)))
+    groups = max(16, -(-(sizes.agg(F.sum("_size")).first()[0] or 0) // (2 << 20)))
+    own = sets.join(sizes, "_label").withColumn("_i", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
+    last = F.col("_blocks") - 1
+    shown = F.least(F.lit(leaders), F.ceil(F.col("_n") / F.col("_blocks") / 4))
+    leads = (F.col("_blocks") > 1) & (F.pmod(F.xxhash64("_node", F.lit(1)), F.col("_n")) < shown)
+    once = own.where(~leads)
+    everywhere = own.where(leads).withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
+    first = _grouped_links(once.unionByName(everywhere).withColumns({"_j": F.lit(-1), "_seed": F.lit(True)}), groups, threshold)
+    if sizes.where(F.col("_blocks") > 1).isEmpty():
         return first
     first = checkpoint(first)
     classes = components(first).withColumnRenamed("node", "_node").withColumnRenamed("label", "_class")
-    members = candidates.join(sizes.where(F.col("_n") > block), "_label").join(classes, "_node", "left").select("_label", "_node", "_n", F.coalesce("_class", "_node").alias("_class"))
-    members = checkpoint(members)
-    counted = members.groupBy("_label", "_class").agg(F.count("*").alias("_c"))
-    largest = counted.groupBy("_label").agg(F.max(F.struct("_c", "_class")).alias("_m")).select("_label", F.col("_m._class").alias("_largest"), F.col("_m._c").alias("_c"))
-    placed = members.join(checkpoint(largest), "_label").select("_node", "_label", "_n", (F.col("_n") - F.col("_c")).alias("_outside"), (F.col("_class") != F.col("_largest")).alias("_out")).where("_outside > 0")
-    rows = sets.join(placed.drop("_label"), "_node").withColumn("_own", _block("_n", block)).withColumn("_u", _block("_outside", max(1, block // 2)))
-    outer = F.sequence(F.lit(0), F.ceil(F.col("_outside") / max(1, block // 2)).cast("int") - 1)
-    inner = F.sequence(F.lit(0), last)
-    seeds = rows.where("_out").withColumn("_j", F.explode(inner)).select("_label", F.col("_u").alias("_i"), "_j", "_node", F.lit(True).alias("_seed"), "_set")
-    others = rows.withColumn("_i", F.explode(outer)).where(~(F.col("_out") & (F.col("_u") == F.col("_i")))).select("_label", "_i", F.col("_own").alias("_j"), "_node", F.lit(False).alias("_seed"), "_set")
+    slim = sets.select("_node", "_label", F.octet_length("_set").alias("_b")).join(sizes.where(F.col("_blocks") > 1), "_label")
+    members = checkpoint(slim.join(classes, "_node", "left").withColumn("_class", F.coalesce("_class", "_node")))
+    counted = members.groupBy("_label", "_class").agg(F.count("*").alias("_c"), F.sum("_b").alias("_s"))
+    largest = checkpoint(counted.groupBy("_label").agg(F.max(F.struct("_c", "_class", "_s")).alias("_m")).select("_label", "_m.*").withColumnRenamed("_class", "_largest"))
+    placed = members.join(largest, "_label").withColumns({"_c": F.col("_n") - F.col("_c"), "_s": F.col("_size") - F.col("_s"), "_out": F.col("_class") != F.col("_largest")}).where("_c > 0")
+    placed = placed.withColumn("_ublocks", _blocks("_c", "_s", max(1, block // 2), block_bytes // 2)).select("_node", "_blocks", "_ublocks", "_out")
+    rows = sets.join(placed, "_node").withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")).withColumn("_u", F.pmod(F.xxhash64("_node", F.lit(2)), F.col("_ublocks")).cast("int"))
+    seeds = rows.where("_out").withColumn("_j", F.explode(F.sequence(F.lit(0), last))).select("_label", F.col("_u").alias("_i"), "_j", "_node", F.lit(True).alias("_seed"), "_set")
+    others = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_ublocks") - 1))).where(~(F.col("_out") & (F.col("_u") == F.col("_i")))).select("_label", "_i", F.col("_own").alias("_j"), "_node", F.lit(False).alias("_seed"), "_set")
     return first.unionByName(_grouped_links(seeds.unionByName(others), groups, threshold))
 
 
@@ -301,8 +303,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     ties = banded.join(tied, "_band").where("_node > _least").select(F.col("_node").alias("a"), F.col("_least").alias("b"))
     candidates = components(ties).withColumnRenamed("node", "_node").withColumnRenamed("label", "_label")
     texts = keyed.join(vertices.join(candidates, "_node").select("_text", "_node", "_label"), "_text").where(F.col("doc_id") == F.col("_node"))
-    sets = checkpoint(texts.select("_node", "_label", "text").mapInArrow(_sets(words), "_node long, _label long, _set binary"))
-    links = verified_links(sets, candidates, threshold, block, leaders)
+    sets = texts.select("_node", "_label", "text", "_text").mapInArrow(_sets(words), "_node long, _label long, _text binary, _set binary")
+    sets = checkpoint(sets.groupBy("_node", "_label", "_text").agg(F.first("_set").alias("_set")))  # repeated rows are one
+    links = verified_links(sets, threshold, block, leaders)
     classes = components(links)
     member = vertices.select("_text", "_node").join(classes.withColumnRenamed("node", "_node"), "_node", "left").select("_text", "_node", F.coalesce("label", "_node").alias("_class"))
     known = F.col("doc_id").isNotNull()

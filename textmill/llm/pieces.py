@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from textmill.llm.frames import schema_of
 
 MARK = "▁"
-TABLE_SIZE = 200_000
+TABLE_SIZE = 100_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
