@@ -86,7 +86,7 @@ def test_expansion_negation_numbers(spark):
     assert expanded == {"computed tomography", "renal", "administrative next step", "workflow note"}
     marked = {(r["term"], r["polarity"]) for r in one(spark, Q.negation(F.col("t")), t="no fever, negative for cough")}
     assert {("fever", "negated"), ("cough", "negated"), ("fever", "affirmed")} <= marked
-    assert [(r["value"], r["unit"]) for r in one(spark, Q.numbers(F.col("t")), t="5 mg and 98% or 3.5")] == [(5.0, "mg"), (98.0, "percent"), (3.5, "")]
+    assert [(r["value"], r["unit"]) for r in one(spark, Q.numbers(F.col("t")), t="5 mg and 98% or 3.5")] == [(5.0, "mg"), (98.0, "percent"), (3.5, "number")]
 
 
 def test_bm25_is_not_negative_and_ranks_are_contiguous(spark):

@@ -44,13 +44,13 @@ def let(value: Column, f) -> Column:
 
 
 def char_ngrams(text: Column, least: int = 3, most: int = 5) -> Column:
-    """Distinct character grams of the lower-cased text with a space at each end."""
+    """Distinct character grams of the lower-cased text, white space folded, with a space at each end."""
 
     def grams(chars: Column, n: int) -> Column:
         made = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
         return F.when(F.size(chars) >= n, made).otherwise(F.array().cast("array<string>"))
 
-    characters = F.regexp_extract_all(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), F.lit("(?s)."), F.lit(0))
+    characters = F.regexp_extract_all(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), F.lit(" ")), F.lit("(?s)."), F.lit(0))
     return let(characters, lambda chars: F.array_distinct(F.concat(*[grams(chars, n) for n in range(least, most + 1)])))
 
 

@@ -50,3 +50,43 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
     n = F.count("*")
     rate = lambda c: X.ratio(F.sum(F.col(c).cast("long")), n, 1.0)
     return rows.agg(n.alias("answers"), rate("grounded").alias("grounded_rate"), rate("cited").alias("citation_rate"), rate("safe").alias("safety_rate"))
+
+#: Refusal texts by reason.
+REFUSALS = {
+    "unsupported_clinical_advice": "This synthetic portfolio system cannot provide clinical advice or patient-specific conclusions.",
+    "unsupported_diagnosis_request": "This synthetic portfolio system cannot provide diagnosis or diagnostic certainty.",
+    "unsupported_treatment_request": "This synthetic portfolio system cannot provide treatment recommendations.",
+    "unsupported_medication_request": "This synthetic portfolio system cannot provide medicine-specific guidance.",
+    "unsupported_real_patient_request": "This synthetic portfolio system cannot process real-patient requests.",
+    "unsupported_emergency_request": "This synthetic portfolio system cannot provide emergency guidance.",
+    "retrieval_abstention": "The approved synthetic retriever abstained, so no grounded response is generated.",
+    "unanswerable_query": "The available synthetic evidence is insufficient for a grounded response.",
+    "metadata_filter_empty": "The metadata-filtered synthetic evidence set is empty, so no grounded response is generated.",
+    "citation_validation_failed": "Citation validation failed, so the generated response is not promoted.",
+    "groundedness_validation_failed": "Groundedness validation failed, so the generated response is not promoted.",
+    "safety_validation_failed": "Safety validation failed, so the generated response is not promoted.",
+}
+
+
+def refusal(reason: Column) -> Column:
+    """The text of a reason; an unknown one reads like an unanswerable query."""
+    texts = F.create_map(*[x for k, v in REFUSALS.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(texts, reason), F.lit(REFUSALS["unanswerable_query"]))
+
+
+def status(request_class: Column, confidence: Column, grounding: Column, safe: Column) -> Column:
+    """The first check that fails names the status: request, evidence, safety, grounding; else a grounded answer."""
+    return (
+        F.when(F.startswith(request_class, F.lit("unsupported")), request_class)
+        .when(confidence.isNull(), "unanswerable_query")
+        .when(confidence < CONFIDENCE, "retrieval_abstention")
+        .when(~safe, "safety_validation_failed")
+        .when(grounding < SUPPORT, "groundedness_validation_failed")
+        .otherwise("grounded_answer")
+    )
+
+
+def check_citations(citations: DataFrame, bundle_rows: DataFrame, query: str) -> DataFrame:
+    """Citations (query, label, quote) with valid: the label exists in the bundle and its snippet holds the quote."""
+    known = bundle_rows.select(query, "label", F.col("snippet").alias("_s"))
+    return citations.join(known, [query, "label"], "left").select(*[F.col(f"`{c}`") for c in citations.columns], (F.col("_s").isNotNull() & F.coalesce(F.contains("_s", "quote"), F.lit(False))).alias("valid"))

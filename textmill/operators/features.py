@@ -66,11 +66,59 @@ def negation(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """struct(value, unit) of each number; % is percent, no unit is empty."""
+    """struct(value, unit) of each number; % is percent, and a number without a unit has the unit "number"."""
     raw = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
     unit = lambda r: F.lower(F.regexp_extract(r, _UNIT, 1))
-    return F.transform(raw, lambda r: F.struct(F.regexp_extract(r, r"^\d+(?:\.\d+)?", 0).cast("double").alias("value"), F.when(unit(r) == "%", "percent").otherwise(unit(r)).alias("unit")))
+    return F.transform(raw, lambda r: F.struct(F.regexp_extract(r, r"^\d+(?:\.\d+)?", 0).cast("double").alias("value"), F.when(unit(r) == "%", "percent").when(unit(r) == "", "number").otherwise(unit(r)).alias("unit")))
 
 
 def negation_compatibility(clashes: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - 0.25 * clashes)
+
+
+def negation_clashes(query: Column, candidate: Column) -> Column:
+    """Features of the query whose opposite the candidate has."""
+    flipped = F.transform(query, lambda f: F.struct(f["term"].alias("term"), F.when(f["polarity"] == "affirmed", "negated").otherwise("affirmed").alias("polarity")))
+    return F.size(F.array_intersect(flipped, candidate))
+
+
+def numeric_compatibility(query: Column, candidate: Column) -> Column:
+    """Best pair: 1 for equal value and unit, 0.8 for the value, 0.4 for the unit; 1 without query numbers, 0.5 without candidate numbers."""
+    values = lambda a, field: F.transform(a, lambda n: n[field])
+    best = (
+        F.when(F.arrays_overlap(query, candidate), 1.0)
+        .when(F.arrays_overlap(values(query, "value"), values(candidate, "value")), 0.8)
+        .when(F.arrays_overlap(values(query, "unit"), values(candidate, "unit")), 0.4)
+        .otherwise(0.0)
+    )
+    return F.when(F.size(query) == 0, 1.0).when(F.size(candidate) == 0, 0.5).otherwise(best)
+
+
+#: Neighbours of a term in the synonym graph.
+GRAPH = {
+    "ct": ["computed", "scan", "tomography"],
+    "mri": ["imaging", "magnetic", "resonance"],
+    "bp": ["blood", "pressure"],
+    "hr": ["heart", "rate"],
+    "summary": ["impression", "overview"],
+    "findings": ["observations", "observed"],
+    "renal": ["kidney"],
+    "cardiac": ["heart"],
+    "respiratory": ["breathing", "lung"],
+}
+
+
+def graph_terms(text: Column, graph: dict[str, list[str]] | None = None) -> Column:
+    """Neighbours of each token, sorted per token, in token order."""
+    edges = F.create_map(*[x for k, v in (graph or GRAPH).items() for x in (F.lit(k), F.array(*[F.lit(e) for e in sorted(v)]))])
+    return F.flatten(F.transform(tokens(text), lambda t: F.coalesce(F.try_element_at(edges, t), F.array().cast("array<string>"))))
+
+
+def has_cycle(graph: dict[str, list[str]]) -> bool:
+    """Whether a rule graph has a cycle: nodes without incoming edges are taken away until none is left to take."""
+    edges = {(a, b) for a, targets in graph.items() for b in targets}
+    while True:
+        free = {a for a, _ in edges} - {b for _, b in edges}
+        if not free:
+            return bool(edges)
+        edges = {(a, b) for a, b in edges if a not in free}

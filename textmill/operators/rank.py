@@ -94,10 +94,13 @@ def diversified(ranked: DataFrame, query: str, group: str, k: int) -> DataFrame:
     return moved.withColumn("new_rank", F.row_number().over(w).cast("long")).where(F.col("new_rank") <= k).drop("_later")
 
 
-def proximity(positions: Column, found: Column) -> Column:
-    """Matched terms over the span of their first positions."""
+def proximity(positions: Column) -> Column:
+    """Found query tokens over the span of their first positions, 1 at most; 0 with fewer than two.
+
+    ``positions`` has the first position of each query token that the text has, repeated tokens repeatedly.
+    """
     span = F.array_max(positions) - F.array_min(positions) + 1
-    return F.when(F.size(positions) > 0, F.round(found / span, 6)).otherwise(F.lit(0.0))
+    return F.when(F.size(positions) >= 2, F.round(F.least(F.lit(1.0), F.size(positions) / span), 6)).otherwise(F.lit(0.0))
 
 
 def phrase_share(grams: Column, lowered: Column) -> Column:

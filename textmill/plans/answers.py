@@ -121,7 +121,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUPPORT = f"""{_BUNDLE}, c AS (SELECT item_id, substr(b.text, 1, 180) AS claim, snippet FROM e JOIN benchmark b USING (item_id) WHERE rank = 1),
 ct AS (SELECT item_id, list_distinct(regexp_extract_all(lower(claim), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\\d+(?:\\.\\d+)?')) AS ct, list_distinct(regexp_extract_all(lower(snippet), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\\d+(?:\\.\\d+)?')) AS et FROM c),
 gr AS (SELECT DISTINCT item_id, side, substr(t, i, n) AS g FROM (SELECT item_id, side, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (
-  SELECT item_id, 'c' AS side, ' ' || lower(claim) || ' ' AS t, unnest([3, 4, 5]) AS n FROM c UNION ALL SELECT item_id, 'e', ' ' || lower(snippet) || ' ', unnest([3, 4, 5]) FROM c))),
+  SELECT item_id, 'c' AS side, ' ' || trim(regexp_replace(lower(claim), '\\s+', ' ', 'g')) || ' ' AS t, unnest([3, 4, 5]) AS n FROM c UNION ALL SELECT item_id, 'e', ' ' || trim(regexp_replace(lower(snippet), '\\s+', ' ', 'g')) || ' ', unnest([3, 4, 5]) FROM c))),
 gj AS (SELECT item_id, sum((k = 2)::INT)::DOUBLE / count(*) AS j FROM (SELECT item_id, g, count(*) AS k FROM gr GROUP BY item_id, g) GROUP BY item_id),
 sp AS (SELECT item_id, round(greatest(CASE WHEN len(ct) > 0 THEN len(list_intersect(ct, et))::DOUBLE / len(ct) ELSE 0 END, j), 6) AS support FROM ct JOIN gj USING (item_id))"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmill.plans import answers, evaluation, events, retrieval, rules  # noqa: F401
+from textmill.plans import answers, evaluation, events, extended, retrieval, rules  # noqa: F401
 from textmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

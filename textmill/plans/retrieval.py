@@ -11,6 +11,8 @@ from textmill.operators import rank as R
 from textmill.plans.registry import query, table
 
 K = 5
+#: Terms that feedback never adds.
+BLOCKED = ("no", "not", "without", "negative", "positive")
 Q, U = "item_id", "doc_id"
 
 
@@ -195,8 +197,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {TOKENS}, {BM25}, {PAIRS},
     g AS (SELECT DISTINCT item_id, doc_id, side, substr(t, i, n) AS g FROM (
         SELECT item_id, doc_id, side, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (
-            SELECT item_id, doc_id, 'q' AS side, ' ' || lower(q_text) || ' ' AS t, unnest([3, 4, 5]) AS n FROM p
-            UNION ALL SELECT item_id, doc_id, 'd', ' ' || lower(d_text) || ' ', unnest([3, 4, 5]) FROM p))),
+            SELECT item_id, doc_id, 'q' AS side, ' ' || trim(regexp_replace(lower(q_text), '\\s+', ' ', 'g')) || ' ' AS t, unnest([3, 4, 5]) AS n FROM p
+            UNION ALL SELECT item_id, doc_id, 'd', ' ' || trim(regexp_replace(lower(d_text), '\\s+', ' ', 'g')) || ' ', unnest([3, 4, 5]) FROM p))),
     c AS (SELECT item_id, doc_id, g, count(*) AS sides FROM g GROUP BY item_id, doc_id, g)
     SELECT item_id, doc_id, round(sum((sides = 2)::INT)::DOUBLE / count(*), 6) AS jaccard FROM c GROUP BY item_id, doc_id"""
 )
@@ -215,24 +217,24 @@ def phrase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TOKENS}, {BM25}, {PAIRS}, s AS (SELECT item_id, doc_id, list_filter(list_transform(list_distinct(q_toks), lambda t: list_position(d_toks, t)), lambda i: i > 0) AS pos FROM p)
-    SELECT item_id, doc_id, CASE WHEN len(pos) = 0 THEN 0.0::DOUBLE ELSE round(len(pos)::DOUBLE / (list_max(pos) - list_min(pos) + 1), 6) END AS proximity FROM s"""
+    f"""WITH {TOKENS}, {BM25}, {PAIRS}, s AS (SELECT item_id, doc_id, list_filter(list_transform(q_toks, lambda t: list_position(d_toks, t)), lambda i: i > 0) AS pos FROM p)
+    SELECT item_id, doc_id, CASE WHEN len(pos) < 2 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, len(pos)::DOUBLE / (list_max(pos) - list_min(pos) + 1)), 6) END AS proximity FROM s"""
 )
 def proximity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    positions = F.filter(F.transform(F.array_distinct("q_toks"), lambda t: F.array_position("d_toks", t)), lambda i: i > 0)
-    return pairs(spark, sf_dir).select(Q, U, positions.alias("_p")).select(Q, U, R.proximity(F.col("_p"), F.size("_p")).alias("proximity"))
+    positions = F.filter(F.transform("q_toks", lambda t: F.array_position("d_toks", t)), lambda i: i > 0)
+    return pairs(spark, sf_dir).select(Q, U, positions.alias("_p")).select(Q, U, R.proximity(F.col("_p")).alias("proximity"))
 
 
 @query(
     f"""WITH {TOKENS}, {BM25}, {PAIRS},
     t AS (SELECT item_id, unnest(d_toks) AS term FROM p),
-    c AS (SELECT item_id, term, count(*) AS n FROM t WHERE NOT regexp_matches(term, '^[0-9.]+$') AND (item_id, term) NOT IN (SELECT item_id, term FROM qp) GROUP BY item_id, term)
+    c AS (SELECT item_id, term, count(*) AS n FROM t WHERE NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN ('no', 'not', 'without', 'negative', 'positive') AND (item_id, term) NOT IN (SELECT item_id, term FROM qp) GROUP BY item_id, term)
     SELECT item_id, term, n, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, term) AS place FROM c QUALIFY place <= 6"""
 )
 def pseudo_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six most frequent terms of each item's first-pass documents that are neither numbers nor its own terms."""
+    """The six most frequent terms of each item's first-pass documents that are neither numbers, polarity words nor its own terms."""
     p = pairs(spark, sf_dir)
-    terms = p.select(Q, F.explode(F.filter("d_toks", lambda t: ~t.rlike(r"^[0-9.]+$"))).alias("term"), "q_toks").where(~F.array_contains("q_toks", F.col("term")))
+    terms = p.select(Q, F.explode(F.filter("d_toks", lambda t: ~t.rlike("^[0-9]+$") & ~t.isin(*BLOCKED))).alias("term"), "q_toks").where(~F.array_contains("q_toks", F.col("term")))
     counted = terms.groupBy(Q, "term").agg(F.count("*").alias("n"))
     w = Window.partitionBy(Q).orderBy(F.desc("n"), "term")
     return counted.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 6")

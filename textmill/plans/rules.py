@@ -132,7 +132,7 @@ def negation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\d+(?:\.\d+)?)(?:\s?(?i:mm|cm|kg|mg|ml|bpm|percent|%))?')) AS raw FROM documents)
-    SELECT doc_id, regexp_extract(raw, '^\d+(?:\.\d+)?')::DOUBLE AS value, CASE lower(regexp_extract(raw, '(?i)(mm|cm|kg|mg|ml|bpm|percent|%)$')) WHEN '%' THEN 'percent' ELSE lower(regexp_extract(raw, '(?i)(mm|cm|kg|mg|ml|bpm|percent|%)$')) END AS unit, count(*) AS n FROM r GROUP BY ALL"""
+    SELECT doc_id, regexp_extract(raw, '^\d+(?:\.\d+)?')::DOUBLE AS value, CASE lower(regexp_extract(raw, '(?i)(mm|cm|kg|mg|ml|bpm|percent|%)$')) WHEN '%' THEN 'percent' WHEN '' THEN 'number' ELSE lower(regexp_extract(raw, '(?i)(mm|cm|kg|mg|ml|bpm|percent|%)$')) END AS unit, count(*) AS n FROM r GROUP BY ALL"""
 )
 def numeric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(Q.numbers(F.col("text"))).alias("f")).select("doc_id", "f.value", "f.unit")
@@ -157,11 +157,10 @@ def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("n_chars"), (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), X.share(t, "[0-9]").alias("digit_share"), X.share(t, "[A-Z]").alias("upper_share"), F.contains(t, F.lit("�")).alias("has_replacement"), ids.checksum_text(t).alias("checksum"))
 
 
-@query(r"SELECT page_id, sha256(regexp_replace(regexp_replace(replace(regexp_replace(nfc_normalize(html), '\r\n?', chr(10), 'g'), chr(9), '    '), '[ ]+(\n|$)', '\1', 'g'), '(\S) {2,}', '\1 ', 'g')) AS checksum FROM pages WHERE NOT regexp_matches(html, '\n {2,}')")
+@query(r"SELECT page_id, sha256(regexp_replace(regexp_replace(replace(regexp_replace(nfc_normalize(html), '\r\n?', chr(10), 'g'), chr(9), '    '), '[ ]+(\n|$)', '\1', 'g'), '(\S) {2,}', '\1 ', 'g')) AS checksum FROM pages")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checksums of the normalised pages (those without indented lines, which SQL without look-around cannot express)."""
-    pages = table(spark, sf_dir, "pages").where(~F.col("html").rlike("\n {2,}"))
-    return pages.select("page_id", ids.checksum_text(X.normalise(X.nfc(F.col("html")))).alias("checksum"))
+    """Checksums of the normalised pages."""
+    return table(spark, sf_dir, "pages").select("page_id", ids.checksum_text(X.normalise(X.nfc(F.col("html")))).alias("checksum"))
 
 
 @query(r"""SELECT doc_id, sha256(trim(regexp_replace(lower(translate(text, '‐‑‒–—‘’“”', '-----''''""')), '\s+', ' ', 'g'))) AS checksum FROM documents""")
