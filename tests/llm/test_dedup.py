@@ -43,6 +43,9 @@ def test_repeated_strings_edge_rows(spark, none):
     out = suffix_dedup(rows)
     assert out.columns == ["doc_id", "text", "kept", "n_bytes", "n_removed", "spans"]
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in out.collect()) == [(0, 0), (1, 0), (1, 0), (2, 71)]
+    shared = "w" * 30 + "v" * 40
+    zero = spark.createDataFrame([(-1, shared), (0, "u" * 60 + shared), (None, "u" * 60 + shared), (None, "a")], "doc_id long, text string")
+    assert sorted((r["doc_id"] is None, r["n_removed"]) for r in suffix_dedup(zero).collect()) == [(False, 0), (False, 70), (True, 0), (True, 0)]
     cut = spark.createDataFrame([(1, "é" * 40), (2, "a" + "é" * 40 + "b")], "doc_id long, text string")
     assert {r["doc_id"]: r["kept"] for r in suffix_dedup(cut, as_text=True).collect()} == {1: "é" * 40, 2: "ab"}
 

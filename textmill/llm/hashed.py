@@ -96,12 +96,11 @@ def training_rows(docs: DataFrame, sample: DataFrame, encode, per_class: int) ->
 
 
 def csr(rows: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(labels, row starts, buckets, values) of packed rows."""
-    keys = [np.frombuffer(k, np.int32) for _, k, _ in rows]
-    values = [np.frombuffer(v, np.float32) for _, _, v in rows]
-    starts = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64)
-    none = np.zeros(0)
-    return np.array([y for y, _, _ in rows], np.float64), starts, np.concatenate([*keys, none]).astype(np.int64), np.concatenate([*values, none]).astype(np.float64)
+    """(labels, row starts, buckets, values) of packed rows, in the width they came in."""
+    starts = np.concatenate(([0], np.cumsum([len(k) // 4 for _, k, _ in rows]))).astype(np.int64)
+    keys = np.frombuffer(b"".join(k for _, k, _ in rows), np.int32)
+    values = np.frombuffer(b"".join(v for _, _, v in rows), np.float32)
+    return np.array([y for y, _, _ in rows], np.float64), starts, keys, values
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

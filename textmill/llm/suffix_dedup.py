@@ -108,13 +108,15 @@ class _Docs:
         text = table["text"].cast(pa.large_binary()).combine_chunks() if table.num_rows else pa.array([], pa.large_binary())
         if isinstance(text, pa.ChunkedArray):
             text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.large_binary())
-        key = ids.to_numpy(zero_copy_only=False) if not ids.null_count else ids.fill_null(0).to_numpy()
-        order = np.lexsort((np.arange(len(key)), key))
-        if len(key) > 1 and (np.diff(key[order]) == 0).any():
+        null = np.asarray(ids.is_null()) if table.num_rows else np.zeros(0, bool)
+        key = (ids.fill_null(0) if null.any() else ids).to_numpy()
+        order = np.lexsort((key, null))
+        same = (np.diff(key[order]) == 0) & (np.diff(null[order].astype(np.int8)) == 0)
+        if same.any():
             raw = text.fill_null(b"").to_pylist()
-            order = np.array(sorted(range(len(key)), key=lambda i: (key[i], raw[i])), dtype=np.int64)
+            order = np.array(sorted(range(len(key)), key=lambda i: (null[i], key[i], raw[i])), dtype=np.int64)
         self.table = table.take(pa.array(order))
-        self.valid = ~np.asarray(self.table["doc_id"].is_null()) if table.num_rows else np.zeros(0, bool)
+        self.valid = ~null[order]
         self.ids = key[order].astype(np.int64)
         self.data, self.offsets = B.binary(text.take(pa.array(order)))
 
