@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as X
 from textmill.operators import index as I
 from textmill.operators import rank as R
+from textmill.operators.neighbours import nearest
 from textmill.plans.registry import query, table
 
 K = 5
@@ -169,17 +170,9 @@ def confidence_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 5"""
 )
 def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact dense top five of a stated query set (ids divisible by 20) over all vectors, in blocks of the vectors' partitions.
-
-    The query side is what is replicated; each task keeps its own best five per query before anything is shuffled.
-    """
+    """Exact dense top five of a stated query set (ids divisible by 20) over all vectors."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))
-    unit_vectors = vectors.select("vec_id", unit.alias("v"))
-    asked = unit_vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("qv"))
-    pairs = unit_vectors.join(asked, F.col("vec_id") != F.col("q_id"))
-    scored = pairs.select(F.col("q_id"), F.col("vec_id").alias("neighbour"), F.round(I.dot(F.col("qv"), F.col("v")), 6).alias("score"))
-    return R.top_k(scored, "q_id", "neighbour", "score", K).withColumnRenamed("q_id", "vec_id")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors, K).withColumnRenamed("query_id", "vec_id")
 
 
 PAIRS = f"r AS ({ranked_sql('bm25')}), p AS (SELECT r.item_id, r.doc_id, q.text AS q_text, d.text AS d_text, q.toks AS q_toks, d.toks AS d_toks FROM r JOIN q USING (item_id) JOIN d USING (doc_id))"
