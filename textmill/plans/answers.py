@@ -67,14 +67,14 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""WITH s AS (SELECT doc_id, text, regexp_replace(text, '\n+', ' ', 'g') AS t2, regexp_extract(text, '[A-Za-z]{6,}') AS v FROM documents), x AS (SELECT *, instr(text, v) - 1 AS start, instr(t2, v) AS first FROM s WHERE v <> '')
     SELECT doc_id, CASE WHEN text = t2 THEN 'unchanged' WHEN first > 0 AND instr(substr(t2, first + 1), v) = 0 THEN 'projected' ELSE 'unresolved' END AS status,
-    CASE WHEN text = t2 THEN start WHEN first > 0 AND instr(substr(t2, first + 1), v) = 0 THEN first - 1 END AS start FROM x"""
+    CASE WHEN text = t2 THEN start WHEN first > 0 AND instr(substr(t2, first + 1), v) = 0 THEN first - 1 ELSE -1 END AS start FROM x"""
 )
 def annotation_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first long word of each document, carried over to a text without line breaks."""
+    """The first long word of each document, carried over to a text without line breaks; -1 where that fails."""
     value = F.regexp_extract("text", "[A-Za-z]{6,}", 0)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", "\n+", " ").alias("t2"), value.alias("v")).where("v <> ''")
     start = (F.instr(F.col("text"), F.col("v")) - 1).cast("long")
-    return docs.select("doc_id", S.projected(F.col("text"), F.col("t2"), start, F.col("v")).alias("p")).select("doc_id", "p.status", "p.start")
+    return docs.select("doc_id", S.projected(F.col("text"), F.col("t2"), start, F.col("v")).alias("p")).select("doc_id", "p.status", F.coalesce("p.start", F.lit(-1)).cast("long").alias("start"))
 
 
 _TYPES = ", ".join(f"('{t}', '{h}', {len(hs)})" for t, hs in S.DOCUMENT_TYPES.items() for h in hs)

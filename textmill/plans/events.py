@@ -43,15 +43,15 @@ def event_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.admitted(events, "user_id", "ts", 3, 12 * 3600).select("event_id", "user_id", "admitted")
 
 
-_WINDOWS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+_WINDOWS = "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
 
 @query(_WINDOWS)
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling one-hour windows in batch."""
+    """Tumbling one-hour windows in batch; a window is named by the second it begins at."""
     events = table(spark, sf_dir, "events")
     rows = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), ROUND).alias("total"))
-    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+    return rows.select(F.unix_timestamp(F.col("w.start").cast("timestamp")).alias("window_start"), "event_type", "n", "total")
 
 
 @query(_WINDOWS)
@@ -60,7 +60,7 @@ def event_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     like = table(spark, sf_dir, "events")
     stream = ST.read_events(spark, f"{sf_dir}/events.parquet*", like).withColumn("ts", F.col("ts").cast("timestamp"))
     rows = ST.run_once(ST.windowed(stream), f"windows_{uuid.uuid4().hex}")
-    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", ROUND).alias("total"))
+    return rows.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", ROUND).alias("total"))
 
 
 @query(

@@ -132,12 +132,12 @@ _PICK = {k: f"([{', '.join(repr(x) for x in v)}])[1 + ('0x' || substr(sha256('20
 @query(
     f"""WITH r AS (SELECT i, ([{', '.join(repr(t) for t in G.TYPES)}])[1 + (i - 1) % 5] AS document_type, {', '.join(f'{e} AS {k}' for k, e in _PICK.items())} FROM range(1, 501) t(i)),
     d AS (SELECT *, 'Reason: ' || concern || chr(10) || 'Test: ' || investigation || ' of ' || site || chr(10) || 'Status: ' || status AS text FROM r)
-    SELECT i AS record_index, document_type, text, TIMESTAMP '2026-01-01 08:00:00' + INTERVAL (3 * i) HOUR AS created_at, instr(text, site) - 1 AS site_start, instr(text, site) - 1 + length(site) AS site_end FROM d"""
+    SELECT i AS record_index, document_type, text, epoch(TIMESTAMP '2026-01-01 08:00:00' + INTERVAL (3 * i) HOUR)::BIGINT AS created_at, instr(text, site) - 1 AS site_start, instr(text, site) - 1 + length(site) AS site_end FROM d"""
 )
 def generated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five hundred generated documents with the place of one labelled value."""
     rows = G.documents(spark, 500, 2026).withColumn("_s", G.span_of(F.col("text"), F.col("site")))
-    return rows.select("record_index", "document_type", "text", "created_at", F.col("_s.start").alias("site_start"), F.col("_s.end").alias("site_end"))
+    return rows.select("record_index", "document_type", "text", F.unix_timestamp(F.col("created_at").cast("timestamp")).alias("created_at"), F.col("_s.start").alias("site_start"), F.col("_s.end").alias("site_end"))
 
 
 @query("SELECT role, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS r FROM conversations) WHERE r <= 5")
