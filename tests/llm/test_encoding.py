@@ -32,6 +32,17 @@ def test_ids_equal_those_of_the_tokenizers_file(corpus):
     assert [ours(t) for t in texts] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_inside_texts(spark):
+    reference = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|>\n\n x", "<|endoftext|", "é<|endoftext|>é", "x" * 300 + "<|endoftext|>"] + odd_texts()
+    expected = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    assert expected[0] == [64, 220, 50256, 275]
+    ours = packing.encoder(RANKS, P.PATTERN)
+    assert [ours(t) for t in texts] == expected
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts[:6])), "doc_id long, text string"), RANKS, P.PATTERN, with_ids=True).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in rows} == {i: [*e, 1] for i, e in enumerate(expected[:6])}
+
+
 def test_packing_holds_each_id_once(docs, corpus):
     rows = packing.pack(docs, RANKS, P.PATTERN, capacity=256, per_group=20, with_ids=True).collect()
     encode = packing.byte_bpe(RANKS, P.PATTERN).encode_ordinary

@@ -9,7 +9,8 @@ a window would hold more than the capacity, the window count rises and the
 method runs again. The number of groups follows the number of documents, so a
 group never grows; only piece lengths and checksums are shuffled.
 
-Defined cases: null and empty texts are one end id; rows with equal ids are
+Defined cases: null and empty texts are one end id; an added token's string in
+a text is that token, as in the tokenizers file; rows with equal ids are
 packed separately; an empty table gives no piece; a null doc_id is carried.
 """
 
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,19 @@ PER_GROUP = 1000
 
 @lru_cache(maxsize=2)
 def byte_bpe(ranks_path: str, pattern: str):
-    """The byte-level BPE with the given ranks; its ids equal those of the tokenizers file with that vocabulary."""
+    """The byte-level BPE with the given ranks and the added tokens of the tokenizers file (.json) beside them."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    with open(Path(ranks_path).with_suffix(".json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+
+def encoder(ranks_path: str, pattern: str):
+    """Ids of a text, equal to those of the tokenizers file without its template: added tokens inside texts have their own ids."""
+    return partial(byte_bpe(ranks_path, pattern).encode, allowed_special="all")
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -154,7 +164,7 @@ def _windows(capacity: int):
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, per_group: int = PER_GROUP, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, (ids), sequence_id, offset."""
-    encode = lambda: byte_bpe(ranks_path, pattern).encode_ordinary
+    encode = lambda: encoder(ranks_path, pattern)
     groups = max(1, -(-docs.count() // per_group))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
