@@ -81,6 +81,38 @@ def test_pairs_count_where_single_terms_do_not():
     assert model.v[model.slot[0]] @ model.v[model.slot[1]] > 0.3
 
 
+def hidden_pair(seed):
+    """Terms 0 and 1 stand in half of the rows of both classes: together in toxic rows, alone in clean ones; the rest is noise."""
+    rng = np.random.default_rng(seed)
+    y, rows = np.arange(2000) % 2, []
+    for toxic in y:
+        both = rng.random() < 0.5
+        own = ([0, 1] if both else [2]) if toxic else ([0] if both else [1])
+        rows.append(np.unique([*own, *rng.integers(3, 3000, 40)]))
+    return y.astype(float), np.concatenate(([0], np.cumsum([len(r) for r in rows]))), np.concatenate(rows)
+
+
+def test_pair_of_terms_that_are_neutral_alone():
+    y, starts, bucket = hidden_pair(1)
+    model = toxicity.train_machine(y, starts, bucket, 0.5, bits=12)
+    new, starts, bucket = hidden_pair(2)
+    row = np.repeat(np.arange(len(new)), np.diff(starts))
+    assert ((model.scores(row, bucket, len(new)) >= 0.5) == (new == 1)).mean() > 0.95
+
+
+def test_rare_toxic_terms_count():
+    """Terms 3000 to 3249 stand in eight toxic rows each and in no clean one."""
+    rng = np.random.default_rng(4)
+    y = np.arange(4000) % 2
+    rare = iter(np.repeat(np.arange(3000, 3250), 8).tolist())
+    rows = [np.unique([*rng.integers(0, 3000, 20), *([next(rare)] if t else [])]) for t in y]
+    starts = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    model = toxicity.train_machine(y.astype(float), starts, np.concatenate(rows), 0.5, bits=12)
+    seen = np.unique(np.concatenate(rows))
+    assert (model.slot[seen] >= 0).all() and len(model.w) == len(seen)
+    assert (model.w[model.slot[3000:3250]] > 0.2).all()
+
+
 def test_no_labels_no_documents(spark, labelled):
     docs, labels = frames(spark, labelled)
     none, unlabelled = docs.limit(0), labels.where("toxic = 2")

@@ -1,11 +1,12 @@
 """Toxicity by a factorisation machine over hashed terms.
 
 A text is the set of its hashed terms (lower-cased words, and the first bytes of
-longer words, so that inflected forms share one). From at most ``per_class``
-labelled documents of each class the terms that tell the classes apart are
-chosen, and a factorisation machine is trained on them: a weight for each term,
-and a vector for each whose inner products weigh pairs, so that two terms may
-count together where neither does alone. Class weights bring the sampled rows
+longer words, so that inflected forms share one). On at most ``per_class``
+labelled documents of each class a factorisation machine is trained: a weight
+for each term of the sample, and a vector for each whose inner products weigh
+pairs, so that two terms may count together where neither does alone. No term is
+left out; priors hold back the weights of terms with little evidence and the
+vectors of rare ones. Class weights bring the sampled rows
 back to the shares of all labelled rows. The model has a fixed size and is sent
 with the function; scoring is one pass in Arrow batches without a shuffle.
 
@@ -30,15 +31,18 @@ from textmill.llm.hashed import bucketed, csr, held_out_column, sample_labels, s
 
 BITS = 18
 PER_CLASS = 5000
-TERMS = 4096
 FACTORS = 6
 EPOCHS = 25
-LEAST_Z = 3.0
+#: Priors: from this z on a term's weight moves freely, below it is held back, to this share at most.
+FULL_Z = 3.0
+LEAST_SCALE = 0.01
+#: Rows from which on a term's vector moves freely.
+FULL_ROWS = 300
 
 
 @dataclass
 class Machine:
-    """Weights by bucket; ``slot`` is -1 for buckets that are no chosen term."""
+    """Weights by bucket; ``slot`` is -1 for buckets that the sample does not have."""
 
     slot: np.ndarray
     bias: float
@@ -51,9 +55,9 @@ class Machine:
         doc, slot = doc[use], slot[use]
         out = self.bias + np.bincount(doc, weights=self.w[slot], minlength=n)
         for f in range(self.v.shape[1]):
-            v = self.v[slot, f]
-            out += 0.5 * (np.bincount(doc, weights=v, minlength=n) ** 2 - np.bincount(doc, weights=v * v, minlength=n))
-        return sigmoid(out)
+            out += 0.5 * np.bincount(doc, weights=self.v[slot, f], minlength=n) ** 2
+        squares = (self.v.astype(np.float64) ** 2).sum(axis=1)
+        return sigmoid(out - 0.5 * np.bincount(doc, weights=squares[slot], minlength=n))
 
 
 def _terms(bits: int):
@@ -65,57 +69,57 @@ def _terms(bits: int):
     return encode
 
 
-def choose_terms(y: np.ndarray, row: np.ndarray, bucket: np.ndarray, size: int, most: int, least_z: float = LEAST_Z) -> np.ndarray:
-    """Buckets with a significant log odds ratio between the classes, the most significant first."""
+def prior_scales(y: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far each term's weight and vector may move: by the z of its log odds ratio, and by its count.
+
+    No scale is 0: the weight of a term that tells the classes apart poorly is held near 0, not left out, and a vector
+    needs no difference between the classes, only enough rows.
+    """
     n1, n0 = y.sum(), len(y) - y.sum()
-    c1 = np.bincount(bucket, weights=y[row], minlength=size) + 0.5
-    c0 = np.bincount(bucket, weights=1 - y[row], minlength=size) + 0.5
+    c1 = np.bincount(term, weights=y[row], minlength=size) + 0.5
+    c0 = np.bincount(term, weights=1 - y[row], minlength=size) + 0.5
     odds = np.log(c1 / (n1 + 1 - c1).clip(0.5)) - np.log(c0 / (n0 + 1 - c0).clip(0.5))
-    z = odds / np.sqrt(1 / c1 + 1 / c0)
-    good = np.flatnonzero((np.abs(z) >= least_z) & (c1 + c0 >= 4))
-    return good[np.argsort(-np.abs(z[good]), kind="stable")][:most]
+    z = np.abs(odds) / np.sqrt(1 / c1 + 1 / c0)
+    return np.clip((z / FULL_Z) ** 4, LEAST_SCALE, 1.0), np.clip((c1 + c0 - 1) / FULL_ROWS, 0.0, 1.0)
 
 
-def train_machine(y: np.ndarray, starts: np.ndarray, bucket: np.ndarray, share: float, bits: int = BITS, terms: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
-    """AdaGrad on the weighted log loss; ``share`` is the true share of class 1."""
+def train_machine(y: np.ndarray, starts: np.ndarray, bucket: np.ndarray, share: float, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
+    """AdaGrad on the weighted log loss; ``share`` is the true share of class 1. Every bucket of the sample is a term."""
     size = 1 << bits
     row = np.repeat(np.arange(len(y)), np.diff(starts))
-    chosen = choose_terms(y, row, bucket, size, terms)
-    slot = np.full(size, -1, np.int64)
-    slot[chosen] = np.arange(len(chosen))
-    prior = float(np.log(share / (1 - share)))
+    seen, s = np.unique(bucket, return_inverse=True)
+    slot = np.full(size, -1, np.int32)
+    slot[seen] = np.arange(len(seen))
+    w_scale, v_scale = prior_scales(y, row, s, len(seen))
+    bias = float(np.log(share / (1 - share)))
     rng = np.random.default_rng(17)
-    w, v = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors))
-    model = Machine(slot, prior, w, v)
-    s = slot[bucket]
-    use = s >= 0
-    row, s = row[use], s[use]
-    starts = np.searchsorted(row, np.arange(len(y) + 1))
+    w, v = np.zeros(len(seen)), rng.normal(0, 0.02, (len(seen), factors))  # before scaling
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     weight = weight * np.where(y == 1, 2.0, 1.0)  # a missed toxic row costs twice as much as a false alarm
-    gw, gv, gb = np.full(len(w), 1e-6), np.full(v.shape, 1e-6), 1e-6
+    gw, gv, gb = np.full(len(w), 1e-4), np.full(v.shape, 1e-4), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 256):
             rows = order[at : at + 256]
             r, k = B.ragged(np.diff(starts)[rows])
-            t = s[starts[rows][r] + k]
             n = len(rows)
-            vt = v[t]
+            used, t = np.unique(s[starts[rows][r] + k], return_inverse=True)  # only the terms of these rows move
+            a, b = w_scale[used], v_scale[used][:, None]
+            vt = (v[used] * b)[t]
             sums = np.stack([np.bincount(r, weights=vt[:, f], minlength=n) for f in range(factors)], axis=1)
-            squares = np.stack([np.bincount(r, weights=vt[:, f] ** 2, minlength=n) for f in range(factors)], axis=1)
-            p = sigmoid(model.bias + np.bincount(r, weights=w[t], minlength=n) + 0.5 * (sums**2 - squares).sum(axis=1))
+            squares = np.bincount(r, weights=(vt**2).sum(axis=1), minlength=n)
+            p = sigmoid(bias + np.bincount(r, weights=(w[used] * a)[t], minlength=n) + 0.5 * ((sums**2).sum(axis=1) - squares))
             d = weight[rows] * (p - y[rows]) / n
-            grad_w = np.bincount(t, weights=d[r], minlength=len(w)) + 1e-6 * w
-            grad_v = np.stack([np.bincount(t, weights=d[r] * (sums[r, f] - vt[:, f]), minlength=len(w)) for f in range(factors)], axis=1) + 1e-5 * v
+            grad_w = np.bincount(t, weights=d[r], minlength=len(used)) * a + 1e-5 * w[used]
+            grad_v = np.stack([np.bincount(t, weights=d[r] * (sums[r, f] - vt[:, f]), minlength=len(used)) for f in range(factors)], axis=1) * b + 1e-4 * v[used]
             grad_b = d.sum()
-            gw += grad_w**2
-            gv += grad_v**2
+            gw[used] += grad_w**2
+            gv[used] += grad_v**2
             gb += grad_b**2
-            w -= 0.3 * grad_w / np.sqrt(gw)
-            v -= 0.03 * grad_v / np.sqrt(gv)
-            model.bias -= 0.1 * grad_b / np.sqrt(gb)
-    return model
+            w[used] -= 0.3 * grad_w / np.sqrt(gw[used])
+            v[used] -= 0.03 * grad_v / np.sqrt(gv[used])
+            bias -= 0.1 * grad_b / np.sqrt(gb)
+    return Machine(slot, float(bias), (w * w_scale).astype(np.float32), (v * v_scale[:, None]).astype(np.float32))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, bits: int = BITS) -> Machine | None:
