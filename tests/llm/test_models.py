@@ -206,3 +206,26 @@ def test_mined_rules_against_brute_force(spark):
     for r in out:
         fits = [c for s, c in best.items() if set(s) <= set(tokens[r["page_id"]])]
         assert r["verdict"] == ("block" if fits else "allow") and (r["mined_confidence"] or 0) == pytest.approx(max(fits, default=0))
+
+
+def test_rules_of_any_length(spark, tmp_path):
+    """Bad where four or more parts of a URL meet: the query's rules are those of a brute force over all subsets."""
+    from textmill.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    rows = [(i, f"http://{rng.choice('ab')}.{rng.choice(['bets', 'news'])}.test/{rng.choice('xy')}/{rng.choice('uv')}/{rng.choice('mn')}{rng.choice(['', '?page=1'])}") for i in range(1500)]
+    bad = [(i, all(x in u for x in ("//a.", "bets", "/x/", "/u/")) or rng.random() < 0.05) for i, u in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 1, int(b)) for i, b in bad], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tokens = {r["page_id"]: r["t"] for r in pages.select("page_id", urls.tokens_of(F.col("url")).alias("t")).collect()}
+    subsets = {i: [s for n in range(1, len(t) + 1) for s in itertools.combinations(t, n)] for i, t in tokens.items()}
+    count, hits = Counter(s for i, _ in rows for s in subsets[i]), Counter(s for i, b in bad if b for s in subsets[i])
+    rules = {s: n / count[s] for s, n in hits.items() if n >= max(urls.SUPPORT * len(rows), urls.LEAST_PAGES) and n / count[s] >= urls.CONFIDENCE}
+    best = {s: c for s, c in rules.items() if not any(rules.get(p, -1) >= c for n in range(1, len(s)) for p in itertools.combinations(s, n))}
+    assert max(map(len, best)) > 3
+    labels = spark.createDataFrame(bad, "page_id long, bad boolean")
+    assert {tuple(r["tokens"]): r["confidence"] for r in urls.mine_rules(pages, labels, most_tokens=None).collect()} == pytest.approx(best)
+    for r in QUERIES["op8_url_filter"](spark, str(tmp_path)).collect():
+        fits = [c for s, c in best.items() if set(s) <= set(tokens[r["page_id"]])]
+        assert r["verdict"] == ("block" if fits else "allow") and (r["mined_confidence"] or 0) == pytest.approx(max(fits, default=0))

@@ -106,11 +106,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is bad if the label of its number marks poor quality or toxic text."""
+    """A page is bad if the label of its number marks poor quality or toxic text; rules may have any number of tokens."""
     from textmill.llm.urls import filter_urls
 
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, most_tokens=None)
 
 
 @query

@@ -72,8 +72,8 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.when(F.contains(url, F.lit("://")), parts), F.array().cast("array<string>"))))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_pages: int = LEAST_PAGES, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """Rules as (tokens, confidence, support, anchor); ``labels`` has page_id and bad (boolean)."""
+def mine_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_pages: int = LEAST_PAGES, most_tokens: int | None = MOST_TOKENS) -> DataFrame:
+    """Rules as (tokens, confidence, support, anchor); ``labels`` has page_id and bad (boolean); ``most_tokens`` of None is no bound."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = pages.sparkSession
@@ -86,11 +86,15 @@ def mine_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, co
         return empty
     least = min(1.0, max(support, least_pages / seen["n"]))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
-    mined = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= most_tokens))
+    mined = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
+    if most_tokens is not None:
+        mined = mined.where(F.size("antecedent") <= most_tokens)
     mined = mined.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     # A rule goes if one of its proper subsets is a rule that is at least as confident.
     shorter = mined.select(F.col("tokens").alias("_t"), F.col("confidence").alias("_c"))
-    subsets = mined.where(F.size("tokens") > 1).select("tokens", "confidence", F.explode(_proper_subsets(F.col("tokens"), most_tokens)).alias("_t"))
+    picks = F.explode(F.expr("sequence(1L, shiftleft(1L, size(tokens)) - 2)"))  # bit i: token i is in the subset
+    subsets = mined.where(F.size("tokens") > 1).select("tokens", "confidence", picks.alias("_bits"))
+    subsets = subsets.select("tokens", "confidence", F.expr("filter(tokens, (x, i) -> getbit(_bits, i) = 1)").alias("_t"))
     beaten = subsets.join(shorter, "_t").where(F.col("_c") >= F.col("confidence")).select("tokens").distinct()
     items = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("anchor"), F.col("freq").alias("_freq"))
     rules = mined.join(beaten, "tokens", "left_anti")
@@ -98,13 +102,6 @@ def mine_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, co
     return rules.join(anchors, "tokens").select("tokens", "confidence", "support", F.col("_a.anchor").alias("anchor"))
 
 
-def _proper_subsets(tokens: Column, most: int) -> Column:
-    """Sorted proper, non-empty subsets of a sorted array of at most ``most`` tokens."""
-    picks = [[i for i in range(most) if bits >> i & 1] for bits in range(1, 1 << most)]
-    made = [F.when(F.size(tokens) > max(p), F.array(*[F.get(tokens, F.lit(i)) for i in p])) for p in picks]
-    return F.filter(F.array(*made), lambda s: s.isNotNull() & (F.size(s) < F.size(tokens)))
-
-
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct token sets (``_tokens``) that some mined rule fits, with the most confident one's confidence."""
     sets = pages.select(tokens_of(F.col("url")).alias("_tokens")).distinct()
@@ -113,7 +110,7 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("_tokens").agg(F.max("confidence").alias("_confidence"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, **mining: float) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, **mining: float | None) -> DataFrame:
     """The columns of ``pages`` with host, path, rule, mined_confidence and verdict (columns of these names are replaced)."""
     names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "mined_confidence", "verdict")]
     # Checkpointed so that the join below exchanges both sides, and a token set of very many pages can be split.
