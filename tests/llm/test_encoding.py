@@ -135,6 +135,28 @@ def test_media_parser(n):
     assert media.read_stream(b"")["frames"] == 0 and media.read_stream(rng.randbytes(300))["payload"] is not None
 
 
+@pytest.mark.parametrize("n", [65, 100, 128, 1300, 1417, 1500, 3000])
+def test_media_text_that_looks_like_a_tag(n):
+    """TAG at each place of the text, so also 128 bytes before the end of the stream."""
+    for at in range(max(0, n - 1500), n - 2):
+        _, payload = media.payload_of("a" * at + "TAG" + "b" * (n - at - 3))
+        info = media.read_stream(media.write_stream(payload))
+        assert (info["payload"], info["skipped"], info["vbr"]["frames"]) == (payload, 0, info["frames"]), at
+
+
+@pytest.mark.parametrize("n", [64, 128, 1344, 6400])
+def test_media_tag_behind_the_frames(n):
+    tag = b"TAG" + b"\xff\xfa\xe8\xc0title".ljust(125, b"\xff")
+    payload = random.Random(n).randbytes(n)
+    stream = media.write_stream(payload)
+    clean = media.read_stream(stream)
+    for between in (b"", b"noise\xffnoise"):
+        info = media.read_stream(stream + between + tag)
+        assert (info["payload"], info["offsets"], info["skipped"]) == (payload, clean["offsets"], len(between))
+    short = media.read_stream(stream[:-30] + tag)  # a last frame without its end does not take the tag's bytes
+    assert short["offsets"] == clean["offsets"][:-1]
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 

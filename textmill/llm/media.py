@@ -11,7 +11,8 @@ whose frame is followed by another header of its kind (or the end), walks from
 frame to frame, searches again where the chain breaks, verifies every checksum,
 parses the variable-bitrate table and gives the exact duration and the byte
 offset of each frame. Defined cases: null is the empty text; every payload has
-at least 64 bytes; bytes that are no frame count as skipped.
+at least 64 bytes; bytes that are no frame count as skipped; ``TAG`` 128 bytes
+before the end is an ID3v1 tag only where no frame lies over it.
 """
 
 from __future__ import annotations
@@ -160,22 +161,27 @@ def read_stream(raw: bytes) -> dict:
     """What a stream holds: tags, vbr table, frames with offsets, checksum results, duration and carried bytes."""
     at, tags = read_tag(raw)
     start, end = at, len(raw)
-    if raw[-128:-125] == b"TAG":
-        end -= 128
+    tag = end - 128 if raw[-128:-125] == b"TAG" else -1  # an ID3v1 tag, unless a frame of the chain lies over it
     offsets: list[int] = []
     data: list[bytes] = []
     vbr, bad, checked, skipped, resyncs, samples, hz = None, 0, 0, 0, 0, 0, 0
     kind: tuple | None = None
     rates: set[int] = set()
     while at + 4 <= end:
+        if at == tag:
+            end = tag
+            break
         h = header(raw[at : at + 4])
         fits = h is not None and h[5] > 4 and at + h[5] <= end and (kind is None or _same_kind(kind, h))
         if fits and kind is None and at + h[5] + 4 <= end:
             after = header(raw[at + h[5] : at + h[5] + 4])
             fits = after is not None and _same_kind(h, after)
+        if fits and at < tag < at + h[5] < end:
+            after = header(raw[at + h[5] : at + h[5] + 4])
+            fits = after is not None and _same_kind(h, after)
         if not fits:
-            nxt = raw.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            nxt = raw.find(b"\xff", at + 1, tag if at < tag else end)
+            nxt = (tag if at < tag else end) if nxt < 0 else nxt
             resyncs += skipped == 0 or kind is not None
             skipped += nxt - at
             at, kind = nxt, None
