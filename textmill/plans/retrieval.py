@@ -110,6 +110,28 @@ def hash_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(Q, F.posexplode("v").alias("bucket", "value")).where("value <> 0").select(Q, F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
 
 
+DENSE = r"""
+dgrams AS (SELECT side, id, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))) AS g
+           FROM (SELECT 'q' AS side, item_id AS id, toks FROM q UNION ALL SELECT 'd', doc_id, toks FROM d)),
+dsigned AS (SELECT side, id, (('0x' || sha256(g)[1:16])::UBIGINT % 32)::INT AS b, CASE WHEN ('0x' || sha256(g)[17:18])::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM dgrams),
+dsummed AS (SELECT side, id, b, sum(s) AS v FROM dsigned GROUP BY side, id, b),
+dnormed AS (SELECT side, id, b, coalesce(round(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY side, id)), 0), 10), 0) AS v FROM dsummed),
+dids AS (SELECT DISTINCT side, id FROM dnormed),
+dots AS (SELECT x.id AS item_id, y.id AS doc_id, sum(x.v * y.v) AS dot FROM dnormed x JOIN dnormed y USING (b) WHERE x.side = 'q' AND y.side = 'd' GROUP BY x.id, y.id),
+dense AS (SELECT x.id AS item_id, y.id AS doc_id, round(coalesce(dot, 0), 6) + 0 AS score FROM dids x JOIN dids y ON x.side = 'q' AND y.side = 'd' LEFT JOIN dots ON item_id = x.id AND doc_id = y.id)
+"""
+
+
+@query(f"WITH {TOKENS}, {DENSE} {ranked_sql('dense')}")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of the hashed vectors of every item with those of all documents that have a token."""
+    queries, units = corpus(spark, sf_dir)
+    vector = lambda rows, key: rows.where(F.size("tokens") > 0).select(key.alias("vec_id"), I.hash_vector(F.col("tokens")).alias("v"))
+    # Ids of items become negative, since a vector is no neighbour of the one with its own id.
+    found = nearest(vector(queries, -1 - F.col(Q)), vector(units, F.col(U)), K)
+    return found.select((-1 - F.col("query_id")).alias(Q), F.col("neighbour").alias(U), "score", "rank")
+
+
 @query(
     f"""WITH {TOKENS}, {BM25}, {TFIDF}, {KEYWORD},
     parts AS (SELECT item_id, doc_id, coalesce(b.score, 0) AS b, coalesce(t.score, 0) AS t, coalesce(k.score, 0) AS k
