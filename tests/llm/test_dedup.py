@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import bytesops as B
 from textmill.llm.components import components
-from textmill.llm.line_chunks import line_dedup
+from textmill.llm.line_chunks import line_dedup, units
 from textmill.llm.near_dedup import dart_signatures, linked, near_duplicates
 from textmill.llm.suffix_dedup import suffix_dedup
 
@@ -140,29 +140,21 @@ def test_components_of_chains_and_cycles(spark):
 
 
 def brute_lines(rows):
-    import hashlib
-
-    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    first, out = set(), {}
+    """A line goes if two neighbouring lines with a word that cover it stand, with what is between them, earlier."""
+    seen, out = set(), {}
     for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: r[0]):
         if text is None:
             out[doc_id] = None
             continue
-        chunks, now, before = [], [], ""
         lines = text.split("\n")
-        for i, line in enumerate(lines):
-            now.append(line)
-            if i == len(lines) - 1 or md5(before + md5(line))[-1] in "048c":
-                chunks.append(now)
-                now = []
-            before = md5(line)
-        kept = []
-        for c in chunks:
-            key = "\n".join(c)
-            if len(c) < 2 or key not in first:
-                kept.append(key)
-            first.add(key)
-        out[doc_id] = "\n".join(kept)
+        at = [i for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for a, b in zip(at, at[1:], strict=False):
+            pair = tuple(lines[a : b + 1])
+            if pair in seen:
+                gone.update(range(a, b + 1))
+            seen.add(pair)
+        out[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 
@@ -177,6 +169,42 @@ def test_lines_edge_rows(spark, none):
     text = "\n".join(f"line {i}" for i in range(30))
     rows = spark.createDataFrame([(1, text, 7), (1, text, 7), (2, text, 8), (None, "a\nb", 9)], "doc_id long, text string, N_LINES int")
     out = line_dedup(rows)
-    assert out.columns == ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"]
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_runs"]
     found = {(r["doc_id"], r["text"] == text) for r in out.collect()}
     assert (1, True) in found and (2, False) in found and len(out.collect()) == 4
+
+
+def test_short_passages_and_blank_lines(spark):
+    """Runs of two and three lines between other neighbours go whole; one shared line, or blank ones, stay."""
+    rng = random.Random(21)
+    line = lambda: " ".join("".join(rng.choice("aeionrst") for _ in range(6)) for _ in range(9))
+    rows, expected = [], {}
+    for i in range(0, 120, 2):
+        run = [line() for _ in range(2 + i % 6 // 2)]
+        single = line()
+        rows.append((i, "\n".join([line(), *run, "", line(), single, "", ""])))
+        before, after = [line(), line()], [line(), "", line(), single, " ", ""]
+        rows.append((i + 1, "\n".join([*before, *run, *after])))
+        expected[i + 1] = "\n".join([*before, *after])
+    rows += [(500, "\n\n\n"), (501, "\n\n\n"), (502, "same\n" * 6), (503, "a\n\nb"), (504, "a\n\nb"), (505, "a\nb")]
+    expected |= {500: "\n\n\n", 501: "\n\n\n", 502: "same\n", 503: "a\n\nb", 504: "", 505: "a\nb"}
+    out = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i: out[i]["text"] for i in expected} == expected
+    assert {r[0]: out[r[0]]["text"] for r in rows} == brute_lines(rows)
+    assert all(out[i]["text"] == t for i, t in rows if i not in expected) and out[1]["n_removed_runs"] == 1
+
+
+def test_chunks_have_two_lines_and_come_back_shifted(spark):
+    rng = random.Random(22)
+    lines = ["".join(rng.choice("aeionrst") for _ in range(20)) for _ in range(400)]
+    texts = ["\n".join(lines), "\n".join(["new", "start", *lines[3:]])]
+    cut = [[u for u in r["u"] if u["whole"]] for r in spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").orderBy("doc_id").select(units(F.col("text")).alias("u")).collect()]
+    for chunks, n in zip(cut, (400, 399), strict=True):
+        assert min(u["b"] - u["a"] + 1 for u in chunks) >= 2 and [u["a"] for u in chunks] == [0, *[u["b"] + 1 for u in chunks[:-1]]] and chunks[-1]["b"] == n - 1
+    assert len({u["h"] for u in cut[0]} & {u["h"] for u in cut[1]}) >= len(cut[0]) - 3
+
+
+def test_one_very_long_text(spark):
+    text = "\n".join(f"line {i % 30_000}" for i in range(60_000))
+    out = line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["n_removed_lines"], r["n_removed_runs"]) for r in out} == {1: ("\n".join(f"line {i}" for i in range(30_000)), 30_000, 1), 2: ("", 60_000, 1)}

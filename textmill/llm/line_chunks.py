@@ -1,33 +1,49 @@
 """Line deduplication by content-defined chunks, in DataFrame functions only.
 
-Lines are hashed, and a rolling hash over the hashes of ``window`` lines ends a
-chunk wherever its last hexadecimal digit is one of ``ends``; boundaries depend
-on the lines around them alone, so they come back at the same lines however far
-a passage has shifted. Chunks of ``least`` or more lines that occur more than
-once in the corpus keep their first occurrence, by doc_id and position; each
-other occurrence is removed if its bytes equal the first one's.
-
-Occurrences are counted by chunk hash with map-side partial aggregation, so a
-chunk that a third of all documents share is one row per task; texts move only
-for repeated chunks and once for the documents that lose some.
-
-Defined cases: null text stays null and has no line; an empty text is one empty
-line; a text whose chunks all go becomes empty; rows with one doc_id are told
-apart by their text, and exact repeats of a row share their decisions, so the
-first row keeps its chunks in all of them; a null doc_id comes first.
+Lines are those with a word; blank ones belong to what stands around them. Each
+line is hashed, and a polynomial hash rolls over the hashes of ``window`` lines.
+Where it is smaller than at both neighbours a chunk ends, so boundaries depend on
+a few lines around them alone and come back however far a passage has shifted.
+No two such places touch, so every chunk of a text of several lines has two or
+more.
+
+1. Chunks are counted by hash in the whole corpus. The first occurrence of a
+   repeated chunk, by doc_id and place, stays; the others are compared with its
+   bytes and go.
+2. A passage seldom begins and ends at boundaries. Around the chunks that went,
+   and in chunks that are not repeated as a whole, the windows of the rolling hash
+   extend the matches line by line: two neighbouring lines whose window stands
+   earlier in the corpus go too, after the same comparison of bytes.
+
+Together a line goes if some run of two or more lines that covers it stands
+earlier, which is what the SQL says; the chunks carry the bulk of it, and only
+the windows that no repeated chunk holds are sent. The first occurrence of each
+line always stays.
+
+Occurrences are counted with map-side partial aggregation of hashes and places,
+so a chunk that a third of all documents share is one row per task; bytes move
+only for what repeats, and texts twice.
+
+Defined cases: null text stays null and has no line; a text of one line, and an
+empty one, keeps it; blank lines between two lines of a run are part of the run;
+a text whose lines all go becomes empty; rows with one doc_id are told apart by
+their text, and exact repeats of a row share their decisions, so the first row
+keeps its lines in all of them; a null doc_id comes first; an empty table gives
+no row; columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.frames import checkpoint
 
 WINDOW = 2
-LEAST = 2
-#: Last digits of a rolling hash that end a chunk (one in four).
-ENDS = ("0", "4", "8", "c")
+_BASE, _PRIME = 65_599, 4_294_967_291
+#: Fixed value: a line with a word.
+WORD = r"[^\x20\x09-\x0D]"
+_NEW = ("n_lines", "n_removed_lines", "n_removed_runs")
 
 
 def _let(value: Column, f) -> Column:
@@ -35,90 +51,118 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def chunk_array(text: Column, window: int = WINDOW, ends: tuple[str, ...] = ENDS) -> Column:
-    """The chunks of a text: array of struct(first, n_lines, chunk), in order."""
+def _indices(n: Column) -> Column:
+    """0 .. n - 1, empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def boundaries(both: Column) -> Column:
-        n = F.size(both["lines"])
 
-        def ends_here(i: Column) -> Column:
-            rolled = F.md5(F.concat(*[F.coalesce(F.get(both["hashes"], i - k), F.lit("")) for k in range(window - 1, -1, -1)]).cast("binary"))
-            return (i == n - 1) | F.substring(rolled, 32, 1).isin(*ends)
+def units(text: Column, window: int = WINDOW) -> Column:
+    """Array of struct(whole, a, b, h): chunks (whole) and pairs of neighbouring lines, as lines a .. b with a hash."""
 
-        return F.struct(both["lines"].alias("lines"), F.filter(F.sequence(F.lit(0), n - 1), ends_here).alias("last"))
+    def indexed(lines: Column) -> Column:
+        filled = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD))
+        return F.struct(F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), filled.alias("at"))
 
-    def cut(both: Column) -> Column:
-        first = F.transform(both["last"], lambda end, at: F.coalesce(F.get(both["last"], at - 1), F.lit(-1)) + 1)
-        spans = F.zip_with(first, both["last"], lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n_lines")))
-        return F.transform(spans, lambda x: F.struct(x["first"].alias("first"), x["n_lines"].alias("n_lines"), F.array_join(F.slice(both["lines"], x["first"] + 1, x["n_lines"]), "\n").alias("chunk")))
+    def rolled(x: Column) -> Column:
+        bits = F.transform(x["at"], lambda i: F.pmod(F.get(x["hashes"], i), F.lit(_PRIME)))
 
-    def hashed(lines: Column) -> Column:
-        return F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.md5(x.cast("binary"))).alias("hashes"))
+        def roll(own: Column) -> Column:
+            def one(_: Column, k: Column) -> Column:
+                total = F.coalesce(F.get(own, k - (window - 1)), F.lit(0))
+                for back in range(window - 2, -1, -1):
+                    total = (total * _BASE + F.coalesce(F.get(own, k - back), F.lit(0))) % _PRIME
+                return total
 
-    return _let(_let(_let(F.split(text, "\n", -1), hashed), boundaries), cut)
+            return F.transform(own, one)
 
+        return F.struct(x["hashes"].alias("hashes"), x["at"].alias("at"), _let(bits, roll).alias("r"))
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, least: int = LEAST, ends: tuple[str, ...] = ENDS) -> DataFrame:
-    """The columns of ``docs`` (text replaced by what is left) with n_lines, n_removed_lines and n_removed_chunks."""
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    def bounded(x: Column) -> Column:
+        n = F.size(x["at"])
+        least = lambda k: (F.get(x["r"], k) < F.get(x["r"], k - 1)) & (F.get(x["r"], k) <= F.get(x["r"], k + 1))
+        ends = F.filter(_indices(n), lambda k: (k == n - 1) | ((k >= 1) & (k <= n - 3) & least(k)))
+        return F.struct(x["hashes"].alias("hashes"), x["at"].alias("at"), ends.alias("ends"))
+
+    def cut(x: Column) -> Column:
+        line = lambda k: F.get(x["at"], k)
+        unit = lambda whole, a, b, h: F.struct(F.lit(whole).alias("whole"), a.alias("a"), b.alias("b"), h.alias("h"))
+        run = lambda a, b: F.xxhash64(F.lit(1), F.slice(x["hashes"], a + 1, b - a + 1))
+        chunks = F.transform(x["ends"], lambda end, c: _let(F.struct(line(F.coalesce(F.get(x["ends"], c - 1), F.lit(-1)) + 1).alias("a"), line(end).alias("b")), lambda s: unit(True, s["a"], s["b"], run(s["a"], s["b"]))))
+        pairs = F.transform(_indices(F.size(x["at"]) - 1), lambda k: unit(False, line(k), line(k + 1), F.xxhash64(F.lit(2), F.get(x["hashes"], line(k)), F.get(x["hashes"], line(k + 1)), line(k + 1) - line(k))))
+        return F.when(F.size(x["at"]) > 1, F.concat(chunks, pairs))
+
+    return _let(_let(_let(_let(F.split(text, "\n", -1), indexed), rolled), bounded), cut)
+
+
+def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, _t (hash of the text) and _gone, the sorted lines (a, b) that go, of each text that loses some."""
+    key = ["doc_id", "_t"]
     slim = docs.select("doc_id", F.xxhash64("text").alias("_t"), "text").where(F.instr("text", "\n") > 0)
-    chunks = slim.select("doc_id", "_t", F.posexplode(chunk_array(F.col("text"), window, ends)).alias("_at", "_c")).where(F.col("_c.n_lines") >= least)
-    chunks = chunks.select("doc_id", "_t", "_at", F.col("_c.n_lines").alias("_n"), F.col("_c.chunk").alias("_chunk"), F.xxhash64("_c.chunk").alias("_h"))
-    counted = chunks.groupBy("_h").agg(F.count("*").alias("_times"), F.min(F.struct("doc_id", "_t", "_at")).alias("_first"))
-    # Checkpointed so that both sides of the join below are exchanged for it, and a hot chunk's partition can be split.
-    repeated = checkpoint(counted.where(F.col("_times") > 1).select("_h", "_first"))
-    found = checkpoint(chunks.join(repeated, "_h"))  # repeated chunks only; read twice below
-    is_first = F.struct("doc_id", "_t", "_at").eqNullSafe(F.col("_first"))
-    firsts = found.where(is_first).select("_h", F.col("_chunk").alias("_bytes"))  # repeats of a row only repeat matches
-    gone = found.where(~is_first).join(firsts, "_h").where(F.col("_chunk") == F.col("_bytes"))
-    per_doc = gone.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("_at", "_n")).alias("_gone"))
-    per_doc = per_doc.withColumn("_places", F.transform("_gone", lambda g: g["_at"]))
+    found = checkpoint(slim.select(*key, F.explode(units(F.col("text"), window)).alias("_u")).select(*key, "_u.*"))  # numbers only
+    place = F.struct("doc_id", "_t", "a", "b")
+    # Checkpointed so that both sides of the join below are exchanged for it, and a hot hash's partition can be split.
+    repeated = checkpoint(found.groupBy("h").agg(F.count("*").alias("_times"), F.min(place).alias("_first")).where("_times > 1").select("h", "_first"))
+    later = found.join(repeated, "h").where(~place.eqNullSafe(F.col("_first")))
+    # A pair inside a repeated chunk adds nothing to it.
+    inside = F.max(F.when(F.col("whole"), F.col("b"))).over(Window.partitionBy(*key).orderBy("a", F.desc("whole")))
+    later = checkpoint(later.withColumn("_in", inside).where("whole OR _in IS NULL OR _in < b").select("h", *key, "a", "b", "_first"))
+    firsts = later.select("h", "_first.*").distinct().withColumn("_is_first", F.lit(True))
+    needed = later.select("h", *key, "a", "b", F.lit(False).alias("_is_first")).unionByName(firsts)
+    per_doc = needed.groupBy(*key).agg(F.collect_set(F.struct("h", "a", "b", "_is_first")).alias("_needs"))
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x._t") == F.col("y._t"))
+    with_text = slim.alias("x").join(per_doc.alias("y"), same).select("x.doc_id", "x._t", "text", "_needs")
+    bytes_of = lambda all_, n: F.array_join(F.slice(all_, n["a"] + 1, n["b"] - n["a"] + 1), "\n")
+    cut = _let(F.split("text", "\n", -1), lambda all_: F.transform("_needs", lambda n: F.struct(*[n[c].alias(c) for c in ("h", "a", "b", "_is_first")], bytes_of(all_, n).alias("_bytes"))))
+    sent = checkpoint(with_text.select("doc_id", "_t", F.explode(cut).alias("_s")).select("doc_id", "_t", "_s.*"))
+    first_bytes = sent.where("_is_first").select("h", F.col("_bytes").alias("_same"))  # repeats of a row only repeat matches
+    gone = sent.where("NOT _is_first").join(first_bytes, "h").where(F.col("_bytes") == F.col("_same"))
+    return gone.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("_gone"))
+
+
+def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The columns of ``docs`` (text replaced by what is left) with n_lines, n_removed_lines and n_removed_runs."""
+    names = [c for c in docs.columns if c.lower() not in _NEW]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    per_doc = removed_runs(docs, window)
     keyed = docs.withColumn("_t", F.xxhash64("text"))
     marked = keyed.alias("a").join(per_doc.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._t") == F.col("b._t")), "left")
-    left_over = F.array_join(
-        F.transform(
-            F.filter(
-                F.transform(chunk_array(F.col("a.text"), window, ends), lambda c, i: F.struct(i.alias("at"), c["chunk"].alias("chunk"))),
-                lambda c: ~F.array_contains(F.col("b._places"), c["at"]),
-            ),
-            lambda c: c["chunk"],
-        ),
-        "\n",
-    )
-    text = F.when(F.col("b._gone").isNull(), F.col("a.text")).otherwise(left_over)
-    removed = F.coalesce(F.aggregate("b._gone", F.lit(0), lambda s, g: s + g["_n"]), F.lit(0)).cast("long")
-    return marked.select(
-        *[text.alias(c) if c == "text" else F.col(f"a.`{c}`") for c in names],
-        F.coalesce(F.length("a.text") - F.length(F.replace(F.col("a.text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
-        removed.alias("n_removed_lines"),
-        F.coalesce(F.size("b._gone"), F.lit(0)).cast("long").alias("n_removed_chunks"),
-    )
-
-
-#: The same rows in DuckDB, with the production parameters.
-SQL = """
-WITH lines AS (
-  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line
-  FROM documents WHERE text IS NOT NULL
-), hashed AS (
-  SELECT *, md5(line) AS h, lag(md5(line), 1, '') OVER (PARTITION BY doc_id ORDER BY i) AS before,
-         i = max(i) OVER (PARTITION BY doc_id) AS is_last
-  FROM lines
-), ended AS (
-  SELECT *, is_last OR right(md5(before || h), 1) IN ('0', '4', '8', 'c') AS ends FROM hashed
-), numbered AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ended
-), chunks AS (
-  SELECT doc_id, pos, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, pos
-), ranked AS (
-  SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS gone FROM chunks
-), done AS (
-  SELECT doc_id, sum(n) AS n_lines, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed_lines,
-         sum(gone::INT) AS n_removed_chunks, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept
-  FROM ranked GROUP BY doc_id
+    gone = F.col("b._gone")
+
+    def left_over(lines: Column) -> Column:
+        """Lines before, between and after the runs; sorted by their start, runs are sorted by their end too."""
+        after = lambda k: F.coalesce(F.get(gone, k - 1)["b"], F.lit(-1)) + 1
+        between = F.transform(gone, lambda g, k: F.slice(lines, after(k) + 1, F.greatest(g["a"] - after(k), F.lit(0))))
+        last = F.element_at(gone, -1)["b"]
+        return F.array_append(between, F.slice(lines, last + 2, F.greatest(F.size(lines) - last - 1, F.lit(0))))
+
+    kept = F.when(gone.isNotNull(), F.flatten(_let(F.split(F.col("a.text"), "\n", -1), left_over)))
+    runs = F.size(F.filter(gone, lambda g, k: g["a"] > F.coalesce(F.get(gone, k - 1)["b"], F.lit(-2)) + 1))
+    n = F.coalesce(F.length("a.text") - F.length(F.replace(F.col("a.text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    rows = marked.select(*[F.col(f"a.`{c}`") for c in names], n.alias("n_lines"), kept.alias("_kept"), F.when(gone.isNotNull(), runs).otherwise(0).cast("long").alias("n_removed_runs"))
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
+    removed = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long")
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], "n_lines", removed.alias("n_removed_lines"), "n_removed_runs")
+
+
+#: The same rows in DuckDB: a line goes if two neighbouring lines that cover it, and what is between them, stand earlier.
+SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, ls, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM split),
+paired AS (
+  SELECT doc_id, ls, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS b
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), pairs AS (
+  SELECT doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(ls[a + 1 : b + 1], chr(10)), b - a ORDER BY doc_id, a) > 1 AS again
+  FROM paired WHERE b IS NOT NULL
+), gone AS (SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS i FROM pairs WHERE again),
+marked AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i),
+edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+done AS (
+  SELECT doc_id, count(*) AS n_lines, sum(gone::INT) AS n_removed_lines, sum(begins::INT) AS n_removed_runs,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+  FROM edged GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines,
-       coalesce(n_removed_chunks, 0)::BIGINT AS n_removed_chunks, sha256(kept) AS kept_sha256
+       coalesce(n_removed_runs, 0)::BIGINT AS n_removed_runs, sha256(kept) AS kept_sha256
 FROM documents d LEFT JOIN done USING (doc_id)
 """

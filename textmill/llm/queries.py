@@ -73,7 +73,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.line_chunks import line_dedup
 
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def _line_sql() -> str:
