@@ -146,6 +146,34 @@ def test_base_counts_against_brute_force(spark, docs, corpus):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (*counts, failed, not failed)
 
 
+def thue_morse(n, a, b):
+    """Strings of 2 ** n letters that any polynomial hash modulo 2 ** 64 confuses with their complement."""
+    out = a
+    for _ in range(n):
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+def test_unequal_lines_and_words_with_one_hash():
+    x, y = thue_morse(12, "a", "b"), thue_morse(12, "b", "a")
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    h = quality.B.prefix_hash(data)
+    assert len(set(quality.B.span_hash(h, np.array([0, 4096]), np.array([4096, 8192])).tolist())) == 1
+    texts = [f"{x}\n{y}", f"{x}\n{y}\n{x}\n \n", " ".join(["w"] * 3 + [x] + [f"v{i}" for i in range(7)] + [y] + [f"v{i}" for i in range(7)]), "plain\nplain"]
+    raw = [t.encode() for t in texts]
+    counts = quality.base_counts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [tuple(r) for r in counts.tolist()] == [brute_counts(t) for t in texts] and [r[3] for r in counts] == [0, 1, 0, 1]
+
+
+def test_character_grams_follow_code_points():
+    texts = ["aé中b", "", "😀", "xyz"]
+    raw = [t.encode() for t in texts]
+    _, _, doc, key = hashed.gram_terms(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 16, (2, 3))
+    assert doc.tolist() == [0, 0, 0, 3, 3, 0, 0, 3]
+    again = hashed.gram_terms(np.frombuffer("é中".encode(), np.uint8), np.array([0, 5]), 16, (2,))[3]
+    assert key[1] == again[0]
+
+
 def test_quality_is_learned_and_calibrated(spark, labelled):
     docs, labels = frames(spark, labelled)
     rows = {r["doc_id"]: r for r in quality.quality_rules(docs.withColumn("KEPT", F.lit(1)), quality.fit_quality(docs, labels)).collect()}

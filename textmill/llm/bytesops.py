@@ -141,3 +141,17 @@ def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.asarray(lengths, dtype=np.int64)
     row = np.repeat(np.arange(len(lengths)), lengths)
     return row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each row, whether data[a : a + size] equals data[b : b + size]."""
+    out = np.ones(len(a), dtype=bool)
+    first = 0
+    total = np.cumsum(size)
+    while first < len(a):  # rows of about a million bytes at a time, one row at least
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + 1_000_000, side="right")))
+        row, k = ragged(size[first:last])
+        bad = data[a[first:last][row] + k] != data[b[first:last][row] + k]
+        out[first:last] = np.bincount(row, weights=bad, minlength=last - first) == 0
+        first = last
+    return out

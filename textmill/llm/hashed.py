@@ -31,20 +31,21 @@ def word_terms(data: np.ndarray, offsets: np.ndarray, bits: int, prefix: int = 5
 
 
 def gram_terms(data: np.ndarray, offsets: np.ndarray, bits: int, grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket) of every word, and of every byte n-gram that stays in its document; with repeats."""
+    """(document, bucket) of every word, and of every run of characters (code points) that stays in its document; with repeats."""
     s, e, doc = B.words(data, offsets)
     h = B.prefix_hash(data)
     words = (B.mix(B.span_hash(h, s, e), 3) >> B.U64(64 - bits)).astype(np.int64)
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    begins = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin; a text begins with one
+    of = np.searchsorted(offsets, begins, side="right") - 1
+    begins = np.append(begins, len(data))
     docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in grams:
-        m = len(data) - n + 1
+        m = len(of) - n + 1
         if m <= 0:
             continue
-        inside = of[:m] == of[n - 1 :]
-        p = np.flatnonzero(inside)
-        docs.append(of[p])
-        keys.append((B.mix(B.span_hash(h, p, p + n), 4) >> B.U64(64 - bits)).astype(np.int64))
+        k = np.flatnonzero(of[:m] == of[n - 1 :])
+        docs.append(of[k])
+        keys.append((B.mix(B.span_hash(h, begins[k], begins[k + n]), 4) >> B.U64(64 - bits)).astype(np.int64))
     return doc, words, np.concatenate(docs), np.concatenate(keys)
 
 

@@ -1,21 +1,27 @@
 """Quality rules: exact base counts, and a calibrated logistic regression over hashed n-grams.
 
 The model sees the share of each hashed word among a text's words and of each
-hashed byte n-gram among its n-grams. It is trained by AdaGrad on at most
+hashed character n-gram (of code points) among its n-grams. It is trained by AdaGrad on at most
 ``per_class`` labelled rows of each class, and a logistic curve fitted on a part
 of the sample that was not trained on turns its output into a probability, with
 class weights that bring the sample back to the shares of all labelled rows. The
 model has a fixed size; texts are scored in Arrow batches against a fixed
 threshold, with no shuffle.
 
-Counts compare words, lines and windows of words by 64-bit hashes inside one
-text. Defined cases: null text has no word and no line; a text that fails a base
-rule is not kept whatever the model says; without labelled rows of both classes
-the model keeps every text; repeated rows are judged alike.
+Lines and windows of words are grouped by 64-bit hashes inside one text, and each
+group is compared with its first member by its bytes; a text in which two
+different ones share a hash is counted by its strings. Defined cases: null text
+has no word and no line; a text that fails a base rule is not kept whatever the
+model says; without labelled rows of both classes the model keeps every text; an
+empty table gives no row; repeated rows are judged alike; a batch holds some
+texts at a time and a very long text is one of its own; columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +44,7 @@ WINDOW = 8
 SYMBOLS = B.separators(b"#*$%&|<>")
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]+")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -63,28 +70,53 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) ->
     line_doc = np.sort(np.concatenate((full, np.searchsorted(offsets, newline, side="right") - 1)))
     use = in_word[ends] > in_word[starts]
     starts, ends, line_doc = starts[use], ends[use], line_doc[use]
-    out[:, 3] = _repeats(line_doc, B.span_hash(h, starts, ends), n)
+    again, first = _grouped(line_doc, B.span_hash(h, starts, ends))
+    out[:, 3] = np.bincount(line_doc[again], minlength=n)
+    unsure = set(line_doc[again][~_equal(data, starts, ends, again, first)].tolist())
     # Words under windows that stand in their text more than once.
     if len(s) >= window:
         word = B.prefix_hash_of(B.span_hash(h, s, e))
-        first = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :])
-        key = B.mix((word[first + window] - word[first]) * B.inverse_powers(len(word))[first])
-        order = np.lexsort((key, doc[first]))
-        k, d = key[order], doc[first][order]
-        same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-        twice = first[order[same[1:] | same[:-1]]]
+        at = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :])
+        again, first = _grouped(doc[at], B.mix((word[at + window] - word[at]) * B.inverse_powers(len(word))[at]))
+        twice = np.unique(np.concatenate((at[again], at[first])))
         change = np.bincount(twice, minlength=len(s) + 1) - np.bincount(twice + window, minlength=len(s) + 1)[: len(s) + 1]
         out[:, 4] = np.bincount(doc[np.cumsum(change)[: len(s)] > 0], minlength=n)
+        # Neighbouring windows share words, so each pair of words is compared once.
+        k = np.arange(window, dtype=np.int64)
+        pairs = np.unique(((at[again][:, None] + k) << 32 | (at[first][:, None] + k)).ravel())
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        unsure |= set(doc[a][~_equal(data, s, e, a, b)].tolist())
+    for i in unsure:
+        out[i, 3:] = _by_strings(data[offsets[i] : offsets[i + 1]].tobytes(), window)
     return out
 
 
-def _repeats(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """For each document, its keys that equal an earlier one."""
+def _grouped(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that are not the first with their key in their document, and that first entry of each."""
     order = np.lexsort((key, doc))
     k, d = key[order], doc[order]
-    again = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
-    return np.bincount(d[1:][again], minlength=n)
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return order[~new], head[~new]
+
+
+def _equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the spans a[i] and b[i] have the same bytes."""
+    size = ends[a] - starts[a]
+    same = size == ends[b] - starts[b]
+    same[same] = B.same_bytes(data, starts[a[same]], starts[b[same]], size[same])
+    return same
+
+
+def _by_strings(raw: bytes, window: int) -> tuple[int, int]:
+    """n_dup_lines and n_repeat_words of one text, without hashes."""
+    lines = [x for x in raw.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
+    words = [w for w in _SPACE.split(raw) if w]
+    runs = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
+    count = Counter(runs)
+    under = {j for i, r in enumerate(runs) if count[r] > 1 for j in range(i, i + window)}
+    return len(lines) - len(set(lines)), len(under)
 
 
 @dataclass

@@ -69,16 +69,6 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, trigger: int) ->
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each row, whether data[a : a + size] equals data[b : b + size]."""
-    out = np.ones(len(a), dtype=bool)
-    for i in range(0, len(a), 50_000):
-        row, k = B.ragged(size[i : i + 50_000])
-        bad = data[a[i : i + 50_000][row] + k] != data[b[i : i + 50_000][row] + k]
-        out[i : i + 50_000] = np.bincount(row, weights=bad, minlength=len(a[i : i + 50_000])) == 0
-    return out
-
-
 def merge_equal(data: np.ndarray, lo: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(class of each span, representative of each class): equal bytes; the first span of a class represents it."""
     order = np.argsort(key)
@@ -92,7 +82,7 @@ def merge_equal(data: np.ndarray, lo: np.ndarray, size: np.ndarray, key: np.ndar
     again = np.flatnonzero(rep != np.arange(len(k)))
     differ = size[again] != size[rep[again]]
     same = ~differ
-    same[~differ] = _same_bytes(data, lo[again[~differ]], lo[rep[again[~differ]]], size[again[~differ]])
+    same[~differ] = B.same_bytes(data, lo[again[~differ]], lo[rep[again[~differ]]], size[again[~differ]])
     if not same.all():  # two strings with one 64-bit hash: each further one stands alone
         extra = again[~same]
         classes[extra] = len(heads) + np.arange(len(extra))
