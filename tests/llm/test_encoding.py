@@ -185,3 +185,20 @@ def test_templates_as_black_boxes():
     last_only = lambda ts: "".join(f"[{r}]{t if i >= len(ts) - 2 else ''};" for i, (r, t) in enumerate(ts))
     assert chat.locate(last_only, turns).rewrites and chat.locate(last_only, turns[:6]).rewrites
     assert not chat.locate(chat.default_render, []).rewrites
+
+
+@pytest.mark.parametrize("n", [1, 14, 70, 130])
+def test_templates_that_number_their_turns(n):
+    turns = [(("user", "assistant")[i % 2], f"txt{i}" * (i % 3)) for i in range(n)]
+    templates = {
+        "number": lambda ts: "".join(f"[{i}]{t}\n" for i, (_, t) in enumerate(ts)),
+        "bare number": lambda ts: "".join(f"{i}{t}\n" for i, (_, t) in enumerate(ts)),
+        "turn before": lambda ts: "".join(f"{ts[i - 1][1] if i else ''}>{t};" for i, (_, t) in enumerate(ts)),
+        "block": lambda ts: "".join(f"{i % 10}{t}|" for i, (_, t) in enumerate(ts)),
+        "probe in marks": lambda ts: "".join(f"\ue0f1A{t}\ue0f1{i}" for i, (_, t) in enumerate(ts)),
+    }
+    for name, render in templates.items():
+        found = chat.locate(render, turns)
+        assert not found.rewrites and [found.text[a:b] for a, b in found.bodies] == [t for _, t in turns], name
+    by_text = chat.locate(lambda ts: "".join(f"{len(t)}:{t}" for _, t in ts), [("user", "x" * 12), ("user", "y")])
+    assert by_text.rewrites and by_text.bodies == []

@@ -3,10 +3,14 @@
 A template is any function from turns to text. Successive prefixes of a
 conversation are rendered and each output is compared with the one before: what
 was added is the new turn's span, and an output that does not begin with the one
-before shows a template that rewrites history. Where a turn's own text stands
-in its span is found by rendering two probe texts in its place. Conversations of
+before shows a template that rewrites history (rewrites_history, without spans;
+also where a turn's marks depend on its text). Where a turn's own text stands in
+its span is found by rendering a probe text in its place, for every turn, so that
+marks may number the turns or depend on the turn before. Conversations of
 many turns are rendered in blocks that carry the turn before them, and the joined
 blocks must equal one rendering of the whole; if not, whole prefixes are rendered.
+That needs a template whose marks repeat from block to block; one that numbers its
+turns costs a rendering of all turns for each.
 
 Rows are dealt by conv_id and sorted, so a worker holds one conversation at a
 time. Defined cases: null text and null role are empty; turns with equal numbers
@@ -30,6 +34,7 @@ from textmill.llm.frames import schema_of
 Turn = tuple[str, str]
 Render = Callable[[list[Turn]], str]
 BLOCK = 64
+PROBE = "\ue0f1"
 END = " </turn>\n"
 _CONTROL = re.compile(r"([\\#<])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -66,29 +71,36 @@ class Located:
         self.text, self.spans, self.bodies, self.rewrites = text, spans, bodies, rewrites
 
 
-def _frame(render: Render, before: list[Turn], role: str) -> tuple[int, int]:
-    """Characters that the template puts before and after a turn's text."""
-    base = render(before)
-    a, b = render([*before, (role, "A")]), render([*before, (role, "B")])
-    head = len(commonprefix([a, b])) - len(base)
-    return head, len(a) - len(base) - head - 1
+def _frame(render: Render, before: list[Turn], role: str, base: int) -> tuple[str, str]:
+    """What the template writes before and after the text of a turn that stands here."""
+    probe = render([*before, (role, PROBE)])[base:]
+    if probe.count(PROBE) == 1:
+        head, _, tail = probe.partition(PROBE)
+        return head, tail
+    a, b = render([*before, (role, "A")])[base:], render([*before, (role, "B")])[base:]
+    head = commonprefix([a, b])
+    return head, a[len(head) + 1 :]
 
 
-def _prefixes(render: Render, turns: list[Turn], context: int, frames: dict) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]] | None:
-    """Spans of turns[context:] in what their prefixes add; None if an output does not extend the one before."""
+def _prefixes(render: Render, turns: list[Turn], context: int) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]] | None:
+    """Spans of turns[context:] in what their prefixes add; None if an output does not extend the one before.
+
+    Every turn is probed in its own place, so marks may number the turns or depend on those before. None also if a
+    turn's output lacks the frame of its probe: marks then depend on the text, and where that begins cannot be told.
+    """
     base = last = render(turns[:context])
     spans, bodies = [], []
     for i in range(context, len(turns)):
         now = render(turns[: i + 1])
         if not now.startswith(last):
             return None
-        role = turns[i][0]
-        if (role, i == 0) not in frames:
-            frames[role, i == 0] = _frame(render, turns[:i], role)
-        head, tail = frames[role, i == 0]
+        head, tail = _frame(render, turns[:i], turns[i][0], len(last))
+        added = now[len(last) :]
+        if len(added) < len(head) + len(tail) or not (added.startswith(head) and added.endswith(tail)):
+            return None
         a, b = len(last) - len(base), len(now) - len(base)
         spans.append((a, b))
-        bodies.append((a + head, b - tail))
+        bodies.append((a + len(head), b - len(tail)))
         last = now
     return last[len(base) :], spans, bodies
 
@@ -96,14 +108,13 @@ def _prefixes(render: Render, turns: list[Turn], context: int, frames: dict) ->
 def locate(render: Render, turns: list[Turn], block: int = BLOCK) -> Located:
     """The rendering of all turns, with each turn's span and the span of its text."""
     whole = render(turns)
-    frames: dict = {}
     spans: list[tuple[int, int]] = []
     bodies: list[tuple[int, int]] = []
     if len(turns) > block:
         at = 0
         for first in range(0, len(turns), block):
             context = min(first, 1)
-            part = _prefixes(render, turns[first - context : first + block], context, frames)
+            part = _prefixes(render, turns[first - context : first + block], context)
             if part is None or whole[at : at + len(part[0])] != part[0]:
                 break
             spans += [(a + at, b + at) for a, b in part[1]]
@@ -112,13 +123,13 @@ def locate(render: Render, turns: list[Turn], block: int = BLOCK) -> Located:
         else:
             if at == len(whole):
                 return Located(whole, spans, bodies, False)
-    found = _prefixes(render, turns, 0, {}) if not render([]) else _with_opening(render, turns)
+    found = _prefixes(render, turns, 0) if not render([]) else _with_opening(render, turns)
     return Located(whole, [], [], True) if found is None else Located(whole, found[1], found[2], False)
 
 
 def _with_opening(render: Render, turns: list[Turn]):
     """For templates that write something before the first turn: spans count from the start of the output."""
-    found, opening = _prefixes(render, turns, 0, {}), len(render([]))
+    found, opening = _prefixes(render, turns, 0), len(render([]))
     return found and (found[0], *[[(a + opening, b + opening) for a, b in x] for x in found[1:]])
 
 
