@@ -100,6 +100,38 @@ def test_pair_of_terms_that_are_neutral_alone():
     assert ((model.scores(row, bucket, len(new)) >= 0.5) == (new == 1)).mean() > 0.95
 
 
+def exclusive_pair(seed):
+    """Toxic exactly where one of terms 0 and 1 stands without the other; 40 of 3000 other terms in each row."""
+    rng = np.random.default_rng(seed)
+    has = rng.random((6000, 2)) < 0.5
+    rows = [np.unique([*np.flatnonzero(h), *rng.integers(2, 3000, 40)]) for h in has]
+    return (has[:, 0] != has[:, 1]).astype(float), np.concatenate(([0], np.cumsum([len(r) for r in rows]))), np.concatenate(rows)
+
+
+def test_exclusive_or_of_two_terms():
+    y, starts, bucket = exclusive_pair(1)
+    model = toxicity.train_machine(y, starts, bucket, 0.5, bits=12)
+    new, starts, bucket = exclusive_pair(2)
+    row = np.repeat(np.arange(len(new)), np.diff(starts))
+    assert ((model.scores(row, bucket, len(new)) >= 0.5) == (new == 1)).mean() > 0.95
+    single = model.bias + model.w[model.slot[0]] + model.w[model.slot[1]]
+    assert model.w[model.slot[0]] > 0 < model.w[model.slot[1]] and model.v[model.slot[0]] @ model.v[model.slot[1]] < -single / 2
+
+
+def test_scores_against_nested_loops():
+    rng = np.random.default_rng(5)
+    slot = np.where(rng.random(64) < 0.8, np.cumsum(np.ones(64, int)) - 1, -1)
+    model = toxicity.Machine(slot, 0.3, rng.normal(0, 1, 64), rng.normal(0, 0.5, (64, 6)))
+    rows = [rng.choice(64, n, replace=False) for n in (0, 1, 2, 7, 40)]
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    expected = []
+    for r in rows:
+        known = [slot[b] for b in r if slot[b] >= 0]
+        total = model.bias + sum(model.w[i] for i in known) + sum(sum(model.v[i, f] * model.v[j, f] for f in range(6)) for i, j in itertools.combinations(known, 2))
+        expected.append(1 / (1 + np.exp(-total)))
+    assert model.scores(doc, np.concatenate(rows).astype(np.int64), len(rows)) == pytest.approx(expected)
+
+
 def test_rare_toxic_terms_count():
     """Terms 3000 to 3249 stand in eight toxic rows each and in no clean one."""
     rng = np.random.default_rng(4)

@@ -6,13 +6,16 @@ labelled documents of each class a factorisation machine is trained: a weight
 for each term of the sample, and a vector for each whose inner products weigh
 pairs, so that two terms may count together where neither does alone. No term is
 left out; priors hold back the weights of terms with little evidence and the
-vectors of rare ones. Class weights bring the sampled rows
-back to the shares of all labelled rows. The model has a fixed size and is sent
+vectors of rare ones. Evidence is weighed again every few epochs, beside what the
+machine explains by then, so a term that matters only where its partner is absent
+moves freely once the pair is known. Class weights bring the sampled rows back to
+the shares of all labelled rows. The model has a fixed size and is sent
 with the function; scoring is one pass in Arrow batches without a shuffle.
 
 Defined cases: null text counts as empty and gets the score of no terms; without
 labelled rows of both classes every score is 0; rows are scored one by one, so
-repeated rows and ties need no rule; held-out rows are never trained on.
+repeated rows and ties need no rule; an empty table gives no row; whole texts are
+scored, a very long one as a batch of its own; held-out rows are never trained on.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ FULL_Z = 3.0
 LEAST_SCALE = 0.01
 #: Rows from which on a term's vector moves freely.
 FULL_ROWS = 300
+#: Epochs after which the evidence for weights is weighed again.
+AGAIN = 5
 
 
 @dataclass
@@ -83,6 +88,12 @@ def prior_scales(y: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) ->
     return np.clip((z / FULL_Z) ** 4, LEAST_SCALE, 1.0), np.clip((c1 + c0 - 1) / FULL_ROWS, 0.0, 1.0)
 
 
+def residual_scale(error: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) -> np.ndarray:
+    """As the first of ``prior_scales``, by the z of the errors that remain in a term's rows."""
+    z = np.abs(np.bincount(term, weights=error[row], minlength=size)) / np.sqrt(np.bincount(term, weights=error[row] ** 2, minlength=size) + 1e-12)
+    return np.clip((z / FULL_Z) ** 4, 0.0, 1.0)
+
+
 def train_machine(y: np.ndarray, starts: np.ndarray, bucket: np.ndarray, share: float, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
     """AdaGrad on the weighted log loss; ``share`` is the true share of class 1. Every bucket of the sample is a term."""
     size = 1 << bits
@@ -97,7 +108,11 @@ def train_machine(y: np.ndarray, starts: np.ndarray, bucket: np.ndarray, share:
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     weight = weight * np.where(y == 1, 2.0, 1.0)  # a missed toxic row costs twice as much as a false alarm
     gw, gv, gb = np.full(len(w), 1e-4), np.full(v.shape, 1e-4), 1e-6
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        if epoch and epoch % AGAIN == 0:
+            p = Machine(slot, bias, w * w_scale, v * v_scale[:, None]).scores(row, bucket, len(y))
+            wider = np.maximum(w_scale, residual_scale(weight * (y - p), row, s, len(seen)))
+            w, gw, w_scale = w * w_scale / wider, gw * (wider / w_scale) ** 2, wider  # the weights themselves stay
         order = rng.permutation(len(y))
         for at in range(0, len(y), 256):
             rows = order[at : at + 256]
