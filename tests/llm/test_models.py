@@ -253,14 +253,16 @@ def test_mined_rules_against_brute_force(spark):
     known = {i: any(b for j, b in bad if j == i) for i, b in bad if i is not None and b is not None}
     baskets = [(tokens[i], known[i]) for i, _ in [*rows, rows[0]] if i in known]
     least, rules = max(urls.SUPPORT, urls.LEAST_PAGES / len(baskets)), {}
-    count = Counter(s for t, _ in baskets for n in (1, 2, 3) for s in itertools.combinations(t, n))
-    hits = Counter(s for t, b in baskets if b for n in (1, 2, 3) for s in itertools.combinations(t, n))
+    count = Counter(s for t, _ in baskets for n in range(1, len(t) + 1) for s in itertools.combinations(t, n))
+    hits = Counter(s for t, b in baskets if b for n in range(1, len(t) + 1) for s in itertools.combinations(t, n))
     for s, n in hits.items():
         if n >= least * len(baskets) and n / count[s] >= urls.CONFIDENCE:
             rules[s] = n / count[s]
     best = {s: c for s, c in rules.items() if not any(rules.get(p, -1) >= c for n in range(1, len(s)) for p in itertools.combinations(s, n))}
     mined = {tuple(r["tokens"]): r["confidence"] for r in urls.mine_rules(pages, labels).collect()}
     assert mined == pytest.approx(best) and mined
+    short = {tuple(r["tokens"]) for r in urls.mine_rules(pages, labels, most_tokens=2).collect()}
+    assert short == {s for s in best if len(s) <= 2}
     out = urls.filter_urls(pages, labels).collect()
     assert len(out) == 402
     for r in out:
@@ -285,7 +287,7 @@ def test_rules_of_any_length(spark, tmp_path):
     best = {s: c for s, c in rules.items() if not any(rules.get(p, -1) >= c for n in range(1, len(s)) for p in itertools.combinations(s, n))}
     assert max(map(len, best)) > 3
     labels = spark.createDataFrame(bad, "page_id long, bad boolean")
-    assert {tuple(r["tokens"]): r["confidence"] for r in urls.mine_rules(pages, labels, most_tokens=None).collect()} == pytest.approx(best)
+    assert {tuple(r["tokens"]): r["confidence"] for r in urls.mine_rules(pages, labels).collect()} == pytest.approx(best)
     for r in QUERIES["op8_url_filter"](spark, str(tmp_path)).collect():
         fits = [c for s, c in best.items() if set(s) <= set(tokens[r["page_id"]])]
         assert r["verdict"] == ("block" if fits else "allow") and (r["mined_confidence"] or 0) == pytest.approx(max(fits, default=0))

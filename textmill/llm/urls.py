@@ -3,7 +3,9 @@
 Spark's FP-growth mines combinations of URL tokens (scheme, host labels, path
 segments, extension, query keys, fragment) that go with a bad label. A rule
 ``tokens -> block`` stays if its support and confidence reach the thresholds and
-no rule with fewer tokens is as confident. Matching goes through an inverted
+no rule with some of its tokens is as confident; rules may have any number of
+tokens (FP-growth lists every frequent set, 2^n for n tokens that often stand
+together, and so does the comparison of rules). Matching goes through an inverted
 index: each rule is listed under its rarest token, each distinct set of tokens is
 looked up by its tokens, and candidates are checked for all of theirs. Distinct
 token sets are formed first, with partial aggregation, so a host that a third of
@@ -12,7 +14,8 @@ all pages share is looked up once.
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits
 no fixed rule and has no tokens; without labelled pages of either kind nothing
 is mined and pages that no fixed rule fits are allowed; repeated pages are judged
-alike; a page with several labels is bad if one of them is.
+alike; a page with several labels is bad if one of them is; an empty table gives no
+row; a null page_id is judged and never labelled; very long URLs are read whole.
 """
 
 from __future__ import annotations
@@ -33,7 +36,6 @@ RULES = (
 SUPPORT = 0.002
 CONFIDENCE = 0.5
 LEAST_PAGES = 5
-MOST_TOKENS = 3
 BLOCK, ALLOW = "@block", "@allow"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -72,8 +74,8 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.when(F.contains(url, F.lit("://")), parts), F.array().cast("array<string>"))))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_pages: int = LEAST_PAGES, most_tokens: int | None = MOST_TOKENS) -> DataFrame:
-    """Rules as (tokens, confidence, support, anchor); ``labels`` has page_id and bad (boolean); ``most_tokens`` of None is no bound."""
+def mine_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_pages: int = LEAST_PAGES, most_tokens: int | None = None) -> DataFrame:
+    """Rules as (tokens, confidence, support, anchor); ``labels`` has page_id and bad (boolean); ``most_tokens`` may bound a rule's length (None: no bound)."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = pages.sparkSession
