@@ -3,13 +3,17 @@
 With an identity normaliser and no piece that has a whitespace marker after its
 first other character, no merge crosses from a word into the marker after it. A
 text is then a run of chunks (markers, then one word), each segmented on its
-own, so a worker segments each distinct chunk once and joins the ids by
-position. The table of a worker is emptied when it reaches ``table_size``
-chunks, which bounds its memory and changes no result. Both conditions are
-checked against the model; a model that fails them is encoded text by text.
+own, so a worker process segments each distinct chunk once, for all of its tasks,
+and joins the ids by position. Its table has two halves: when the younger one
+reaches half of ``table_size`` chunks it becomes the older one, and what the older
+one held and no text has used since is forgotten. That bounds the memory, keeps
+frequent chunks and changes no result. Both conditions are checked against the
+model; a model that fails them is encoded text by text.
 
 Defined cases: null is the empty text, whose ids are the begin and end ids only;
-rows are independent, so ties and repeated rows need no rule.
+rows are independent, so ties and repeated rows need no rule; an empty table gives
+no row; whole texts are encoded, very long ones too; a column named like an output
+is replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,8 @@ class Pieces:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.table: dict[str, list[int]] = {}
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self.table_size = table_size
         n = self.sp.get_piece_size()
         names = [self.sp.id_to_piece(i) for i in range(n)]
@@ -42,11 +48,22 @@ class Pieces:
         probe = "\t A  ﬁ½  Ａé\n "
         self.split = not special and self.sp.normalize(probe) == MARK + probe.replace(" ", MARK)
 
-    def _segment(self, chunks: list[str]) -> None:
-        """Ids of chunks that the table lacks. Each begins with a marker, which the library adds again as its prefix."""
-        texts = [c[1:].replace(MARK, " ") for c in chunks]
-        for chunk, ids in zip(chunks, self.sp.encode(texts, num_threads=1), strict=True):
-            self.table[chunk] = ids if chunk != MARK else [self.sp.piece_to_id(MARK)]  # a lone marker at the end of a text
+    def _look_up(self, chunks: set[str]) -> None:
+        """Bring these chunks into the younger table. A chunk begins with a marker, which the library adds as its prefix."""
+        if len(self.young) * 2 > self.table_size:
+            self.old, self.young = self.young, {}
+        missing = []
+        for c in chunks:
+            if c not in self.young:
+                ids = self.old.get(c)
+                if ids is None:
+                    missing.append(c)
+                else:
+                    self.young[c] = ids
+        if missing:
+            texts = [c[1:].replace(MARK, " ") for c in missing]
+            for chunk, ids in zip(missing, self.sp.encode(texts, num_threads=1), strict=True):
+                self.young[chunk] = ids if chunk != MARK else [self.sp.piece_to_id(MARK)]  # a lone marker at the end of a text
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """As ``encode(text, add_bos=True, add_eos=True)`` for each text."""
@@ -56,12 +73,8 @@ class Pieces:
         out: list[list[int]] = []
         for at in range(0, len(texts), 256):
             parts = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at : at + 256]]
-            if len(self.table) > self.table_size:
-                self.table.clear()
-            new = {c for p in parts for c in p if c not in self.table}
-            if new:
-                self._segment(sorted(new))
-            table = self.table
+            self._look_up({c for p in parts for c in p})
+            table = self.young
             for p in parts:
                 ids = [bos]
                 for c in p:
@@ -74,6 +87,12 @@ class Pieces:
         return self.sp.decode(ids, num_threads=1)
 
 
+@lru_cache(maxsize=1)
+def worker_pieces(model: str) -> Pieces:
+    """The model and table of this process; Spark gives a process one task at a time."""
+    return Pieces(model)
+
+
 def encode_pieces(docs: DataFrame, model: str, decode: bool = True, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` with ids (array<int>) and, if asked, decoded (string)."""
     keep = ["doc_id"] if keep is None else keep
@@ -106,7 +125,7 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
 
 def _mapper(model: str, kept: int, build: Callable[[pa.RecordBatch, Pieces], list[pa.Array]], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = worker_pieces(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
