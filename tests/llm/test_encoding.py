@@ -26,8 +26,7 @@ def odd_texts(n=3000):
 
 def test_ids_equal_those_of_the_tokenizers_file(corpus):
     reference = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    ours = packing.byte_bpe(RANKS, P.PATTERN).encode_ordinary
+    ours = packing.encoder(RANKS, P.PATTERN)
     texts = odd_texts() + [r[1] or "" for r in corpus]
     assert [ours(t) for t in texts] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
 
@@ -45,7 +44,7 @@ def test_added_tokens_inside_texts(spark):
 
 def test_packing_holds_each_id_once(docs, corpus):
     rows = packing.pack(docs, RANKS, P.PATTERN, capacity=256, per_group=20, with_ids=True).collect()
-    encode = packing.byte_bpe(RANKS, P.PATTERN).encode_ordinary
+    encode = packing.encoder(RANKS, P.PATTERN)
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -63,6 +62,22 @@ def test_packing_holds_each_id_once(docs, corpus):
     assert sum(r["length"] for r in rows) / (256 * len(sequences)) > 0.85
 
 
+def test_groups_follow_bytes_not_documents(spark, tmp_path):
+    """Few documents of very many tokens make many groups; pieces of one long document are in many of them."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(7))
+    texts = [" ".join(word() for _ in range(150_000)) for _ in range(4)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    groups, tasks = packing.group_and_task_count(few, group_bytes=100_000)
+    assert groups > 20 and 4 <= tasks <= groups
+    rows = packing.pack(few, RANKS, P.PATTERN).collect()
+    assert len({r["sequence_id"] >> 32 for r in rows if r["doc_id"] == 0}) > 1
+    encode = packing.encoder(RANKS, P.PATTERN)
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(encode(t)) + 1 for i, t in enumerate(texts)}
+    assert sum(r["length"] for r in rows) == sum(len(encode(t)) + 1 for t in texts)
+
+
 def test_differencing_is_level_and_complete():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1025, 600)

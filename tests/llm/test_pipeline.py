@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 
 from test_dedup import brute_classes, brute_lines, brute_strings
-from textmill.llm.packing import byte_bpe
+from textmill.llm.packing import encoder
 from textmill.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -47,7 +47,7 @@ def test_each_stage_against_brute_force(spark, folder):
     strings, left = step("suffix_array_dedup", single)
     assert {r[0]: r[1] for r in left} == {d: k.decode("utf-8", "ignore") for d, (k, _, _) in brute_strings(kept, 50).items()}
     _, pieces = step("packing", strings)
-    encode = byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode_ordinary
+    encode = encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert sum(p[2] for p in pieces) == sum(len(encode(r[1])) + 1 for r in left)
 
 

@@ -1,17 +1,20 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
 Documents become token ids with an end id. Each is cut into full windows and a
-remainder in pieces of at most half a window; these are dealt into hash groups of about ``per_group`` pieces,
-and each group is partitioned on its own: the largest differencing method merges
-the two partial partitions with the largest spread, the largest sum of one onto
-the smallest of the other, until one partition with near-equal sums is left. If
-a window would hold more than the capacity, the window count rises and the
-method runs again. The number of groups follows the number of documents, so a
-group never grows; only piece lengths and checksums are shuffled.
+remainder in pieces of at most half a window; these are dealt into hash groups by
+document and place, and each group is partitioned on its own: the largest
+differencing method merges the two partial partitions with the largest spread, the
+largest sum of one onto the smallest of the other, until one partition with
+near-equal sums is left. If a window would hold more than the capacity, the window
+count rises and the method runs again. The number of groups follows the stored
+bytes, so neither many short documents nor few very long ones make a group grow;
+only where Spark knows no size (a frame made from rows) are the rows counted, with
+``per_group`` in each. Only piece lengths and checksums are shuffled.
 
 Defined cases: null and empty texts are one end id; an added token's string in
 a text is that token, as in the tokenizers file; rows with equal ids are
-packed separately; an empty table gives no piece; a null doc_id is carried.
+packed separately; an empty table gives no piece; a null doc_id is carried; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -29,9 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.frames import plan_bytes, shuffle_partitions
+
 CAPACITY = 2048
 END_ID = 1
 PER_GROUP = 1000
+GROUP_BYTES = 1 << 20
+UNKNOWN = 1 << 60  # Catalyst's size of rows that no file holds is larger
 
 
 @lru_cache(maxsize=2)
@@ -162,12 +169,20 @@ def _windows(capacity: int):
     return run
 
 
+def group_and_task_count(docs: DataFrame, per_group: int = PER_GROUP, group_bytes: int = GROUP_BYTES) -> tuple[int, int]:
+    """Groups by stored bytes, by rows where the size is not known, and the tasks that share them."""
+    size = plan_bytes(docs)
+    groups = max(1, -(-size // group_bytes) if size < UNKNOWN else -(-docs.count() // per_group))
+    return groups, min(groups, max(shuffle_partitions(docs.sparkSession), groups // 16))
+
+
 def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, per_group: int = PER_GROUP, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, (ids), sequence_id, offset."""
     encode = lambda: encoder(ranks_path, pattern)
-    groups = max(1, -(-docs.count() // per_group))
+    groups, tasks = group_and_task_count(docs, per_group)
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     pieces = docs.select("doc_id", "text").mapInArrow(_pieces(encode, capacity, end_id, with_ids), ddl)
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(_windows(capacity), ddl + ", sequence_id long, offset long")
+    # By a number of its own: the rows are small and the work is not, so Spark would join too many groups into one task.
+    return dealt.repartition(tasks, "_group").groupBy("_group").applyInArrow(_windows(capacity), ddl + ", sequence_id long, offset long")
