@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from textmill.llm import bytesops as B
 from textmill.llm.components import components
 from textmill.llm.line_chunks import line_dedup, units
 from textmill.llm.near_dedup import dart_signatures, linked, near_duplicates
+from textmill.llm import suffix_dedup as suffix
 from textmill.llm.suffix_dedup import suffix_dedup
 
 
@@ -26,10 +28,10 @@ def brute_strings(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "trigger"), [(50, 16), (20, 20), (12, 5)])
-def test_repeated_strings_against_brute_force(docs, corpus, length, trigger):
+@pytest.mark.parametrize(("length", "trigger", "hot_groups"), [(50, 16, 512), (50, 16, 1), (20, 20, 512), (12, 5, 2), (7, 3, 4)])
+def test_repeated_strings_against_brute_force(docs, corpus, length, trigger, hot_groups):
     expected = brute_strings(corpus, length)
-    rows = suffix_dedup(docs, length, trigger).collect()
+    rows = suffix_dedup(docs, length, trigger, hot_groups=hot_groups).collect()
     assert len(rows) == len(corpus)
     for r in rows:
         kept, removed, spans = expected[r["doc_id"]]
@@ -50,6 +52,42 @@ def test_repeated_strings_edge_rows(spark, none):
     assert {r["doc_id"]: r["kept"] for r in suffix_dedup(cut, as_text=True).collect()} == {1: "é" * 40, 2: "ab"}
 
 
+def test_a_hot_trigger_is_split(spark, tmp_path):
+    """One string of 16 bytes whose hash is small stands in every document, between other words; some also share more."""
+    rng = random.Random(31)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    candidates = np.frombuffer("".join(letters(16) for _ in range(20_000)).encode(), np.uint8)
+    least = suffix.B.mix(suffix.B.span_hash(suffix.B.prefix_hash(candidates), np.arange(0, 320_000, 16), np.arange(16, 320_001, 16)))
+    common = [candidates[i * 16 : i * 16 + 16].tobytes().decode() for i in np.argsort(least)[:40]]
+    tails = [letters(40) for _ in range(5)]
+    rows = []
+    for i in range(1500):
+        parts = [x for c in rng.sample(common, 6) for x in (letters(45), c)]
+        rows.append((i, "".join(parts) + (rng.choice(tails) if i % 4 == 0 else letters(40))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.repartition(3).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    data, offsets = suffix.B.binary(pa.array([t for _, t in rows]))
+    _, _, _, t, x = suffix.phrases(data, offsets, 50, 16)
+    order = np.argsort(t)
+    assert len(suffix._with_many(t[order], x[order]))
+    expected = brute_strings(rows, 50)
+    for hot_groups in (512, 3):
+        found = {r["doc_id"]: (bytes(r["kept"]), r["n_removed"], len(r["spans"])) for r in suffix_dedup(stored, hot_groups=hot_groups).collect()}
+        assert found == expected
+    assert sum(n for _, n, _ in expected.values()) > 10_000
+
+
+def test_suffix_ranks_order_strings():
+    rng = random.Random(3)
+    for length in (3, 8, 9, 20, 50, 64):
+        raw = bytes(rng.choice(b"ab") for _ in range(600))
+        a, b, _ = suffix.suffix_ranks(np.frombuffer(raw, np.uint8), length)
+        places = range(len(raw) - length + 1)
+        assert sorted(places, key=lambda i: (a[i], b[i], i)) == sorted(places, key=lambda i: (raw[i : i + length], i))
+        assert len({(a[i], b[i]) for i in places}) == len({raw[i : i + length] for i in places})
+
+
 def brute_classes(rows):
     sets = {}
     for doc_id, text, *_ in rows:

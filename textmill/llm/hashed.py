@@ -80,7 +80,7 @@ def training_rows(docs: DataFrame, sample: DataFrame, encode, per_class: int) ->
     """(label, packed buckets, packed values) of the sampled documents; at most 2 x ``per_class`` rows reach the driver.
 
     The sample has that many rows at most, so it may be broadcast. A doc_id that stands in several rows gives the row
-    with the smallest text only.
+    with the smallest hash of its text only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,17 @@ frames at 320 kbit/s whose last one takes the smallest bit rate that holds the
 rest. Each frame has a CRC-16 and empty side information, so its whole data part
 is ancillary data: a decoder plays silence, and the bytes come back unchanged.
 
-``read_stream`` knows nothing of the writer. It skips tags, searches for a header
+``read_stream`` reads any stream. It skips tags, searches for a header
 whose frame is followed by another header of its kind (or the end), walks from
 frame to frame, searches again where the chain breaks, verifies every checksum,
 parses the variable-bitrate table and gives the exact duration and the byte
 offset of each frame. Defined cases: null is the empty text; every payload has
 at least 64 bytes; bytes that are no frame count as skipped; ``TAG`` 128 bytes
-before the end is an ID3v1 tag only where no frame lies over it.
+before the end is an ID3v1 tag only where no frame lies over it. The one thing the
+reader takes from the writer is the note of the payload's length, without which
+the zeros that fill the last frame could not be told from the payload's. Repeated
+rows are stored alike; an empty table gives no row; a text is one stream, however
+long; columns named like an output, and all others but doc_id, are left out.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Signatures are cut into bands. Exact copies are one vertex. Vertices that share
 band value are candidates; they are tied to the value's smallest vertex only, and
 the components of these ties hold every pair that any band proposes. Inside a
 component shingle sets are compared exactly (by an inverted index, neighbours of
-a found class first), and links of the threshold or more make the classes.
+a found class first), and links of the threshold or more make the classes. Sets hold
+64-bit hashes of shingles, so "exactly" is up to two shingles with one hash.
 
 A component of more than ``block`` vertices, or of more than a few MB of shingles,
 is cut into blocks. In a first pass
@@ -31,7 +32,9 @@ one are right (``weights="binary"``); ``weights="count"`` signs multisets.
 Defined cases: words are runs without white space, compared as they stand; a text
 of one to four words is one shingle of them all; a text without words links to its
 exact copies only; null text is empty; rows with one doc_id are one document; a
-null doc_id has a null class.
+null doc_id has a null class; an empty table gives no row; other columns, whatever
+their names, are left out; very long texts are signed and compared whole. doc_id is
+an integer, or text that reads as one.
 """
 
 from __future__ import annotations

@@ -11,17 +11,30 @@ document with a smaller doc_id. Strings are judged on the input.
    sends its distinct trigger hashes; those that occur in one document only
    cannot belong to a repeated string, and their phrases are never sent. Of the
    others each group sends every distinct phrase once, with its smallest id.
-3. Order. A bucket sorts the suffixes of its distinct phrases that have at least
-   ``length`` bytes (a suffix array cut at that length); equal neighbours form a
-   class, whose smallest document decides for all of its occurrences.
+3. Order. A bucket of triggers builds the suffix array of its dictionary by prefix
+   doubling, cut at ``length`` bytes, and that of its parse: the occurrences of all
+   phrases, by the phrase's place in the dictionary's order, then by document (a
+   phrase has the bytes that follow it, so the next phrase decides nothing).
+   Together they are the corpus order of the bucket's suffixes: each suffix of the
+   dictionary stands for its phrase's run of the parse. Neighbours with ``length``
+   equal bytes form a class, whose smallest document decides for all occurrences.
 4. The parse brings decisions back to the documents, where they become spans.
 
+A trigger that very many different phrases share (a common run of ``trigger``
+bytes between other words) is hot: more than HOT_GROUPS groups have it, or one has
+more than HOT_PHRASES phrases with it. Its phrases go to no bucket. Their windows
+are taken one by one, each distinct one once per group, and the smallest document
+of each is an aggregate by the window's own bytes, combined before it is shuffled;
+a bucket holds at most HOT_GROUPS x HOT_PHRASES phrases of one trigger.
+
 Hashes only route and pre-select: phrases are merged and suffixes compared by
 their bytes. A hot passage costs one phrase per group, however often it occurs
-inside the group. Defined cases: null text is empty; a document shorter than
+inside the group. What a group sends to a bucket is one row, of which there are at
+most as many as trigger hashes. Defined cases: null text is empty; a document shorter than
 ``length`` is kept; a null doc_id neither removes nor loses bytes; rows with one
-doc_id do not remove each other's bytes; columns named like an output are
-replaced.
+doc_id do not remove each other's bytes; an empty table gives no row; a very long
+text is one document of its group, whole; columns named like an output are
+replaced. doc_id is an integer, or text that reads as one.
 """
 
 from __future__ import annotations
@@ -33,10 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import bytesops as B
-from textmill.llm.frames import drop_clashing, group_count, hash_group, with_fields
+from textmill.llm.frames import checkpoint, drop_clashing, group_count, hash_group, with_fields
 
 LENGTH = 50
 TRIGGER = 16
+GROUP_BYTES = 4 << 20
+BUCKETS_PER_GROUP = 3
+HOT_GROUPS, HOT_PHRASES = 512, 32
 _MOST = 64  # windows of one phrase, so that a decision fits one 64-bit mask
 _NEW = ["kept", "n_bytes", "n_removed", "spans"]
 
@@ -136,14 +152,38 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_ROUTED = "_g int, _keys binary, _rows binary, _lo binary, _mask binary"
+_ROUTED = "_g int, _rows binary, _lo binary, _mask binary"
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rank of the ``h`` bytes at each place, the same ``length - h`` bytes on, h): prefix doubling, up to h <= length < 2 h.
+
+    Equal pairs are equal strings of ``length`` bytes, and pairs order as these do. Places whose string would pass the
+    end of ``data`` have ranks that mean nothing.
+    """
+    h = min(8, length)
+    padded = np.concatenate((data, np.zeros(length, np.uint8)))
+    value = np.zeros(len(data), np.uint64)
+    for i in range(h):
+        value = (value << np.uint64(8)) | padded[i : i + len(data)]
+    rank = np.unique(value, return_inverse=True)[1].astype(np.int64)
+    while h * 2 <= length:
+        pair = rank * (len(data) + 1) + _on(rank, h)
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        h *= 2
+    return rank, _on(rank, length - h), h
+
+
+def _on(rank: np.ndarray, by: int) -> np.ndarray:
+    """``rank`` of the places ``by`` further on, 0 past the end."""
+    return np.concatenate((rank[by:], np.zeros(min(by, len(rank)), rank.dtype)))
 
 
 def _triggers(length: int, trigger: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         g = table["_g"][0].as_py()
         docs = _Docs(table)
-        doc, _, _, t, _ = docs.parse(length, trigger)
+        doc, _, _, t, x = docs.parse(length, trigger)
         order = np.lexsort((docs.ids[doc], t))
         t, ids = t[order], docs.ids[doc][order]
         first = np.ones(len(t), bool)
@@ -153,8 +193,9 @@ def _triggers(length: int, trigger: int, buckets: int):
         if len(at):
             several = ids[at] != ids[np.append(at[1:], len(t)) - 1]
         key = t[at]
+        many = np.isin(key, _with_many(t, x[order]))
         bucket = (key & B.U64(0xFFFF_FFFF)) % B.U64(buckets)
-        key = ((key >> B.U64(17)) << B.U64(17)) | (several.astype(B.U64) << B.U64(16))
+        key = ((key >> B.U64(18)) << B.U64(18)) | (several.astype(B.U64) << B.U64(16)) | (many.astype(B.U64) << B.U64(17))
         order = np.lexsort((key, bucket))
         key, bucket = key[order], bucket[order].astype(np.int64)
         used, at = np.unique(bucket, return_index=True)
@@ -164,26 +205,102 @@ def _triggers(length: int, trigger: int, buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """The trigger hashes of a bucket that more than one document has, sent back to each group that has them."""
-    keys = [_from_six(x) for x in table["_keys"].to_pylist()]
-    sizes = np.array([len(k) for k in keys])
-    key = np.concatenate(keys)
-    row = np.repeat(np.arange(len(keys)), sizes)
-    bare, flag = key >> B.U64(1), (key & B.U64(1)).astype(np.int64)
-    order = np.argsort(bare, kind="stable")
-    b = bare[order]
-    new = np.ones(len(b), bool)
-    new[1:] = b[1:] != b[:-1]
+def _with_many(t: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """The triggers of ``t`` (sorted) that stand in more than HOT_PHRASES different phrases."""
+    new = np.ones(len(t), bool)
+    new[1:] = t[1:] != t[:-1]
     at = np.flatnonzero(new)
-    hot = (np.diff(np.append(at, len(b))) > 1) | (np.add.reduceat(flag[order], at) > 0)
-    keep = np.zeros(len(b), bool)
-    keep[order] = np.repeat(hot, np.diff(np.append(at, len(b))))
-    out = [np.ascontiguousarray(key[(row == i) & keep] if len(keys) < 8 else key[lo:hi][keep[lo:hi]]) for i, (lo, hi) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True))]
-    some = [i for i, x in enumerate(out) if len(x)]
-    g = table["_g"].to_numpy()
-    none = pa.nulls(len(some), pa.binary())
-    return pa.table({"_g": pa.array(g[some].astype(np.int32)), "_keys": pa.array([_six(out[i] << B.U64(16)).tobytes() for i in some], pa.binary()), "_rows": none, "_lo": none, "_mask": none})
+    often = np.diff(np.append(at, len(t))) > HOT_PHRASES
+    use = np.repeat(often, np.diff(np.append(at, len(t))))
+    pairs = np.unique(np.stack((t[use], phrase[use]), axis=1), axis=0)[:, 0] if use.any() else t[:0]
+    key, count = np.unique(pairs, return_counts=True)
+    return key[count > HOT_PHRASES]
+
+
+def _bare(t: np.ndarray) -> np.ndarray:
+    """The part of a trigger hash that is sent."""
+    return t >> B.U64(18)
+
+
+def _among(t: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which triggers have one of these sorted bare keys."""
+    if not len(keys):
+        return np.zeros(len(t), bool)
+    return keys[np.minimum(np.searchsorted(keys, _bare(t)), len(keys) - 1)] == _bare(t)
+
+
+_SHARED = "_g int, _keys binary, _hot binary"
+
+
+def _shared(most_groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The trigger hashes of a bucket that more than one document has, sent back to each group that has them."""
+        keys = [_from_six(x) for x in table["_keys"].to_pylist()]
+        cut = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        key = np.concatenate(keys)
+        bare, several, many = key >> B.U64(2), (key & B.U64(1)).astype(np.int64), (key >> B.U64(1) & B.U64(1)).astype(np.int64)
+        order = np.argsort(bare, kind="stable")
+        b = bare[order]
+        new = np.ones(len(b), bool)
+        new[1:] = b[1:] != b[:-1]
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(b)))
+        keep, hot = np.zeros(len(b), bool), np.zeros(len(b), bool)
+        shared = (size > 1) | (np.add.reduceat(several[order], at) > 0)
+        keep[order] = np.repeat(shared, size)
+        hot[order] = np.repeat(shared & ((size > most_groups) | (np.add.reduceat(many[order], at) > 0)), size)
+        out: dict[str, list] = {"_g": [], "_keys": [], "_hot": []}
+        for g, lo, hi in zip(table["_g"].to_pylist(), cut[:-1], cut[1:], strict=True):
+            if keep[lo:hi].any():
+                own = bare[lo:hi]
+                out["_g"].append(g)
+                out["_keys"].append(_six(own[keep[lo:hi] & ~hot[lo:hi]] << B.U64(18)).tobytes())
+                out["_hot"].append(_six(own[hot[lo:hi]] << B.U64(18)).tobytes() if hot[lo:hi].any() else None)
+        return pa.table([pa.array(out["_g"], pa.int32()), pa.array(out["_keys"], pa.binary()), pa.array(out["_hot"], pa.binary())], ["_g", "_keys", "_hot"])
+
+    return run
+
+
+def _routed_keys(column: pa.ChunkedArray) -> np.ndarray:
+    """Sorted bare keys of routed rows."""
+    parts = [_from_six(k) >> B.U64(2) for k in column.to_pylist() if k]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, B.U64)
+
+
+def _windows_of(docs: _Docs, lo: np.ndarray, count: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(document, start, class, first window of each class) of every window of these phrases, in the order of their places."""
+    row, k = B.ragged(count)
+    at, of = lo[row] + k, doc[row]
+    key = np.concatenate([B.span_hash(h, at[i:j] - base, at[i:j] - base + length) for i, j, base, h in _hashed_parts(docs, at, length)] or [np.zeros(0, B.U64)])
+    classes, heads = merge_equal(docs.data, at, np.full(len(at), length), key)
+    return of, at, classes, heads
+
+
+def _hashed_parts(docs: _Docs, at: np.ndarray, length: int):
+    """Sorted places in parts with a prefix hash of the bytes that each part spans."""
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + B.CHUNK_BYTES)))
+        yield i, j, at[i], B.prefix_hash(docs.data[at[i] : at[j - 1] + length])
+        i = j
+
+
+def _hot_windows(length: int, trigger: int):
+    kinds = {"_g": pa.int32(), "_window": pa.binary(), "_id": pa.int64(), "_row": pa.int64(), "_at": pa.int64()}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each distinct window under a group's hot triggers, with the smallest document that has it and its place there."""
+        if not left.num_rows or not right.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        docs = _Docs(left)
+        doc, lo, count, t, _ = docs.parse(length, trigger)
+        use = _among(t, _routed_keys(right["_hot"]))
+        of, at, _, heads = _windows_of(docs, lo[use], count[use], doc[use], length)
+        of, at = of[heads], at[heads]
+        made = {"_g": np.full(len(at), left["_g"][0].as_py(), np.int32), "_window": [docs.data[p : p + length].tobytes() for p in at.tolist()], "_id": docs.ids[of], "_row": of, "_at": at - docs.offsets[of]}
+        return pa.table({k: pa.array(made[k], t) for k, t in kinds.items()})
+
+    return run
 
 
 def _dictionary(length: int, trigger: int, buckets: int):
@@ -194,10 +311,7 @@ def _dictionary(length: int, trigger: int, buckets: int):
         g = left["_g"][0].as_py()
         docs = _Docs(left)
         doc, lo, count, t, x = docs.parse(length, trigger)
-        shared = np.unique(np.concatenate([_from_six(k) for k in right["_keys"].to_pylist()]) >> B.U64(1))
-        bare = t >> B.U64(17)
-        at = np.minimum(np.searchsorted(shared, bare), len(shared) - 1)
-        use = shared[at] == bare
+        use = _among(t, _routed_keys(right["_keys"]))
         doc, lo, count, t, x = doc[use], lo[use], count[use], t[use], x[use]
         if not len(doc):
             return empty
@@ -233,32 +347,36 @@ def _order(length: int):
         body = np.concatenate([_unpack(x, np.uint8) for x in table["_body"].to_pylist()])
         size = count + length - 1
         lo = np.cumsum(size) - size
-        h = B.prefix_hash(body) if len(body) <= 64 << 20 else None
-        key = B.span_hash(h, lo, lo + size) if h is not None else np.concatenate([B.span_hash(B.prefix_hash(body[a:b]), np.zeros(1, np.int64), np.array([b - a])) for a, b in zip(lo, lo + size, strict=True)])
-        by_id = np.argsort(ids, kind="stable")  # so that the smallest id represents a phrase
-        classes, heads = merge_equal(body, lo[by_id], size[by_id], key[by_id])
-        heads = by_id[heads]
-        classes[by_id] = classes.copy()
-        # The suffix array of the distinct phrases, cut at `length` bytes.
-        row, k = B.ragged(count[heads])
-        start = lo[heads][row] + k
-        window = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, length)[start])
-        order = np.argsort(window.view(f"S{length}").ravel(), kind="stable")
+        key = np.concatenate([B.span_hash(B.prefix_hash(body[lo[i] : lo[j - 1] + size[j - 1]]), lo[i:j] - lo[i], lo[i:j] - lo[i] + size[i:j]) for i, j, *_ in B.chunks(body, np.append(lo, len(body)))])
+        phrase, heads = merge_equal(body, lo, size, key)
+        # The dictionary: its distinct phrases one after another, and their suffix array, cut at `length` bytes.
+        count_of, size_of = count[heads], size[heads]
+        row, k = B.ragged(size_of)
+        dictionary = body[lo[heads][row] + k]
+        begin = np.cumsum(size_of) - size_of
+        ranks = suffix_ranks(dictionary, length)
+        row, k = B.ragged(count_of)
+        a, b = ranks[0][begin[row] + k], ranks[1][begin[row] + k]
+        order = np.lexsort((b, a))
         new = np.ones(len(order), bool)
-        for i in range(0, len(order) - 1, 100_000):
-            here = order[i : i + 100_001]
-            new[i + 1 : i + len(here)] = (window[here[1:]] != window[here[:-1]]).any(axis=1)
-        del window
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        # The parse: occurrences by their phrase's place in that order, then by document; the first of a run is its smallest.
+        place = np.empty(len(heads), np.int64)
+        place[row[order[k[order] == 0]]] = np.arange(len(heads))
+        parse = np.lexsort((ids, place[phrase]))
+        runs = np.searchsorted(place[phrase][parse], np.arange(len(heads)))
+        smallest = ids[parse[runs]][place]
+        # Corpus order of the bucket: each suffix stands for its phrase's run of the parse. Equal neighbours are one class.
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        owner = ids[heads][row]
+        owner = smallest[row]
         least = np.minimum.reduceat(owner[order], np.flatnonzero(new))[group]
         # Decisions of each class, one bit a window; copies of a phrase differ by their id only.
-        first = np.cumsum(count[heads]) - count[heads]
+        first = np.cumsum(count_of) - count_of
         bits = B.U64(1) << k.astype(B.U64)
         mine = np.add.reduceat(np.where(least < owner, bits, B.U64(0)), first)
         whole = np.where(count >= 64, ~B.U64(0), (B.U64(1) << np.minimum(count, 63).astype(B.U64)) - B.U64(1))
-        mask = np.where(ids > ids[heads][classes], whole, mine[classes])
+        mask = np.where(ids > smallest[phrase], whole, mine[phrase])
         groups = np.repeat(np.arange(len(sizes)), sizes)
         keep = mask != 0
         out: dict[str, list] = {"_g": [], "_rows": [], "_lo": [], "_mask": []}
@@ -271,8 +389,7 @@ def _order(length: int):
             out["_rows"].append(_pack(rows[s]))
             out["_lo"].append(_pack(at[s]))
             out["_mask"].append(_pack(mask[s]))
-        n = len(out["_g"])
-        return pa.table({"_g": pa.array(out["_g"], pa.int32()), "_keys": pa.nulls(n, pa.binary())} | {k: pa.array(out[k], pa.binary()) for k in ("_rows", "_lo", "_mask")})
+        return pa.table({"_g": pa.array(out["_g"], pa.int32())} | {k: pa.array(out[k], pa.binary()) for k in ("_rows", "_lo", "_mask")})
 
     return run
 
@@ -282,9 +399,19 @@ def _apply(length: int, trigger: int, schema: pa.Schema, as_text: bool):
         if not left.num_rows:
             return schema.empty_table()
         docs = _Docs(left)
-        doc, lo, count, _, x = docs.parse(length, trigger)
+        doc, lo, count, t, x = docs.parse(length, trigger)
         size = count + length - 1
         change = np.zeros(len(docs.data) + 1, np.int64)
+        if "_hot" in right.column_names and right.num_rows:
+            use = _among(t, _routed_keys(right["_hot"]))
+            of, at, classes, heads = _windows_of(docs, lo[use], count[use], doc[use], length)
+            late = np.zeros(len(heads), bool)
+            for places in right["_places"].to_pylist():
+                for place in places or []:  # bounded by the group
+                    late[classes[np.searchsorted(at, docs.offsets[place["_row"]] + place["_at"])]] = True
+            p = at[late[classes] | (docs.ids[of] > docs.ids[of[heads]][classes])]
+            np.add.at(change, p, 1)
+            np.add.at(change, p + length, -1)
         if len(doc):
             classes, heads = merge_equal(docs.data, lo, size, x)
             gone = docs.ids[doc] > docs.ids[doc[heads]][classes]
@@ -292,6 +419,8 @@ def _apply(length: int, trigger: int, schema: pa.Schema, as_text: bool):
             np.add.at(change, lo[gone] + size[gone], -1)
             decided = np.zeros(len(heads), B.U64)
             for r, a, m in zip(right["_rows"].to_pylist(), right["_lo"].to_pylist(), right["_mask"].to_pylist(), strict=True):
+                if r is None:
+                    continue
                 at = docs.offsets[_unpack(r, np.uint32).astype(np.int64)] + _unpack(a, np.uint32)
                 decided[classes[np.searchsorted(lo, at)]] = _unpack(m, np.uint64)
             rest = np.flatnonzero(~gone & (decided[classes] != 0))  # a phrase may stand more than once in its first document
@@ -323,7 +452,7 @@ def _apply(length: int, trigger: int, schema: pa.Schema, as_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, as_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, as_text: bool = False, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """All rows and columns of ``docs`` with kept, n_bytes, n_removed and spans (byte ranges removed).
 
     ``kept`` is what is left: binary, or with ``as_text`` a string without characters of which a part is gone.
@@ -332,16 +461,23 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER,
 
     if not 0 < trigger <= length:
         raise ValueError("trigger must lie in 1 .. length")
-    groups = group_count(docs)
+    groups = group_count(docs, GROUP_BYTES, 48)
+    buckets = BUCKETS_PER_GROUP * groups
     base = drop_clashing(docs, [*_NEW, "_g"])
     base = base.withColumn("_g", hash_group(F.col("doc_id"), groups))
     result = with_fields(base.drop("_g"), [("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", "array<struct<start:long,end:long>>")])
     grouped = lambda: base.groupBy("_g")
     routed = lambda df: df.groupBy("_g")
-    triggers = grouped().applyInArrow(_triggers(length, trigger, groups), "_b int, _g int, _keys binary")
-    shared = triggers.groupBy("_b").applyInArrow(_shared, _ROUTED)
-    sent = grouped().cogroup(routed(shared)).applyInArrow(_dictionary(length, trigger, groups), "_b int, _g int, _ids binary, _rows binary, _lo binary, _count binary, _body binary")
+    triggers = grouped().applyInArrow(_triggers(length, trigger, buckets), "_b int, _g int, _keys binary")
+    shared = checkpoint(triggers.groupBy("_b").applyInArrow(_shared(hot_groups), _SHARED))
+    sent = grouped().cogroup(routed(shared.select("_g", "_keys"))).applyInArrow(_dictionary(length, trigger, buckets), "_b int, _g int, _ids binary, _rows binary, _lo binary, _count binary, _body binary")
     decided = sent.groupBy("_b").applyInArrow(_order(length), _ROUTED)
+    hot = shared.where("_hot IS NOT NULL").select("_g", "_hot")
+    if not hot.isEmpty():
+        windows = checkpoint(grouped().cogroup(routed(hot)).applyInArrow(_hot_windows(length, trigger), "_g int, _window binary, _id long, _row long, _at long"))
+        least = windows.groupBy("_window").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+        late = windows.join(least, "_window").where("_id > _least").groupBy("_g").agg(F.collect_list(F.struct("_row", "_at")).alias("_places"))
+        decided = decided.unionByName(hot, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
     return grouped().cogroup(routed(decided)).applyInArrow(_apply(length, trigger, to_arrow_schema(result), as_text), result)
 
 
