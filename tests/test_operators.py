@@ -17,6 +17,7 @@ from textmill.operators import index as I
 from textmill.operators import rank as R
 from textmill.operators import rules
 from textmill.operators import spans as S
+from textmill.operators import store as ST
 from textmill.sources import io
 
 
@@ -38,11 +39,10 @@ def test_ngrams(spark):
 
 
 def test_hash_vectors_are_deterministic_units(spark):
-    vector = I.hash_vector(X.tokens(F.col("t")))
-    a, b, c = (one(spark, vector, t=t) for t in ("same text here", "same text here", "other text here"))
-    assert a == b != c and len(a) == 32
-    assert sum(v * v for v in a) == pytest.approx(1)
-    assert one(spark, vector, t="...") == [0.0] * 32
+    rows = spark.createDataFrame([(1, "same text here"), (2, "same text here"), (3, "other text here"), (4, "..."), (5, None)], "id long, text string")
+    v = {r["id"]: r["vector"] for r in ST.hashed_vectors(I.tokenised(rows, "id"), "id").collect()}
+    assert v[1] == v[2] != v[3] and len(v[1]) == 32 and set(v) == {1, 2, 3}
+    assert sum(x * x for x in v[1]) == pytest.approx(1)
 
 
 def test_character_jaccard(spark):
@@ -92,7 +92,7 @@ def test_expansion_negation_numbers(spark):
 def test_bm25_is_not_negative_and_ranks_are_contiguous(spark):
     docs = spark.createDataFrame([(i, f"synthetic word{i} text" + " synthetic" * i) for i in range(6)] + [(9, None)], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "synthetic word3"), (2, "nothing")], "item_id long, text string")
-    ranked = R.top_k(R.bm25(I.tokenised(queries, "item_id"), I.tokenised(docs, "doc_id"), "item_id", "doc_id"), "item_id", "doc_id", "score", 4).orderBy("rank").collect()
+    ranked = R.top_k(R.bm25(ST.unstored(I.tokenised(docs, "doc_id"), "doc_id"), I.tokenised(queries, "item_id"), "item_id"), "item_id", "doc_id", "score", 4).orderBy("rank").collect()
     assert [r["rank"] for r in ranked] == [1, 2, 3, 4]
     assert ranked[0]["doc_id"] == 3 and all(r["score"] >= 0 for r in ranked)
 

@@ -1,4 +1,4 @@
-"""Inverted index as relations: postings, term and corpus statistics, hashed vectors."""
+"""Inverted index as relations: postings, term and corpus statistics."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from textmill.functions import text as X
 
 
-def tokenised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, tokens and length (tokens) of each text."""
-    return df.select(key, X.tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+def tokenised(df: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, kept columns, tokens and length (tokens) of each text."""
+    return df.select(key, *keep, X.tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
 
 
 def terms(units: DataFrame, *keep: str, distinct: bool = False) -> DataFrame:
@@ -34,8 +34,8 @@ def term_statistics(units: DataFrame) -> DataFrame:
 
 def with_corpus(df: DataFrame, units: DataFrame) -> DataFrame:
     """Adds n_units and avg_length, one scalar aggregate over all units."""
-    stats = units.agg(F.count("*").alias("n"), F.avg("length").alias("a"))
-    return df.withColumns({"n_units": stats.select("n").scalar(), "avg_length": stats.select("a").scalar()})
+    stats = units.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("a"))).scalar()
+    return df.withColumn("_s", stats).withColumns({"n_units": F.col("_s.n"), "avg_length": F.col("_s.a")}).drop("_s")
 
 
 def corpus_statistics(units: DataFrame) -> DataFrame:
@@ -58,30 +58,6 @@ def bm25_part(tf: Column, length: Column, df: Column, n: Column, average: Column
     return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
-def hash_vector(items: Column, dimension: int = 32) -> Column:
-    """Signed feature hashing of 1- and 2-grams with L2 norm; all-zero stays zero.
-
-    Bucket: the first 8 bytes of SHA-256 modulo the dimension; sign: parity of byte 9.
-    """
-    grams = F.concat(items, X.ngrams(items, 2))
-
-    def add(vector: Column, gram: Column) -> Column:
-        digest = F.sha2(gram, 256)
-        bucket = F.pmod(F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(dimension)).cast("int")
-        sign = F.when(F.pmod(F.conv(F.substring(digest, 17, 2), 16, 10).cast("int"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        return F.struct(bucket.alias("b"), sign.alias("s"))
-
-    signed = F.transform(grams, lambda g: add(None, g))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(signed, lambda x: x["b"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
-    # The vector is built once, then scaled: a one-element transform keeps it from being computed twice.
-    return F.transform(F.array(raw), _unit)[0]
-
-
-def _unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, F.round(x / norm, 10)).otherwise(F.lit(0.0)))
-
-
 def dot(a: Column, b: Column) -> Column:
     """Dot product; 0 where the lengths differ."""
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)).otherwise(F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.operators import index as I
+from textmill.operators.store import Index
 
 #: Fusion weights of the hybrid score.
 WEIGHTS = {"keyword": 0.15, "tfidf": 0.25, "bm25": 0.40, "dense": 0.15, "metadata": 0.05}
@@ -17,55 +18,68 @@ def top_k(scored: DataFrame, query: str, unit: str, score: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def wanted_postings(queries: DataFrame, units: DataFrame, unit: str) -> DataFrame:
-    """unit, length, term, tf of the terms that some query has, dealt by unit.
+def lexical(index: Index, queries: DataFrame, query: str) -> DataFrame:
+    """query, unit, bm25, tfidf (cosine), cover (distinct query terms found) and q_terms of every pair with a common term.
 
-    Other terms are left out before anything is shuffled, and all that follows for a unit (term counts, scores for
-    each query) stays in its partition.
+    ``queries`` has the query's key, tokens and length. All three are sums over one join of the query terms with the
+    postings; these are bucketed by unit, so nothing is shuffled where the query terms are few enough to be broadcast,
+    which Spark decides by their size. Scores have six places; query terms that the vocabulary lacks count in lengths.
     """
-    wanted = I.terms(queries).distinct()
-    found = I.terms(units, unit, "length").join(wanted, "term", "left_semi")
-    return found.repartition(unit).groupBy(unit, "length", "term").agg(F.count("*").alias("tf"))
+    n, key = index.n_units, index.key
+    asked = I.postings(queries, query).select(query, "term", F.col("tf").alias("q_tf"), F.col("length").alias("q_length"))
+    known = asked.join(index.terms, "term")
+    q_weight = F.col("q_tf") / F.col("q_length") * index.idf()
+    of_query = known.groupBy(query).agg(F.sqrt(F.sum(F.pow(q_weight, F.lit(2.0)))).alias("q_norm"))
+    sizes = queries.select(query, F.size(F.array_distinct("tokens")).alias("q_terms"))
+    terms = known.drop("df").join(of_query, query).join(sizes, query)
+    found = index.postings.join(terms, "term")
+    part = I.bm25_part(F.col("tf"), F.col("length"), F.col("df"), n, index.avg_length)
+    product = F.col("tf") / F.col("length") * index.idf() * q_weight
+    return found.groupBy(query, key).agg(
+        F.round(F.sum(part), 6).alias("bm25"),
+        F.round(F.sum(product) / F.max(F.col("norm") * F.col("q_norm")), 6).alias("tfidf"),
+        F.count("*").alias("cover"),
+        F.max("q_terms").alias("q_terms"),
+    )
+
+
+def bm25(index: Index, queries: DataFrame, query: str) -> DataFrame:
+    return lexical(index, queries, query).select(query, index.key, F.col("bm25").alias("score"))
 
 
-def scores(weighted: DataFrame, queries: DataFrame, query: str, unit: str, value: Column) -> DataFrame:
-    """query, unit, score: the sum of ``value`` over the query's distinct terms that the unit has."""
-    asked = I.postings(queries, query).withColumnsRenamed({"tf": "q_tf", "length": "q_length"})
-    return weighted.join(asked, "term").groupBy(query, unit).agg(F.sum(value).alias("score"))
+def tfidf(index: Index, queries: DataFrame, query: str) -> DataFrame:
+    return lexical(index, queries, query).select(query, index.key, F.col("tfidf").alias("score"))
 
 
-def bm25(queries: DataFrame, units: DataFrame, query: str, unit: str) -> DataFrame:
-    """query, unit, score (six places) for every pair with a common term."""
-    found = wanted_postings(queries, units, unit)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    part = I.bm25_part(F.col("tf"), F.col("length"), F.col("df"), F.col("n_units"), F.col("avg_length"))
-    weighted = I.with_corpus(found.join(df, "term"), units).select(unit, "term", part.alias("w"))
-    return scores(weighted, queries, query, unit, F.col("w")).withColumn("score", F.round("score", 6))
+def holding(pairs: DataFrame, texts: DataFrame, query_texts: DataFrame, query: str, unit: str, form) -> DataFrame:
+    """The pairs of ``lexical`` whose unit's text holds the whole text of the query, both in a normal ``form``.
+
+    Such a unit has all of the query's terms but perhaps the first and the last, which may be parts of longer words
+    there; only pairs with that many terms meet the texts.
+    """
+    near = pairs.where(F.col("cover") >= F.col("q_terms") - 2).select(query, unit)
+    with_text = near.join(texts.select(unit, form(F.col("text")).alias("_t")), unit)
+    return with_text.join(query_texts.select(query, form(F.col("text")).alias("_q")), query).where(F.contains("_t", "_q")).select(query, unit)
 
 
-def tfidf(queries: DataFrame, units: DataFrame, query: str, unit: str) -> DataFrame:
-    """Cosine of (tf / length) x idf vectors; query terms outside the vocabulary still count in its length."""
-    stats = I.with_corpus(I.term_statistics(units), units).select("term", I.idf(F.col("n_units"), F.col("df")).alias("idf"))
-    square = F.pow(F.col("tf") / F.col("length") * F.col("idf"), F.lit(2.0))
-    norms = I.postings(units, unit).join(stats, "term").groupBy(unit).agg(F.sqrt(F.sum(square)).alias("unit_norm"))
-    asked = I.postings(queries, query).join(stats, "term").groupBy(query).agg(F.sqrt(F.sum(square)).alias("query_norm"))
-    weighted = wanted_postings(queries, units, unit).join(stats, "term").select(unit, "term", (F.col("tf") / F.col("length") * F.col("idf")).alias("w"), "idf")
-    product = scores(weighted, queries, query, unit, F.col("w") * F.col("q_tf") / F.col("q_length") * F.col("idf"))
-    return product.join(norms, unit).join(asked, query).select(query, unit, F.round(F.col("score") / (F.col("unit_norm") * F.col("query_norm")), 6).alias("score"))
+def keyword(pairs: DataFrame, texts: DataFrame, query_texts: DataFrame, query: str, unit: str) -> DataFrame:
+    """``pairs`` with keyword: share of distinct query terms found, plus 0.25 if the text holds the whole query, 1 at most."""
+    whole = holding(pairs, texts, query_texts, query, unit, F.lower).select(query, unit, F.lit(0.25).alias("_more"))
+    share = F.col("cover") / F.col("q_terms") + F.coalesce("_more", F.lit(0.0))
+    return pairs.join(whole, [query, unit], "left").withColumn("keyword", F.round(F.least(F.lit(1.0), share), 6)).drop("_more")
 
 
-def keyword(queries: DataFrame, units: DataFrame, texts: DataFrame, query_texts: DataFrame, query: str, unit: str) -> DataFrame:
-    """Share of distinct query terms found, plus 0.25 if the whole query is part of the text, 1 at most.
+def fused(parts: DataFrame, query: str, unit: str, weights: dict[str, float]) -> DataFrame:
+    """query, unit, score: the weighted mean of the columns named by ``weights``, each divided by its maximum for the query.
 
-    A text that holds the whole query has all of its terms but perhaps the first and the last, which may be parts of
-    longer words there; only such pairs meet the texts.
+    The maxima are aggregates that are joined, so a query's pairs never meet in one task.
     """
-    sizes = queries.select(query, F.size(F.array_distinct("tokens")).alias("q_terms"))
-    cover = scores(wanted_postings(queries, units, unit), queries, query, unit, F.lit(1)).join(sizes, query)
-    near = cover.where(F.col("score") >= F.col("q_terms") - 2).select(query, unit)
-    whole = near.join(texts.select(unit, F.lower("text").alias("_t")), unit).join(query_texts.select(query, F.lower("text").alias("_q")), query).where(F.contains("_t", "_q")).select(query, unit, F.lit(0.25).alias("_more"))
-    share = F.col("score") / F.col("q_terms") + F.coalesce("_more", F.lit(0.0))
-    return cover.join(whole, [query, unit], "left").select(query, unit, F.round(F.least(F.lit(1.0), share), 6).alias("score"))
+    best = parts.groupBy(query).agg(*[F.max(c).alias(f"_{c}") for c in weights])
+    total = None
+    for c, w in weights.items():
+        part = F.when(F.col(f"_{c}") > 0, F.lit(w) * F.col(c) / F.col(f"_{c}")).otherwise(F.lit(0.0))
+        total = part if total is None else total + part
+    return parts.join(best, query).select(query, unit, F.round(total / F.lit(round(sum(weights.values()), 10)), 6).alias("score"))
 
 
 def rrf(rankings: list[DataFrame], query: str, unit: str, constant: int = 60) -> DataFrame:
@@ -76,10 +90,10 @@ def rrf(rankings: list[DataFrame], query: str, unit: str, constant: int = 60) ->
     return rows.groupBy(query, unit).agg(F.round(F.sum(1 / (constant + F.col("rank"))), 6).alias("score"))
 
 
-def normalised(scored: DataFrame, query: str, score: str = "score") -> DataFrame:
-    """Each query's scores divided by their maximum; 0 where that is not positive."""
-    best = F.max(score).over(Window.partitionBy(query))
-    return scored.withColumn(score, F.when(best > 0, F.col(score) / best).otherwise(F.lit(0.0)))
+def filters_met(filters: Column, fields: Column) -> Column:
+    """Share of a query's filters (a map) that a unit's fields (a map) equal; 0 without filters."""
+    equal = F.size(F.filter(F.map_entries(filters), lambda e: F.try_element_at(fields, e["key"]) == e["value"]))
+    return F.when(F.size(filters) > 0, F.round(equal / F.size(filters), 10)).otherwise(F.lit(0.0))
 
 
 def confidence(margin: Column, agreement: Column) -> Column:

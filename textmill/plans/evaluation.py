@@ -6,31 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import evaluate as E
+from textmill.operators import rank as R
 from textmill.plans.registry import query, table
-from textmill.plans.retrieval import BM25, Q, TFIDF, TOKENS, U, bm25_ranked, ranked_sql, tfidf_ranked
+from textmill.plans.retrieval import BM25, Q, TFIDF, TOKENS, U, bm25_ranked, items, ranked_sql, scored, tfidf_ranked
 
 #: The retrieval gates.
 GATES = {"hit": (">=", 0.70), "recall": (">=", 0.60), "ndcg": (">=", 0.50), "zero_hits": ("<=", 12.0), "reciprocal_rank": (">=", 0.40)}
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id, grade 1 where the document holds the item's text.
-
-    A document that holds the text shares all of its tokens, so pairs come from the rarest common term, not from all pairs.
-    """
-    from textmill.operators import index as I
-    from textmill.plans.retrieval import corpus
-
-    queries, units = corpus(spark, sf_dir)
-    terms = I.term_statistics(units)
-    asked = queries.select(Q, F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term")
-    rarest = asked.groupBy(Q).agg(F.min(F.struct("df", "term")).alias("r")).select(Q, F.col("r.term").alias("term"))
-    squeeze = lambda c: F.regexp_replace(F.col(c), r"\s+", " ")
-    docs = table(spark, sf_dir, "documents").select(U, squeeze("text").alias("_d"))
-    items = table(spark, sf_dir, "benchmark").select(Q, squeeze("text").alias("_q"))
-    near = units.select(U, F.explode(F.array_distinct("tokens")).alias("term")).join(rarest, "term").select(Q, U)
-    found = near.join(docs, U).join(items, Q).where(F.contains("_d", "_q"))
-    return found.select(Q, U, F.lit(1).alias("grade"))
+    """item_id, doc_id, grade 1 where the document holds the item's text, white space folded."""
+    squeeze = lambda c: F.regexp_replace(c, r"\s+", " ")
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return R.holding(scored(spark, sf_dir), docs, asked, Q, U, squeeze).select(Q, U, F.lit(1).alias("grade"))
 
 
 JUDGED = r"""
@@ -116,9 +104,7 @@ def approval_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN q_terms < 10 THEN 'short' WHEN q_terms < 30 THEN 'medium' ELSE 'long' END AS cohort, count(*) AS n FROM m_a JOIN (SELECT item_id, len(list_distinct(toks)) AS q_terms FROM q) USING (item_id) GROUP BY ALL"""
 )
 def failure_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textmill.plans.retrieval import corpus
-
-    sizes = corpus(spark, sf_dir)[0].select(Q, F.size(F.array_distinct("tokens")).alias("n_terms"))
+    sizes = items(spark, sf_dir).select(Q, F.size(F.array_distinct("tokens")).alias("n_terms"))
     rows = per_query(spark, sf_dir, bm25_ranked(spark, sf_dir)).join(sizes, Q)
     outcome = F.when(F.col("relevant") == 0, "unanswerable").when(F.col("hit") == 0, "missed").when(F.col("reciprocal_rank") < 1, "ranked_low").otherwise("first")
     cohort = F.when(F.col("n_terms") < 10, "short").when(F.col("n_terms") < 30, "medium").otherwise("long")

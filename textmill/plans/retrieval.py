@@ -9,6 +9,7 @@ from textmill.functions import text as X
 from textmill.operators import index as I
 from textmill.operators import rank as R
 from textmill.operators.neighbours import nearest
+from textmill.operators.store import Index, hashed_vectors, index_of
 from textmill.plans.registry import query, table
 
 K = 5
@@ -17,9 +18,18 @@ BLOCKED = ("no", "not", "without", "negative", "positive")
 Q, U = "item_id", "doc_id"
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, units): tokenised benchmark texts and documents."""
-    return I.tokenised(table(spark, sf_dir, "benchmark"), Q), I.tokenised(table(spark, sf_dir, "documents"), U)
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts as queries: item_id, tokens, length."""
+    return I.tokenised(table(spark, sf_dir, "benchmark"), Q)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents; languages and sources are kept for filters."""
+    return index_of(table(spark, sf_dir, "documents"), U, ("lang", "source"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lexical(stored(spark, sf_dir), items(spark, sf_dir), Q)
 
 
 # SQL shared by the oracles: tokens, postings, statistics and the scores of every pair with a common term.
@@ -56,14 +66,16 @@ def ranked_sql(name: str, k: int = K) -> str:
     return f"SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {name} QUALIFY rank <= {k}"
 
 
+def ranked(spark: SparkSession, sf_dir: str, score: str, k: int = K) -> DataFrame:
+    return R.top_k(scored(spark, sf_dir).select(Q, U, F.col(score).alias("score")), Q, U, "score", k)
+
+
 def bm25_ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    queries, units = corpus(spark, sf_dir)
-    return R.top_k(R.bm25(queries, units, Q, U), Q, U, "score", k)
+    return ranked(spark, sf_dir, "bm25", k)
 
 
 def tfidf_ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    queries, units = corpus(spark, sf_dir)
-    return R.top_k(R.tfidf(queries, units, Q, U), Q, U, "score", k)
+    return ranked(spark, sf_dir, "tfidf", k)
 
 
 @query(f"WITH {TOKENS}, {BM25} {ranked_sql('bm25')}")
@@ -77,37 +89,30 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, units = corpus(spark, sf_dir)
-    return R.keyword(queries, units, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Q, U)
+    return R.keyword(scored(spark, sf_dir), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Q, U)
 
 
 @query(f"WITH {TOKENS}, {KEYWORD} {ranked_sql('keyword')}")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_keyword(spark, sf_dir), Q, U, "score", K)
+    return R.top_k(_keyword(spark, sf_dir).select(Q, U, F.col("keyword").alias("score")), Q, U, "score", K)
 
 
 @query(f"WITH {TOKENS}, {BM25}, filtered AS (SELECT bm25.* FROM bm25 JOIN documents USING (doc_id) WHERE lang = 'en' AND source <> 'src0') {ranked_sql('filtered')}")
 def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata filters after the corpus statistics, which stay those of the whole corpus."""
-    queries, units = corpus(spark, sf_dir)
-    allowed = table(spark, sf_dir, "documents").where("lang = 'en' AND source <> 'src0'").select(U)
-    return R.top_k(R.bm25(queries, units, Q, U).join(allowed, U, "left_semi"), Q, U, "score", K)
+    index = stored(spark, sf_dir)
+    allowed = index.units.where("lang = 'en' AND source <> 'src0'").select(U)
+    return R.top_k(R.bm25(index, items(spark, sf_dir), Q).join(allowed, U, "left_semi"), Q, U, "score", K)
 
 
-VECTORS = r"""
-grams AS (SELECT key, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))) AS g FROM (SELECT item_id AS key, toks FROM q)),
-signed AS (SELECT key, (('0x' || sha256(g)[1:16])::UBIGINT % 32)::INT AS b, CASE WHEN ('0x' || sha256(g)[17:18])::INT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM grams),
-summed AS (SELECT key, b, sum(s) AS v FROM signed GROUP BY key, b),
-normed AS (SELECT key, b, round(v / sqrt(sum(v * v) OVER (PARTITION BY key)), 10) AS v FROM summed)
-"""
+def _entries_sql(side: str, name: str) -> str:
+    return f"SELECT id AS {name}, b::BIGINT AS bucket, round(v, 6) AS value FROM dnormed WHERE side = '{side}' AND v <> 0"
 
 
-@query(f"WITH {TOKENS}, {VECTORS} SELECT key AS item_id, b::BIGINT AS bucket, round(v, 6) AS value FROM normed WHERE v <> 0")
-def hash_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-zero entries of the benchmark texts' hashed vectors."""
-    queries, _ = corpus(spark, sf_dir)
-    vectors = queries.select(Q, I.hash_vector(F.col("tokens")).alias("v"))
-    return vectors.select(Q, F.posexplode("v").alias("bucket", "value")).where("value <> 0").select(Q, F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
+def _entries(vectors: DataFrame, key: str) -> DataFrame:
+    """Non-zero entries of vectors, one row each."""
+    rows = vectors.where("vector IS NOT NULL").select(key, F.posexplode("vector").alias("bucket", "value")).where("value <> 0")
+    return rows.select(key, F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
 
 
 DENSE = r"""
@@ -122,36 +127,50 @@ dense AS (SELECT x.id AS item_id, y.id AS doc_id, round(coalesce(dot, 0), 6) + 0
 """
 
 
+@query(f"WITH {TOKENS}, {DENSE} {_entries_sql('q', 'item_id')}")
+def hash_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-zero entries of the benchmark texts' hashed vectors."""
+    return _entries(hashed_vectors(items(spark, sf_dir), Q), Q)
+
+
+@query(f"WITH {TOKENS}, {DENSE} {_entries_sql('d', 'doc_id')}")
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-zero entries of the documents' hashed vectors, from the stored index."""
+    return _entries(stored(spark, sf_dir).units, U)
+
+
 @query(f"WITH {TOKENS}, {DENSE} {ranked_sql('dense')}")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of the hashed vectors of every item with those of all documents that have a token."""
-    queries, units = corpus(spark, sf_dir)
-    vector = lambda rows, key: rows.where(F.size("tokens") > 0).select(key.alias("vec_id"), I.hash_vector(F.col("tokens")).alias("v"))
+    vector = lambda rows, key: rows.where("vector IS NOT NULL").select(key.alias("vec_id"), F.col("vector").alias("v"))
     # Ids of items become negative, since a vector is no neighbour of the one with its own id.
-    found = nearest(vector(queries, -1 - F.col(Q)), vector(units, F.col(U)), K)
+    found = nearest(vector(hashed_vectors(items(spark, sf_dir), Q), -1 - F.col(Q)), vector(stored(spark, sf_dir).units, F.col(U)), K)
     return found.select((-1 - F.col("query_id")).alias(Q), F.col("neighbour").alias(U), "score", "rank")
 
 
 @query(
-    f"""WITH {TOKENS}, {BM25}, {TFIDF}, {KEYWORD},
-    parts AS (SELECT item_id, doc_id, coalesce(b.score, 0) AS b, coalesce(t.score, 0) AS t, coalesce(k.score, 0) AS k
-              FROM bm25 b FULL JOIN tfidf t USING (item_id, doc_id) FULL JOIN keyword k USING (item_id, doc_id)),
-    fused AS (SELECT item_id, doc_id, round((0.4::DOUBLE * b / max(b) OVER w + 0.25::DOUBLE * t / max(t) OVER w + 0.15::DOUBLE * k / max(k) OVER w) / 0.8::DOUBLE, 6) AS score
-              FROM parts WINDOW w AS (PARTITION BY item_id))
+    f"""WITH {TOKENS}, {BM25}, {TFIDF}, {KEYWORD}, {DENSE},
+    parts AS (SELECT item_id, doc_id, b.score AS b, t.score AS t, k.score AS k, round(coalesce(dot, 0), 6) + 0 AS v, (item_id % 3 = 1)::INT::DOUBLE AS m
+              FROM bm25 b JOIN tfidf t USING (item_id, doc_id) JOIN keyword k USING (item_id, doc_id) LEFT JOIN dots USING (item_id, doc_id) JOIN documents USING (doc_id)
+              WHERE item_id % 3 <> 1 OR lang = 'en'),
+    best AS (SELECT item_id, max(b) AS mb, max(t) AS mt, max(k) AS mk, max(v) AS mv, max(m) AS mm FROM parts GROUP BY item_id),
+    fused AS (SELECT item_id, doc_id, round((CASE WHEN mk > 0 THEN 0.15::DOUBLE * k / mk ELSE 0 END + CASE WHEN mt > 0 THEN 0.25::DOUBLE * t / mt ELSE 0 END
+              + CASE WHEN mb > 0 THEN 0.4::DOUBLE * b / mb ELSE 0 END + CASE WHEN mv > 0 THEN 0.15::DOUBLE * v / mv ELSE 0 END + CASE WHEN mm > 0 THEN 0.05::DOUBLE * m / mm ELSE 0 END) / 1.0::DOUBLE, 6) AS score
+              FROM parts JOIN best USING (item_id))
     {ranked_sql('fused')}"""
 )
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted fusion of the lexical scores, each divided by its maximum for the query."""
-    queries, units = corpus(spark, sf_dir)
-    parts = {"bm25": R.bm25(queries, units, Q, U), "tfidf": R.tfidf(queries, units, Q, U), "keyword": _keyword(spark, sf_dir)}
-    rows = None
-    for name, scored in parts.items():
-        part = R.normalised(scored, Q).select(Q, U, *[(F.col("score") if n == name else F.lit(None).cast("double")).alias(n) for n in parts])
-        rows = part if rows is None else rows.unionByName(part)
-    best = rows.groupBy(Q, U).agg(*[F.coalesce(F.max(n), F.lit(0.0)).alias(n) for n in parts])
-    total = sum(R.WEIGHTS[n] for n in parts)
-    fused = best.select(Q, U, F.round((R.WEIGHTS["bm25"] * F.col("bm25") + R.WEIGHTS["tfidf"] * F.col("tfidf") + R.WEIGHTS["keyword"] * F.col("keyword")) / F.lit(round(total, 10)), 6).alias("score"))
-    return R.top_k(fused, Q, U, "score", K)
+    """Weighted fusion of keyword, TF-IDF, BM25, dense and metadata scores, each divided by its maximum for the query.
+
+    Every third item carries a filter (language en), which cuts its units first; the share of filters met is then 1.
+    """
+    index = stored(spark, sf_dir)
+    asked = hashed_vectors(items(spark, sf_dir), Q).select(Q, F.col("vector").alias("_q"))
+    filters = F.when(F.col(Q) % 3 == 1, F.create_map(F.lit("lang"), F.lit("en"))).otherwise(F.create_map().cast("map<string,string>"))
+    parts = _keyword(spark, sf_dir).join(index.units.select(U, "vector", "lang", "source"), U).join(asked, Q, "left").withColumn("_f", filters)
+    met = R.filters_met(F.col("_f"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")))
+    parts = parts.where((F.size("_f") == 0) | (met == 1)).withColumns({"metadata": met, "dense": F.round(F.coalesce(I.dot(F.col("_q"), F.col("vector")), F.lit(0.0)), 6)})
+    return R.top_k(R.fused(parts, Q, U, R.WEIGHTS), Q, U, "score", K)
 
 
 @query(
@@ -204,8 +223,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top five documents of each item with both texts and token arrays."""
     top = bm25_ranked(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(U, F.col("text").alias("d_text"))
-    items = table(spark, sf_dir, "benchmark").select(Q, F.col("text").alias("q_text"))
-    return top.join(docs, U).join(items, Q).withColumns({"q_toks": X.tokens(F.col("q_text")), "d_toks": X.tokens(F.col("d_text"))})
+    texts = table(spark, sf_dir, "benchmark").select(Q, F.col("text").alias("q_text"))
+    return top.join(docs, U).join(texts, Q).withColumns({"q_toks": X.tokens(F.col("q_text")), "d_toks": X.tokens(F.col("d_text"))})
 
 
 @query(
