@@ -98,7 +98,7 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, _t (hash of the text) and _gone, the sorted lines (a, b) that go, of each text that loses some."""
     key = ["doc_id", "_t"]
     slim = docs.select("doc_id", F.xxhash64("text").alias("_t"), "text").where(F.instr("text", "\n") > 0)
-    found = checkpoint(slim.select(*key, F.explode(units(F.col("text"), window)).alias("_u")).select(*key, "_u.*"))  # numbers only
+    found = slim.select(*key, F.explode(units(F.col("text"), window)).alias("_u")).select(*key, "_u.*")  # numbers only; made twice
     place = F.struct("doc_id", "_t", "a", "b")
     # Checkpointed so that both sides of the join below are exchanged for it, and a hot hash's partition can be split.
     repeated = checkpoint(found.groupBy("h").agg(F.count("*").alias("_times"), F.min(place).alias("_first")).where("_times > 1").select("h", "_first"))
