@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -78,14 +79,15 @@ def test_a_hot_trigger_is_split(spark, tmp_path):
     assert sum(n for _, n, _ in expected.values()) > 10_000
 
 
-def test_suffix_ranks_order_strings():
+def test_suffix_order_of_strings():
     rng = random.Random(3)
     for length in (3, 8, 9, 20, 50, 64):
-        raw = bytes(rng.choice(b"ab") for _ in range(600))
-        a, b, _ = suffix.suffix_ranks(np.frombuffer(raw, np.uint8), length)
-        places = range(len(raw) - length + 1)
-        assert sorted(places, key=lambda i: (a[i], b[i], i)) == sorted(places, key=lambda i: (raw[i : i + length], i))
-        assert len({(a[i], b[i]) for i in places}) == len({raw[i : i + length] for i in places})
+        raw = bytes(rng.choice(b"ab\xff") for _ in range(600)) + b"ab" * 100
+        places = np.arange(len(raw) - length + 1)
+        order, new = suffix.suffix_order(np.frombuffer(raw, np.uint8), places, length)
+        cut = [raw[i : i + length] for i in order]
+        assert cut == sorted(cut) and sorted(order.tolist()) == places.tolist()
+        assert new.tolist() == [True, *[a != b for a, b in itertools.pairwise(cut)]]
 
 
 def brute_classes(rows):

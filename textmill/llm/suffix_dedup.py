@@ -11,8 +11,8 @@ document with a smaller doc_id. Strings are judged on the input.
    sends its distinct trigger hashes; those that occur in one document only
    cannot belong to a repeated string, and their phrases are never sent. Of the
    others each group sends every distinct phrase once, with its smallest id.
-3. Order. A bucket of triggers builds the suffix array of its dictionary by prefix
-   doubling, cut at ``length`` bytes, and that of its parse: the occurrences of all
+3. Order. A bucket of triggers builds the suffix array of its dictionary by radix
+   passes, cut at ``length`` bytes, and that of its parse: the occurrences of all
    phrases, by the phrase's place in the dictionary's order, then by document (a
    phrase has the bytes that follow it, so the next phrase decides nothing).
    Together they are the corpus order of the bucket's suffixes: each suffix of the
@@ -22,10 +22,10 @@ document with a smaller doc_id. Strings are judged on the input.
 
 A trigger that very many different phrases share (a common run of ``trigger``
 bytes between other words) is hot: more than HOT_GROUPS groups have it, or one has
-more than HOT_PHRASES phrases with it. Its phrases go to no bucket. Their windows
-are taken one by one, each distinct one once per group, and the smallest document
-of each is an aggregate by the window's own bytes, combined before it is shuffled;
-a bucket holds at most HOT_GROUPS x HOT_PHRASES phrases of one trigger.
+more than HOT_PHRASES phrases with it. Its windows are phrases of their own, each
+distinct one once per group, and go to buckets by their own bytes; so a bucket holds
+at most HOT_GROUPS x HOT_PHRASES phrases of one trigger, and of one window or phrase
+as many as there are groups.
 
 Hashes only route and pre-select: phrases are merged and suffixes compared by
 their bytes. A hot passage costs one phrase per group, however often it occurs
@@ -46,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm import bytesops as B
-from textmill.llm.frames import checkpoint, drop_clashing, group_count, hash_group, with_fields
+from textmill.llm.frames import drop_clashing, group_count, hash_group, with_fields
 
 LENGTH = 50
 TRIGGER = 16
 GROUP_BYTES = 4 << 20
 BUCKETS_PER_GROUP = 3
-HOT_GROUPS, HOT_PHRASES = 512, 32
+HOT_GROUPS, HOT_PHRASES = 256, 128
 _MOST = 64  # windows of one phrase, so that a decision fits one 64-bit mask
 _NEW = ["kept", "n_bytes", "n_removed", "spans"]
 
@@ -155,28 +155,37 @@ def _from_six(raw: bytes) -> np.ndarray:
 _ROUTED = "_g int, _rows binary, _lo binary, _mask binary"
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rank of the ``h`` bytes at each place, the same ``length - h`` bytes on, h): prefix doubling, up to h <= length < 2 h.
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the suffixes at ``starts`` in the order of their first ``length`` bytes, whether each differs from the one before).
 
-    Equal pairs are equal strings of ``length`` bytes, and pairs order as these do. Places whose string would pass the
-    end of ``data`` have ranks that mean nothing.
+    Radix passes of eight bytes, from the first, each over what the passes before left tied.
     """
-    h = min(8, length)
-    padded = np.concatenate((data, np.zeros(length, np.uint8)))
-    value = np.zeros(len(data), np.uint64)
-    for i in range(h):
-        value = (value << np.uint64(8)) | padded[i : i + len(data)]
-    rank = np.unique(value, return_inverse=True)[1].astype(np.int64)
-    while h * 2 <= length:
-        pair = rank * (len(data) + 1) + _on(rank, h)
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        h *= 2
-    return rank, _on(rank, length - h), h
-
-
-def _on(rank: np.ndarray, by: int) -> np.ndarray:
-    """``rank`` of the places ``by`` further on, 0 past the end."""
-    return np.concatenate((rank[by:], np.zeros(min(by, len(rank)), rank.dtype)))
+    def digit(at: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            out = (out << np.uint64(8)) | data[at + i]
+        return out
+
+    order = np.argsort(digit(starts, min(8, length)))
+    key = digit(starts[order], min(8, length))
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
+    done = 8
+    while done < length:
+        # Places (of the order) that have an equal neighbour, and the run that each belongs to.
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        place = np.flatnonzero(tied)
+        if not len(place):
+            break
+        run = np.cumsum(new[place])
+        key = digit(starts[order[place]] + done, min(8, length - done))
+        within = np.lexsort((key, run))
+        order[place] = order[place][within]
+        key = key[within]
+        new[place[1:]] |= (key[1:] != key[:-1]) & (run[1:] == run[:-1])
+        done += 8
+    return order, new
 
 
 def _triggers(length: int, trigger: int, buckets: int):
@@ -271,36 +280,20 @@ def _windows_of(docs: _Docs, lo: np.ndarray, count: np.ndarray, doc: np.ndarray,
     """(document, start, class, first window of each class) of every window of these phrases, in the order of their places."""
     row, k = B.ragged(count)
     at, of = lo[row] + k, doc[row]
-    key = np.concatenate([B.span_hash(h, at[i:j] - base, at[i:j] - base + length) for i, j, base, h in _hashed_parts(docs, at, length)] or [np.zeros(0, B.U64)])
-    classes, heads = merge_equal(docs.data, at, np.full(len(at), length), key)
+    classes, heads = merge_equal(docs.data, at, np.full(len(at), length), _hashes(docs, at, length))
     return of, at, classes, heads
 
 
-def _hashed_parts(docs: _Docs, at: np.ndarray, length: int):
-    """Sorted places in parts with a prefix hash of the bytes that each part spans."""
-    i = 0
-    while i < len(at):
+def _hashes(docs: _Docs, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes at each of these places."""
+    key, order, i = np.zeros(len(at), B.U64), np.argsort(at, kind="stable"), 0
+    at = at[order]
+    while i < len(at):  # the places of a part of the bytes at a time
         j = max(i + 1, int(np.searchsorted(at, at[i] + B.CHUNK_BYTES)))
-        yield i, j, at[i], B.prefix_hash(docs.data[at[i] : at[j - 1] + length])
+        here = at[i:j] - at[i]
+        key[order[i:j]] = B.span_hash(B.prefix_hash(docs.data[at[i] : at[j - 1] + length]), here, here + length)
         i = j
-
-
-def _hot_windows(length: int, trigger: int):
-    kinds = {"_g": pa.int32(), "_window": pa.binary(), "_id": pa.int64(), "_row": pa.int64(), "_at": pa.int64()}
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Each distinct window under a group's hot triggers, with the smallest document that has it and its place there."""
-        if not left.num_rows or not right.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        docs = _Docs(left)
-        doc, lo, count, t, _ = docs.parse(length, trigger)
-        use = _among(t, _routed_keys(right["_hot"]))
-        of, at, _, heads = _windows_of(docs, lo[use], count[use], doc[use], length)
-        of, at = of[heads], at[heads]
-        made = {"_g": np.full(len(at), left["_g"][0].as_py(), np.int32), "_window": [docs.data[p : p + length].tobytes() for p in at.tolist()], "_id": docs.ids[of], "_row": of, "_at": at - docs.offsets[of]}
-        return pa.table({k: pa.array(made[k], t) for k, t in kinds.items()})
-
-    return run
+    return key
 
 
 def _dictionary(length: int, trigger: int, buckets: int):
@@ -311,12 +304,17 @@ def _dictionary(length: int, trigger: int, buckets: int):
         g = left["_g"][0].as_py()
         docs = _Docs(left)
         doc, lo, count, t, x = docs.parse(length, trigger)
-        use = _among(t, _routed_keys(right["_keys"]))
+        hot = _among(t, _routed_keys(right["_hot"]))
+        of, window, _, first = _windows_of(docs, lo[hot], count[hot], doc[hot], length)
+        use = _among(t, _routed_keys(right["_keys"])) & ~hot
         doc, lo, count, t, x = doc[use], lo[use], count[use], t[use], x[use]
-        if not len(doc):
+        if not len(doc) and not len(first):
             return empty
         _, heads = merge_equal(docs.data, lo, count + length - 1, x)
-        doc, lo, count, t = doc[heads], lo[heads], count[heads], t[heads]
+        # A hot trigger's windows are phrases of one window that their own bytes route.
+        doc, lo = np.concatenate((doc[heads], of[first])), np.concatenate((lo[heads], window[first]))
+        t = np.concatenate((t[heads], _hashes(docs, window[first], length)))
+        count = np.concatenate((count[heads], np.ones(len(first), np.int64)))
         bucket = ((t & B.U64(0xFFFF_FFFF)) % B.U64(buckets)).astype(np.int64)
         order = np.lexsort((lo, bucket))
         doc, lo, count, bucket = doc[order], lo[order], count[order], bucket[order]
@@ -354,12 +352,8 @@ def _order(length: int):
         row, k = B.ragged(size_of)
         dictionary = body[lo[heads][row] + k]
         begin = np.cumsum(size_of) - size_of
-        ranks = suffix_ranks(dictionary, length)
         row, k = B.ragged(count_of)
-        a, b = ranks[0][begin[row] + k], ranks[1][begin[row] + k]
-        order = np.lexsort((b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        order, new = suffix_order(dictionary, begin[row] + k, length)
         # The parse: occurrences by their phrase's place in that order, then by document; the first of a run is its smallest.
         place = np.empty(len(heads), np.int64)
         place[row[order[k[order] == 0]]] = np.arange(len(heads))
@@ -402,13 +396,17 @@ def _apply(length: int, trigger: int, schema: pa.Schema, as_text: bool):
         doc, lo, count, t, x = docs.parse(length, trigger)
         size = count + length - 1
         change = np.zeros(len(docs.data) + 1, np.int64)
-        if "_hot" in right.column_names and right.num_rows:
-            use = _among(t, _routed_keys(right["_hot"]))
-            of, at, classes, heads = _windows_of(docs, lo[use], count[use], doc[use], length)
+        parts = [x for x in zip(right["_rows"].to_pylist(), right["_lo"].to_pylist(), right["_mask"].to_pylist(), strict=True) if x[0] is not None]
+        none = np.zeros(0, np.int64)
+        place = np.concatenate([none, *[docs.offsets[_unpack(r, np.uint32).astype(np.int64)] + _unpack(a, np.uint32) for r, a, _ in parts]])
+        mask = np.concatenate([none.astype(B.U64), *[_unpack(m, np.uint64) for _, _, m in parts]])
+        owner = np.searchsorted(lo, place, side="right") - 1
+        hot = _among(t, _routed_keys(right["_hot"]))
+        of_hot = hot[owner] if len(place) else np.zeros(0, bool)
+        if hot.any():  # windows of hot triggers: an equal one in a smaller document of the group, or elsewhere
+            of, at, classes, heads = _windows_of(docs, lo[hot], count[hot], doc[hot], length)
             late = np.zeros(len(heads), bool)
-            for places in right["_places"].to_pylist():
-                for place in places or []:  # bounded by the group
-                    late[classes[np.searchsorted(at, docs.offsets[place["_row"]] + place["_at"])]] = True
+            late[classes[np.searchsorted(at, place[of_hot])]] = True
             p = at[late[classes] | (docs.ids[of] > docs.ids[of[heads]][classes])]
             np.add.at(change, p, 1)
             np.add.at(change, p + length, -1)
@@ -418,11 +416,7 @@ def _apply(length: int, trigger: int, schema: pa.Schema, as_text: bool):
             np.add.at(change, lo[gone], 1)
             np.add.at(change, lo[gone] + size[gone], -1)
             decided = np.zeros(len(heads), B.U64)
-            for r, a, m in zip(right["_rows"].to_pylist(), right["_lo"].to_pylist(), right["_mask"].to_pylist(), strict=True):
-                if r is None:
-                    continue
-                at = docs.offsets[_unpack(r, np.uint32).astype(np.int64)] + _unpack(a, np.uint32)
-                decided[classes[np.searchsorted(lo, at)]] = _unpack(m, np.uint64)
+            decided[classes[owner[~of_hot]]] = mask[~of_hot]
             rest = np.flatnonzero(~gone & (decided[classes] != 0))  # a phrase may stand more than once in its first document
             mask, at = decided[classes[rest]], lo[rest]
             for bit in range(_MOST):
@@ -469,15 +463,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER,
     grouped = lambda: base.groupBy("_g")
     routed = lambda df: df.groupBy("_g")
     triggers = grouped().applyInArrow(_triggers(length, trigger, buckets), "_b int, _g int, _keys binary")
-    shared = checkpoint(triggers.groupBy("_b").applyInArrow(_shared(hot_groups), _SHARED))
-    sent = grouped().cogroup(routed(shared.select("_g", "_keys"))).applyInArrow(_dictionary(length, trigger, buckets), "_b int, _g int, _ids binary, _rows binary, _lo binary, _count binary, _body binary")
-    decided = sent.groupBy("_b").applyInArrow(_order(length), _ROUTED)
-    hot = shared.where("_hot IS NOT NULL").select("_g", "_hot")
-    if not hot.isEmpty():
-        windows = checkpoint(grouped().cogroup(routed(hot)).applyInArrow(_hot_windows(length, trigger), "_g int, _window binary, _id long, _row long, _at long"))
-        least = windows.groupBy("_window").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
-        late = windows.join(least, "_window").where("_id > _least").groupBy("_g").agg(F.collect_list(F.struct("_row", "_at")).alias("_places"))
-        decided = decided.unionByName(hot, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
+    shared = triggers.groupBy("_b").applyInArrow(_shared(hot_groups), _SHARED)
+    sent = grouped().cogroup(routed(shared)).applyInArrow(_dictionary(length, trigger, buckets), "_b int, _g int, _ids binary, _rows binary, _lo binary, _count binary, _body binary")
+    decided = sent.groupBy("_b").applyInArrow(_order(length), _ROUTED).unionByName(shared.select("_g", "_hot").where("_hot IS NOT NULL"), allowMissingColumns=True)
     return grouped().cogroup(routed(decided)).applyInArrow(_apply(length, trigger, to_arrow_schema(result), as_text), result)
 
 
