@@ -21,9 +21,21 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+#: Letters whose case folding is longer or other than their lower case, where it changes ASCII letters.
+FOLDED = {"ß": "ss", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def casefold(text: Column) -> Column:
+    """Lower case, with the letters that fold into ASCII ones."""
+    out = F.lower(text)
+    for a, b in FOLDED.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def tokens(text: Column) -> Column:
-    """Retrieval tokens of lower-cased text, in order (text is taken as NFC)."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """Retrieval tokens of case-folded text, in order (text is taken as NFC; ``index.tokenised`` makes it so)."""
+    return F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def profile_tokens(text: Column) -> Column:
@@ -65,11 +77,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), share_of)
 
 
+def normalise_steps(text: Column, tab_width: int = 4) -> list[tuple[str, Column]]:
+    """The ordered steps of ``normalise``, each with the text that it leaves."""
+    lines = F.regexp_replace(text, r"\r\n?", "\n")
+    untabbed = F.replace(lines, F.lit("\t"), F.lit(" " * tab_width))
+    trimmed = F.regexp_replace(untabbed, r"[ ]+(\n|$)", "$1")
+    return [("line_endings", lines), ("tabs", untabbed), ("trailing_spaces", trimmed), ("inner_spaces", F.regexp_replace(trimmed, r"(?<=\S) {2,}(?=\S)", " "))]
+
+
 def normalise(text: Column, tab_width: int = 4) -> Column:
     """Line ends to LF, tabs to spaces, no spaces at line ends, one space between words, no final newline run."""
-    lines = F.regexp_replace(text, r"\r\n?", "\n")
-    spaced = F.regexp_replace(F.replace(lines, F.lit("\t"), F.lit(" " * tab_width)), r"[ ]+(\n|$)", "$1")
-    return F.regexp_replace(spaced, r"(?<=\S) {2,}(?=\S)", " ")
+    return normalise_steps(text, tab_width)[-1][1]
 
 
 def analytical(text: Column) -> Column:
@@ -87,6 +105,28 @@ def snippet(text: Column, limit: int) -> Column:
     return F.substring(F.regexp_replace(text, "\n", " "), 1, limit)
 
 
+def context(text: Column, start: Column, end: Column, window: int) -> Column:
+    """The text from ``window`` characters before a span to as many behind it, line breaks as spaces; a note without a span."""
+    first = F.greatest(F.lit(0), start - window)
+    last = F.least(F.length(text), end + window)
+    cut = F.regexp_replace(F.substring(text, (first + 1).cast("int"), (last - first).cast("int")), "\n", " ")
+    return F.when(start.isNull() | end.isNull(), F.lit("document-level: no context")).otherwise(cut)
+
+
+def lookup_key(text: Column) -> Column:
+    """Lower case, white space folded and trimmed: equal keys are the same question."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def transformations(text: Column, steps: list[tuple[str, Column]]) -> Column:
+    """Audit of ordered steps: array of struct(step, changed, before, after) with checksums; ``steps`` are (name, text so far)."""
+    rows, before = [], text
+    for name, after in steps:
+        rows.append(F.struct(F.lit(name).alias("step"), (~before.eqNullSafe(after)).alias("changed"), F.sha2(before, 256).alias("before"), F.sha2(after, 256).alias("after")))
+        before = after
+    return F.array(*rows)
+
+
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
     """part / whole at six places; ``empty`` where the denominator is 0."""
     return F.when(whole > 0, F.round(part / whole, 6)).otherwise(F.lit(empty))

@@ -13,7 +13,7 @@ ANSWER, QUOTE, SUPPORT = 180, 120, 0.20
 
 
 def bundle(ranked: DataFrame, query: str, document: str, text: str) -> DataFrame:
-    """Rank-ordered evidence with labels E1, E2, ... and the running number of characters.
+    """Rank-ordered evidence with labels E1, E2, ... and the running number of characters (``selected`` is the general form).
 
     The limits on units and on snippets keep a bundle below the limit on characters, so no sequential fold is needed:
     units x snippet <= characters is checked here.
@@ -51,7 +51,9 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
     rate = lambda c: X.ratio(F.sum(F.col(c).cast("long")), n, 1.0)
     return rows.agg(n.alias("answers"), rate("grounded").alias("grounded_rate"), rate("cited").alias("citation_rate"), rate("safe").alias("safety_rate"))
 
-#: Refusal texts by reason.
+
+#: How an answer begins, and refusal texts by reason.
+OPENING = "The retrieved synthetic records indicate: "
 REFUSALS = {
     "unsupported_clinical_advice": "This synthetic portfolio system cannot provide clinical advice or patient-specific conclusions.",
     "unsupported_diagnosis_request": "This synthetic portfolio system cannot provide diagnosis or diagnostic certainty.",
@@ -86,6 +88,177 @@ def status(request_class: Column, confidence: Column, grounding: Column, safe: C
     )
 
 
+def selected(ranked: DataFrame, query: str, document: str, units: int = UNITS, per_document: int = PER_DOCUMENT, characters: int = CHARACTERS, least: float = CONFIDENCE) -> DataFrame:
+    """Rank-ordered greedy selection with the reason of each exclusion.
+
+    ``ranked`` has query, rank, document, confidence and n (characters). In rank order a row is left out if it is below
+    the confidence, the third of its document, beyond the characters still free, or if enough are taken; what is left
+    out takes no room. A query's rows, as many as its ranking has, are folded as one array. Adds label (E1, E2, ... or
+    null) and reason (null if selected).
+    """
+    fields = F.struct("rank", F.col(document).alias("_d"), "confidence", F.col("n").cast("long").alias("n"))
+    folded = ranked.groupBy(query).agg(F.array_sort(F.collect_list(fields)).alias("_rows"))
+    empty = "cast(array() as array<struct<rank:bigint,_d:bigint,reason:string,label:string>>)"
+    start = F.struct(F.expr(empty).alias("out"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("taken"))
+
+    def step(state: Column, row: Column) -> Column:
+        own = F.size(F.filter(state["out"], lambda o: (o["_d"] == row["_d"]) & o["label"].isNotNull()))
+        reason = (
+            F.when(state["taken"] >= units, "enough_units")
+            .when(row["confidence"].isNull() | (row["confidence"] < least), "low_confidence")
+            .when(own >= per_document, "document_limit")
+            .when(state["total"] + row["n"] > characters, "character_limit")
+        )
+
+        def add(r: Column) -> Column:
+            label = F.when(r.isNull(), F.concat(F.lit("E"), (state["taken"] + 1).cast("string")))
+            new = F.struct(row["rank"].cast("long").alias("rank"), row["_d"].cast("long").alias("_d"), r.alias("reason"), label.alias("label"))
+            return F.struct(
+                F.array_append(state["out"], new).alias("out"), (state["total"] + F.when(r.isNull(), row["n"]).otherwise(F.lit(0))).alias("total"), (state["taken"] + F.when(r.isNull(), F.lit(1)).otherwise(F.lit(0))).alias("taken")
+            )
+
+        return X.let(reason, add)
+
+    done = F.aggregate("_rows", start, step, lambda state: state["out"])
+    return folded.select(query, F.explode(done).alias("o")).select(query, F.col("o.rank").alias("rank"), F.col("o._d").alias(document), "o.label", "o.reason")
+
+
+def repaired(citations: DataFrame, bundle_rows: DataFrame, query: str, document: str) -> DataFrame:
+    """Citations (query, citation_id, label, quote) with the document of their trimmed label; unknown labels and repeats go.
+
+    Of repeated citation ids the first by label and quote stays.
+    """
+    known = bundle_rows.select(query, "label", document)
+    kept = citations.withColumn("label", F.trim("label")).join(known, [query, "label"])
+    first = kept.groupBy(query, "citation_id").agg(F.min(F.struct("label", "quote", document)).alias("r"))
+    return first.select(query, "citation_id", "r.label", f"r.{document}", "r.quote")
+
+
+def citation_validity(citations: DataFrame, claims: DataFrame, bundle_rows: DataFrame, query: str, document: str) -> DataFrame:
+    """One row a query: invalid citations, claims with and without citations, and status.
+
+    A citation (query, label, document, quote, start, end) is counted once for each rule it breaks: its document is not
+    in the bundle, its label is another's, its quote is not in the snippet, its range leaves the snippet; repeated labels
+    count once for the query. claims: query, factual, cited.
+    """
+    known = bundle_rows.select(query, F.col(document), F.col("label").alias("_l"), "snippet")
+    joined = citations.join(known, [query, document], "left")
+    absent = F.col("snippet").isNull()
+    faults = [F.col("label") != F.col("_l"), ~F.contains("snippet", "quote"), (F.col("start") < 0) | (F.col("end") > F.length("snippet"))]
+    count = F.when(absent, F.lit(1)).otherwise(sum((F.coalesce(f, F.lit(True)).cast("int") for f in faults), F.lit(0)))
+    per = joined.groupBy(query).agg(F.sum(count).alias("_bad"), F.count("*").alias("_n"), F.count_distinct("label").alias("_labels"))
+    of_claims = claims.groupBy(query).agg(F.count_if("cited").alias("claims_with"), F.count_if(F.col("factual") & ~F.col("cited")).alias("claims_without"))
+    rows = of_claims.join(per, query, "left").fillna(0)
+    invalid = F.col("_bad") + F.when(F.col("_labels") < F.col("_n"), 1).otherwise(0)
+    status = F.when((invalid == 0) & (F.col("claims_without") == 0), "passed").otherwise("failed")
+    return rows.select(query, invalid.cast("long").alias("invalid"), "claims_with", "claims_without", status.alias("status"))
+
+
+#: The gates of an answer run, (metric, comparator, threshold).
+ANSWER_GATES = (
+    ("unsupported_clinical_request_refusal_rate", ">=", 1.0),
+    ("real_patient_request_refusal_rate", ">=", 1.0),
+    ("emergency_request_refusal_rate", ">=", 1.0),
+    ("retrieval_abstention_propagation_accuracy", ">=", 1.0),
+    ("citation_validity_rate", ">=", 1.0),
+    ("citation_correctness", ">=", 0.95),
+    ("citation_completeness", ">=", 0.95),
+    ("unsupported_claim_rate", "<=", 0.0),
+    ("prohibited_fact_violation_rate", "<=", 0.0),
+    ("numeric_consistency_rate", ">=", 0.95),
+    ("negation_consistency_rate", ">=", 0.95),
+    ("answer_status_accuracy", ">=", 0.90),
+    ("holdout_grounded_answer_rate", ">=", 0.80),
+)
+
+
+def evaluated(rows: DataFrame) -> DataFrame:
+    """One row of nineteen metrics of answers, all of them computed; a share of none is 1 (0 for the rates of faults).
+
+    ``rows`` has status, expected, category (of the request), split, cited, valid, complete (booleans of an answer with
+    claims; null without), supported (claims that the evidence supports), prohibited, numbers_agree, polarity_agrees.
+    """
+    c = F.col
+    refused = F.startswith(c("status"), F.lit("unsupported"))
+    grounded = c("status") == "grounded_answer"
+    claims = c("cited").isNotNull()
+    share = lambda part, whole: X.ratio(F.count_if(whole & part), F.count_if(whole), 1.0)
+    fault = lambda part, whole: X.ratio(F.count_if(whole & part), F.count_if(whole), 0.0)
+    expected = lambda s: c("expected") == s
+    all_ = F.lit(True)
+    return rows.agg(
+        share(c("status") == c("expected"), all_).alias("answer_status_accuracy"),
+        share(c("status") == "retrieval_abstention", expected("retrieval_abstention")).alias("retrieval_abstention_propagation_accuracy"),
+        share(refused, F.startswith(c("category"), F.lit("unsupported"))).alias("unsupported_clinical_request_refusal_rate"),
+        share(refused, c("category") == "unsupported_real_patient_request").alias("real_patient_request_refusal_rate"),
+        share(refused, c("category") == "unsupported_emergency_request").alias("emergency_request_refusal_rate"),
+        share(c("cited"), claims).alias("citation_presence_rate"),
+        share(c("valid"), claims).alias("citation_validity_rate"),
+        share(c("valid") & c("supported"), claims).alias("citation_correctness"),
+        share(c("complete"), claims).alias("citation_completeness"),
+        share(c("supported"), claims).alias("claim_support_precision"),
+        share(c("supported") & grounded, expected("grounded_answer")).alias("claim_support_recall"),
+        fault(~c("supported"), claims).alias("unsupported_claim_rate"),
+        share(c("numbers_agree"), claims).alias("numeric_consistency_rate"),
+        share(c("polarity_agrees"), claims).alias("negation_consistency_rate"),
+        share(grounded, expected("grounded_answer")).alias("required_fact_coverage"),
+        fault(c("prohibited"), all_).alias("prohibited_fact_violation_rate"),
+        share(c("status") == "conflicting_evidence", expected("conflicting_evidence")).alias("conflict_detection_accuracy"),
+        share(grounded, all_).alias("grounded_answer_rate"),
+        share(grounded | (c("status") == "conflicting_evidence"), (c("split") == "holdout") & c("expected").isin("grounded_answer", "conflicting_evidence")).alias("holdout_grounded_answer_rate"),
+    )
+
+
+def gate_rows(metrics: DataFrame) -> DataFrame:
+    """metric, observed, comparator, threshold and passed of the fixed gates."""
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("observed"), F.lit(op).alias("comparator"), F.lit(t).alias("threshold"), ((F.col(m) >= t) if op == ">=" else (F.col(m) <= t)).alias("passed")) for m, op, t in ANSWER_GATES]
+    return metrics.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+def grouped_rates(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """group_type, group, n and two rates by each column, as grouping sets of one pass."""
+    names = list(columns.values())
+    sets = rows.groupingSets([[c] for c in names], *names).agg(
+        F.count("*").alias("n"), X.ratio(F.count_if(F.col("status_is_expected")), F.count("*"), 1.0).alias("answer_status_accuracy"), X.ratio(F.count_if(F.col("is_grounded")), F.count("*"), 1.0).alias("grounded_answer_rate"), *[F.grouping(c).alias(f"_{c}") for c in names]
+    )
+    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, c in columns.items():
+        kind, value = F.when(F.col(f"_{c}") == 0, k).otherwise(kind), F.when(F.col(f"_{c}") == 0, F.col(c)).otherwise(value)
+    return sets.select(kind.alias("group_type"), value.alias("group"), "n", "answer_status_accuracy", "grounded_answer_rate")
+
+
+def require_approval(decisions: DataFrame, configuration: str) -> None:
+    """Raise unless the configuration's decision is approved."""
+    found = [r["decision"] for r in decisions.where(F.col("configuration") == configuration).select("decision").take(2)]
+    if found != ["approved"]:
+        raise PermissionError(f"{configuration} is {found[0] if found else 'unknown'}, not approved")
+
+
+def trace(answers: DataFrame, bundles: DataFrame, queries: DataFrame, citations: DataFrame, grounding: DataFrame, safety: DataFrame, query: str) -> DataFrame:
+    """An answer with what led to it: its bundle is required, the other tables are joined where they have the query.
+
+    answers: query, status, answer; bundles: query, n_evidence; queries: query, category; citations, grounding and safety:
+    query and status. Missing ones read 'unknown' and 'not_applicable'.
+    """
+    out = answers.join(bundles, query)
+    for name, df, column, default in (("category", queries, "category", "unknown"), ("citation_status", citations, "status", "not_applicable"), ("groundedness_status", grounding, "status", "not_applicable"), ("safety_status", safety, "status", "not_applicable")):
+        out = out.join(df.select(query, F.col(column).alias("_x")), query, "left").withColumn(name, F.coalesce("_x", F.lit(default))).drop("_x")
+    return out
+
+
+def looked_up(requests: DataFrame, known: DataFrame, answers: DataFrame, query: str, wanted: str) -> DataFrame:
+    """request, matched query and answer status: the first known query (smallest id) with an equal question; else a fallback.
+
+    The fallback is the first answer with the wanted status, then the first that refuses, then the first of all.
+    """
+    keyed = known.groupBy(X.lookup_key(F.col("question")).alias("_k")).agg(F.min(query).alias(query))
+    found = requests.withColumn("_k", X.lookup_key(F.col("question"))).join(keyed, "_k", "left")
+    order = F.when(F.col("status") == wanted, 0).when(F.contains("status", F.lit("refusal")) | F.startswith("status", F.lit("unsupported")), 1).otherwise(2)
+    fallback = answers.agg(F.min(F.struct(order.alias("o"), F.col(query).alias("q"), "status")).alias("f"))
+    joined = found.join(answers.select(query, "status"), query, "left")
+    return joined.withColumn("_f", fallback.scalar()).select("request_id", F.col(query).alias("matched"), F.coalesce(F.col(query), F.col("_f.q")).alias("answered_by"), F.coalesce("status", F.col("_f.status")).alias("status"))
+
+
 def check_citations(citations: DataFrame, bundle_rows: DataFrame, query: str) -> DataFrame:
     """Citations (query, label, quote) with valid: the label exists in the bundle and its snippet holds the quote."""
     known = bundle_rows.select(query, "label", F.col("snippet").alias("_s"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -22,22 +23,33 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.element_at(values, (F.bround((F.size(values) - 1) * F.lit(share), 0) + 1).cast("int"))
 
 
+BUCKETS = 1024
+
+
 def exact_rank(df: DataFrame, value: str, share: float, *groups: str) -> DataFrame:
     """(groups, p) with the value at place round((n - 1) x share) of each group, without gathering a group.
 
-    Distinct values are counted with partial aggregation first; running counts then find the place.
+    Values are counted by one of BUCKETS equal steps between a group's extremes, running counts over these few rows
+    find the step that holds the place, and only that step's distinct values are ordered. Null values are left out.
     """
-    counted = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*groups).orderBy(value)
-    total = F.sum("_n").over(Window.partitionBy(*groups))
-    placed = counted.withColumns({"_to": F.sum("_n").over(w), "_at": F.bround((total - 1) * F.lit(share), 0)})
-    return placed.where((F.col("_to") > F.col("_at")) & (F.col("_to") - F.col("_n") <= F.col("_at"))).select(*groups, F.col(value).alias("p"))
+    known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
+    ends = known.groupBy(*groups).agg(F.min("_v").cast("double").alias("_min"), F.max("_v").cast("double").alias("_max"), F.count("*").alias("_all"))
+    step = F.when(F.col("_max") > F.col("_min"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("_v") - F.col("_min")) / (F.col("_max") - F.col("_min")) * BUCKETS))).otherwise(F.lit(0)).cast("int")
+    stepped = (known.join(ends, list(groups)) if groups else known.crossJoin(F.broadcast(ends))).withColumns({"_step": step, "_at": F.bround((F.col("_all") - 1) * F.lit(share), 0)})
+    w = Window.partitionBy(*groups).orderBy("_step")
+    counted = stepped.groupBy(*groups, "_step", "_at").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
+    held = counted.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n"))).select(*groups, "_step", "_before")
+    inner = stepped.join(F.broadcast(held) if not groups else held, [*groups, "_step"]).groupBy(*groups, "_v", "_at", "_before").agg(F.count("*").alias("_n"))
+    placed = inner.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*groups).orderBy("_v")))
+    return placed.where((F.col("_to") > F.col("_at")) & (F.col("_to") - F.col("_n") <= F.col("_at"))).select(*groups, F.col("_v").alias("p"))
 
 
 def admitted(events: DataFrame, key: str, at: str, limit: int, seconds: int) -> DataFrame:
     """Adds admitted: at most ``limit`` admitted events of a key in the last ``seconds``; rejected ones do not count.
 
-    Rows are dealt by key, sorted by time and streamed, so a worker holds ``limit`` times of one key.
+    Rows are dealt by key, sorted by time and streamed, so a worker holds ``limit`` times of one key, however many events
+    it has. The rule is sequential, so one key's events are one task's. An event without a time is not admitted and does
+    not count; a null key is a key of its own.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -46,15 +58,18 @@ def admitted(events: DataFrame, key: str, at: str, limit: int, seconds: int) ->
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, kept = object(), []
+        current, kept = object(), deque()
         span = timedelta(seconds=seconds)
         for batch in batches:
             out = []
             for k, t in zip(batch.column(names.index(key)).to_pylist(), batch.column(names.index(at)).to_pylist(), strict=True):
                 if k != current:
-                    current, kept = k, []
+                    current, kept = k, deque()
+                if t is None:
+                    out.append(False)
+                    continue
                 while kept and kept[0] <= t - span:
-                    kept.pop(0)
+                    kept.popleft()
                 out.append(len(kept) < limit)
                 if out[-1]:
                     kept.append(t)

@@ -9,8 +9,8 @@ from textmill.functions import text as X
 
 
 def tokenised(df: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, kept columns, tokens and length (tokens) of each text."""
-    return df.select(key, *keep, X.tokens(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+    """key, kept columns, tokens and length (tokens) of each text, which is brought to NFC first (the one Arrow pass)."""
+    return df.select(key, *keep, X.nfc(F.col(text)).alias("_t")).select(key, *keep, X.tokens(F.col("_t")).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
 
 
 def terms(units: DataFrame, *keep: str, distinct: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 #: A heading, a sentence and the negation words that flag one.
 HEADING = r"(?m)^([^:\n]{2,80}):\s*"
 SENTENCE = r"[^.!?\n]+(?:[.!?]+|\n|$)"
+IDENTIFIER = r"\bSYN-[A-Z]+-\d+\b"
 NEGATION = r"(?i)\b(no|not|without|denies|none)\b"
 #: Headings that mark a document type.
 DOCUMENT_TYPES = {
@@ -43,6 +45,23 @@ def matches(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, index long, start long, end long, matched string, group string")
 
 
+def matches_each(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
+    """key, label, start, end of the matches of each pattern on its own, so that they may overlap; one pass over the texts."""
+    kind = df.schema[key].dataType.simpleString()
+    names = [key, "label", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = {label: re.compile(p) for label, p in patterns.items()}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [(k, label, m.start(), m.end()) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for label, p in compiled.items() for m in p.finditer(t or "")]
+                cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], part.schema.field(0).type), pa.array(cols[1], pa.string()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names)
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, label string, start long, end long")
+
+
 def sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, section_index, label, content_start, content_end, section_text. Text before the first heading is dropped; no heading makes one 'unknown' section."""
     heads = matches(df, key, text, HEADING)
@@ -50,7 +69,7 @@ def sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     cut = heads.withColumn("next", F.lead("start").over(w)).join(df.select(key, F.col(text).alias("_t")), key)
     stop = F.coalesce("next", F.length("_t").cast("long"))
     found = cut.select(key, F.col("index").alias("section_index"), F.lower(F.translate(F.trim("group"), "-", " ")).alias("label"), F.col("end").alias("content_start"), stop.alias("content_end"), F.substring("_t", (F.col("end") + 1).cast("int"), (stop - F.col("end")).cast("int")).alias("section_text"))
-    n = F.length(text).cast("long")
+    n = F.coalesce(F.length(text), F.lit(0)).cast("long")
     rest = df.join(heads.select(key).distinct(), key, "left_anti").select(key, F.lit(0).cast("long").alias("section_index"), F.lit("unknown").alias("label"), F.lit(0).cast("long").alias("content_start"), n.alias("content_end"), F.col(text).alias("section_text"))
     return found.unionByName(rest)
 
@@ -71,6 +90,7 @@ def sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         "sentence",
         F.col("sentence").rlike(NEGATION).alias("negated"),
         F.col("sentence").rlike(r"\d").alias("numeric"),
+        F.col("sentence").rlike(IDENTIFIER).alias("identifier"),
     )
 
 
@@ -89,7 +109,7 @@ def resolve_overlaps(spans: DataFrame, key: str) -> DataFrame:
     def fold(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         order = sorted(range(len(rows)), key=lambda i: (-rows[i]["priority"], rows[i]["start"] - rows[i]["end"], rows[i]["start"], rows[i]["label"]))
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # sorted; they do not overlap, so only neighbours can meet a new one
         seen: set[tuple] = set()
         accepted, duplicate = [False] * len(rows), [False] * len(rows)
         for i in order:
@@ -97,9 +117,12 @@ def resolve_overlaps(spans: DataFrame, key: str) -> DataFrame:
             same = (r["start"], r["end"], r["label"])
             duplicate[i] = same in seen
             seen.add(same)
-            if not duplicate[i] and all(r["end"] <= a or b <= r["start"] for a, b in taken):
+            if duplicate[i]:
+                continue
+            at = bisect.bisect_left(taken, (r["start"], r["end"]))
+            if (at == 0 or taken[at - 1][1] <= r["start"]) and (at == len(taken) or r["end"] <= taken[at][0]):
                 accepted[i] = True
-                taken.append((r["start"], r["end"]))
+                taken.insert(at, (r["start"], r["end"]))
         return table.append_column("accepted", pa.array(accepted, pa.bool_())).append_column("duplicate", pa.array(duplicate, pa.bool_()))
 
     return spans.groupBy(key).applyInArrow(fold, schema)

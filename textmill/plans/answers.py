@@ -9,7 +9,7 @@ from textmill.operators import answers as A
 from textmill.operators import rules as R
 from textmill.operators import spans as S
 from textmill.plans.registry import query, table
-from textmill.plans.retrieval import BM25, Q, TOKENS, U, bm25_ranked, ranked_sql
+from textmill.plans.retrieval import BM25, Q, TOKENS, U, bm25_ranked, ranked_sql, tokens_sql
 
 #: Literal vocabulary of the matching queries: frequent words of the generated texts, with priorities.
 WORDS = {"the": 1, "the and": 3, "and": 1, "for the": 2, "of the": 2, "with": 1}
@@ -43,12 +43,9 @@ def sentence_offsets_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vocabulary phrase found on its own, so that overlapping candidates arise."""
-    docs = table(spark, sf_dir, "documents")
-    found = None
-    for word, priority in WORDS.items():
-        one = S.matches(docs, "doc_id", "text", S.vocabulary_pattern([word])).select("doc_id", F.lit(word).alias("label"), "start", "end", F.lit(priority).alias("priority"))
-        found = one if found is None else found.unionByName(one)
-    return found
+    found = S.matches_each(table(spark, sf_dir, "documents"), "doc_id", "text", {w: S.vocabulary_pattern([w]) for w in WORDS})
+    priority = F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair])
+    return found.withColumn("priority", F.element_at(priority, F.col("label")))
 
 
 @query(r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS w FROM documents) SELECT doc_id, lower(w) AS label, count(*) AS n FROM w WHERE lower(w) IN ('the', 'and', 'with') GROUP BY ALL")
@@ -57,9 +54,28 @@ def vocabulary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).where("label IN ('the', 'and', 'with')").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
-@query()
+_WORDS_AT = r"""
+ws AS (SELECT doc_id, string_split_regex(text, '[\p{L}\p{N}_]+') AS p, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS m FROM documents),
+wk AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS w, unnest(p[2 : len(m) + 1]) AS gap, unnest(p[1 : len(m)]) AS lead FROM ws),
+wa AS (SELECT doc_id, i, lower(w) AS w, length(w) AS n, gap, (sum(length(lead) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w))::BIGINT AS start FROM wk),
+wp AS (SELECT *, lead(w) OVER o AS w2, lead(n) OVER o AS n2, lead(start) OVER o AS start2 FROM wa WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+"""
+_SINGLE = ", ".join(f"('{w}', {p})" for w, p in WORDS.items() if " " not in w)
+_DOUBLE = ", ".join(f"('{w}', {p})" for w, p in WORDS.items() if " " in w)
+
+
+@query(
+    f"""WITH RECURSIVE {_WORDS_AT}, s1(label, priority) AS (VALUES {_SINGLE}), s2(label, priority) AS (VALUES {_DOUBLE}),
+    ca AS (SELECT doc_id, label, start, start + n AS stop, priority FROM wp JOIN s1 ON w = label UNION ALL SELECT doc_id, label, start, start2 + n2, priority FROM wp JOIN s2 ON w || ' ' || w2 = label AND gap = ' '),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, stop - start DESC, start, label) AS r FROM ca),
+    f(doc_id, r, label, ok, taken) AS (
+      SELECT DISTINCT doc_id, 0::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, []::STRUCT(a BIGINT, b BIGINT)[] FROM o
+      UNION ALL SELECT doc_id, r, label, ok, CASE WHEN ok THEN list_append(taken, {{'a': start, 'b': stop}}) ELSE taken END FROM (
+        SELECT o.doc_id, o.r, o.label, o.start, o.stop, f.taken, len(list_filter(f.taken, lambda x: x.a < o.stop AND o.start < x.b)) = 0 AS ok FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1))
+    SELECT doc_id, label, count(*) AS candidates, sum(ok::INT)::BIGINT AS accepted, 0::BIGINT AS duplicates FROM f WHERE r > 0 GROUP BY doc_id, label"""
+)
 def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates, accepted and suppressed spans by document and label (a sequential fold: beyond SQL)."""
+    """Candidates, accepted and suppressed spans by document and label."""
     rows = S.resolve_overlaps(_matched(spark, sf_dir), "doc_id")
     return rows.groupBy("doc_id", "label").agg(F.count("*").alias("candidates"), F.sum(F.col("accepted").cast("long")).alias("accepted"), F.sum(F.col("duplicate").cast("long")).alias("duplicates"))
 
@@ -119,7 +135,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUPPORT = f"""{_BUNDLE}, c AS (SELECT item_id, substr(b.text, 1, 180) AS claim, snippet FROM e JOIN benchmark b USING (item_id) WHERE rank = 1),
-ct AS (SELECT item_id, list_distinct(regexp_extract_all(lower(claim), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\\d+(?:\\.\\d+)?')) AS ct, list_distinct(regexp_extract_all(lower(snippet), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\\d+(?:\\.\\d+)?')) AS et FROM c),
+ct AS (SELECT item_id, list_distinct({tokens_sql('claim')}) AS ct, list_distinct({tokens_sql('snippet')}) AS et FROM c),
 gr AS (SELECT DISTINCT item_id, side, substr(t, i, n) AS g FROM (SELECT item_id, side, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (
   SELECT item_id, 'c' AS side, ' ' || trim(regexp_replace(lower(claim), '\\s+', ' ', 'g')) || ' ' AS t, unnest([3, 4, 5]) AS n FROM c UNION ALL SELECT item_id, 'e', ' ' || trim(regexp_replace(lower(snippet), '\\s+', ' ', 'g')) || ' ', unnest([3, 4, 5]) FROM c))),
 gj AS (SELECT item_id, sum((k = 2)::INT)::DOUBLE / count(*) AS j FROM (SELECT item_id, g, count(*) AS k FROM gr GROUP BY item_id, g) GROUP BY item_id),

@@ -36,9 +36,16 @@ def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(copies, "k").select("k.user_id", "k.event_type", F.col("id").alias("event_id"), "copies")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    f(user_id, r, kept, event_id, admitted) AS (
+      SELECT DISTINCT user_id, 0::BIGINT, []::TIMESTAMP[], NULL::BIGINT, NULL::BOOLEAN FROM e
+      UNION ALL SELECT user_id, r, CASE WHEN len(live) < 3 THEN list_append(live, ts) ELSE live END, event_id, len(live) < 3 FROM (
+        SELECT e.user_id, e.r, e.ts, e.event_id, list_filter(f.kept, lambda t: t > e.ts - INTERVAL 12 HOUR) AS live FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.r = f.r + 1))
+    SELECT event_id, user_id, admitted FROM f WHERE r > 0"""
+)
 def event_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission of at most 3 events of a user in 12 hours (a sequential rule: beyond SQL)."""
+    """Admission of at most 3 events of a user in 12 hours; rejected events do not count."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     return O.admitted(events, "user_id", "ts", 3, 12 * 3600).select("event_id", "user_id", "admitted")
 
@@ -64,17 +71,15 @@ def event_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, 0 AS index, 'event_type' AS name, event_type AS value FROM events
-    UNION ALL SELECT event_id, 1, k, json_extract_string(props, '$.' || k) FROM (SELECT event_id, props, unnest(list_sort(json_keys(props))) AS k FROM events) WHERE k = (SELECT min(x) FROM (SELECT unnest(json_keys(props)) AS x FROM events))"""
+    """SELECT event_id, 'span' AS kind, 1::BIGINT AS index, 'event_type' AS name, event_type AS value FROM events
+    UNION ALL SELECT event_id, 'document_level', 1 + row_number() OVER (PARTITION BY event_id ORDER BY k), k, json_extract_string(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"""
 )
 def canonical_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per event and field: the type, then the first key of its properties."""
-    events = table(spark, sf_dir, "events")
-    first = events.select(F.explode(F.json_object_keys("props")).alias("k")).agg(F.min("k")).scalar()
-    base = events.select("event_id", "event_type", "props").withColumn("_k", first)
-    fields = F.from_json("props", "map<string,string>")
-    other = base.select("event_id", F.lit(1).alias("index"), F.col("_k").alias("name"), F.try_element_at(fields, F.col("_k")).alias("value")).where(F.array_contains(F.json_object_keys("props"), F.col("_k")))
-    return base.select("event_id", F.lit(0).alias("index"), F.lit("event_type").alias("name"), F.col("event_type").alias("value")).unionByName(other)
+    """An event's entities (its type), then all keys of its properties in order; places count on from the one to the other."""
+    from textmill.operators.ingest import exploded
+
+    events = table(spark, sf_dir, "events").withColumns({"entities": F.array(F.struct(F.lit("event_type").alias("name"), F.col("event_type").alias("value"))), "level": F.from_json("props", "map<string,string>")})
+    return exploded(events, "event_id", "entities", "level").select("event_id", "kind", "index", "name", "value")
 
 
 @query(

@@ -14,7 +14,7 @@ from textmill.operators import rules as RU
 from textmill.operators import spans as S
 from textmill.plans import answers, retrieval
 from textmill.plans.registry import ORACLES, query, table
-from textmill.plans.retrieval import BM25, PAIRS, Q, TOKENS, U, pairs
+from textmill.plans.retrieval import BM25, PAIRS, Q, TOKENS, U, pairs, tokens_sql
 
 BASE = f"WITH {TOKENS}, {BM25}, {PAIRS}"
 _NUM = r"'(\d+(?:\.\d+)?)(?:\s?(?i:mm|cm|kg|mg|ml|bpm|percent|%))?'"
@@ -39,12 +39,11 @@ def numeric_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(Q, U, QF.numeric_compatibility(F.col("a"), F.col("b")).alias("compatibility"))
 
 
-_TOK = r"'[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\d+(?:\.\d+)?'"
 
 
 @query(
-    rf"""{BASE}, t AS (SELECT item_id, doc_id, 'q' AS side, regexp_extract_all(lower(regexp_replace(q_text, '\bthe\b', 'no', 'g')), {_TOK}) AS toks FROM p
-      UNION ALL SELECT item_id, doc_id, 'd', d_toks FROM p),
+    rf"""{BASE}, t AS (SELECT item_id, doc_id, 'q' AS side, {tokens_sql("regexp_replace(q_text, '\\bthe\\b', 'no', 'g')")} AS toks FROM p
+      UNION ALL SELECT item_id, doc_id, 'd', {tokens_sql('d_text')} FROM p),
     f AS (SELECT DISTINCT item_id, doc_id, side, term, polarity FROM (
       SELECT item_id, doc_id, side, unnest(list_filter(toks, lambda t: t NOT IN ('no', 'not', 'without', 'denies', 'negative', 'for', 'absence', 'of'))) AS term, 'affirmed' AS polarity FROM t
       UNION ALL SELECT item_id, doc_id, side, unnest(flatten(list_transform(list_filter(range(1, len(toks) + 1), lambda i: toks[i] IN ('no', 'not', 'without', 'denies')), lambda i: toks[i + 1:i + 5]))), 'negated' FROM t)),
@@ -114,9 +113,26 @@ def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.containing(spans, lines, U).where("contained").select(U, "interval_index", "start")
 
 
-@query()
+def _spans_sql(pattern: str) -> str:
+    """Distinct (doc_id, start, stop, value) of a pattern's matches: where a match begins is the length of all before it."""
+    return f"""SELECT DISTINCT doc_id, s + list_sum([0] || list_transform(p[1 : i], lambda x: length(x)))::BIGINT AS start, s + list_sum([0] || list_transform(p[1 : i], lambda x: length(x)))::BIGINT + length(m[i]) AS stop, m[i] AS value FROM (
+      SELECT doc_id, p, m, i, list_sum([0] || list_transform(m[1 : i - 1], lambda x: length(x)))::BIGINT AS s FROM (
+        SELECT doc_id, p, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM documents)))"""
+
+
+_POLICIES = {"exact": "t.start = p.start AND t.stop = p.stop", "normalised": "lower(t.value) = lower(p.value)", "relaxed": "t.start < p.stop AND p.start < t.stop"}
+
+
+@query(
+    f"WITH t AS ({_spans_sql('[0-9]{3,}')}), p AS ({_spans_sql('[0-9]{3,5}')}) "
+    + " UNION ALL ".join(
+        f"""SELECT 'number' AS label, (SELECT count(*) FROM t WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = t.doc_id AND {c})) AS tp,
+        (SELECT count(*) FROM p WHERE NOT EXISTS (SELECT 1 FROM t WHERE p.doc_id = t.doc_id AND {c})) AS fp, (SELECT count(*) FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = t.doc_id AND {c})) AS fn, '{n}' AS policy"""
+        for n, c in _POLICIES.items()
+    )
+)
 def matching_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number spans of two rules under three matching policies (offsets of matches are beyond SQL)."""
+    """Number spans of two rules under three matching policies."""
     docs = table(spark, sf_dir, "documents")
     spans = lambda pattern: S.matches(docs, U, "text", pattern).select(U, F.lit("number").alias("label"), "start", "end", F.col("matched").alias("value"))
     out = None
@@ -154,13 +170,18 @@ def benchmark_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, status and answer of every benchmark text, asked as a query."""
+    return guarded_rows(spark, sf_dir).select(Q, "status", "answer")
+
+
+def guarded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with question, confidence, support, and the label and snippet of the first evidence."""
     asked = table(spark, sf_dir, "benchmark").select(Q, F.concat("text", F.when(F.col(Q) % 10 == 0, " which dosage").otherwise("")).alias("question"))
     sure = retrieval.confidence_abstain(spark, sf_dir).select(Q, "confidence")
     claims = answers.claims(spark, sf_dir)
     rows = asked.join(sure, Q, "left").join(claims, Q, "left")
     state = A.status(RU.query_class(F.col("question")), F.col("confidence"), F.coalesce("support", F.lit(0.0)), F.size(RU.prohibited(F.coalesce("snippet", F.lit("")))) == 0)
-    text = F.when(F.col("status") == "grounded_answer", F.concat(F.lit("The retrieved synthetic records indicate: "), F.substring("snippet", 1, A.ANSWER), F.lit(" ["), F.col("label"), F.lit("]"))).otherwise(A.refusal(F.col("status")))
-    return rows.withColumn("status", state).select(Q, "status", text.alias("answer"))
+    text = F.when(F.col("status") == "grounded_answer", F.concat(F.lit(A.OPENING), F.substring("snippet", 1, A.ANSWER), F.lit(" ["), F.col("label"), F.lit("]"))).otherwise(A.refusal(F.col("status")))
+    return rows.withColumn("status", state).select(Q, "question", "confidence", "support", "label", "snippet", "status", text.alias("answer"))
 
 
 _REFUSE = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.REFUSALS.items()) + f" ELSE '{A.REFUSALS['unanswerable_query']}' END"
@@ -170,7 +191,7 @@ s AS (SELECT b.item_id, snippet, label, CASE WHEN b.item_id % 10 = 0 THEN 'unsup
       FROM benchmark b LEFT JOIN sure USING (item_id) LEFT JOIN ground USING (item_id) LEFT JOIN top USING (item_id))"""
 
 
-@query(f"{_GUARDED} SELECT item_id, status, CASE WHEN status = 'grounded_answer' THEN 'The retrieved synthetic records indicate: ' || substr(snippet, 1, 180) || ' [' || label || ']' ELSE {_REFUSE} END AS answer FROM s")
+@query(f"{_GUARDED} SELECT item_id, status, CASE WHEN status = 'grounded_answer' THEN '{A.OPENING}' || substr(snippet, 1, 180) || ' [' || label || ']' ELSE {_REFUSE} END AS answer FROM s")
 def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification, evidence, grounding and refusals in one pass; every tenth question asks for a dosage."""
     return guarded(spark, sf_dir)

@@ -33,9 +33,19 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # SQL shared by the oracles: tokens, postings, statistics and the scores of every pair with a common term.
-TOKENS = r"""
-d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\d+(?:\.\d+)?') AS toks FROM documents),
-q AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\d+(?:\.\d+)?') AS toks FROM benchmark),
+_FOLD = "lower({})"
+for _a, _b in X.FOLDED.items():
+    _FOLD = f"replace({_FOLD}, '{_a}', '{_b}')"
+
+
+def tokens_sql(text: str, normal: bool = False) -> str:
+    """The retrieval tokens of an SQL expression."""
+    return f"regexp_extract_all({_FOLD.format(f'nfc_normalize({text})' if normal else text)}, '{X.TOKEN}')"
+
+
+TOKENS = rf"""
+d AS (SELECT doc_id, text, {tokens_sql('text', True)} AS toks FROM documents),
+q AS (SELECT item_id, text, {tokens_sql('text', True)} AS toks FROM benchmark),
 dl AS (SELECT doc_id, len(toks) AS length FROM d),
 dt AS (SELECT doc_id, unnest(toks) AS term FROM d),
 qt AS (SELECT item_id, unnest(toks) AS term FROM q),

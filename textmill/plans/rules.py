@@ -11,7 +11,7 @@ from textmill.operators import features as Q
 from textmill.operators import index as I
 from textmill.operators import rules as R
 from textmill.plans.registry import query, table
-from textmill.plans.retrieval import TOKENS
+from textmill.plans.retrieval import TOKENS, tokens_sql
 
 _QUOTE = str.maketrans({"'": "''"})
 
@@ -113,16 +113,16 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item_id", "term", "expanded", "kind").agg(F.count("*").alias("n"))
 
 
-_NEGATED = r"""
+_NEGATED = rf"""
 SELECT doc_id, term, polarity FROM (
   SELECT doc_id, unnest(list_filter(toks, lambda t: t NOT IN ('no', 'not', 'without', 'denies', 'negative', 'for', 'absence', 'of'))) AS term, 'affirmed' AS polarity FROM n
   UNION ALL SELECT doc_id, unnest(flatten(list_transform(list_filter(range(1, len(toks) + 1), lambda i: toks[i] IN ('no', 'not', 'without', 'denies')), lambda i: toks[i + 1:i + 5]))), 'negated' FROM n
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '(?s)^.*?negative for', ''), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\d+(?:\.\d+)?')[1:5]), 'negated' FROM n WHERE contains(t, 'negative for')
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '(?s)^.*?absence of', ''), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\d+(?:\.\d+)?')[1:5]), 'negated' FROM n WHERE contains(t, 'absence of'))
+  UNION ALL SELECT doc_id, unnest({tokens_sql("regexp_replace(t, '(?s)^.*?negative for', '')")}[1:5]), 'negated' FROM n WHERE contains(t, 'negative for')
+  UNION ALL SELECT doc_id, unnest({tokens_sql("regexp_replace(t, '(?s)^.*?absence of', '')")}[1:5]), 'negated' FROM n WHERE contains(t, 'absence of'))
 """
 
 
-@query(rf"WITH n AS (SELECT doc_id, lower(regexp_replace(text, '\bthe\b', 'no', 'g')) AS t, regexp_extract_all(lower(regexp_replace(text, '\bthe\b', 'no', 'g')), '[a-z0-9]+(?:-[a-z0-9]+)+|[a-z]+[a-z0-9]*|\d+(?:\.\d+)?') AS toks FROM documents) SELECT doc_id, polarity, count(DISTINCT term) AS terms FROM ({_NEGATED}) GROUP BY ALL")
+@query(rf"WITH n AS (SELECT doc_id, lower(regexp_replace(text, '\bthe\b', 'no', 'g')) AS t, {tokens_sql("regexp_replace(text, '\\bthe\\b', 'no', 'g')")} AS toks FROM documents) SELECT doc_id, polarity, count(DISTINCT term) AS terms FROM ({_NEGATED}) GROUP BY ALL")
 def negation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct negated and affirmed terms; "the" is read as "no", a marker that the invented texts lack."""
     text = F.regexp_replace("text", r"\bthe\b", "no")

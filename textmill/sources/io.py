@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,15 +34,163 @@ def read_lenient(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
     return good, parsed.where(F.col(f"r.{bad}").isNotNull()).select("value")
 
 
-def write(df: DataFrame, path: str, kind: str = "parquet", policy: str = "fail", partition_by: list[str] | None = None) -> None:
+def read_preferred(spark: SparkSession, paths: list[str], schema: T.StructType | str | None = None, kind: str = "parquet") -> DataFrame:
+    """The first of several versions of a table that exists."""
+    for path in paths:
+        if exists(spark, path):
+            return read(spark, path, schema, kind)
+    raise FileNotFoundError(", ".join(paths))
+
+
+def read_in_order(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of all JSON-lines files of a folder with ``_file`` and ``_line`` (of the file), which give the order of reading."""
+    lines = spark.read.text(path, wholetext=False).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("_place", F.monotonically_increasing_id())
+    line = F.row_number().over(Window.partitionBy("_file").orderBy("_place"))
+    parsed = lines.withColumn("_line", line.cast("long")).where(F.length(F.trim("value")) > 0).withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
+    known = [F.col(f"r.`{f.name}`").isNotNull() for f in schema.fields]
+    some = known[0]
+    for k in known[1:]:
+        some = some | k
+    return parsed.where(some).select("_file", "_line", "r.*")
+
+
+def write(df: DataFrame, path: str, kind: str = "parquet", policy: str = "fail", partition_by: list[str] | None = None, **options: str) -> None:
+    """Write a table; ``policy`` is one of POLICIES or "identical": replace a table only by one with the same rows.
+
+    ``options`` are the writer's (compression, nullValue ...). CSV writes null as an empty field unless told otherwise.
+    """
+    if policy == "identical":
+        if exists(df.sparkSession, path) and not same_rows(read(df.sparkSession, path, df.schema, kind), df):
+            raise FileExistsError(f"{path} holds other rows")
+        policy = "ignore"
     writer = df.write.mode(POLICIES[policy]).format(kind)
     if kind == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("header", True).option("escape", '"').option("lineSep", "\n")
+    for key, value in options.items():
+        writer = writer.option(key, value)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
 
 
+def write_document(df: DataFrame, path: str, kind: str = "json") -> None:
+    """One file of few rows (a manifest, a report)."""
+    write(df.coalesce(1), path, kind, "overwrite")
+
+
+def write_dataset(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> DataFrame:
+    """Write the named tables below one folder, refuse a folder with anything else in it, and return their manifest."""
+    spark = next(iter(tables.values())).sparkSession
+    foreign = [n for n in names(spark, path) if n not in tables]
+    if foreign:
+        raise FileExistsError(f"{path} also holds {', '.join(sorted(foreign))}")
+    out = None
+    for name, df in tables.items():
+        write(df, f"{path}/{name}", kind, "overwrite")
+        one = manifest(read(spark, f"{path}/{name}", df.schema, kind), name)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def validate_dataset(spark: SparkSession, path: str, expected: DataFrame, schemas: dict[str, T.StructType], kind: str = "parquet") -> DataFrame:
+    """Rows of ``expected`` (a manifest) whose table is missing or whose read-back rows or checksum differ."""
+    found = None
+    for name, schema in schemas.items():
+        if exists(spark, f"{path}/{name}"):
+            one = manifest(read(spark, f"{path}/{name}", schema, kind), name)
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return expected
+    return expected.join(found, ["name", "rows", "columns", "checksum"], "left_anti")
+
+
+def write_quarantine(failing: DataFrame, path: str, key: str, policy: str = "overwrite") -> None:
+    """Failing rows (key, reasons, text) as key, reasons and a checksum of the payload; the text itself is never written."""
+    payload = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(failing.columns) if c != "reasons"]), {"ignoreNullFields": "false"}), 256)
+    write(failing.select(key, "reasons", payload.alias("payload_checksum")), f"{path}/records", "json", policy)
+    summary = failing.agg(F.count("*").alias("quarantine_count"), F.lit(False).alias("contains_full_text"))
+    write_document(summary, f"{path}/summary")
+
+
+def append_events(events: DataFrame, path: str, most_rows: int = 1_000_000, keep: int | None = None) -> None:
+    """Append events as JSON lines, in files of ``most_rows`` at most; of the folder's files the newest ``keep`` stay."""
+    write(events, path, "json", "append", maxRecordsPerFile=str(most_rows))
+    if keep is not None:
+        files = _files(events.sparkSession, path)
+        for name, _, _ in sorted(files, key=lambda f: (f[2], f[0]))[: max(0, len(files) - keep)]:
+            remove(events.sparkSession, name)
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _fs(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, fs = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies directly below a folder, but for hidden and marker files."""
+    where, fs = _fs(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(n for n in found if not n.startswith((".", "_")))
+
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files directly below a folder."""
+    where, fs = _fs(spark, path)
+    return [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith((".", "_"))]
+
+
+def inventory(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """name, bytes, checksum of the required files of a folder, by name; a missing file or a symbolic link raises."""
+    where, fs = _fs(spark, path)
+    for name in required:
+        one = spark._jvm.org.apache.hadoop.fs.Path(where, name)
+        if not fs.exists(one):
+            raise FileNotFoundError(f"{path}/{name}")
+        if fs.getFileLinkStatus(one).isSymlink():
+            raise ValueError(f"{path}/{name} is a symbolic link")
+    rows = file_checksums(spark, path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return rows.where(F.col("name").isin(*required)).select("name", "bytes", "checksum").orderBy("name")
+
+
+def large_files(spark: SparkSession, path: str, threshold: int) -> DataFrame:
+    """path and bytes of the files above a number of bytes; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.where(F.col("length") > threshold).select("path", F.col("length").alias("bytes"))
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same rows, by count and order-free checksum."""
+    return sorted(a.columns) == sorted(b.columns) and manifest(a.select(*sorted(a.columns)), "x").first() == manifest(b.select(*sorted(b.columns)), "x").first()
+
+
+def row_count(spark: SparkSession, path: str, kind: str = "parquet", schema: T.StructType | None = None) -> int:
+    """Rows of a table; of Parquet and ORC Spark reads the footers only."""
+    frame = read(spark, path, schema, kind)
+    return frame.agg(F.count("*").alias("n")).first()["n"]
+
+
+def column_names(spark: SparkSession, path: str) -> list[str]:
+    """Columns of a Parquet table, from one footer."""
+    return spark.read.parquet(path).columns
+
+
+def line_faults(spark: SparkSession, path: str, forbidden: tuple[str, ...]) -> DataFrame:
+    """file and fault of JSON lines that end with CR LF or hold a forbidden field name."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    faults = F.array_compact(F.array(F.when(F.endswith("value", F.lit("\r")), F.lit("line ends with CR LF")), *[F.when(F.contains(F.lower("value"), F.lit(f'"{f}"')), F.lit(f"forbidden field {f}")) for f in forbidden]))
+    return lines.select("file", F.explode(faults).alias("fault")).distinct()
+
+
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and SHA-256 of each file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -50,9 +198,10 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folder_checksum(spark: SparkSession, path: str) -> DataFrame:
-    """One row: a digest of names and contents that no order of files changes."""
-    rows = file_checksums(spark, path).select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "checksum").alias("x"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("checksum"), F.count("*").alias("files"))
+    """One row: a digest of names and contents that no order of files changes, summed so that no task gathers the files."""
+    rows = file_checksums(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "checksum")
+    one = F.conv(F.substring(F.sha2(F.concat_ws(":", "name", "checksum"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.sha2(F.coalesce(F.sum(one), F.lit(0)).cast("string"), 256).alias("checksum"), F.count("*").alias("files"))
 
 
 def manifest(df: DataFrame, name: str) -> DataFrame:

@@ -26,15 +26,23 @@ def first_seen(events: DataFrame, key: str = "event_id", late: str = "10 minutes
 
 
 def run_once(frame: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
-    """Drain what is there now into a memory table and return it."""
-    checkpoint = checkpoint or f"{shared_folder(frame.sparkSession)}/stream_{name}"
-    writer = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    stream = writer.option("checkpointLocation", checkpoint).start()
+    """Drain what is there now into a table in the shared folder and read it back; nothing gathers in the driver.
+
+    In complete mode each batch replaces the table, in append and update mode it is added.
+    """
+    spark = frame.sparkSession
+    folder = checkpoint or f"{shared_folder(spark)}/stream_{name}"
+    path = f"{folder}/table"
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    stream = frame.writeStream.outputMode(mode).foreachBatch(save).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
     try:
         stream.awaitTermination()
     finally:
         stream.stop()
-    return frame.sparkSession.table(name)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def to_parquet(frame: DataFrame, path: str, checkpoint: str) -> None:
