@@ -118,3 +118,19 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _codes_sql() -> str:
+    from textmill.llm.vector_codes import SQL
+
+    return SQL
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
