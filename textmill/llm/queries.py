@@ -134,3 +134,13 @@ def _codes_sql() -> str:
 
 
 ORACLES["op13_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.classifier import classify, fit_classifier
+    from textmill.llm.hashed import held_out_column
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_classifier(docs, table(spark, sf_dir, "labels"))
+    return classify(docs, model).select("doc_id", held_out_column().alias("held_out"), "score", "predicted")
