@@ -144,3 +144,26 @@ def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_classifier(docs, table(spark, sf_dir, "labels"))
     return classify(docs, model).select("doc_id", held_out_column().alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with the first turns of the one whose id is the next lower multiple of 100."""
+    from textmill.llm.prefix_trie import trie_nodes, with_shared_heads
+
+    rebuilt = with_shared_heads(
+        table(spark, sf_dir, "conversations"),
+        head=lambda c: F.crc32(c.cast("string").cast("binary")) % 6,
+        base=lambda c: c - c % 100,
+        most=5,
+    )
+    return trie_nodes(rebuilt)
+
+
+def _trie_sql() -> str:
+    from textmill.llm.prefix_trie import SQL
+
+    return SQL
+
+
+ORACLES["op11_prefix_trie"] = _trie_sql()
