@@ -31,8 +31,9 @@ one are right (``weights="binary"``); ``weights="count"`` signs multisets.
 
 Defined cases: words are runs without white space, compared as they stand; a text
 of one to four words is one shingle of them all; a text without words links to its
-exact copies only; null text is empty; rows with one doc_id are one document; a
-null doc_id has a null class; an empty table gives no row; other columns, whatever
+exact copies only; null text is empty; an id that stands in several rows has a
+class for each of its texts, and no text is lost or merged by it; a null doc_id has
+a null class; an empty table gives no row; other columns, whatever
 their names, are left out; very long texts are signed and compared whole. doc_id is
 an integer, or text that reads as one.
 """
@@ -292,24 +293,59 @@ def verified_links(sets: DataFrame, threshold: float, block: int, leaders: int,
     return first.unionByName(_grouped_links(seeds.unionByName(others), groups, threshold))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "binary", block: int = BLOCK, leaders: int = LEADERS) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id with the same text) and n_shingles of every row."""
+def _classified(docs: DataFrame, threshold: float, words: int, bands: int, rows: int, weights: str, block: int, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """(signed rows, member): member has _text (digest), _doc (its smallest doc_id), _class (smallest doc_id of the class)
+    and _keep, true for one text of each class: the one with the smallest doc_id, of several that with the smallest digest.
+
+    A text is a vertex, named by its smallest doc_id. Where several texts have the same one (an id that stands in
+    several rows), all but the one of smallest digest are named by a hash above 2^62, so no text merges with another.
+    """
     if weights not in ("binary", "count"):
         raise ValueError("weights are binary or count")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("_text"), text.alias("text"))
     signed = checkpoint(keyed.mapInArrow(_signed(bands, rows, words, weights), "doc_id long, _text binary, n_shingles long, _bands array<long>"))
-    vertices = signed.where("doc_id IS NOT NULL").groupBy("_text").agg(F.min(F.struct("doc_id", "_bands")).alias("_v")).select("_text", F.col("_v.doc_id").alias("_node"), F.col("_v._bands").alias("_bands"))
-    vertices = checkpoint(vertices)
+    vertices = signed.where("doc_id IS NOT NULL").groupBy("_text").agg(F.min(F.struct("doc_id", "_bands")).alias("_v")).select("_text", F.col("_v.doc_id").alias("_doc"), F.col("_v._bands").alias("_bands"))
+    vertices = checkpoint(vertices.withColumn("_node", F.col("_doc")))
+    shared = vertices.groupBy("_doc").agg(F.count("*").alias("_n"), F.min("_text").alias("_first")).where("_n > 1").select("_doc", "_first")
+    repeated = not shared.isEmpty()
+    if repeated:
+        other = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("_doc", "_text"), 2)
+        named = F.when(F.col("_first").isNull() | (F.col("_first") == F.col("_text")), F.col("_doc")).otherwise(other)
+        vertices = checkpoint(vertices.drop("_node").join(shared, "_doc", "left").withColumn("_node", named).drop("_first"))
     banded = vertices.select("_node", F.explode("_bands").alias("_band"))
     tied = banded.groupBy("_band").agg(F.min("_node").alias("_least"), F.max("_node").alias("_most")).where("_least < _most").select("_band", "_least")
     ties = banded.join(tied, "_band").where("_node > _least").select(F.col("_node").alias("a"), F.col("_least").alias("b"))
     candidates = components(ties).withColumnRenamed("node", "_node").withColumnRenamed("label", "_label")
-    texts = keyed.join(vertices.join(candidates, "_node").select("_text", "_node", "_label"), "_text").where(F.col("doc_id") == F.col("_node"))
+    texts = keyed.join(vertices.join(candidates, "_node").select("_text", "_doc", "_node", "_label"), "_text").where(F.col("doc_id") == F.col("_doc"))
     sets = texts.select("_node", "_label", "text", "_text").mapInArrow(_sets(words), "_node long, _label long, _text binary, _set binary")
     sets = checkpoint(sets.groupBy("_node", "_label", "_text").agg(F.first("_set").alias("_set")))  # repeated rows are one
     links = verified_links(sets, threshold, block, leaders)
     classes = components(links)
-    member = vertices.select("_text", "_node").join(classes.withColumnRenamed("node", "_node"), "_node", "left").select("_text", "_node", F.coalesce("label", "_node").alias("_class"))
+    member = vertices.select("_text", "_doc", "_node").join(classes.withColumnRenamed("node", "_node"), "_node", "left").select("_text", "_doc", "_node", F.coalesce("label", "_node").alias("_class"))
+    if not repeated:  # a class is then named by its smallest doc_id
+        return signed, member.withColumn("_keep", F.col("_node") == F.col("_class")).drop("_node")
+    best = member.groupBy("_class").agg(F.min(F.struct("_doc", "_text")).alias("_b"))
+    return signed, member.join(best, "_class").select("_text", "_doc", F.col("_b._doc").alias("_class"), (F.col("_text") == F.col("_b._text")).alias("_keep"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "binary", block: int = BLOCK, leaders: int = LEADERS) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), copy_of (smallest doc_id with the same text) and n_shingles of every row."""
+    signed, member = _classified(docs, threshold, words, bands, rows, weights, block, leaders)
     known = F.col("doc_id").isNotNull()
-    return signed.select("doc_id", "_text", "n_shingles").join(member, "_text", "left").select("doc_id", F.when(known, F.col("_class")).alias("class_id"), F.when(known, F.col("_node")).alias("copy_of"), "n_shingles")
+    return signed.select("doc_id", "_text", "n_shingles").join(member, "_text", "left").select("doc_id", F.when(known, F.col("_class")).alias("class_id"), F.when(known, F.col("_doc")).alias("copy_of"), "n_shingles")
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "binary", block: int = BLOCK, leaders: int = LEADERS) -> DataFrame:
+    """Whole rows of ``docs``, one of each class: of its texts the one with the smallest doc_id (ties: the smallest digest).
+
+    Rows go by their text, never by their id alone, so an id that stands in several rows loses none of its other texts.
+    Of rows with that id and text the one whose other columns are first as JSON stays; repeats are brought together
+    in the tasks that hold them. Rows with a null doc_id belong to no class and all stay.
+    """
+    _, member = _classified(docs, threshold, words, bands, rows, weights, block, leaders)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_doc"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("_text"), F.struct(*every).alias("_row"), F.to_json(F.struct(F.col("text").isNull().alias("_"), *[c for c, n in zip(every, docs.columns, strict=True) if n.lower() != "text"])).alias("_order"))
+    single = known.groupBy("_doc", "_text").agg(F.min_by("_row", "_order").alias("_row"))
+    kept = single.join(member.where("_keep").select("_doc", "_text"), ["_doc", "_text"], "left_semi")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
