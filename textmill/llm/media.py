@@ -161,6 +161,18 @@ def _xing(raw: bytes, at: int, side: int, protected: bool) -> dict | None:
     return out
 
 
+def _vbri(raw: bytes, at: int) -> dict | None:
+    """The other table of variable-bitrate streams: 32 bytes after the header, its entries the bytes of runs of frames."""
+    p = at + 36
+    if raw[p : p + 4] != b"VBRI" or len(raw) < p + 26:
+        return None
+    _, _, _, size, frames, entries, scale, width, step = struct.unpack(">HHHIIHHHH", raw[p + 4 : p + 26])
+    if not 1 <= width <= 4 or len(raw) < p + 26 + entries * width:
+        return {"frames": frames, "bytes": size, "toc": None}
+    runs = [int.from_bytes(raw[p + 26 + i * width : p + 26 + (i + 1) * width], "big") * scale for i in range(entries)]
+    return {"frames": frames, "bytes": size, "toc": runs, "frames_per_entry": step}
+
+
 def read_stream(raw: bytes) -> dict:
     """What a stream holds: tags, vbr table, frames with offsets, checksum results, duration and carried bytes."""
     at, tags = read_tag(raw)
@@ -198,7 +210,7 @@ def read_stream(raw: bytes) -> dict:
             checked += 1
             good = crc16(raw[at + 2 : at + 4] + raw[at + 6 : body]) == int.from_bytes(raw[at + 4 : at + 6], "big")
             bad += not good
-        table = _xing(raw, at, side, protected) if not offsets and vbr is None and layer == 3 else None
+        table = (_xing(raw, at, side, protected) or _vbri(raw, at)) if not offsets and vbr is None and layer == 3 else None
         if table:
             vbr = table
         else:
@@ -212,7 +224,7 @@ def read_stream(raw: bytes) -> dict:
     return {
         "tag_bytes": start, "tags": tags, "vbr": vbr, "offsets": offsets, "frames": len(offsets), "bad_crc": bad, "checked": checked,
         "skipped": skipped + max(0, end - at), "resyncs": resyncs, "samples": samples, "sample_rate": hz, "bitrates": sorted(rates),
-        "payload": body[: int(length)] if length.isdigit() and int(length) <= len(body) else body,
+        "payload": body[: int(length)] if length.isascii() and length.isdecimal() and int(length) <= len(body) else body,
     }
 
 
