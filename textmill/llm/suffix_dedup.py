@@ -203,7 +203,7 @@ def _triggers(length: int, trigger: int, buckets: int):
             several = ids[at] != ids[np.append(at[1:], len(t)) - 1]
         key = t[at]
         many = np.isin(key, _with_many(t, x[order]))
-        bucket = (key & B.U64(0xFFFF_FFFF)) % B.U64(buckets)
+        bucket = bucket_of(key, buckets)
         key = ((key >> B.U64(18)) << B.U64(18)) | (several.astype(B.U64) << B.U64(16)) | (many.astype(B.U64) << B.U64(17))
         order = np.lexsort((key, bucket))
         key, bucket = key[order], bucket[order].astype(np.int64)
@@ -231,6 +231,11 @@ def _bare(t: np.ndarray) -> np.ndarray:
     return t >> B.U64(18)
 
 
+def bucket_of(t: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that decides on a trigger, from the part that is sent: triggers which share it are judged as one, by one bucket."""
+    return _bare(t) % B.U64(buckets)
+
+
 def _among(t: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which triggers have one of these sorted bare keys."""
     if not len(keys):
@@ -457,16 +462,27 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER,
         raise ValueError("trigger must lie in 1 .. length")
     groups = group_count(docs, GROUP_BYTES, 48)
     buckets = BUCKETS_PER_GROUP * groups
-    base = drop_clashing(docs, [*_NEW, "_g"])
-    base = base.withColumn("_g", hash_group(F.col("doc_id"), groups))
-    result = with_fields(base.drop("_g"), [("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", "array<struct<start:long,end:long>>")])
-    grouped = lambda: base.groupBy("_g")
+    docs = drop_clashing(docs, _NEW)
+    names = docs.columns
+    rest = [c for c in names if c.lower() not in ("doc_id", "text")]
+    # The user's other columns travel in one struct, and only to the last step.
+    base = docs.select("doc_id", "text", *[F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")] * bool(rest))
+    known = base.where("doc_id IS NOT NULL").withColumn("_g", hash_group(F.col("doc_id"), groups))
+    new = [("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", "array<struct<start:long,end:long>>")]
+    result = with_fields(base, new)
+    grouped = lambda *more: known.select("doc_id", "text", *more, "_g").groupBy("_g")
     routed = lambda df: df.groupBy("_g")
     triggers = grouped().applyInArrow(_triggers(length, trigger, buckets), "_b int, _g int, _keys binary")
     shared = triggers.groupBy("_b").applyInArrow(_shared(hot_groups), _SHARED)
     sent = grouped().cogroup(routed(shared)).applyInArrow(_dictionary(length, trigger, buckets), "_b int, _g int, _ids binary, _rows binary, _lo binary, _count binary, _body binary")
     decided = sent.groupBy("_b").applyInArrow(_order(length), _ROUTED).unionByName(shared.select("_g", "_hot").where("_hot IS NOT NULL"), allowMissingColumns=True)
-    return grouped().cogroup(routed(decided)).applyInArrow(_apply(length, trigger, to_arrow_schema(result), as_text), result)
+    done = grouped(*base.columns[2:]).cogroup(routed(decided)).applyInArrow(_apply(length, trigger, to_arrow_schema(result), as_text), result)
+    # Rows without an id neither give nor lose bytes, so they are not dealt at all.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    values = {"kept": text if as_text else text.cast("binary"), "n_bytes": F.octet_length(text).cast("long"), "n_removed": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:long,end:long>>")}
+    without = base.where("doc_id IS NULL").select(*base.columns, *[values[n].alias(n) for n, _ in new])
+    given = lambda c: F.col("doc_id").alias(c) if c.lower() == "doc_id" else F.col("text").alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`").alias(c)
+    return done.unionByName(without).select(*[given(c) for c in names], *[n for n, _ in new])
 
 
 def kept_text(column: bytes | None) -> str:
