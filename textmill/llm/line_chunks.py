@@ -122,7 +122,9 @@ def removed_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The columns of ``docs`` (text replaced by what is left) with n_lines, n_removed_lines and n_removed_runs."""
     names = [c for c in docs.columns if c.lower() not in _NEW]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    # The user's other columns travel in one struct, so no name of theirs meets one of this function's.
+    rest = [c for c in names if c.lower() not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", *[F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")] * bool(rest))
     per_doc = removed_runs(docs, window)
     keyed = docs.withColumn("_t", F.xxhash64("text"))
     marked = keyed.alias("a").join(per_doc.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._t") == F.col("b._t")), "left")
@@ -138,10 +140,11 @@ def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kept = F.when(gone.isNotNull(), F.flatten(_let(F.split(F.col("a.text"), "\n", -1), left_over)))
     runs = F.size(F.filter(gone, lambda g, k: g["a"] > F.coalesce(F.get(gone, k - 1)["b"], F.lit(-2)) + 1))
     n = F.coalesce(F.length("a.text") - F.length(F.replace(F.col("a.text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    rows = marked.select(*[F.col(f"a.`{c}`") for c in names], n.alias("n_lines"), kept.alias("_kept"), F.when(gone.isNotNull(), runs).otherwise(0).cast("long").alias("n_removed_runs"))
+    rows = marked.select(*[F.col(f"a.{c}") for c in docs.columns], n.alias("n_lines"), kept.alias("_kept"), F.when(gone.isNotNull(), runs).otherwise(0).cast("long").alias("n_removed_runs"))
     text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
     removed = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long")
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], "n_lines", removed.alias("n_removed_lines"), "n_removed_runs")
+    given = lambda c: text.alias(c) if c.lower() == "text" else F.col("doc_id").alias(c) if c.lower() == "doc_id" else F.col(f"_row.`{c}`").alias(c)
+    return rows.select(*[given(c) for c in names], "n_lines", removed.alias("n_removed_lines"), "n_removed_runs")
 
 
 #: The same rows in DuckDB: a line goes if two neighbouring lines that cover it, and what is between them, stand earlier.
