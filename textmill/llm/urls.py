@@ -118,7 +118,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str
     # Checkpointed so that the join below exchanges both sides, and a token set of very many pages can be split.
     mined = checkpoint(match_rules(pages, mine_rules(pages, labels, **mining)))
     url = F.col("url")
-    rows = pages.select(*[F.col(f"`{c}`") for c in names], host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("_tokens"))
+    # The user's columns travel in one struct, so no name of theirs meets one of this function's.
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("_tokens"))
     judged = rows.join(mined, "_tokens", "left").withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("_confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(*[F.col(f"`{c}`") for c in names], "host", "path", F.col("_rule.rule").alias("rule"), F.col("_confidence").alias("mined_confidence"), F.coalesce("_rule.verdict", method).alias("verdict"))
+    return judged.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "host", "path", F.col("_rule.rule").alias("rule"), F.col("_confidence").alias("mined_confidence"), F.coalesce("_rule.verdict", method).alias("verdict"))
