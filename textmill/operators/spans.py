@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators.intervals import overlapping
+
 #: A heading, a sentence and the negation words that flag one.
 HEADING = r"(?m)^([^:\n]{2,80}):\s*"
 SENTENCE = r"[^.!?\n]+(?:[.!?]+|\n|$)"
@@ -149,22 +151,11 @@ def document_types(section_rows: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.col("b.type").alias("predicted"), score.alias("score"), F.round(F.least(F.lit(1.0), 0.55 + score / F.col("b.required") * 0.45), 6).alias("confidence"))
 
 
-def containing(spans: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """Each span (key, start, end) with interval_index of the first interval of its text that holds it, else of the first one.
-
-    ``intervals`` has key, index, start, end. The join is on the key, so a text's spans meet that text's intervals only.
-    """
-    inner = intervals.select(key, F.col("index").alias("_i"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    holds = (F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b"))
-    joined = spans.join(inner, key, "left")
-    best = F.coalesce(F.min(F.when(holds, F.col("_i"))), F.min("_i"))
-    return joined.groupBy(*spans.columns).agg(best.alias("interval_index"), F.max(F.coalesce(holds, F.lit(False))).alias("contained"))
-
-
 def span_scores(truth: DataFrame, predicted: DataFrame, key: str, policy: str) -> DataFrame:
     """tp, fp, fn of spans (key, label, start, end, value) under a matching policy.
 
-    exact: same place; normalised: same lower-cased value anywhere in the text; relaxed: overlapping places.
+    exact: same place; normalised: same lower-cased value anywhere in the text; relaxed: overlapping places, which meet
+    in bins of places.
     """
     truth, predicted = truth.distinct(), predicted.distinct()
     t, p = truth.alias("t"), predicted.alias("p")
@@ -172,10 +163,15 @@ def span_scores(truth: DataFrame, predicted: DataFrame, key: str, policy: str) -
     rules = {
         "exact": same & (F.col("t.start") == F.col("p.start")) & (F.col("t.end") == F.col("p.end")),
         "normalised": same & (F.lower("t.value") == F.lower("p.value")),
-        "relaxed": same & (F.col("t.start") < F.col("p.end")) & (F.col("p.start") < F.col("t.end")),
     }
-    missed = t.join(p, rules[policy], "left_anti").groupBy("label").agg(F.count("*").alias("fn"))
-    wrong = p.join(t, rules[policy], "left_anti").groupBy("label").agg(F.count("*").alias("fp"))
+    if policy == "relaxed":
+        places = [key, "label", "start", "end"]
+        alone = lambda a, b: a.join(overlapping(a.select(*places).distinct(), b.select(*places).distinct(), [key, "label"]).select(*places).distinct(), places, "left_anti")
+        unmatched, unfound = alone(truth, predicted), alone(predicted, truth)
+    else:
+        unmatched, unfound = t.join(p, rules[policy], "left_anti"), p.join(t, rules[policy], "left_anti")
+    missed = unmatched.groupBy("label").agg(F.count("*").alias("fn"))
+    wrong = unfound.groupBy("label").agg(F.count("*").alias("fp"))
     total = truth.groupBy("label").agg(F.count("*").alias("n"))
     labels = total.select("label").union(predicted.select("label")).distinct()
     rows = labels.join(total, "label", "left").join(missed, "label", "left").join(wrong, "label", "left").fillna(0)

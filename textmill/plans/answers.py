@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import answers as A
+from textmill.operators import phrases as PH
 from textmill.operators import rules as R
 from textmill.operators import spans as S
 from textmill.plans.registry import query, table
@@ -80,6 +81,30 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "label").agg(F.count("*").alias("candidates"), F.sum(F.col("accepted").cast("long")).alias("accepted"), F.sum(F.col("duplicate").cast("long")).alias("duplicates"))
 
 
+_PHRASES = r"""
+bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS m FROM benchmark),
+ph AS (SELECT DISTINCT unnest(m) AS phrase FROM bw UNION SELECT DISTINCT unnest(list_transform(list_filter(range(1, len(m)), lambda i: m[i] <> m[i + 1]), lambda i: m[i] || ' ' || m[i + 1])) FROM bw)
+"""
+
+
+def benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words and pairs of neighbouring (different) words of the benchmark texts, lower-cased."""
+    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("m"))
+    pairs = F.transform(F.slice("m", 2, F.size("m")), lambda w, i: F.when(F.get("m", i) != w, F.concat_ws(" ", F.get("m", i), w)))
+    return words.select(F.explode(F.concat("m", F.array_compact(pairs))).alias("phrase")).distinct()
+
+
+@query(
+    f"""WITH {_WORDS_AT}, {_PHRASES},
+    ca AS (SELECT doc_id, phrase, start, start + n AS stop FROM wp JOIN ph ON w = phrase UNION ALL SELECT doc_id, phrase, start, start2 + n2 FROM wp JOIN ph ON w || ' ' || w2 = phrase WHERE gap = ' ')
+    SELECT doc_id, count(*) AS spans, count(DISTINCT phrase) AS phrases, sum(start)::BIGINT AS starts, sum(stop)::BIGINT AS ends FROM ca GROUP BY doc_id"""
+)
+def phrase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phrase of the benchmark's vocabulary in every document: how many spans and phrases, and the sums of their places."""
+    found = PH.phrase_spans(table(spark, sf_dir, "documents"), "doc_id", "text", benchmark_phrases(spark, sf_dir))
+    return found.groupBy("doc_id").agg(F.count("*").alias("spans"), F.count_distinct("label").alias("phrases"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
 @query(
     r"""WITH s AS (SELECT doc_id, text, regexp_replace(text, '\n+', ' ', 'g') AS t2, regexp_extract(text, '[A-Za-z]{6,}') AS v FROM documents), x AS (SELECT *, instr(text, v) - 1 AS start, instr(t2, v) AS first FROM s WHERE v <> '')
     SELECT doc_id, CASE WHEN text = t2 THEN 'unchanged' WHEN first > 0 AND instr(substr(t2, first + 1), v) = 0 THEN 'projected' ELSE 'unresolved' END AS status,

@@ -9,6 +9,7 @@ from textmill.functions import text as X
 from textmill.operators import answers as A
 from textmill.operators import features as QF
 from textmill.operators import generate as G
+from textmill.operators import intervals as IV
 from textmill.operators import rank as R
 from textmill.operators import rules as RU
 from textmill.operators import spans as S
@@ -98,21 +99,6 @@ def metadata_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(Q, U, F.forall(F.map_entries("filters"), lambda e: F.try_element_at("fields", e["key"]) == e["value"]).alias("passes"))
 
 
-@query(
-    """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-    o AS (SELECT doc_id, i, line, text, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l),
-    v AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]{9,}') AS v, instr(text, regexp_extract(text, '[A-Za-z]{9,}')) - 1 AS s FROM documents WHERE regexp_matches(text, '[A-Za-z]{9,}'))
-    SELECT doc_id, i AS interval_index, s AS start FROM v JOIN o USING (doc_id) WHERE a <= s AND s + length(v) <= a + length(line)"""
-)
-def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line of each document that holds its first long word."""
-    docs = table(spark, sf_dir, "documents")
-    lines = S.matches(docs, U, "text", r"[^\n]+|(?<=\n)(?=\n|$)|^(?=\n)|^$").select(U, "index", "start", "end")
-    value = F.regexp_extract("text", "[A-Za-z]{9,}", 0)
-    spans = docs.where(value != "").select(U, (F.instr(F.col("text"), value) - 1).cast("long").alias("start"), F.length(value).alias("_n")).select(U, "start", (F.col("start") + F.col("_n")).alias("end"))
-    return S.containing(spans, lines, U).where("contained").select(U, "interval_index", "start")
-
-
 def _spans_sql(pattern: str) -> str:
     """Distinct (doc_id, start, stop, value) of a pattern's matches: where a match begins is the length of all before it."""
     return f"""SELECT DISTINCT doc_id, s + list_sum([0] || list_transform(p[1 : i], lambda x: length(x)))::BIGINT AS start, s + list_sum([0] || list_transform(p[1 : i], lambda x: length(x)))::BIGINT + length(m[i]) AS stop, m[i] AS value FROM (
@@ -120,6 +106,20 @@ def _spans_sql(pattern: str) -> str:
         SELECT doc_id, p, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM documents)))"""
 
 
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+    o AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l),
+    v AS ({_spans_sql('[A-Za-z]{9,}')})
+    SELECT doc_id, i AS interval_index, v.start, v.stop AS "end" FROM v JOIN o USING (doc_id) WHERE a <= v.start AND v.stop <= a + length(line)"""
+)
+def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line that holds each long word of each document."""
+    docs = table(spark, sf_dir, "documents")
+    lines = S.matches(docs, U, "text", r"[^\n]+|(?<=\n)(?=\n|$)|^(?=\n)|^$").select(U, "index", "start", "end")
+    words = S.matches(docs, U, "text", "[A-Za-z]{9,}").select(U, "start", "end")
+    return IV.containing(words, lines, U).where("contained").select(U, "interval_index", "start", "end")
+
+
 _POLICIES = {"exact": "t.start = p.start AND t.stop = p.stop", "normalised": "lower(t.value) = lower(p.value)", "relaxed": "t.start < p.stop AND p.start < t.stop"}
 
 

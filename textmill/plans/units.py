@@ -11,7 +11,7 @@ from textmill.operators import index as I
 from textmill.operators import rank as R
 from textmill.operators import spans as S
 from textmill.operators import store as ST
-from textmill.plans import answers, retrieval
+from textmill.plans import answers, extended, retrieval
 from textmill.plans.registry import query, table
 from textmill.plans.retrieval import tokens_sql
 
@@ -107,14 +107,13 @@ def extraction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{9,}') AS v FROM documents WHERE regexp_matches(text, '[A-Za-z]{9,}')), s AS (SELECT *, (instr(text, v) - 1)::BIGINT AS a FROM f)
-    SELECT 'PRED-' || substr(sha256(concat_ws('␟', 'run1', doc_id, 'long_word', a, a + length(v))), 1, 24) AS prediction_id, doc_id, 'long_word' AS label, a AS start, a + length(v) AS "end", lower(v) AS normalised_value FROM s"""
+    f"""WITH s AS ({extended._spans_sql('[A-Za-z]{9,}')})
+    SELECT 'PRED-' || substr(sha256(concat_ws('␟', 'run1', doc_id, 'long_word', start, stop)), 1, 24) AS prediction_id, doc_id, 'long_word' AS label, start, stop AS "end", lower(value) AS normalised_value FROM s"""
 )
 def extraction_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first long word of each document as a prediction with its identifier."""
-    value = F.regexp_extract("text", "[A-Za-z]{9,}", 0)
-    start = (F.instr(F.col("text"), F.col("value")) - 1).cast("long")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", value.alias("value")).where("value <> ''").select("doc_id", F.lit("long_word").alias("label"), start.alias("start"), (start + F.length("value")).alias("end"), "value")
+    """Every long word of every document as a prediction with its identifier."""
+    found = S.matches(table(spark, sf_dir, "documents"), "doc_id", "text", "[A-Za-z]{9,}")
+    rows = found.select("doc_id", F.lit("long_word").alias("label"), "start", "end", F.col("matched").alias("value"))
     return C.predictions(rows, "doc_id", "run1")
 
 
