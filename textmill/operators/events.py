@@ -79,6 +79,25 @@ def admitted(events: DataFrame, key: str, at: str, limit: int, seconds: int) ->
     return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+#: Numbers in one block of ``gaps``.
+BLOCK = 1 << 16
+
+
+def gaps(rows: DataFrame, key: str, number: str, block: int = BLOCK) -> DataFrame:
+    """key, first_missing, last_missing: the ranges of numbers between a key's least and greatest that it does not have.
+
+    A key's numbers are dealt in blocks, so a key of very many is spread; inside a block neighbours are compared, and
+    between blocks their ends, one row for each block. Repeated and null numbers make no gap.
+    """
+    n = F.col(number)
+    known = rows.where(n.isNotNull()).select(key, n.cast("long").alias("_n")).distinct().withColumn("_b", F.floor(F.col("_n") / block))
+    inside = known.withColumn("_before", F.lag("_n").over(Window.partitionBy(key, "_b").orderBy("_n")))
+    ends = known.groupBy(key, "_b").agg(F.min("_n").alias("_n"), F.max("_n").alias("_last"))
+    between = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy("_b")))
+    both = inside.select(key, "_before", "_n").unionByName(between.select(key, "_before", "_n"))
+    return both.where("_before + 1 < _n").select(key, (F.col("_before") + 1).alias("first_missing"), (F.col("_n") - 1).alias("last_missing"))
+
+
 def table_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """key and change: added, removed or changed rows between two versions of a table."""
     mark = lambda df, side: df.select(*key, F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256).alias("h"), F.lit(side).alias("side"))

@@ -50,6 +50,52 @@ def event_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.admitted(events, "user_id", "ts", 3, 12 * 3600).select("event_id", "user_id", "admitted")
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    f(user_id, r, kept, event_id, admitted) AS (
+      SELECT DISTINCT user_id, 0::BIGINT, []::TIMESTAMP[], NULL::BIGINT, NULL::BOOLEAN FROM e
+      UNION ALL SELECT user_id, r, CASE WHEN len(live) < 3 THEN list_append(live, ts) ELSE live END, event_id, len(live) < 3 FROM (
+        SELECT e.user_id, e.r, e.ts, e.event_id, list_filter(f.kept, lambda t: t > e.ts - INTERVAL 12 HOUR) AS live FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.r = f.r + 1))
+    SELECT event_id, user_id, admitted, false AS late FROM f WHERE r > 0"""
+)
+def event_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same admission with keyed state, from a stream over the events file, drained once."""
+    like = table(spark, sf_dir, "events")
+    stream = ST.read_events(spark, f"{sf_dir}/events.parquet*", like).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    rows = ST.admitted_stream(stream, "user_id", "ts", ["event_id"], 3, 12 * 3600)
+    return ST.run_once(rows, f"admission_{uuid.uuid4().hex}", mode="append").select("event_id", "user_id", "admitted", "late")
+
+
+_SESSIONS = f"""SELECT user_id, floor(epoch(min(ts)))::BIGINT AS session_start, count(*) AS n, round(sum(value), {ROUND}) AS total FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+      SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+    GROUP BY user_id, s"""
+
+
+@query(_SESSIONS)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user's events that lie less than six hours apart, in batch."""
+    rows = ST.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "6 hours")
+    return rows.select("user_id", F.unix_timestamp("session_start").alias("session_start"), "n", F.round("total", ROUND).alias("total"))
+
+
+@query(_SESSIONS)
+def event_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sessions from a stream over the events file, drained once."""
+    like = table(spark, sf_dir, "events")
+    stream = ST.read_events(spark, f"{sf_dir}/events.parquet*", like).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = ST.run_once(ST.sessions(stream, "user_id", "6 hours", "1 hour"), f"sessions_{uuid.uuid4().hex}")
+    return rows.select("user_id", F.unix_timestamp("session_start").alias("session_start"), "n", F.round("total", ROUND).alias("total"))
+
+
+@query(
+    """SELECT event_type, b + 1 AS first_missing, event_id - 1 AS last_missing FROM (SELECT event_type, event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events) WHERE b + 1 < event_id"""
+)
+def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of event numbers that a type does not have between its first and last."""
+    return O.gaps(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
 _WINDOWS = "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
 
