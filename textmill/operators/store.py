@@ -9,14 +9,17 @@ join with the query terms and one aggregation.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import index as I
 from textmill.session import shared_folder
+from textmill.sources import io
 
 DIMENSION = 32
 #: Postings that one bucket should hold about.
@@ -41,16 +44,23 @@ class Index:
 def hashed_vectors(units: DataFrame, key: str, dimension: int = DIMENSION) -> DataFrame:
     """key and vector: signed feature hashing of 1- and 2-grams with L2 norm, ten places; units without a token have none.
 
-    Grams are summed by bucket with map-side combination, at most ``dimension`` rows a unit.
+    Every gram is hashed where its text lies and summed by bucket there, so at most ``dimension`` numbers a unit are
+    shuffled and no gram is. The bucket is the digest's first 8 bytes modulo ``dimension``, of which the last byte is
+    enough where 256 is a multiple of it.
     """
     from textmill.functions import text as X
 
     items = F.col("tokens")
-    grams = units.select(key, F.explode(F.concat(items, X.ngrams(items, 2))).alias("_g")).groupBy(key, "_g").agg(F.count("*").alias("_n"))
     digest = F.sha2("_g", 256)
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(dimension)).cast("int")
-    sign = F.when(F.pmod(F.conv(F.substring(digest, 17, 2), 16, 10).cast("int"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    sums = grams.select(key, bucket.alias("_b"), (sign * F.col("_n")).alias("_s")).groupBy(key, "_b").agg(F.sum("_s").alias("_s"))
+    grams = units.select(key, F.explode(F.concat(items, X.ngrams(items, 2))).alias("_g"))
+    if 256 % dimension == 0:
+        pair = F.conv(F.substring(digest, 15, 4), 16, 10).cast("int")
+        bucket, odd = F.shiftright(F.col("_h"), 8) % dimension, F.col("_h") % 2
+        hashed = grams.select(key, pair.alias("_h")).select(key, bucket.cast("int").alias("_b"), odd.alias("_o"))
+    else:
+        wide = F.pmod(F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(dimension)).cast("int")
+        hashed = grams.select(key, wide.alias("_b"), (F.conv(F.substring(digest, 17, 2), 16, 10).cast("int") % 2).alias("_o"))
+    sums = hashed.groupBy(key, "_b").agg(F.sum(1.0 - 2.0 * F.col("_o")).alias("_s"))
     held = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_s"))).alias("_m"), F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_l"))
     entry = lambda i: F.when(F.col("_l") > 0, F.round(F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_l"), 10)).otherwise(F.lit(0.0))
     return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), entry).alias("vector"))
@@ -75,23 +85,72 @@ def unstored(units: DataFrame, key: str) -> Index:
 
 
 def build(units: DataFrame, key: str, path: str, keep: tuple[str, ...] = ()) -> None:
-    """Write the index of units (key, text and kept columns) below ``path``: one pass over the texts, then over counts."""
+    """Write the index of units (key, text and kept columns) below ``path``: one segment, then what is derived from it."""
+    write_segment(units, key, f"{path}/segments/0", keep)
+    derive(units.sparkSession, [f"{path}/segments/0"], None, key, path)
+
+
+def write_segment(units: DataFrame, key: str, path: str, keep: tuple[str, ...] = (), source: Column | None = None) -> None:
+    """What depends on a unit alone: rows (key, kept columns, length, vector) and counted (key, term, tf, length).
+
+    ``source`` (the file a unit came from) is kept with both, so that a later version can leave its units out.
+    """
     spark = units.sparkSession
-    spark_write(I.tokenised(units, key, keep=keep), f"{path}/tokens")
+    kept = (*keep, "_source") if source is not None else keep
+    if source is not None:
+        units = units.withColumn("_source", source)
+    spark_write(I.tokenised(units, key, keep=kept), f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
-    stats = tokens.agg(F.count("*").alias("n_units"), F.avg("length").alias("avg_length"), F.sum("length").alias("n_tokens"))
+    of = ("length", "_source") if source is not None else ("length",)
+    counted = I.terms(tokens, key, *of).groupBy(key, *of, "term").agg(F.count("*").alias("tf"))
+    spark_write(counted, f"{path}/counted")
+    spark_write(tokens.select(key, "length", *kept).join(hashed_vectors(tokens, key), key, "left"), f"{path}/rows")
+
+
+def derive(spark: SparkSession, segments: list[str], live: DataFrame | None, key: str, path: str) -> None:
+    """Statistics, document frequencies, norms and bucketed postings of the live units of some segments, and the manifest.
+
+    ``live`` has _segment and _source of what counts; None takes all. The manifest is written last: without it there is
+    no index at ``path``.
+    """
+
+    def of(name: str) -> DataFrame:
+        parts = [spark.read.parquet(f"{s}/{name}").withColumn("_segment", F.lit(s)) for s in segments]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return rows.drop("_segment") if live is None else rows.join(live, ["_segment", "_source"], "left_semi").drop("_segment", "_source")
+
+    rows, counted = of("rows"), of("counted")
+    stats = rows.agg(F.count("*").alias("n_units"), F.avg("length").alias("avg_length"), F.sum("length").alias("n_tokens"))
     spark_write(stats, f"{path}/statistics")
     one = spark.read.parquet(f"{path}/statistics").first()
-    spark_write(I.postings(tokens, key), f"{path}/counted")
-    counted = spark.read.parquet(f"{path}/counted")
     postings, terms, norms = _weighed(counted, key, F.lit(one["n_units"]))
     spark_write(terms, f"{path}/terms")
-    buckets = max(8, -(-counted.count() // BUCKET_ROWS))
-    rows = tokens.select(key, "length", *keep).join(norms, key, "left").join(hashed_vectors(tokens, key), key, "left")
-    for name, frame in (("units", rows), ("postings", postings)):
+    buckets = max(8, -(-(one["n_tokens"] or 0) // BUCKET_ROWS))
+    for name, frame in (("units", rows.join(norms, key, "left")), ("postings", postings)):
         order = "term" if name == "postings" else key
         writer = frame.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(order)
         writer.option("path", f"{path}/{name}").saveAsTable(f"{table_prefix(path)}_{name}")
+    checked = None
+    for name in TABLES:
+        frame = spark.table(f"{table_prefix(path)}_{name}") if name in ("units", "postings") else spark.read.parquet(f"{path}/{name}")
+        part = io.manifest(frame, name).withColumns({"buckets": F.lit(buckets), "fields": F.lit(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema))})
+        checked = part if checked is None else checked.unionByName(part)
+    spark_write(checked.coalesce(1), f"{path}/manifest")
+
+
+#: Tables of an index whose rows and checksums its manifest states.
+TABLES = ("statistics", "terms", "units", "postings")
+
+
+def faults(spark: SparkSession, path: str) -> list[str]:
+    """Tables of an index that do not read back as its manifest states; all of them without a manifest."""
+    if not exists(spark, f"{path}/manifest"):
+        return list(TABLES)
+    stated = {r["name"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}
+    there = {n: io.manifest(spark.read.schema(r["fields"]).parquet(f"{path}/{n}"), n).first() for n, r in stated.items() if exists(spark, f"{path}/{n}")}
+    return [n for n in TABLES if n not in there or any(stated[n][c] != there[n][c] for c in ("rows", "checksum"))]
 
 
 def spark_write(frame: DataFrame, path: str) -> None:
@@ -99,32 +158,85 @@ def spark_write(frame: DataFrame, path: str) -> None:
 
 
 def table_prefix(path: str) -> str:
-    return "textmill_" + path.rstrip("/").rsplit("/", 1)[-1]
+    return "textmill_" + re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1])
 
 
 def open_index(spark: SparkSession, path: str, key: str) -> Index:
-    """An index that ``build`` wrote in this session (its tables know their buckets)."""
+    """An index that ``build`` or ``refresh`` wrote, in this session or another: its manifest says how it is bucketed."""
     one = spark.read.parquet(f"{path}/statistics").first()
     prefix = table_prefix(path)
+    for name in ("units", "postings"):
+        if not spark.catalog.tableExists(f"{prefix}_{name}"):
+            stated = spark.read.parquet(f"{path}/manifest").where(F.col("name") == name).first()
+            order = "term" if name == "postings" else key
+            spark.sql(f"CREATE TABLE {prefix}_{name} ({stated['fields']}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{order}`) INTO {stated['buckets']} BUCKETS LOCATION '{path}/{name}'")
     return Index(key, spark.table(f"{prefix}_units"), spark.table(f"{prefix}_postings"), spark.read.parquet(f"{path}/terms"), F.lit(one["n_units"]), F.lit(one["avg_length"] or 1.0))
 
 
+def close_index(spark: SparkSession, path: str) -> None:
+    """Drop an index: its names in the session's catalog and its files."""
+    for name in ("units", "postings"):
+        spark.sql(f"DROP TABLE IF EXISTS {table_prefix(path)}_{name}")
+    io.remove(spark, path)
+
+
+def fingerprints(spark: SparkSession, files: list[str]) -> dict[str, tuple[int, int]]:
+    """(bytes, time of change in ms) of each file, as its store states them."""
+    out = {}
+    for f in sorted(files):
+        where, fs = io._fs(spark, unquote(f))
+        status = fs.getFileStatus(where)
+        out[f] = (status.getLen(), status.getModificationTime())
+    return out
+
+
 _built: dict[tuple, str] = {}
 
 
 def index_of(units: DataFrame, key: str, keep: tuple[str, ...] = ()) -> Index:
-    """The stored index of a table of units, built at its first use in a session and while its files stay the same."""
+    """The stored index of a table of units, built at its first use in a session and while its files stay as they are.
+
+    Files are known by their names, lengths and times of change, so one that was written again has a new index.
+    """
     spark = units.sparkSession
-    size = str(units._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    name = (spark.sparkContext.applicationId, key, keep, size, *sorted(units.inputFiles()))
+    files = tuple(fingerprints(spark, units.inputFiles()).items())
+    name = (spark.sparkContext.applicationId, key, keep, units.semanticHash(), files)
     path = _built.get(name)
-    if path is None or not exists(spark, f"{path}/statistics"):
+    if path is None or not exists(spark, f"{path}/manifest"):
         path = f"{shared_folder(spark)}/index_{uuid.uuid4().hex}"
         build(units, key, path, keep)
         _built[name] = path
     return open_index(spark, path, key)
 
 
+def refresh(spark: SparkSession, table: str, key: str, root: str, keep: tuple[str, ...] = ()) -> Index:
+    """The index of a Parquet table as it is now, kept below ``root`` in versions that share segments.
+
+    Files that are new or were written again make one new segment; units of files that went or changed are left out of
+    the old ones, whose texts are not read again. Statistics, norms and postings are derived from the live units, since
+    a document frequency that changes changes all scores. A version is there once its manifest is; a refresh that fails
+    leaves the last one, and one that finds no change returns it.
+    """
+    files = fingerprints(spark, spark.read.parquet(table).inputFiles())
+    versions = sorted(int(v) for v in io.names(spark, f"{root}/versions")) if exists(spark, f"{root}/versions") else []
+    whole = [v for v in versions if exists(spark, f"{root}/versions/{v}/manifest")]
+    plain = {re.sub("^file:/+", "file:/", f): f for f in files}
+    known = {plain.get(r["file"], r["file"]): r for r in spark.read.parquet(f"{root}/versions/{whole[-1]}/files").collect()} if whole else {}  # one row for each file
+    same = {f for f, (size, time) in files.items() if f in known and (known[f]["bytes"], known[f]["changed"]) == (size, time)}
+    if whole and len(same) == len(files) == len(known):
+        return open_index(spark, f"{root}/versions/{whole[-1]}", key)
+    path = f"{root}/versions/{(versions or [0])[-1] + 1}"
+    segment = f"{root}/segments/{uuid.uuid4().hex}"
+    fresh = sorted(set(files) - same)
+    if fresh:
+        write_segment(spark.read.parquet(*[unquote(f) for f in fresh]), key, segment, keep, F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/"))
+    rows = [(re.sub("^file:/+", "file:/", f), *files[f], known[f]["segment"] if f in same else segment) for f in sorted(files)]
+    spark_write(spark.createDataFrame(rows, "file string, bytes long, changed long, segment string").coalesce(1), f"{path}/files")
+    live = spark.read.parquet(f"{path}/files").select(F.col("segment").alias("_segment"), F.col("file").alias("_source"))
+    derive(spark, sorted({r[3] for r in rows}), live, key, path)
+    return open_index(spark, path, key)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
