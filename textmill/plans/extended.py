@@ -9,6 +9,7 @@ from textmill.functions import text as X
 from textmill.operators import answers as A
 from textmill.operators import features as QF
 from textmill.operators import generate as G
+from textmill.operators import grams as GR
 from textmill.operators import intervals as IV
 from textmill.operators import rank as R
 from textmill.operators import rules as RU
@@ -81,7 +82,7 @@ def remediation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         Q,
         U,
         F.round(F.size(F.array_intersect(q, d)) / F.size(q), 6).alias("lexical"),
-        F.round(X.jaccard(X.char_ngrams(F.col("q_text")), X.char_ngrams(F.col("d_text"))), 6).alias("jaccard"),
+        F.round(GR.pair_jaccard(F.col("q_text"), F.col("d_text")), 6).alias("jaccard"),
         R.phrase_share(X.ngrams(F.col("q_toks"), 2), F.lower("d_text")).alias("phrase"),
         positions.alias("_p"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import text as X
+from textmill.operators import grams as G
 from textmill.operators import index as I
 from textmill.operators import rank as R
 from textmill.operators.neighbours import nearest
@@ -249,7 +250,26 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def char_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard similarity of 3- to 5-character grams for each item and its top documents."""
     p = pairs(spark, sf_dir)
-    return p.select(Q, U, F.round(X.jaccard(X.char_ngrams(F.col("q_text")), X.char_ngrams(F.col("d_text"))), 6).alias("jaccard"))
+    return p.select(Q, U, F.round(G.pair_jaccard(F.col("q_text"), F.col("d_text")), 6).alias("jaccard"))
+
+
+CHARS = r"""
+cn AS (SELECT 'q' AS side, item_id AS id, ' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' ' AS t FROM benchmark UNION ALL SELECT 'd', doc_id, ' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' ' FROM documents),
+cg AS (SELECT DISTINCT side, id, substr(t, i, n) AS g FROM (SELECT side, id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT side, id, t, unnest([3, 4, 5]) AS n FROM cn))),
+cs AS (SELECT side, id, count(*) AS n FROM cg GROUP BY side, id),
+ci AS (SELECT x.id AS item_id, y.id AS doc_id, count(*) AS c FROM cg x JOIN cg y USING (g) WHERE x.side = 'q' AND y.side = 'd' GROUP BY x.id, y.id),
+chars AS (SELECT item_id, doc_id, round(c::DOUBLE / (a.n + b.n - c), 6) AS score FROM ci JOIN cs a ON a.side = 'q' AND a.id = item_id JOIN cs b ON b.side = 'd' AND b.id = doc_id)
+"""
+
+
+def char_ranked(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return G.most_similar(table(spark, sf_dir, "documents"), U, "text", table(spark, sf_dir, "benchmark"), Q, "text", k)
+
+
+@query(f"WITH {CHARS} {ranked_sql('chars')}")
+def char_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the whole corpus whose character grams are most like each item's."""
+    return char_ranked(spark, sf_dir)
 
 
 @query(
