@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textmill.operators.rank import confidence
+
 #: The remediation configurations, as the features that each turns on, in order of complexity.
 REMEDIATION = {
     "char_tfidf_v1": ("character",),
@@ -90,16 +92,29 @@ def scored(pairs: DataFrame, configs: DataFrame) -> DataFrame:
 
     ``pairs`` has lexical and the features as numbers (synonym and entity 0 or 1, feedback the number of terms) and boost.
     """
-    rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(configs.columns, r, strict=True)]) for r in configs.collect()]  # few
+    rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(configs.columns, r, strict=True)]) for r in configs.collect()]  # the parameter's few rows
     each = pairs.withColumn("_c", F.explode(F.array(*rows)))
     score = F.col("lexical") + sum((F.when(F.col(f"_c.{f}"), w * F.col(f)).otherwise(0.0) for f, w in ADDED.items()), F.lit(0.0))
     score = score + F.when(F.col("_c.rerank"), F.col("boost")).otherwise(0.0)
-    return each.withColumn("score", F.round(score, 8)).withColumns({"configuration_id": F.col("_c.configuration_id"), "complexity": F.col("_c.complexity")}).drop("_c")
+    return each.withColumn("score", F.round(score, 8)).withColumns({"configuration_id": F.col("_c.configuration_id"), "complexity": F.col("_c.complexity"), "diversify": F.col("_c.diversify"), "abstain": F.col("_c.abstain")}).drop("_c")
+
 
+def ranked(rows: DataFrame, query: str, unit: str, k: int, group: str | None = None, least_confidence: float = 0.0) -> DataFrame:
+    """The best k of each query under each configuration, with rank and abstained.
 
-def ranked(rows: DataFrame, query: str, unit: str, k: int) -> DataFrame:
-    w = Window.partitionBy("configuration_id", query).orderBy(F.desc("score"), unit)
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    Where a configuration diversifies, the first unit of each ``group`` keeps its place and the others follow. Where it
+    abstains, a query whose margin between the first two scores gives less than ``least_confidence`` is marked.
+    """
+    w = Window.partitionBy("configuration_id", query)
+    placed = rows.withColumn("_place", F.row_number().over(w.orderBy(F.desc("score"), unit)))
+    later = F.lit(False)
+    if group is not None:
+        later = F.col("diversify") & (F.row_number().over(Window.partitionBy("configuration_id", query, group).orderBy("_place")) > 1)
+    first, second = F.max("score").over(w), F.coalesce(F.max(F.when(F.col("_place") == 2, F.col("score"))).over(w), F.lit(0.0))
+    margin = F.when(F.col("_first") > 0, (F.col("_first") - F.col("_second")) / F.col("_first")).otherwise(F.lit(0.0))
+    known = placed.withColumns({"_later": later, "_first": first, "_second": second})
+    known = known.withColumn("abstained", F.col("abstain") & (F.round(confidence(margin, F.lit(1.0)), 6) < least_confidence))
+    return known.withColumn("rank", F.row_number().over(w.orderBy("_later", "_place")).cast("long")).where(F.col("rank") <= k).drop("_place", "_later", "_first", "_second")
 
 
 def leaderboard(means: DataFrame) -> DataFrame:

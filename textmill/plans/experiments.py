@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import text as X
+from textmill.operators import answers as A
 from textmill.operators import evaluate as E
 from textmill.operators import experiments as P
 from textmill.operators import features as QF
+from textmill.operators import grams as G
 from textmill.operators import rank as R
-from textmill.plans import evaluation, extended, grades, synthesis
+from textmill.plans import evaluation, extended, grades, retrieval, synthesis
 from textmill.plans.evaluation import JUDGED
 from textmill.plans.registry import ORACLES, query, table
-from textmill.plans.retrieval import BM25, BLOCKED, PAIRS, Q, TOKENS, U, pairs
+from textmill.plans.retrieval import BM25, BLOCKED, Q, TOKENS, U, ranked_sql
 
 K = 3
 
@@ -47,17 +49,20 @@ def category():
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first documents of each item with every feature but the character one, which ``char_jaccard`` computes on its own
-    (its SQL is too slow to repeat here, so it counts as 0); nothing in them reads a judgment."""
-    langs = table(spark, sf_dir, "documents").select(U, "lang")
-    p = pairs(spark, sf_dir).join(langs, U)
+    """Every feature of each item's candidates: the best five of the whole corpus by BM25, and by character grams.
+
+    Nothing in them reads a judgment.
+    """
+    langs = table(spark, sf_dir, "documents").select(U, "lang", "source")
+    candidates = retrieval.bm25_ranked(spark, sf_dir).select(Q, U).union(retrieval.char_ranked(spark, sf_dir).select(Q, U)).distinct()
+    p = retrieval.with_texts(spark, sf_dir, candidates).join(langs, U)
     q, d = F.array_distinct("q_toks"), F.array_distinct("d_toks")
     positions = F.filter(F.transform("q_toks", lambda t: F.array_position("d_toks", t)), lambda i: i > 0)
     fresh = F.filter(d, lambda t: ~F.array_contains("q_toks", t) & ~t.rlike("^[0-9]+$") & ~t.isin(*BLOCKED))
     rows = p.select(
-        Q, U, "d_text",
+        Q, U, "d_text", "source",
         F.round(F.size(F.array_intersect(q, d)) / F.size(q), 6).alias("lexical"),
-        F.lit(0.0).alias("character"),  # as the query below says
+        F.round(G.pair_jaccard(F.col("q_text"), F.col("d_text")), 6).alias("character"),
         R.phrase_share(X.ngrams(F.col("q_toks"), 2), F.lower("d_text")).alias("phrase"),
         positions.alias("_p"),
         F.arrays_overlap(QF.graph_terms(F.col("q_text"), extended._GRAPH), F.col("d_toks")).cast("int").alias("synonym"),
@@ -69,25 +74,38 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES = ", ".join(f"('{k}', '{e}')" for k, v in extended._GRAPH.items() for e in v)
-_FEATURES = f"""{TOKENS}, {BM25}, {PAIRS}, {_CONFIGS}, ge(term, added) AS (VALUES {_EDGES}), sy AS (SELECT item_id, list(DISTINCT added) AS adds FROM qt JOIN ge USING (term) GROUP BY item_id),
-ph AS ({ORACLES['phrase_score']}), px AS ({ORACLES['proximity_score']}),
-ft AS (SELECT p.item_id, p.doc_id, round(len(list_intersect(list_distinct(q_toks), list_distinct(d_toks)))::DOUBLE / len(list_distinct(q_toks)), 6) AS lexical, 0.0::DOUBLE AS c, phrase_score AS f, proximity AS x,
+_FEATURES = f"""{TOKENS}, {BM25}, {retrieval.CHARS}, {_CONFIGS}, ge(term, added) AS (VALUES {_EDGES}), sy AS (SELECT item_id, list(DISTINCT added) AS adds FROM qt JOIN ge USING (term) GROUP BY item_id),
+r AS (SELECT item_id, doc_id FROM ({ranked_sql('bm25')}) UNION SELECT item_id, doc_id FROM ({ranked_sql('chars')})),
+p AS (SELECT r.item_id, r.doc_id, q.text AS q_text, d.text AS d_text, q.toks AS q_toks, d.toks AS d_toks FROM r JOIN q USING (item_id) JOIN d USING (doc_id)),
+pb AS (SELECT item_id, doc_id, lower(d_text) AS t, list_transform(range(1, len(q_toks)), lambda i: q_toks[i] || ' ' || q_toks[i + 1]) AS bg, list_filter(list_transform(q_toks, lambda t: list_position(d_toks, t)), lambda i: i > 0) AS pos FROM p),
+px AS (SELECT item_id, doc_id, CASE WHEN len(bg) = 0 THEN 0.0::DOUBLE ELSE round(len(list_filter(bg, lambda g: contains(t, g)))::DOUBLE / len(bg), 6) END AS phrase_score,
+  CASE WHEN len(pos) < 2 THEN 0.0::DOUBLE ELSE round(least(1.0::DOUBLE, len(pos)::DOUBLE / (list_max(pos) - list_min(pos) + 1)), 6) END AS proximity FROM pb),
+ft AS (SELECT p.item_id, p.doc_id, source, round(len(list_intersect(list_distinct(q_toks), list_distinct(d_toks)))::DOUBLE / len(list_distinct(q_toks)), 6) AS lexical, coalesce(chars.score, 0) AS c, phrase_score AS f, proximity AS x,
   CASE WHEN list_has_any(d_toks, coalesce(adds, [])) THEN 1 ELSE 0 END AS s, least(6, len(list_filter(list_distinct(d_toks), lambda t: NOT list_contains(q_toks, t) AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ({', '.join(repr(b) for b in BLOCKED)})))) AS fb,
-  CASE WHEN item_id % 3 = 1 AND lang = 'en' THEN 1 ELSE 0 END AS e, {_KIND} AS kind, lower(d_text) AS lt FROM p JOIN ph USING (item_id, doc_id) JOIN px USING (item_id, doc_id) LEFT JOIN sy USING (item_id) JOIN documents USING (doc_id)),
+  CASE WHEN item_id % 3 = 1 AND lang = 'en' THEN 1 ELSE 0 END AS e, {_KIND} AS kind, lower(d_text) AS lt FROM p JOIN px USING (item_id, doc_id) LEFT JOIN chars USING (item_id, doc_id) LEFT JOIN sy USING (item_id) JOIN documents USING (doc_id)),
 bo AS (SELECT *, CASE WHEN kind = 'negation_sensitive' AND (contains(lt, 'no ') OR contains(lt, 'without') OR contains(lt, 'negative')) THEN 0.22::DOUBLE ELSE 0 END + CASE WHEN kind = 'numeric_detail' AND lexical > 0 THEN 0.20::DOUBLE ELSE 0 END + 0.12::DOUBLE AS boost FROM ft),
-sx AS (SELECT configuration_id, complexity, item_id, doc_id, kind, round(lexical + (CASE WHEN "character" THEN 0.22::DOUBLE * c ELSE 0 END + CASE WHEN phrase THEN 0.20::DOUBLE * f ELSE 0 END + CASE WHEN proximity THEN 0.15::DOUBLE * x ELSE 0 END + CASE WHEN synonym THEN 0.20::DOUBLE * s ELSE 0 END
+sx AS (SELECT configuration_id, complexity, item_id, doc_id, kind, source, diversify, abstain, round(lexical + (CASE WHEN "character" THEN 0.22::DOUBLE * c ELSE 0 END + CASE WHEN phrase THEN 0.20::DOUBLE * f ELSE 0 END + CASE WHEN proximity THEN 0.15::DOUBLE * x ELSE 0 END + CASE WHEN synonym THEN 0.20::DOUBLE * s ELSE 0 END
   + CASE WHEN feedback THEN 0.03::DOUBLE * fb ELSE 0 END + CASE WHEN entity THEN 0.18::DOUBLE * e ELSE 0 END) + CASE WHEN rerank THEN boost ELSE 0 END, 8) AS score FROM bo, cf),
-rk AS (SELECT *, row_number() OVER (PARTITION BY configuration_id, item_id ORDER BY score DESC, doc_id) AS rank FROM sx QUALIFY rank <= {K})"""
+so AS (SELECT *, row_number() OVER (PARTITION BY configuration_id, item_id ORDER BY score DESC, doc_id) AS place FROM sx),
+sd AS (SELECT *, diversify AND row_number() OVER (PARTITION BY configuration_id, item_id, source ORDER BY place) > 1 AS later, max(score) OVER w AS s1, coalesce(max(score) FILTER (WHERE place = 2) OVER w, 0) AS s2 FROM so WINDOW w AS (PARTITION BY configuration_id, item_id)),
+sa AS (SELECT *, abstain AND round(least(1.0::DOUBLE, 0.25::DOUBLE + greatest(0.0::DOUBLE, CASE WHEN s1 > 0 THEN (s1 - s2) / s1 ELSE 0 END) + 0.45::DOUBLE / 3), 6) < {A.CONFIDENCE} AS abstained FROM sd),
+ra AS (SELECT *, row_number() OVER (PARTITION BY configuration_id, item_id ORDER BY later, place) AS rank FROM sa QUALIFY rank <= {K}),
+rk AS (SELECT * FROM ra WHERE NOT abstained)"""
+
+
+def every_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ranked(P.scored(features(spark, sf_dir), P.configurations(spark)), Q, U, K, "source", A.CONFIDENCE)
 
 
 def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.ranked(P.scored(features(spark, sf_dir), P.configurations(spark)), Q, U, K)
+    """The ranks that count: a configuration that abstains has none."""
+    return every_rank(spark, sf_dir).where("NOT abstained")
 
 
-@query(f"WITH {_FEATURES} SELECT configuration_id, item_id, doc_id, score, rank FROM rk")
+@query(f"WITH {_FEATURES} SELECT configuration_id, item_id, doc_id, score, rank, abstained FROM ra")
 def experiment_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best three of each item's candidates under every configuration."""
-    return experiment(spark, sf_dir).select("configuration_id", Q, U, "score", "rank")
+    """The best three of each item's candidates under every configuration, diversified and abstained from where it says so."""
+    return every_rank(spark, sf_dir).select("configuration_id", Q, U, "score", "rank", "abstained")
 
 
 _BOARD = f"""{_FEATURES}, {JUDGED}, idl AS (SELECT item_id, count(*) AS relevant, sum(CASE WHEN r <= {K} THEN 1.0::DOUBLE / log2(r + 1) ELSE 0 END) AS ideal FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS r FROM j) GROUP BY item_id),
@@ -102,7 +120,7 @@ def experiment_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = P.configurations(spark).select("configuration_id", "complexity")
     key = F.concat_ws("|", "configuration_id", F.col(Q).cast("string"))
     items = table(spark, sf_dir, "benchmark").select(Q)
-    ids = [r["configuration_id"] for r in configs.collect()]  # the ten names
+    ids = list(P.REMEDIATION)
     each = lambda df: df.withColumn("configuration_id", F.explode(F.array(*[F.lit(i) for i in ids]))).withColumn("_k", key)
     rows = E.query_metrics(experiment(spark, sf_dir).withColumn("_k", key), each(evaluation.judgments(spark, sf_dir)), each(items), "_k", U, K)
     named = each(items).select("_k", "configuration_id", category().alias("category")).join(rows, "_k")

@@ -232,7 +232,11 @@ PAIRS = f"r AS ({ranked_sql('bm25')}), p AS (SELECT r.item_id, r.doc_id, q.text
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top five documents of each item with both texts and token arrays."""
-    top = bm25_ranked(spark, sf_dir)
+    return with_texts(spark, sf_dir, bm25_ranked(spark, sf_dir))
+
+
+def with_texts(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame:
+    """Pairs of item and document with both texts and token arrays."""
     docs = table(spark, sf_dir, "documents").select(U, F.col("text").alias("d_text"))
     texts = table(spark, sf_dir, "benchmark").select(Q, F.col("text").alias("q_text"))
     return top.join(docs, U).join(texts, Q).withColumns({"q_toks": X.tokens(F.col("q_text")), "d_toks": X.tokens(F.col("d_text"))})
@@ -254,8 +258,10 @@ def char_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHARS = r"""
-cn AS (SELECT 'q' AS side, item_id AS id, ' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' ' AS t FROM benchmark UNION ALL SELECT 'd', doc_id, ' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' ' FROM documents),
-cg AS (SELECT DISTINCT side, id, substr(t, i, n) AS g FROM (SELECT side, id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT side, id, t, unnest([3, 4, 5]) AS n FROM cn))),
+cn AS (SELECT side, id, string_split(' ' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || ' ', '') AS c FROM (SELECT 'q' AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 'd', doc_id, text FROM documents)),
+cg AS (SELECT side, id, unnest(list_distinct(list_concat(
+  list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]), list_transform(range(1, len(c) - 2), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3]),
+  list_transform(range(1, len(c) - 3), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4])))) AS g FROM cn),
 cs AS (SELECT side, id, count(*) AS n FROM cg GROUP BY side, id),
 ci AS (SELECT x.id AS item_id, y.id AS doc_id, count(*) AS c FROM cg x JOIN cg y USING (g) WHERE x.side = 'q' AND y.side = 'd' GROUP BY x.id, y.id),
 chars AS (SELECT item_id, doc_id, round(c::DOUBLE / (a.n + b.n - c), 6) AS score FROM ci JOIN cs a ON a.side = 'q' AND a.id = item_id JOIN cs b ON b.side = 'd' AND b.id = doc_id)
