@@ -36,6 +36,7 @@ class Index:
     terms: DataFrame
     n_units: Column
     avg_length: Column
+    path: str | None = None
 
     def idf(self) -> Column:
         return I.idf(self.n_units, F.col("df"))
@@ -170,7 +171,7 @@ def open_index(spark: SparkSession, path: str, key: str) -> Index:
             stated = spark.read.parquet(f"{path}/manifest").where(F.col("name") == name).first()
             order = "term" if name == "postings" else key
             spark.sql(f"CREATE TABLE {prefix}_{name} ({stated['fields']}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{order}`) INTO {stated['buckets']} BUCKETS LOCATION '{path}/{name}'")
-    return Index(key, spark.table(f"{prefix}_units"), spark.table(f"{prefix}_postings"), spark.read.parquet(f"{path}/terms"), F.lit(one["n_units"]), F.lit(one["avg_length"] or 1.0))
+    return Index(key, spark.table(f"{prefix}_units"), spark.table(f"{prefix}_postings"), spark.read.parquet(f"{path}/terms"), F.lit(one["n_units"]), F.lit(one["avg_length"] or 1.0), path)
 
 
 def close_index(spark: SparkSession, path: str) -> None:

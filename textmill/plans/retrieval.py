@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import text as X
+from textmill.operators import bounded as BD
 from textmill.operators import grams as G
 from textmill.operators import index as I
 from textmill.operators import rank as R
@@ -94,6 +95,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_ranked(spark, sf_dir)
 
 
+@query(f"WITH {TOKENS}, {BM25} {ranked_sql('bm25')}")
+def bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``bm25_topk``, with blocks of documents left out by the bounds of their scores."""
+    return BD.bounded_top_k(BD.blocks_of(stored(spark, sf_dir)), items(spark, sf_dir), Q, K).rows
+
+
 @query(f"WITH {TOKENS}, {TFIDF} {ranked_sql('tfidf')}")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf_ranked(spark, sf_dir)
