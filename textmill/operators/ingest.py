@@ -95,19 +95,19 @@ def require_source(manifest: DataFrame, flags: tuple[str, ...]) -> None:
 def run(documents: DataFrame, annotations: DataFrame, key: str, order: str, failed: Column, path: str) -> DataFrame:
     """The stage: quarantine, one-to-one join, tables, read-back; returns the manifest of what was written.
 
-    ``failed`` is the array of a document's failed checks. Writes documents, annotations and quarantine below ``path``.
+    ``failed`` is the array of a document's failed checks. Documents, annotations and quarantine become visible below
+    ``path`` together; a stage that fails leaves what was there.
     """
     from textmill.operators.rules import quarantine
 
     valid, failing = quarantine(documents, failed)
     joined, missing = one_to_one(valid, annotations, key, order)
-    io.write_quarantine(failing, f"{path}/quarantine", key)
     if not missing.isEmpty():
         raise KeyError(f"documents without an annotation, such as {missing.first()[key]}")
     kept = annotations.join(valid.select(key), key, "left_semi")
-    written = io.write_dataset({"documents": joined, "annotations": kept}, f"{path}/tables")
-    schemas = {"documents": joined.schema, "annotations": kept.schema}
-    faults = io.validate_dataset(documents.sparkSession, f"{path}/tables", written, schemas)
+    tables = {"documents": joined, "annotations": kept, "quarantine": io.quarantined(failing, key)}
+    written = io.write_dataset(tables, path)
+    faults = io.validate_dataset(documents.sparkSession, path, written, {n: t.schema for n, t in tables.items()})
     if not faults.isEmpty():
         raise OSError("a table does not read back as written")
     return written

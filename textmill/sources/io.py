@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,16 +45,21 @@ def read_preferred(spark: SparkSession, paths: list[str], schema: T.StructType |
     raise FileNotFoundError(", ".join(paths))
 
 
-def read_in_order(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of all JSON-lines files of a folder with ``_file`` and ``_line`` (of the file), which give the order of reading."""
-    lines = spark.read.text(path, wholetext=False).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("_place", F.monotonically_increasing_id())
-    line = F.row_number().over(Window.partitionBy("_file").orderBy("_place"))
-    parsed = lines.withColumn("_line", line.cast("long")).where(F.length(F.trim("value")) > 0).withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    known = [F.col(f"r.`{f.name}`").isNotNull() for f in schema.fields]
-    some = known[0]
-    for k in known[1:]:
-        some = some | k
-    return parsed.where(some).select("_file", "_line", "r.*")
+def read_in_order(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed lines) of all JSON-lines files of a folder, with ``_file``, ``_part`` and ``_line``, which give the order of reading.
+
+    A line's place is the part of the file it was read in (where the part starts) and its number there, so files are read
+    in parallel, a long one by several tasks. Malformed are lines that are not JSON objects or have none of the fields.
+    """
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("_file"), F.col("_metadata.file_block_start").alias("_part"), place.alias("_line"))
+    bad = "_malformed"
+    wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    parsed = lines.where(F.length(F.trim("value")) > 0).withColumn("r", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    some = F.array_contains(F.array(*[F.col(f"r.`{f.name}`").isNotNull() for f in schema.fields]), True)
+    good = F.col(f"r.{bad}").isNull() & F.coalesce(some, F.lit(False))
+    at = ["_file", "_part", "_line"]
+    return parsed.where(good).select(*at, *[F.col(f"r.`{f.name}`") for f in schema.fields]), parsed.where(~good).select(*at, "value")
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", policy: str = "fail", partition_by: list[str] | None = None, **options: str) -> None:
@@ -78,36 +86,90 @@ def write_document(df: DataFrame, path: str, kind: str = "json") -> None:
     write(df.coalesce(1), path, kind, "overwrite")
 
 
-def write_dataset(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> DataFrame:
-    """Write the named tables below one folder, refuse a folder with anything else in it, and return their manifest."""
+def write_dataset(tables: dict[str, DataFrame], path: str, kind: str = "parquet", keep: int = 2) -> DataFrame:
+    """Write the named tables below one folder so that all of them become visible together, and return their manifest.
+
+    Tables are staged in a folder of their own and read back; then one file with their manifest is renamed into place,
+    which is what readers go by. A run that fails before that leaves what was there. Of the versions the newest ``keep``
+    stay. A folder with anything else in it is refused.
+    """
     spark = next(iter(tables.values())).sparkSession
-    foreign = [n for n in names(spark, path) if n not in tables]
+    foreign = [n for n in names(spark, path) if n not in ("versions", "manifests")]
     if foreign:
         raise FileExistsError(f"{path} also holds {', '.join(sorted(foreign))}")
+    before = _versions(spark, path)
+    version = f"v{uuid.uuid4().hex}"
     out = None
     for name, df in tables.items():
-        write(df, f"{path}/{name}", kind, "overwrite")
-        one = manifest(read(spark, f"{path}/{name}", df.schema, kind), name)
+        at = f"{path}/versions/{version}/{name}"
+        write(df, at, kind, "fail")
+        one = manifest(read(spark, at, df.schema, kind), name)
         out = one if out is None else out.unionByName(one)
-    return out
+    rows = [r.asDict() for r in out.collect()]  # one row for each table
+    publish(spark, f"{path}/manifests/{(before[-1][0] if before else 0) + 1:08d}.json", json.dumps({"version": version, "kind": kind, "tables": rows}))
+    for number, old in before[: max(0, len(before) + 1 - keep)]:
+        remove(spark, f"{path}/manifests/{number:08d}.json")
+        remove(spark, f"{path}/versions/{old['version']}")
+    return spark.createDataFrame(rows, out.schema)
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Make a small file appear whole: written under another name, then renamed; an existing one is never replaced."""
+    where, fs = _fs(spark, path)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f"_{uuid.uuid4().hex}")
+    stream = fs.create(staged, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(where) or not fs.rename(staged, where):
+        fs.delete(staged, False)
+        raise FileExistsError(path)
 
 
-def validate_dataset(spark: SparkSession, path: str, expected: DataFrame, schemas: dict[str, T.StructType], kind: str = "parquet") -> DataFrame:
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, dict]]:
+    """(number, manifest) of the versions of a dataset, oldest first."""
+    found = names(spark, f"{path}/manifests")
+    if not found:
+        return []
+    rows = spark.read.text([f"{path}/manifests/{n}" for n in found], wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("n"), "value").collect()  # one row for each version kept
+    return sorted((int(r["n"].split(".")[0]), json.loads(r["value"])) for r in rows)
+
+
+def dataset_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of a dataset's newest version."""
+    versions = _versions(spark, path)
+    return versions[-1][1] if versions else None
+
+
+def read_dataset(spark: SparkSession, path: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A table of a dataset's newest version."""
+    one = dataset_manifest(spark, path)
+    if one is None:
+        raise FileNotFoundError(f"{path} holds no dataset")
+    return read(spark, f"{path}/versions/{one['version']}/{name}", schema, one["kind"])
+
+
+def validate_dataset(spark: SparkSession, path: str, expected: DataFrame, schemas: dict[str, T.StructType]) -> DataFrame:
     """Rows of ``expected`` (a manifest) whose table is missing or whose read-back rows or checksum differ."""
+    one = dataset_manifest(spark, path)
     found = None
     for name, schema in schemas.items():
-        if exists(spark, f"{path}/{name}"):
-            one = manifest(read(spark, f"{path}/{name}", schema, kind), name)
-            found = one if found is None else found.unionByName(one)
+        if one is not None and exists(spark, f"{path}/versions/{one['version']}/{name}"):
+            part = manifest(read_dataset(spark, path, name, schema), name)
+            found = part if found is None else found.unionByName(part)
     if found is None:
         return expected
     return expected.join(found, ["name", "rows", "columns", "checksum"], "left_anti")
 
 
-def write_quarantine(failing: DataFrame, path: str, key: str, policy: str = "overwrite") -> None:
-    """Failing rows (key, reasons, text) as key, reasons and a checksum of the payload; the text itself is never written."""
+def quarantined(failing: DataFrame, key: str) -> DataFrame:
+    """key, reasons and a checksum of the payload of failing rows (key, reasons and others); the text itself is left out."""
     payload = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(failing.columns) if c != "reasons"]), {"ignoreNullFields": "false"}), 256)
-    write(failing.select(key, "reasons", payload.alias("payload_checksum")), f"{path}/records", "json", policy)
+    return failing.select(key, "reasons", payload.alias("payload_checksum"))
+
+
+def write_quarantine(failing: DataFrame, path: str, key: str, policy: str = "overwrite") -> None:
+    """Failing rows as ``quarantined`` has them, and a summary."""
+    write(quarantined(failing, key), f"{path}/records", "json", policy)
     summary = failing.agg(F.count("*").alias("quarantine_count"), F.lit(False).alias("contains_full_text"))
     write_document(summary, f"{path}/summary")
 
