@@ -14,7 +14,7 @@ QUERY_BLOCK, VECTOR_BLOCK = 2000, 20_000
 
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
     """Unit rows of a column of equally long vectors; an all-zero vector stays zero."""
-    values = np.array(column.to_pylist(), dtype=np.float64)
+    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     norm = np.sqrt((values * values).sum(axis=1, keepdims=True))
     return np.divide(values, norm, out=np.zeros_like(values), where=norm > 0)
 

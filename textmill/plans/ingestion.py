@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.operators import extraction as X
 from textmill.operators import ingest as N
 from textmill.operators import rules as R
 from textmill.operators import spans as S
 from textmill.plans import answers
 from textmill.plans.registry import ORACLES, query, table
+from textmill.session import shared_folder
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,3 +143,13 @@ def extraction_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
         R.reconcile("sentences_match_text", c("sentences"), c("right")),
     ]
     return one.select(F.explode(F.array(*made)).alias("r")).select("r.*")
+
+
+@query(
+    f"""WITH c AS ({ORACLES['overlap_resolution']}), t AS (SELECT sum(candidates)::BIGINT AS n, sum(accepted)::BIGINT AS a FROM c)
+    SELECT metric, expected, actual, 'passed' AS status FROM (SELECT 'candidates' AS metric, n AS expected, n AS actual FROM t UNION ALL SELECT 'written', a, a FROM t UNION ALL SELECT 'spans_in_order', 0, 0 UNION ALL SELECT 'read_back', 0, 0)"""
+)
+def extraction_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extraction stage over all documents: its accounting, from the pass that writes the predictions."""
+    vocabulary = spark.createDataFrame(list(answers.WORDS.items()), "phrase string, priority int")
+    return X.extract(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary, "run1", f"{shared_folder(spark)}/extraction_{uuid.uuid4().hex}")

@@ -11,7 +11,7 @@ from textmill.operators import rules as RU
 from textmill.plans import answers, evaluation, extended, retrieval
 from textmill.plans.evaluation import JUDGED
 from textmill.plans.registry import ORACLES, query, table
-from textmill.plans.retrieval import BM25, Q, TOKENS, U, bm25_ranked, ranked_sql
+from textmill.plans.retrieval import BM25, Q, TOKENS, U, bm25_ranked, ranked_sql, tokens_sql
 
 _SPLIT = "CASE WHEN item_id % 5 IN (0, 1) THEN 'train' WHEN item_id % 5 IN (2, 3) THEN 'validation' ELSE 'holdout' END"
 
@@ -78,11 +78,18 @@ def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EXPECTED = "CASE WHEN item_id % 10 = 0 THEN 'unsupported_medication_request' WHEN item_id NOT IN (SELECT item_id FROM j) THEN 'retrieval_abstention' ELSE 'grounded_answer' END"
 _NUM = extended._numbers_sql
+_NEGATING = ", ".join(repr(m) for m in QF.MARKERS)
+_MARKS = ", ".join(repr(m) for m in (*QF.MARKERS, *QF.PHRASE_WORDS))
 _ANSWERED = f"""WITH {TOKENS}, {JUDGED}, ga AS ({ORACLES["guarded_answers"]}), gr AS ({ORACLES["groundedness"]}), ev AS ({answers._BUNDLE} SELECT item_id, snippet FROM e WHERE rank = 1),
 sta AS (SELECT b.item_id, status, answer, snippet, substr(b.text, 1, 180) AS claim, {_EXPECTED} AS expected, {_SPLIT} AS split, CASE WHEN item_id % 10 = 0 THEN 'unsupported_medication_request' ELSE 'synthetic_record_lookup' END AS category,
   support FROM benchmark b JOIN ga USING (item_id) LEFT JOIN gr USING (item_id) LEFT JOIN ev USING (item_id)),
-fa AS (SELECT *, CASE WHEN status = 'grounded_answer' THEN true END AS cited, support >= 0.20 AS supported,
-  len(list_filter({_NUM('claim')}, lambda x: NOT list_contains({_NUM('snippet')}, x))) = 0 AS numbers_agree FROM sta)"""
+nt AS (SELECT item_id, 'q' AS side, {tokens_sql('claim')} AS toks FROM sta UNION ALL SELECT item_id, 'd', {tokens_sql("coalesce(snippet, '')")} FROM sta),
+nf AS (SELECT DISTINCT item_id, side, term, polarity FROM (
+  SELECT item_id, side, unnest(list_filter(toks, lambda t: t NOT IN ({_MARKS}))) AS term, 'affirmed' AS polarity FROM nt
+  UNION ALL SELECT item_id, side, unnest(flatten(list_transform(list_filter(range(1, len(toks) + 1), lambda i: toks[i] IN ({_NEGATING})), lambda i: toks[i + 1:i + {QF.WINDOW}]))), 'negated' FROM nt)),
+nc AS (SELECT DISTINCT a.item_id, true AS clashing FROM nf a JOIN nf b ON a.item_id = b.item_id AND a.term = b.term AND a.polarity <> b.polarity WHERE a.side = 'q' AND b.side = 'd'),
+fa AS (SELECT sta.*, CASE WHEN status = 'grounded_answer' THEN true END AS cited, support >= 0.20 AS supported, clashing IS NULL AS polarity_agrees,
+  len(list_filter({_NUM('claim')}, lambda x: NOT list_contains({_NUM('snippet')}, x))) = 0 AS numbers_agree FROM sta LEFT JOIN nc USING (item_id))"""
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +129,7 @@ def _evaluation_sql() -> str:
         "claim_support_recall": (f"supported AND {grounded}", "expected = 'grounded_answer'", 1),
         "unsupported_claim_rate": ("NOT supported", claims, 0),
         "numeric_consistency_rate": ("numbers_agree", claims, 1),
+        "negation_consistency_rate": ("polarity_agrees", claims, 1),
         "required_fact_coverage": (grounded, "expected = 'grounded_answer'", 1),
         "prohibited_fact_violation_rate": ("contains(lower(answer), 'dosage')", "true", 0),
         "conflict_detection_accuracy": ("false", "expected = 'conflicting_evidence'", 1),
@@ -133,18 +141,18 @@ def _evaluation_sql() -> str:
 
 @query(_evaluation_sql())
 def answer_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metrics of a run of answers (that of polarity has a query and a test of its own)."""
-    return A.evaluated(answered(spark, sf_dir)).drop("negation_consistency_rate")
+    """The nineteen metrics of a run of answers."""
+    return A.evaluated(answered(spark, sf_dir))
 
 
 def _gates_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS observed, '{op}' AS comparator, {t}::DOUBLE AS threshold, {m} {op} {t} AS passed FROM me" for m, op, t in A.ANSWER_GATES if m != "negation_consistency_rate")
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS observed, '{op}' AS comparator, {t}::DOUBLE AS threshold, {m} {op} {t} AS passed FROM me" for m, op, t in A.ANSWER_GATES)
     return f"WITH me AS ({_evaluation_sql()}) {rows}"
 
 
 @query(_gates_sql())
 def answer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.gate_rows(A.evaluated(answered(spark, sf_dir))).where("metric <> 'negation_consistency_rate'")
+    return A.gate_rows(A.evaluated(answered(spark, sf_dir)))
 
 
 @query(
@@ -183,11 +191,11 @@ def answer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.trace(state.select(Q, "status"), bundles, kinds, checks, grounding, safety, Q)
 
 
-_NOISE = "CASE WHEN item_id % 3 = 0 THEN upper(substr(text, 1, 40)) || '  ' WHEN item_id % 3 = 1 THEN '  ' || replace(substr(text, 1, 40), ' ', '   ') ELSE 'unknown ' || item_id END"
+_NOISE = "CASE WHEN item_id % 3 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '  ' WHEN item_id % 3 = 1 THEN '  ' || replace(text, ' ', '   ') ELSE 'unknown ' || item_id END"
 
 
 @query(
-    f"""{_ANSWERED}, kn AS (SELECT trim(regexp_replace(lower(substr(text, 1, 40)), '\\s+', ' ', 'g')) AS k, min(item_id) AS item_id FROM benchmark GROUP BY k),
+    f"""{_ANSWERED}, kn AS (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k, min(item_id) AS item_id FROM benchmark GROUP BY k),
     rq AS (SELECT item_id AS request_id, trim(regexp_replace(lower({_NOISE}), '\\s+', ' ', 'g')) AS k FROM benchmark),
     fb AS (SELECT item_id, status FROM fa ORDER BY CASE WHEN status = 'grounded_answer' THEN 0 WHEN contains(status, 'refusal') OR starts_with(status, 'unsupported') THEN 1 ELSE 2 END, item_id LIMIT 1)
     SELECT request_id, kn.item_id AS matched, coalesce(kn.item_id, fb.item_id) AS answered_by, coalesce(fa.status, fb.status) AS status FROM rq LEFT JOIN kn USING (k) LEFT JOIN fa ON fa.item_id = kn.item_id, fb"""
@@ -195,7 +203,7 @@ _NOISE = "CASE WHEN item_id % 3 = 0 THEN upper(substr(text, 1, 40)) || '  ' WHEN
 def query_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in other case and spacing, and unknown ones, matched to the questions that have an answer."""
     items = table(spark, sf_dir, "benchmark")
-    known = items.select(Q, F.substring("text", 1, 40).alias("question"))
+    known = items.select(Q, F.col("text").alias("question"))
     requests = items.select(F.col(Q).alias("request_id"), F.expr(_NOISE).alias("question"))
     return A.looked_up(requests, known, extended.guarded(spark, sf_dir), Q, "grounded_answer")
 
