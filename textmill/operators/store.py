@@ -9,11 +9,16 @@ join with the query terms and one aggregation.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
+from itertools import chain, repeat
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ from textmill.session import shared_folder
 from textmill.sources import io
 
 DIMENSION = 32
+#: Bytes of input for each core below which texts are dealt to all cores before they are cut into tokens.
+SCAN_BYTES = 64 << 20
 #: Postings that one bucket should hold about.
 BUCKET_ROWS = 4_000_000
 
@@ -45,26 +52,34 @@ class Index:
 def hashed_vectors(units: DataFrame, key: str, dimension: int = DIMENSION) -> DataFrame:
     """key and vector: signed feature hashing of 1- and 2-grams with L2 norm, ten places; units without a token have none.
 
-    Every gram is hashed where its text lies and summed by bucket there, so at most ``dimension`` numbers a unit are
-    shuffled and no gram is. The bucket is the digest's first 8 bytes modulo ``dimension``, of which the last byte is
-    enough where 256 is a multiple of it.
+    A unit's tokens are one row, so its vector is made where it lies, in Arrow batches, and no gram is shuffled; the
+    digests of millions of short strings cost less there than as columns. Rounding is Spark's.
     """
-    from textmill.functions import text as X
-
-    items = F.col("tokens")
-    digest = F.sha2("_g", 256)
-    grams = units.select(key, F.explode(F.concat(items, X.ngrams(items, 2))).alias("_g"))
-    if 256 % dimension == 0:
-        pair = F.conv(F.substring(digest, 15, 4), 16, 10).cast("int")
-        bucket, odd = F.shiftright(F.col("_h"), 8) % dimension, F.col("_h") % 2
-        hashed = grams.select(key, pair.alias("_h")).select(key, bucket.cast("int").alias("_b"), odd.alias("_o"))
-    else:
-        wide = F.pmod(F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(dimension)).cast("int")
-        hashed = grams.select(key, wide.alias("_b"), (F.conv(F.substring(digest, 17, 2), 16, 10).cast("int") % 2).alias("_o"))
-    sums = hashed.groupBy(key, "_b").agg(F.sum(1.0 - 2.0 * F.col("_o")).alias("_s"))
-    held = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_s"))).alias("_m"), F.sqrt(F.sum(F.col("_s") * F.col("_s"))).alias("_l"))
-    entry = lambda i: F.when(F.col("_l") > 0, F.round(F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_l"), 10)).otherwise(F.lit(0.0))
-    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), entry).alias("vector"))
+    kind = units.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, vectors = [], []
+            known: dict[str, tuple[int, int]] = {}  # words repeat, pairs hardly do
+            for row, words in enumerate(batch.column(1).to_pylist()):
+                if not words:
+                    continue
+                sums = [0] * dimension
+                for g, keep in chain(zip(words, repeat(True)), zip(map(" ".join, zip(words, words[1:], strict=False)), repeat(False))):
+                    found = known.get(g) if keep else None
+                    if found is None:
+                        d = sha256(g.encode()).digest()
+                        found = (int.from_bytes(d[:8], "big") % dimension, 1 - 2 * (d[8] & 1))
+                        if keep:
+                            known[g] = found
+                    sums[found[0]] += found[1]
+                norm = math.sqrt(sum(x * x for x in sums))
+                rows.append(row)
+                vectors.append([x / norm if norm else 0.0 for x in sums])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(vectors, pa.list_(pa.float64()))], [key, "vector"])
+
+    made = units.select(key, "tokens").mapInArrow(run, f"`{key}` {kind}, vector array<double>")
+    return made.select(key, F.transform("vector", lambda x: F.round(x, 10)).alias("vector"))
 
 
 def _weighed(counted: DataFrame, key: str, n: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -100,6 +115,9 @@ def write_segment(units: DataFrame, key: str, path: str, keep: tuple[str, ...] =
     kept = (*keep, "_source") if source is not None else keep
     if source is not None:
         units = units.withColumn("_source", source)
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(units._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SCAN_BYTES:
+        units = units.repartition(cores, key)  # a small file is one task's however many cores there are
     spark_write(I.tokenised(units, key, keep=kept), f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
     of = ("length", "_source") if source is not None else ("length",)
@@ -159,7 +177,8 @@ def spark_write(frame: DataFrame, path: str) -> None:
 
 
 def table_prefix(path: str) -> str:
-    return "textmill_" + re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1])
+    """The catalog's name for an index, by its whole path: versions of different roots end alike."""
+    return "textmill_" + sha256(path.rstrip("/").encode()).hexdigest()[:24]
 
 
 def open_index(spark: SparkSession, path: str, key: str) -> Index:
