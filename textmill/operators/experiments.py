@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.operators.rank import confidence
+from textmill.sources import configuration as C
 
 #: The remediation configurations, as the features that each turns on, in order of complexity.
 REMEDIATION = {
@@ -68,13 +71,18 @@ GATES = (
 )
 
 
-def configurations(spark: SparkSession) -> DataFrame:
-    """configuration_id, complexity and a boolean for each feature."""
+def configurations(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """configuration_id, complexity and a boolean for each feature; of the registry at ``path`` if that file exists."""
+    if path is not None and Path(path).exists():
+        return C.remediation_features(C.read_registry(spark, path, C.REMEDIATION, "configurations"))
     rows = [(name, i, *[f in on for f in FEATURES]) for i, (name, on) in enumerate(REMEDIATION.items(), start=1)]
     return spark.createDataFrame(rows, "configuration_id string, complexity int, " + ", ".join(f"{f} boolean" for f in FEATURES))
 
 
-def retrieval_configurations(spark: SparkSession) -> DataFrame:
+def retrieval_configurations(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The active configurations; of the registry at ``path`` if that file exists."""
+    if path is not None and Path(path).exists():
+        return C.retrieval_settings(C.read_registry(spark, path, C.RETRIEVAL, "configurations"))
     rows = [(name, *v) for name, v in RETRIEVAL.items()]
     return spark.createDataFrame(rows, "configuration_id string, strategy string, provider string, granularity string, reranker string, candidates int, complexity int, needs_model boolean")
 
