@@ -291,3 +291,42 @@ def test_rules_of_any_length(spark, tmp_path):
     for r in QUERIES["op8_url_filter"](spark, str(tmp_path)).collect():
         fits = [c for s, c in best.items() if set(s) <= set(tokens[r["page_id"]])]
         assert r["verdict"] == ("block" if fits else "allow") and (r["mined_confidence"] or 0) == pytest.approx(max(fits, default=0))
+
+
+def _judged_pages(spark, rows):
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    return pages, spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "page_id long, bad boolean")
+
+
+def test_tokens_that_always_stand_together_are_one(spark):
+    keys = "&".join(f"k{i:02d}=1" for i in range(40))
+    rows = [(f"http://h{i % 7}.test/a?{keys}", i % 10 > 0) for i in range(60)] + [(f"http://h{i % 7}.test/a?z=1", False) for i in range(60)]  # all in all under half are bad
+    pages, labels = _judged_pages(spark, rows)
+    rules = {tuple(r["tokens"]): r for r in urls.mine_rules(pages, labels).collect()}
+    single = {t for t in rules if len(t) == 1 and t[0].startswith("q:k")}
+    assert single == {(f"q:k{i:02d}",) for i in range(40)}
+    assert not [t for t in rules if len([x for x in t if x.startswith("q:k")]) > 1]
+    assert all(r["anchor"] in t for t, r in rules.items())
+    other = spark.createDataFrame([(1000, "http://new.test/b?k07=2"), (1001, "http://new.test/b?k99=2")], "page_id long, url string")
+    out = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages.union(other), labels).collect()}
+    assert out[1000] == "block"  # one token of the class is enough
+    assert out[1001] == "allow"
+
+
+def test_rules_of_several_classes_against_brute_force(spark):
+    from itertools import combinations
+
+    texts = ["a=1&b=1&c=1&d=1", "a=1&b=1&e=1", "c=1&d=1", "e=1", "a=1&b=1&c=1&d=1&e=1"]
+    rows = [(f"http://x.test/?{texts[i % 5]}", i % 5 in (0, 4) or i % 11 == 0) for i in range(110)]
+    pages, labels = _judged_pages(spark, rows)
+    sets = [(frozenset(r["t"]), bad) for r, (_, bad) in zip(pages.orderBy("page_id").select(urls.tokens_of(pages["url"]).alias("t")).collect(), rows, strict=True)]
+    tokens = sorted(set().union(*[t for t, _ in sets]))
+    found = {}
+    for n in range(1, len(tokens) + 1):
+        for x in combinations(tokens, n):
+            hits = [bad for t, bad in sets if t >= set(x)]
+            if sum(hits) >= 5 and sum(hits) / len(hits) >= urls.CONFIDENCE:
+                found[x] = sum(hits) / len(hits)
+    best = {x: c for x, c in found.items() if not any(found.get(y, 0) >= c for n in range(1, len(x)) for y in combinations(x, n))}
+    assert any(len(x) > 1 for x in best)
+    assert {tuple(r["tokens"]): r["confidence"] for r in urls.mine_rules(pages, labels).collect()} == pytest.approx(best)

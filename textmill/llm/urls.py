@@ -4,8 +4,10 @@ Spark's FP-growth mines combinations of URL tokens (scheme, host labels, path
 segments, extension, query keys, fragment) that go with a bad label. A rule
 ``tokens -> block`` stays if its support and confidence reach the thresholds and
 no rule with some of its tokens is as confident; rules may have any number of
-tokens (FP-growth lists every frequent set, 2^n for n tokens that often stand
-together, and so does the comparison of rules). Matching goes through an inverted
+tokens. Tokens that always stand together on the labelled pages are one item: a
+rule with two of them says no more than with one, so it could not stay, and any
+of them may stand for the others. FP-growth still lists every frequent set of
+items, 2^n for n items that often, but not always, stand together. Matching goes through an inverted
 index: each rule is listed under its rarest token, each distinct set of tokens is
 looked up by its tokens, and candidates are checked for all of theirs. Distinct
 token sets are formed first, with partial aggregation, so a host that a third of
@@ -74,20 +76,41 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.when(F.contains(url, F.lit("://")), parts), F.array().cast("array<string>"))))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_pages: int = LEAST_PAGES, most_tokens: int | None = None) -> DataFrame:
-    """Rules as (tokens, confidence, support, anchor); ``labels`` has page_id and bad (boolean); ``most_tokens`` may bound a rule's length (None: no bound)."""
+def token_classes(baskets: DataFrame, least: float) -> DataFrame:
+    """(token, rep) of tokens that stand in at least ``least`` baskets (rows with page_id and _tokens); tokens of one class stand in the same baskets.
+
+    A sum of row hashes selects candidates, a count of the baskets that hold token and representative decides.
+    """
+    each = baskets.select("page_id", "_tokens", F.explode("_tokens").alias("token"))
+    row = F.xxhash64("page_id", "_tokens").cast("decimal(38,0)")
+    sums = checkpoint(each.groupBy("token").agg(F.count("*").alias("_n"), F.sum(row).alias("_sum")).where(F.col("_n") >= least))
+    likely = sums.join(sums.groupBy("_n", "_sum").agg(F.min("token").alias("rep")), ["_n", "_sum"]).select("token", "rep", "_n")
+    both = each.join(likely.where("token <> rep"), "token").where(F.array_contains("_tokens", F.col("rep"))).groupBy("token", "rep", "_n").agg(F.count("*").alias("_both"))
+    same = both.where("_both = _n").select("token", "rep")
+    return checkpoint(sums.select("token").join(same, "token", "left").select("token", F.coalesce("rep", "token").alias("rep")))
+
+
+def _represented(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct ``_tokens`` of ``sets`` with ``_reps``, the representatives of those that have a class; sets without one are left out."""
+    each = sets.select("_tokens").distinct().select("_tokens", F.explode("_tokens").alias("token"))
+    return each.join(classes, "token").groupBy("_tokens").agg(F.collect_set("rep").alias("_reps"))
+
+
+def mine_class_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_pages: int = LEAST_PAGES, most_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rules, classes): rules as (tokens, confidence, support, anchor) over the representatives of ``token_classes``."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = pages.sparkSession
     judged = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     baskets = pages.select("page_id", tokens_of(F.col("url")).alias("_tokens")).join(judged, "page_id")
-    baskets = baskets.select(F.array_append("_tokens", F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
-    seen = baskets.agg(F.count("*").alias("n"), F.sum(F.array_contains("items", BLOCK).cast("int")).alias("bad")).first()
-    empty = spark.createDataFrame([], "tokens array<string>, confidence double, support double, anchor string")
+    seen = baskets.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("bad")).first()
     if not seen["n"] or not seen["bad"]:
-        return empty
+        return spark.createDataFrame([], "tokens array<string>, confidence double, support double, anchor string"), spark.createDataFrame([], "token string, rep string")
     least = min(1.0, max(support, least_pages / seen["n"]))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
+    classes = token_classes(baskets, least * seen["n"] - 1e-6)
+    label = F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    items = baskets.join(checkpoint(_represented(baskets, classes)), "_tokens", "left").select(F.array_append(F.coalesce("_reps", F.array().cast("array<string>")), label).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(items)
     mined = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     if most_tokens is not None:
         mined = mined.where(F.size("antecedent") <= most_tokens)
@@ -98,17 +121,36 @@ def mine_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, co
     subsets = mined.where(F.size("tokens") > 1).select("tokens", "confidence", picks.alias("_bits"))
     subsets = subsets.select("tokens", "confidence", F.expr("filter(tokens, (x, i) -> getbit(_bits, i) = 1)").alias("_t"))
     beaten = subsets.join(shorter, "_t").where(F.col("_c") >= F.col("confidence")).select("tokens").distinct()
-    items = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("anchor"), F.col("freq").alias("_freq"))
+    freq = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("anchor"), F.col("freq").alias("_freq"))
     rules = mined.join(beaten, "tokens", "left_anti")
-    anchors = rules.select("tokens", F.explode("tokens").alias("anchor")).join(items, "anchor").groupBy("tokens").agg(F.min(F.struct("_freq", "anchor")).alias("_a"))
-    return rules.join(anchors, "tokens").select("tokens", "confidence", "support", F.col("_a.anchor").alias("anchor"))
+    anchors = rules.select("tokens", F.explode("tokens").alias("anchor")).join(freq, "anchor").groupBy("tokens").agg(F.min(F.struct("_freq", "anchor")).alias("_a"))
+    return rules.join(anchors, "tokens").select("tokens", "confidence", "support", F.col("_a.anchor").alias("anchor")), classes
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, **mining: float | None) -> DataFrame:
+    """Rules as (tokens, confidence, support, anchor); ``labels`` has page_id and bad (boolean); ``most_tokens`` may bound a rule's length (None: no bound).
+
+    Every token of a class takes its representative's place, so this lists all rules; ``filter_urls`` matches those of the classes.
+    """
+    rules, classes = mine_class_rules(pages, labels, **mining)
+    members = classes.groupBy("rep").agg(F.array_sort(F.collect_set("token")).alias("_members"))
+    each = rules.withColumn("rep", F.explode("tokens")).join(members, "rep")
+    choice = each.groupBy("tokens", "confidence", "support", "anchor").agg(F.collect_list("_members").alias("_of"))
+    start = F.array(F.array().cast("array<string>"))
+    taken = F.aggregate("_of", start, lambda done, of: F.flatten(F.transform(done, lambda d: F.transform(of, lambda m: F.array_append(d, m)))))
+    return choice.select(F.explode(taken).alias("_taken"), "confidence", "support", "anchor").join(members, F.col("anchor") == members["rep"]).select(
+        F.array_sort("_taken").alias("tokens"), "confidence", "support", F.array_intersect("_taken", "_members")[0].alias("anchor")
+    )
+
 
+def match_rules(pages: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct token sets (``_tokens``) that some mined rule fits, with the most confident one's confidence.
 
-def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct token sets (``_tokens``) that some mined rule fits, with the most confident one's confidence."""
-    sets = pages.select(tokens_of(F.col("url")).alias("_tokens")).distinct()
-    candidates = sets.select("_tokens", F.explode("_tokens").alias("anchor")).join(rules, "anchor")
-    fit = candidates.where(F.size(F.array_except("tokens", "_tokens")) == 0)
+    A rule of classes fits if each of its classes has a token in the set.
+    """
+    sets = _represented(pages.select(tokens_of(F.col("url")).alias("_tokens")), classes)
+    candidates = sets.select("_tokens", "_reps", F.explode("_reps").alias("anchor")).join(rules, "anchor")
+    fit = candidates.where(F.size(F.array_except("tokens", "_reps")) == 0)
     return fit.groupBy("_tokens").agg(F.max("confidence").alias("_confidence"))
 
 
@@ -116,7 +158,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str
     """The columns of ``pages`` with host, path, rule, mined_confidence and verdict (columns of these names are replaced)."""
     names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "mined_confidence", "verdict")]
     # Checkpointed so that the join below exchanges both sides, and a token set of very many pages can be split.
-    mined = checkpoint(match_rules(pages, mine_rules(pages, labels, **mining)))
+    mined = checkpoint(match_rules(pages, *mine_class_rules(pages, labels, **mining)))
     url = F.col("url")
     # The user's columns travel in one struct, so no name of theirs meets one of this function's.
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), host_of(url).alias("host"), path_of(url).alias("path"), tokens_of(url).alias("_tokens"))
