@@ -39,6 +39,8 @@ SUPPORT = 0.002
 CONFIDENCE = 0.5
 LEAST_PAGES = 5
 BLOCK, ALLOW = "@block", "@allow"
+#: Tasks that the rows of one token are dealt to where tokens meet their classes; a scheme stands in every URL.
+SALTS = 32
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -76,6 +78,10 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.when(F.contains(url, F.lit("://")), parts), F.array().cast("array<string>"))))
 
 
+def _with_salts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def token_classes(baskets: DataFrame, least: float) -> DataFrame:
     """(token, rep) of tokens that stand in at least ``least`` baskets (rows with page_id and _tokens); tokens of one class stand in the same baskets.
 
@@ -85,15 +91,17 @@ def token_classes(baskets: DataFrame, least: float) -> DataFrame:
     row = F.xxhash64("page_id", "_tokens").cast("decimal(38,0)")
     sums = checkpoint(each.groupBy("token").agg(F.count("*").alias("_n"), F.sum(row).alias("_sum")).where(F.col("_n") >= least))
     likely = sums.join(sums.groupBy("_n", "_sum").agg(F.min("token").alias("rep")), ["_n", "_sum"]).select("token", "rep", "_n")
-    both = each.join(likely.where("token <> rep"), "token").where(F.array_contains("_tokens", F.col("rep"))).groupBy("token", "rep", "_n").agg(F.count("*").alias("_both"))
+    dealt = each.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    both = dealt.join(_with_salts(likely.where("token <> rep")), ["token", "_salt"]).where(F.array_contains("_tokens", F.col("rep"))).groupBy("token", "rep", "_n").agg(F.count("*").alias("_both"))
     same = both.where("_both = _n").select("token", "rep")
     return checkpoint(sums.select("token").join(same, "token", "left").select("token", F.coalesce("rep", "token").alias("rep")))
 
 
 def _represented(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Distinct ``_tokens`` of ``sets`` with ``_reps``, the representatives of those that have a class; sets without one are left out."""
-    each = sets.select("_tokens").distinct().select("_tokens", F.explode("_tokens").alias("token"))
-    return each.join(classes, "token").groupBy("_tokens").agg(F.collect_set("rep").alias("_reps"))
+    salt = F.pmod(F.xxhash64("_tokens"), F.lit(SALTS)).cast("int").alias("_salt")
+    each = sets.select("_tokens").distinct().select("_tokens", salt, F.explode("_tokens").alias("token"))
+    return each.join(_with_salts(classes), ["token", "_salt"]).groupBy("_tokens").agg(F.collect_set("rep").alias("_reps"))
 
 
 def mine_class_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_pages: int = LEAST_PAGES, most_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
