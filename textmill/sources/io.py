@@ -148,6 +148,12 @@ def read_dataset(spark: SparkSession, path: str, name: str, schema: T.StructType
     return read(spark, f"{path}/versions/{one['version']}/{name}", schema, one["kind"])
 
 
+def holds(spark: SparkSession, path: str, name: str) -> bool:
+    """Whether the folder of a table of a dataset's newest version is there."""
+    one = dataset_manifest(spark, path)
+    return one is not None and exists(spark, f"{path}/versions/{one['version']}/{name}")
+
+
 def validate_dataset(spark: SparkSession, path: str, expected: DataFrame, schemas: dict[str, T.StructType]) -> DataFrame:
     """Rows of ``expected`` (a manifest) whose table is missing or whose read-back rows or checksum differ."""
     one = dataset_manifest(spark, path)
