@@ -113,13 +113,15 @@ def require_passed(checks: DataFrame) -> None:
 def write_evaluation(truth: DataFrame, predicted: DataFrame, key: list[str], grains: dict[str, str], labels: DataFrame, classes: DataFrame, path: str) -> DataFrame:
     """Compare extracted keys and classes (actual, predicted), write the run below ``path``, and return its checks.
 
-    The comparison is written first, as a dataset of its own (``path``/compared), and everything else reads that, so the
-    extractions run once. ``path``/run holds metrics, errors, confusion, reconciliation and run: the counts that the run
+    Both sides are written first, then their comparison (``path``/sides, ``path``/compared), and everything else reads
+    these, so each extraction runs once. ``path``/run holds metrics, errors, confusion, reconciliation and run: the counts that the run
     states, taken from the comparison and the classes themselves and not from the other tables.
     """
     spark = truth.sparkSession
-    io.write_dataset({"compared": E.compared(truth, predicted, key), "truth": truth.select(*key).distinct(), "predicted": predicted.select(*key).distinct()}, f"{path}/compared")
-    both, of_truth, of_predicted = (io.read_dataset(spark, f"{path}/compared", n) for n in ("compared", "truth", "predicted"))
+    io.write_dataset({"truth": truth.select(*key).distinct(), "predicted": predicted.select(*key).distinct()}, f"{path}/sides")
+    of_truth, of_predicted = (io.read_dataset(spark, f"{path}/sides", n) for n in ("truth", "predicted"))
+    io.write_dataset({"compared": E.compared(of_truth, of_predicted, key)}, f"{path}/compared")
+    both = io.read_dataset(spark, f"{path}/compared", "compared")
     tp, wrong = F.count_if(F.col("in_truth") & F.col("in_predicted")), F.count_if(F.col("in_truth") != F.col("in_predicted"))
     f1 = F.when(2 * tp + wrong > 0, F.round(2 * tp / (2 * tp + wrong), 6)).otherwise(F.lit(0.0))
     errors = E.errors(both)
