@@ -243,6 +243,26 @@ def test_fixed_rules(spark):
     assert urls.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_fixed_rules_are_the_contracts(spark):
+    """Verdicts written out, so that a rule's word is held by more than the code's own list."""
+    cases = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"),
+        "http://example.com/en/8": ("com/en/", "block"),
+        "http://a.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/9": ("net/de/", "allow"),
+        "http://b.example.net/de/80": ("example.net/de/8", "block"),
+        "http://q.org/es/": ("org/es/", "block"),
+        "http://q.org/en/": (None, "allow"),
+    }
+    # Every page is labelled bad and shares its scheme, so where no rule fits the method blocks.
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    for labelled in (False, True):
+        labels = spark.createDataFrame([(i, True) for i in range(len(cases)) if labelled], "page_id long, bad boolean")
+        out = {r["url"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, labels).collect()}
+        assert out == {**cases, "http://q.org/en/": (None, "block" if labelled else "allow")}
+
+
 def test_mined_rules_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, f"http://{rng.choice(['a', 'b', 'c'])}.{rng.choice(['bets', 'news'])}.test/{rng.choice(['x', 'y'])}/{i}{rng.choice(['', '?page=1', '#top'])}") for i in range(400)]
