@@ -13,12 +13,17 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textmill.operators import index as I
+from textmill.operators.blockwise import foremost
 from textmill.operators.rank import top_k
-from textmill.operators.store import BUCKET_ROWS, Index, exists
+from textmill.operators.store import ASKED_ROWS, BUCKET_ROWS, Index, exists
 from textmill.session import shared_folder
 
 BLOCK_UNITS = 64
@@ -104,10 +109,54 @@ def bounded_top_k(blocks: Blocks, queries: DataFrame, query: str, k: int, first_
     least = reached.select(query, F.when(F.col("_n") >= k, F.col("_s")).otherwise(F.lit(0.0)).alias("_least"))
     # a bound is a sum of doubles in another order than a score, so it is given a little room
     rest = placed.where(F.col("_p") > first_blocks).join(least, query, "left").where(F.col("bound") + 1e-5 >= F.coalesce("_least", F.lit(0.0))).select(query, "block")
-    rows = top_k(best.drop("rank").unionByName(scored(rest)), query, blocks.key, "score", k)
+    rows = top_k(best.drop("rank").unionByName(_foremost(told(blocks.impacts), asked, rest, query, blocks.key, k)), query, blocks.key, "score", k)
     return Search(rows, asked.join(first.unionByName(rest), query))
 
 
+def _foremost(impacts: DataFrame, asked: DataFrame, chosen: DataFrame, query: str, unit: str, k: int) -> DataFrame:
+    """query, unit and score of the best k units of each query in each group of blocks, of its chosen blocks alone.
+
+    A group's impacts lie in order of term and block, so only the ranges of a query's terms in its blocks are added up;
+    their pairs of query and unit are sums of a task, not rows.
+    """
+    groups = max(8, impacts.sparkSession.sparkContext.defaultParallelism, -(-impacts.count() // ASKED_ROWS))
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("_group")
+    of = asked.groupBy(query).agg(F.collect_list("term").alias("_terms"))
+    right = chosen.groupBy(query, group).agg(F.collect_list("block").alias("_blocks")).join(of, query)
+    left = impacts.select(group, F.col(unit), "term", "block", "impact")
+    kinds = (asked.schema[query].dataType, impacts.schema[unit].dataType)
+    out = pa.schema([(query, to_arrow_type(kinds[0])), (unit, to_arrow_type(kinds[1])), ("score", pa.float64())])
+    one = lambda array: pa.concat_arrays(array.chunks) if array.num_chunks != 1 else array.chunk(0)
+
+    def run(_: tuple, impacts: pa.Table, asked: pa.Table) -> pa.Table:
+        if not impacts.num_rows or not asked.num_rows:
+            return out.empty_table()
+        words, units = one(impacts["term"]).dictionary_encode(), one(impacts[unit]).dictionary_encode()
+        known, block = np.unique(one(impacts["block"]).to_numpy(zero_copy_only=False), return_inverse=True)
+        key = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(known) + block
+        order = np.argsort(key, kind="stable")
+        key, row, part = key[order], units.indices.to_numpy(zero_copy_only=False)[order], one(impacts["impact"]).to_numpy(zero_copy_only=False)[order]
+        n = len(units.dictionary)
+        place = np.empty(n, np.int64)
+        place[pc.sort_indices(units.dictionary).to_numpy()] = np.arange(n)
+        found = []
+        for terms, mine in zip(asked["_terms"].to_pylist(), asked["_blocks"].to_pylist(), strict=True):
+            codes = pc.drop_null(pc.index_in(pa.array(terms, pa.string()), value_set=words.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ranges = (codes[:, None] * len(known) + np.flatnonzero(np.isin(known, mine))[None, :]).ravel()
+            first, last = np.searchsorted(key, ranges), np.searchsorted(key, ranges, "right")
+            many = last - first
+            at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            sums, cover = np.bincount(row[at], part[at], n), np.bincount(row[at], minlength=n)
+            best = foremost(sums, cover, place, k)
+            found.append((best, sums[best]))
+        which = pa.array(np.repeat(np.arange(len(found)), [len(b) for b, _ in found]))
+        return pa.Table.from_arrays([one(asked[query]).take(which), units.dictionary.take(pa.array(np.concatenate([b for b, _ in found]))), pa.array(np.concatenate([s for _, s in found]))], schema=out)
+
+    ddl = f"`{query}` {kinds[0].simpleString()}, `{unit}` {kinds[1].simpleString()}, score double"
+    found = left.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(run, ddl)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def postings_read(blocks: Blocks, search: Search) -> tuple[int, int]:
     """(postings that a search scores, postings of its terms), counted for each query."""
     pairs = search.read
