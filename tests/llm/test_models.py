@@ -350,3 +350,22 @@ def test_rules_of_several_classes_against_brute_force(spark):
     best = {x: c for x, c in found.items() if not any(found.get(y, 0) >= c for n in range(1, len(x)) for y in combinations(x, n))}
     assert any(len(x) > 1 for x in best)
     assert {tuple(r["tokens"]): r["confidence"] for r in urls.mine_rules(pages, labels).collect()} == pytest.approx(best)
+
+
+def test_training_holds_few_copies_of_the_sample():
+    """The driver trains on pairs of row and term: what it holds beside them stays a few bytes for each pair."""
+    import tracemalloc
+
+    from textmill.llm.toxicity import train_machine
+
+    rng = np.random.default_rng(3)
+    starts = np.arange(0, 40_001 * 40, 40)
+    bucket = rng.integers(0, 1 << 12, starts[-1]).astype(np.int32)
+    y = (rng.random(40_000) < 0.5).astype(float)
+    tracemalloc.start()
+    try:
+        train_machine(y, starts, bucket, 0.3, bits=12, epochs=6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 * len(bucket), peak / len(bucket)

@@ -46,6 +46,8 @@ LEAST_SCALE = 0.01
 FULL_ROWS = 300
 #: Epochs after which the evidence for weights is weighed again.
 AGAIN = 5
+#: Pairs of row and term that training takes at once where it takes all.
+PART = 1 << 18
 
 
 @dataclass
@@ -77,6 +79,14 @@ def _terms(bits: int, most: int = MOST_TERMS):
     return encode
 
 
+def _summed(of_row: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) -> np.ndarray:
+    """The sum of a term's rows, a part of the pairs after the other: the driver holds no more copies of the sample."""
+    out = np.zeros(size)
+    for at in range(0, len(row), PART):
+        np.add.at(out, term[at : at + PART], of_row[row[at : at + PART]])
+    return out
+
+
 def prior_scales(y: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """How far each term's weight and vector may move: by the z of its log odds ratio, and by its count.
 
@@ -84,8 +94,8 @@ def prior_scales(y: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) ->
     needs no difference between the classes, only enough rows.
     """
     n1, n0 = y.sum(), len(y) - y.sum()
-    c1 = np.bincount(term, weights=y[row], minlength=size) + 0.5
-    c0 = np.bincount(term, weights=1 - y[row], minlength=size) + 0.5
+    c1 = _summed(y, row, term, size) + 0.5
+    c0 = _summed(1 - y, row, term, size) + 0.5
     odds = np.log(c1 / (n1 + 1 - c1).clip(0.5)) - np.log(c0 / (n0 + 1 - c0).clip(0.5))
     z = np.abs(odds) / np.sqrt(1 / c1 + 1 / c0)
     return np.clip((z / FULL_Z) ** 4, LEAST_SCALE, 1.0), np.clip((c1 + c0 - 1) / FULL_ROWS, 0.0, 1.0)
@@ -93,17 +103,20 @@ def prior_scales(y: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) ->
 
 def residual_scale(error: np.ndarray, row: np.ndarray, term: np.ndarray, size: int) -> np.ndarray:
     """As the first of ``prior_scales``, by the z of the errors that remain in a term's rows."""
-    z = np.abs(np.bincount(term, weights=error[row], minlength=size)) / np.sqrt(np.bincount(term, weights=error[row] ** 2, minlength=size) + 1e-12)
+    z = np.abs(_summed(error, row, term, size)) / np.sqrt(_summed(error**2, row, term, size) + 1e-12)
     return np.clip((z / FULL_Z) ** 4, 0.0, 1.0)
 
 
 def train_machine(y: np.ndarray, starts: np.ndarray, bucket: np.ndarray, share: float, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
     """AdaGrad on the weighted log loss; ``share`` is the true share of class 1. Every bucket of the sample is a term."""
     size = 1 << bits
-    row = np.repeat(np.arange(len(y)), np.diff(starts))
-    seen, s = np.unique(bucket, return_inverse=True)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
     slot = np.full(size, -1, np.int32)
+    for at in range(0, len(bucket), PART):
+        slot[bucket[at : at + PART]] = 0
+    seen = np.flatnonzero(slot == 0)
     slot[seen] = np.arange(len(seen))
+    s = slot[bucket]
     w_scale, v_scale = prior_scales(y, row, s, len(seen))
     bias = float(np.log(share / (1 - share)))
     rng = np.random.default_rng(17)
@@ -113,7 +126,11 @@ def train_machine(y: np.ndarray, starts: np.ndarray, bucket: np.ndarray, share:
     gw, gv, gb = np.full(len(w), 1e-4), np.full(v.shape, 1e-4), 1e-6
     for epoch in range(epochs):
         if epoch and epoch % AGAIN == 0:
-            p = Machine(slot, bias, w * w_scale, v * v_scale[:, None]).scores(row, bucket, len(y))
+            so_far, p = Machine(slot, bias, w * w_scale, v * v_scale[:, None]), np.zeros(len(y))
+            for first in range(0, len(y), 256):
+                a, b = starts[first], starts[min(first + 256, len(y))]
+                n = min(256, len(y) - first)
+                p[first : first + n] = so_far.scores(row[a:b] - first, bucket[a:b], n)
             wider = np.maximum(w_scale, residual_scale(weight * (y - p), row, s, len(seen)))
             w, gw, w_scale = w * w_scale / wider, gw * (wider / w_scale) ** 2, wider  # the weights themselves stay
         order = rng.permutation(len(y))
@@ -144,8 +161,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     """Train on labelled rows that are not held out; None if a class has no row."""
     usable = labels.where(~held_out_column()).select("doc_id", "toxic")
     sample, counts = sample_labels(usable, "toxic", per_class)
-    rows = training_rows(docs, sample, _terms(bits), per_class)
-    y, starts, bucket, _ = csr(rows)
+    y, starts, bucket, _ = csr(training_rows(docs, sample, _terms(bits), per_class))
     if not len(y) or y.min() == y.max():
         return None
     share = counts.get(1, 0) / max(1, sum(counts.values()))
