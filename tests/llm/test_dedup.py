@@ -179,6 +179,27 @@ def test_components_of_chains_and_cycles(spark):
     assert found == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_rounds_of_components_stay_small(spark):
+    """A round's tasks follow the labels' size, not the number of shuffle partitions times the joins: the driver keeps each task."""
+    sc = spark.sparkContext
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("components", "")
+    try:
+        found = components(links)
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["label"] for r in found.collect()} == {1}
+    assert tasks < 31 * 20, tasks
+
+
 def brute_lines(rows):
     """A line goes if two neighbouring lines with a word that cover it stand, with what is between them, earlier."""
     seen, out = set(), {}

@@ -60,3 +60,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_checkpoints_{uuid.uuid4().hex}"
         sc.setCheckpointDir(named)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The frame written to ``path``, a new folder in the cluster's shared one, and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``stored`` has written and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
