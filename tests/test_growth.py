@@ -51,3 +51,18 @@ def test_an_index_is_shuffled_to_terms_and_units_once(spark, tmp_path):
     sums = index.postings.groupBy("doc_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") / F.col("length") * index.idf(), F.lit(2.0)))).alias("x"))
     far = index.units.join(sums, "doc_id").where("abs(norm - x) > 1e-12").count()
     assert far == 0 and index.units.join(sums, "doc_id").count() == 300
+
+
+def test_negation_of_a_long_text_takes_time_in_proportion(spark):
+    """Tokens are cut once for a text, not once for each of its markers (which took minutes here)."""
+    import time
+
+    from textmill.operators.features import negation
+
+    words = [w for i in range(20_000) for w in ("no", f"a{i}")]
+    frame = spark.createDataFrame([(" ".join(words),)], "t string")
+    began = time.time()
+    found = [tuple(r) for r in frame.select(F.explode(negation(F.col("t"))).alias("f")).select("f.*").collect()]
+    assert time.time() - began < 60
+    assert found[:3] == [("a0", "negated"), ("no", "negated"), ("a1", "negated")]
+    assert sorted(found) == sorted([("no", "negated")] + [(f"a{i}", p) for i in range(20_000) for p in ("negated", "affirmed")])
