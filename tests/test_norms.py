@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators import blockwise as BW
 from textmill.operators import index as I
+from textmill.operators import rank as R
 from textmill.operators import store as ST
 from textmill.plans import evaluation, retrieval
 
@@ -81,3 +82,25 @@ def test_a_leaderboard_counts_terms_of_the_texts_once(spark, folder, monkeypatch
     assert sorted(made) == ["_counted", "best", "best", "near"]
     assert "FlatMapCoGroupsInArrow" not in plan  # rankings are read, not made again for the places
     assert [(r["configuration"], r["place"]) for r in found.orderBy("place").collect()] in ([("bm25", 1), ("tfidf", 2)], [("tfidf", 1), ("bm25", 2)])
+
+
+def test_fused_and_keyword_rankings_make_no_row_of_a_pair(spark, folder, monkeypatch):
+    """The rows of a fusion of all pairs, with queries in one group and in several, and fewer rows shuffled than pairs."""
+    monkeypatch.setattr(ST, "_built", {})
+    docs, texts = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    queries, full = I.tokenised(texts, "item_id"), ST.unstored(I.tokenised(docs, "doc_id"), "doc_id")
+    pairs = R.keyword(R.lexical(full, queries, "item_id"), docs, texts, "item_id", "doc_id").localCheckpoint()
+    vectors = ST.hashed_vectors(queries, "item_id").select("item_id", F.col("vector").alias("q"))
+    parts = pairs.join(full.units.select("doc_id", "vector"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").join(vectors, "item_id").where("item_id % 3 <> 1 OR lang = 'en'")
+    parts = parts.withColumns({"metadata": F.when(F.col("item_id") % 3 == 1, 1.0).otherwise(0.0), "dense": F.round(I.dot(F.col("q"), F.col("vector")), 6)})
+    columns = ("item_id", "doc_id", "score", "rank")
+    hybrid = rows(R.top_k(R.fused(parts, "item_id", "doc_id", R.WEIGHTS), "item_id", "doc_id", "score", 5), *columns)
+    keyword = rows(R.top_k(pairs.select("item_id", "doc_id", F.col("keyword").alias("score")), "item_id", "doc_id", "score", 5), *columns)
+    before = {s.stageId() for s in stages(spark)}
+    assert rows(retrieval.keyword_topk(spark, str(folder)), *columns) == keyword and len(keyword) > 50
+    moved = sum(s.shuffleWriteRecords() for s in stages(spark) if s.stageId() not in before)
+    met = full.postings.join(I.terms(queries, distinct=True).distinct(), "term", "left_semi").count()
+    assert pairs.count() > 2500 and moved < 3 * met, (moved, met)
+    for group in (100_000, 5):
+        monkeypatch.setattr(BW, "GROUP_QUERIES", group)
+        assert rows(retrieval.hybrid_topk(spark, str(folder)), *columns) == hybrid
