@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from textmill.operators import blockwise as BW
 from textmill.operators import index as I
 from textmill.operators import rank as R
 from textmill.operators import store as ST
-from textmill.plans import evaluation, retrieval
+from textmill.plans import evaluation, retrieval, units
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +105,41 @@ def test_fused_and_keyword_rankings_make_no_row_of_a_pair(spark, folder, monkeyp
     for group in (100_000, 5):
         monkeypatch.setattr(BW, "GROUP_QUERIES", group)
         assert rows(retrieval.hybrid_topk(spark, str(folder)), *columns) == hybrid
+
+
+def test_units_are_searched_without_a_full_index(spark, monkeypatch):
+    """BM25 needs no terms but those of the queries, nor norms and vectors."""
+    made = []
+    monkeypatch.setattr(ST, "_built", {})
+    monkeypatch.setattr(ST, "build", lambda *a, **k: made.append(a))
+    monkeypatch.setattr(ST, "open_index", lambda *a: pytest.fail("a full index was asked for"))
+    assert units.unit_topk(spark, "/root/testdata/sf0.001").count() > 0 and not made
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_lists_look_up_few_postings(even):
+    """The sums of all postings; units that have most terms are found from the rare ones, without the frequent terms' lists."""
+    rng = np.random.default_rng(3)
+    n, share = 3000, [0.9, 0.8, 0.7, 0.5, 0.3, 0.02, 0.01, 0.005, 0.002]
+    has = [np.flatnonzero(rng.random(n) < p) for p in share]
+    part = [np.ones(len(h)) if even else rng.random(len(h)) * (0.1 + np.log(1 / p)) + 1e-3 for h, p in zip(has, share, strict=True)]
+    place = rng.permutation(n)
+    lists = BW._Lists(np.concatenate(has), np.concatenate(part), np.cumsum([0, *map(len, has)]), place)
+    looked = []
+    at = lists._at
+    lists._at = lambda t, u: looked.append(len(u)) or at(t, u)
+    for terms in ([0, 1, 2, 3, 4, 5, 6, 7, 8], [0, 5, 8], [0], [8, 0, 1], [3, 4]):
+        sums, cover = np.zeros(n), np.zeros(n)
+        for t in terms:
+            sums[has[t]] += part[t] * (t + 1)
+            cover[has[t]] += 1
+        for k in (1, 5, 50, 5000):
+            best, own = lists.foremost(np.array(terms), np.array([t + 1.0 for t in terms]), 2.0, k)
+            expected = BW.foremost(sums / 2, cover, place, k)
+            assert np.allclose(own, sums[best] / 2) and best.tolist() == expected.tolist()
+        for least in (-1, 0, 1, len(terms) - 2, len(terms), len(terms) + 1):
+            best, own = lists.covering(np.array(terms), least)
+            assert best.tolist() == np.flatnonzero((cover > 0) & (cover >= least)).tolist() and (own == cover[best]).all()
+    looked.clear()
+    lists.covering(np.arange(9), 8)
+    assert looked and sum(looked) < sum(map(len, has)) / 5
