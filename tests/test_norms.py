@@ -143,3 +143,11 @@ def test_lists_look_up_few_postings(even):
     looked.clear()
     lists.covering(np.arange(9), 8)
     assert looked and sum(looked) < sum(map(len, has)) / 5
+
+
+def test_a_segment_is_made_in_one_pass(spark, folder, tmp_path):
+    """Texts are dealt and counted where they lie; no posting is shuffled to be counted or to meet its vector."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = {s.stageId() for s in stages(spark)}
+    ST.write_segment(docs, "doc_id", str(tmp_path / "segment"))
+    assert sum(s.shuffleWriteRecords() for s in stages(spark) if s.stageId() not in before) <= 2 * docs.count()
